@@ -7,6 +7,8 @@ on astral characters).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,13 @@ WS = (
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 )
 
+_WIDE_WS = (
+    r"[\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+)
+_WIDE_WS_PREFIXES = (
+    b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80", b"\xef\xbb\xbf",
+)
+
 # Boilerplate openings, matched at the start of lower-cased text.
 BOILERPLATE_STARTS = (
     rf"(copyright|©){WS}",
@@ -79,9 +88,22 @@ def js_trim(c: Column) -> Column:
     return F.btrim(c, F.lit(WS_CHARS))
 
 
+def plain_ws(c: Column) -> Column:
+    """Non-ASCII white space as plain spaces.
+
+    Byte probes for the few UTF-8 prefixes cost far less than a regular
+    expression with all white space characters, and almost no text has any.
+    """
+    raw = c.cast("binary")
+    present = reduce(
+        lambda a, b: a | b, [F.contains(raw, F.lit(p)) for p in _WIDE_WS_PREFIXES]
+    )
+    return F.when(present, F.regexp_replace(c, _WIDE_WS, " ")).otherwise(c)
+
+
 def collapse_ws(c: Column) -> Column:
     """Runs of white space become one space; the ends are trimmed."""
-    return F.btrim(F.regexp_replace(c, f"{WS}+", " "), F.lit(" "))
+    return F.btrim(F.regexp_replace(plain_ws(c), r"\s+", " "), F.lit(" "))
 
 
 def or_else(*cs: Column) -> Column:
@@ -94,7 +116,7 @@ def content_hash(c: Column) -> Column:
 
 
 def normalized_hash(c: Column) -> Column:
-    return F.md5(collapse_ws(F.lower(c)))
+    return F.md5(F.lower(collapse_ws(c)))
 
 
 def estimate_tokens(c: Column) -> Column:
@@ -102,7 +124,12 @@ def estimate_tokens(c: Column) -> Column:
 
 
 def snippet(c: Column, limit: int = 200) -> Column:
-    clean = collapse_ws(c)
+    """The first characters with collapsed white space, marked when cut.
+
+    A head that is long enough decides alone; only odd texts are read whole.
+    """
+    head = collapse_ws(F.left(c, F.lit(5 * limit)))
+    clean = F.when(F.length(head) > limit, head).otherwise(collapse_ws(c))
     return F.when(F.length(clean) <= limit, clean).otherwise(
         F.concat(F.left(clean, F.lit(limit)), F.lit("..."))
     )
@@ -125,7 +152,8 @@ def embedding_text(content: Column, site: Column, title: Column, url: Column | N
 
 def words(c: Column) -> Column:
     """Lower-case words between white space."""
-    return F.filter(F.split(F.lower(c), f"{WS}+"), lambda w: w != "")
+    clean = F.lower(collapse_ws(c))
+    return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, " "))
 
 
 def shingles(c: Column, size: int = 3) -> Column:
@@ -138,12 +166,15 @@ def shingle_list(w: Column, size: int = 3) -> Column:
 
     def build(ws: Column) -> Column:
         n = F.greatest(F.size(ws) - (size - 1), F.lit(0))
-        out = F.slice(ws, F.lit(1), n)
-        for k in range(1, size):
-            out = F.zip_with(
-                out, F.slice(ws, F.lit(k + 1), n), lambda a, b: F.concat_ws(" ", a, b)
-            )
-        return out
+        rows = F.arrays_zip(*[F.slice(ws, F.lit(k + 1), n) for k in range(size)])
+
+        def join(r: Column) -> Column:
+            parts = [r["0"]]
+            for k in range(1, size):
+                parts += [F.lit(" "), r[str(k)]]
+            return F.concat(*parts)
+
+        return F.transform(rows, join)
 
     return let(w, build)
 

@@ -13,25 +13,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpus_engine.functions.text import jaccard, normalized_hash, shingles
+from corpus_engine.functions.text import normalized_hash, shingles
 from corpus_engine.functions.urls import normalize_url
+from corpus_engine.runtime import durable
 
 # Pages that make a text boilerplate, and the near-copy threshold.
 MIN_PAGES = 3
 THRESHOLD = 0.85
 
 
-def fingerprints(df: DataFrame, content: str = "content", page: str = "page_url") -> DataFrame:
-    """``(hash, pages, sample)`` per distinct normalised text."""
-    return (
-        df.select(normalized_hash(F.col(content)).alias("hash"), F.col(page).alias("_page"), F.col(content).alias("_content"))
-        .groupBy("hash", "_page")
-        .agg(F.min("_content").alias("_content"))
-        .groupBy("hash")
-        .agg(F.count("_page").alias("pages"), F.min("_content").alias("sample"))
-    )
-
-
 def exact_boilerplate(
     df: DataFrame, content: str = "content", page: str = "page_url", min_pages: int = MIN_PAGES
 ) -> DataFrame:
@@ -55,13 +45,22 @@ def near_boilerplate(
     threshold: float = THRESHOLD,
     min_pages: int = MIN_PAGES,
 ) -> DataFrame:
-    """Hashes of rarer texts that nearly equal a boilerplate text."""
-    prints = fingerprints(df, content, page)
-    sets = prints.select(
-        "hash", (F.col("pages") >= min_pages).alias("common"), shingles(F.col("sample")).alias("s")
-    ).withColumn("n", F.size("s"))
-    common = sets.filter("common").drop("common")
-    rare = sets.filter(~F.col("common")).drop("common")
+    """Hashes of rarer texts that nearly equal a boilerplate text.
+
+    The texts are read three times and never written: to count copies, to take
+    the boilerplate texts, and to compare the rest with their shingles. What is
+    kept of a rarer text is only its shingles that boilerplate holds as well.
+    """
+    hashed = df.select(normalized_hash(F.col(content)).alias("hash"), F.col(content).alias("text"))
+    common_hashes = durable(exact_boilerplate(df, content, page, min_pages).select("hash"))
+
+    def sets(side: DataFrame) -> DataFrame:
+        return side.select("hash", shingles(F.col("text")).alias("s")).withColumn("n", F.size("s"))
+
+    common = durable(
+        sets(hashed.join(common_hashes, "hash", "left_semi").groupBy("hash").agg(F.min("text").alias("text")))
+    )
+    rare = sets(hashed.join(common_hashes, "hash", "left_anti"))
 
     # how many boilerplate texts hold each shingle; nothing else can match
     frequency = (
@@ -75,26 +74,21 @@ def near_boilerplate(
             .select("hash", "n", F.explode("s").alias("shingle"))
             .join(frequency, "shingle")
             .groupBy("hash", "n")
-            .agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("known"))
+            .agg(F.sort_array(F.collect_set(F.struct("df", "shingle"))).alias("known"))
         )
 
+    # |x n y| >= t|x|, so a match has that many known shingles at least
+    near_rare = durable(known(rare).filter(F.size("known") >= F.col("n") * threshold))
+
     # unknown shingles come first in the order, so they use up the prefix
-    rare_prefix = (
-        known(rare)
-        .withColumn("take", _prefix_length(F.col("n"), threshold) - (F.col("n") - F.size("known")))
-        .filter("take > 0")
-        .select("hash", "n", F.explode(F.slice("known", F.lit(1), F.col("take").cast("int"))).alias("k"))
-        .select("hash", "n", F.col("k.shingle").alias("shingle"))
-    )
+    take = _prefix_length(F.col("n"), threshold) - (F.col("n") - F.size("known"))
+    rare_prefix = near_rare.select(
+        "hash", "n", F.explode(F.slice("known", F.lit(1), take.cast("int"))).alias("k")
+    ).select("hash", "n", F.col("k.shingle").alias("shingle"))
+    head = F.slice("known", F.lit(1), _prefix_length(F.col("n"), threshold).cast("int"))
     common_prefix = (
         known(common)
-        .select(
-            F.col("hash").alias("of"),
-            F.col("n").alias("m"),
-            F.explode(
-                F.slice("known", F.lit(1), _prefix_length(F.col("n"), threshold).cast("int"))
-            ).alias("k"),
-        )
+        .select(F.col("hash").alias("of"), F.col("n").alias("m"), F.explode(head).alias("k"))
         .select("of", "m", F.col("k.shingle").alias("shingle"))
     )
     pairs = (
@@ -103,16 +97,22 @@ def near_boilerplate(
         .select("hash", "of")
         .distinct()
     )
+    both = F.size(F.array_intersect(F.transform("known", lambda k: k["shingle"]), "t"))
     near = (
-        pairs.join(rare.select("hash", "s"), "hash")
-        .join(common.select(F.col("hash").alias("of"), F.col("s").alias("t")), "of")
-        .filter(jaccard(F.col("s"), F.col("t")) >= threshold)
+        pairs.join(near_rare, "hash")
+        .join(common.select(F.col("hash").alias("of"), F.col("s").alias("t"), F.col("n").alias("m")), "of")
+        .filter(both / (F.col("n") + F.col("m") - both) >= threshold)
         .select("hash")
         .distinct()
     )
     # texts too short for a shingle all count as equal
-    short = rare.filter("n = 0").join(common.filter("n = 0").select("n").distinct(), "n", "left_semi")
-    return near.unionByName(short.select("hash"))
+    short = (
+        rare.filter("n = 0")
+        .join(common.filter("n = 0").select("n").distinct(), "n", "left_semi")
+        .select("hash")
+        .distinct()
+    )
+    return near.unionByName(short)
 
 
 def boilerplate_hashes(df: DataFrame, content: str = "content", page: str = "page_url") -> DataFrame:

@@ -20,7 +20,7 @@ _HEADED_DUCK = (
 
 
 def _documents(spark, d, *more):
-    return load_table(spark, d, "documents", ["doc_id", "text", *more])
+    return load_table(spark, d, "documents", ["doc_id", "text", *more], spread=True)
 
 
 def headed(documents):

@@ -25,7 +25,7 @@ _NEAR = f"""{_PRINTS},
 
 
 def _documents(spark, d):
-    return load_table(spark, d, "documents", ["doc_id", "text", "source"])
+    return load_table(spark, d, "documents", ["doc_id", "text", "source"], spread=True)
 
 
 @query(f"WITH {_PRINTS} SELECT hash, pages FROM f WHERE pages >= 3")

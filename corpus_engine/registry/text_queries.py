@@ -14,7 +14,7 @@ _TEXT = F.col("text")
 
 
 def _documents(spark, directory, *columns):
-    return load_table(spark, directory, "documents", ["doc_id", *(columns or ("text",))])
+    return load_table(spark, directory, "documents", ["doc_id", *(columns or ("text",))], spread=True)
 
 
 @query("SELECT doc_id, sha256(text) AS content_hash FROM documents")

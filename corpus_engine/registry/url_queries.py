@@ -13,7 +13,7 @@ _ROOT = "https://www.thther.example.org/start"
 
 
 def _pages(spark, d, *extra):
-    return load_table(spark, d, "pages", ["page_id", "url", *extra])
+    return load_table(spark, d, "pages", ["page_id", "url", *extra], spread=bool(extra))
 
 
 @query(f"SELECT page_id, {sql.normalize_url('url')} AS url FROM pages")

@@ -12,10 +12,12 @@ def load_table(
     name: str,
     columns: list[str] | None = None,
     where: Column | None = None,
+    spread: bool = False,
 ) -> DataFrame:
     """Scan one table; the row filter and the column list reach the Parquet reader.
 
-    Zone-less timestamps are read as UTC instants.
+    Zone-less timestamps are read as UTC instants. ``spread`` is for work that
+    costs far more than the scan: see :func:`spread_small`.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     df = spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
@@ -26,7 +28,16 @@ def load_table(
     for field in df.schema.fields:
         if field.dataType.typeName() == "timestamp_ntz":
             df = df.withColumn(field.name, F.col(field.name).cast("timestamp"))
-    return df
+    return spread_small(df) if spread else df
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Use every core for a table of fewer splits than cores.
+
+    A table of many splits comes back as it is, so large tables never shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def union_versions(*versions: DataFrame) -> DataFrame:
