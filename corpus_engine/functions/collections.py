@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -45,3 +45,13 @@ def distinct_in_order(items: Column, key: Callable[[Column], Column], keep_blank
         return F.transform(F.sort_array(kept), lambda s: s["x"])
 
     return F.when(items.isNull(), None).otherwise(let(F.sort_array(tagged), firsts))
+
+
+def explode_once(df: DataFrame, keep: list[str], items: Column, pos: str, item: str) -> DataFrame:
+    """``posexplode`` of a costly array.
+
+    For the plain form the optimizer adds a filter on the array's size, which
+    computes the array a second time; the outer form has no such filter.
+    """
+    rows = df.select(*keep, F.posexplode_outer(items).alias(pos, item))
+    return rows.filter(F.col(pos).isNotNull())

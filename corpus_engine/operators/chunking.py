@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpus_engine.functions.collections import let
+from corpus_engine.functions.collections import explode_once, let
 from corpus_engine.functions.text import (
     MIN_CHUNK_CHARS,
     WS,
@@ -129,9 +129,9 @@ def split_sections(df: DataFrame, text_col: str = "text") -> DataFrame:
     """One row per section, numbered from zero; blank pages have none."""
     keep = [c for c in df.columns if c != text_col]
     text = F.col(text_col)
-    return df.filter(js_trim(text) != "").select(
-        *keep, F.posexplode(sections(text)).alias("section_no", "s")
-    ).select(*keep, "section_no", "s.heading_path", "s.content")
+    return explode_once(df.filter(js_trim(text) != ""), keep, sections(text), "section_no", "s").select(
+        *keep, "section_no", "s.heading_path", "s.content"
+    )
 
 
 def marked_pairs(content: Column) -> Column:
@@ -313,9 +313,12 @@ def chunk_pages(
             ),
         )
 
-    rows = df.filter(js_trim(text) != "").select(
-        *keep,
-        F.posexplode(F.flatten(F.transform(sections(text), of_section))).alias("chunk_index", "_c"),
+    rows = explode_once(
+        df.filter(js_trim(text) != ""),
+        keep,
+        F.flatten(F.transform(sections(text), of_section)),
+        "chunk_index",
+        "_c",
     )
     return rows.select(
         *keep,

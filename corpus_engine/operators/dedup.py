@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpus_engine.functions.text import normalized_hash, shingles
+from corpus_engine.functions.text import normalized_hash, shingles, words
 from corpus_engine.functions.urls import normalize_url
 from corpus_engine.runtime import durable
 
@@ -22,12 +22,21 @@ MIN_PAGES = 3
 THRESHOLD = 0.85
 
 
+def text_key(content: str) -> Column:
+    """Normalised hash as a join key.
+
+    It is never null: for a nullable key a join adds a null test, which would
+    be pushed into the scan and compute the hash a second time.
+    """
+    return F.coalesce(normalized_hash(F.col(content)), F.lit(""))
+
+
 def exact_boilerplate(
     df: DataFrame, content: str = "content", page: str = "page_url", min_pages: int = MIN_PAGES
 ) -> DataFrame:
     """Hashes seen on ``min_pages`` distinct pages or more."""
     return (
-        df.select(normalized_hash(F.col(content)).alias("hash"), F.col(page).alias("_page"))
+        df.select(text_key(content).alias("hash"), F.col(page).alias("_page"))
         .groupBy("hash")
         .agg(F.countDistinct("_page").alias("pages"))
         .filter(F.col("pages") >= min_pages)
@@ -50,35 +59,48 @@ def near_boilerplate(
     The texts are read three times and never written: to count copies, to take
     the boilerplate texts, and to compare the rest with their shingles. What is
     kept of a rarer text is only its shingles that boilerplate holds as well.
+    (``explode_outer``, because a plain ``explode`` makes the optimizer test the
+    array's size first and so compute the shingles twice.)
     """
-    hashed = df.select(normalized_hash(F.col(content)).alias("hash"), F.col(content).alias("text"))
+    hashed = df.select(text_key(content).alias("hash"), F.col(content).alias("text"))
     common_hashes = durable(exact_boilerplate(df, content, page, min_pages).select("hash"))
 
     def sets(side: DataFrame) -> DataFrame:
-        return side.select("hash", shingles(F.col("text")).alias("s")).withColumn("n", F.size("s"))
+        return side.select("hash", shingles(F.col("text")).alias("s")).withColumn("n", F.coalesce(F.size("s"), F.lit(0)))
 
     common = durable(
         sets(hashed.join(common_hashes, "hash", "left_semi").groupBy("hash").agg(F.min("text").alias("text")))
     )
     rare = sets(hashed.join(common_hashes, "hash", "left_anti"))
 
-    # how many boilerplate texts hold each shingle; nothing else can match
-    frequency = (
+    # how many boilerplate texts hold each shingle; nothing else can match. As a
+    # written table its size is known, so Spark broadcasts it only when small.
+    frequency = durable(
         common.select(F.explode("s").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("df"))
     )
 
     def known(side: DataFrame) -> DataFrame:
         """Per text its shingles known to boilerplate, rarest first."""
         return (
-            side.filter("n > 0")
-            .select("hash", "n", F.explode("s").alias("shingle"))
+            side.select("hash", "n", F.explode_outer("s").alias("shingle"))
             .join(frequency, "shingle")
             .groupBy("hash", "n")
             .agg(F.sort_array(F.collect_set(F.struct("df", "shingle"))).alias("known"))
         )
 
-    # |x n y| >= t|x|, so a match has that many known shingles at least
-    near_rare = durable(known(rare).filter(F.size("known") >= F.col("n") * threshold))
+    # |x n y| >= t|x|, so a match has that many known shingles at least; copies
+    # of one text count several times, which keeps too many texts but loses none
+    possible = durable(
+        rare.select("hash", "n", F.explode_outer("s").alias("shingle"))
+        .join(frequency, "shingle")
+        .groupBy("hash", "n")
+        .agg(F.count("*").alias("hits"))
+        .filter(F.col("hits") >= F.col("n") * threshold)
+        .select("hash")
+    )
+    near_rare = durable(
+        known(sets(hashed.join(possible, "hash", "left_semi"))).filter(F.size("known") >= F.col("n") * threshold)
+    )
 
     # unknown shingles come first in the order, so they use up the prefix
     take = _prefix_length(F.col("n"), threshold) - (F.col("n") - F.size("known"))
@@ -107,7 +129,9 @@ def near_boilerplate(
     )
     # texts too short for a shingle all count as equal
     short = (
-        rare.filter("n = 0")
+        hashed.filter(F.size(words(F.col("text"))) < 3)
+        .join(common_hashes, "hash", "left_anti")
+        .select("hash", F.lit(0).alias("n"))
         .join(common.filter("n = 0").select("n").distinct(), "n", "left_semi")
         .select("hash")
         .distinct()
@@ -133,7 +157,7 @@ def remove_boilerplate(
     applies when one hash is very frequent.
     """
     return (
-        df.withColumn("_hash", normalized_hash(F.col(content)))
+        df.withColumn("_hash", text_key(content))
         .join(hashes.select(F.col("hash").alias("_hash")), "_hash", "left_anti")
         .drop("_hash")
     )

@@ -105,7 +105,7 @@ def matches_path_patterns(spark, d):
 )
 def resolve_link(spark, d):
     hrefs = _pages(spark, d, "html").select(
-        "page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'))).alias("href")
+        "page_id", "url", F.explode_outer(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'))).alias("href")
     )
     return hrefs.select("page_id", U.resolve_link(F.col("href"), _URL).alias("link"))
 

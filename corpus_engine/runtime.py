@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def configure(spark: SparkSession) -> None:
+    """Settings that the operators rely on."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder for checkpoints and intermediate tables.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpus_engine.runtime import configure
+
 
 def load_table(
     spark: SparkSession,
@@ -19,7 +21,7 @@ def load_table(
     Zone-less timestamps are read as UTC instants. ``spread`` is for work that
     costs far more than the scan: see :func:`spread_small`.
     """
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    configure(spark)
     df = spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
     if where is not None:
         df = df.filter(where)
