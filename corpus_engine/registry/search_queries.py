@@ -1 +1,264 @@
+"""Retrieval over all vectors and documents.
 
+Chunks are the documents that have a vector, sites their languages. The query
+vectors are the centroids per label; the query words come from ``benchmark``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corpus_engine.functions.vectors import cosine_similarity as cosine
+from corpus_engine.operators import keyword as K
+from corpus_engine.operators import ranking as L
+from corpus_engine.operators import search as S
+from corpus_engine.plans import retrieval as R
+from corpus_engine.registry import query, sql
+from corpus_engine.sources.tables import load_table
+
+_T = 0.2
+
+
+def chunks(spark, d):
+    documents = load_table(spark, d, "documents", ["doc_id", "text", "lang"])
+    vectors = load_table(spark, d, "embeddings", ["vec_id", "embedding", "label"])
+    return vectors.join(documents, F.col("vec_id") == F.col("doc_id")).select(
+        F.col("vec_id").alias("chunk_id"),
+        F.col("doc_id").alias("page_id"),
+        F.col("lang").alias("agent_id"),
+        F.col("lang").alias("language"),
+        "label",
+        "embedding",
+        F.col("text").alias("content"),
+        F.left("text", F.lit(40)).alias("snippet"),
+        (1 + F.col("label") / 10).alias("rank_weight"),
+    )
+
+
+def centroids(rows):
+    """Mean vector per site and label."""
+    return (
+        rows.select("agent_id", "label", F.posexplode("embedding").alias("pos", "x"))
+        .groupBy("agent_id", "label", "pos")
+        .agg(F.avg(F.col("x").cast("double")).alias("x"))
+        .groupBy("agent_id", "label")
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("embedding"))
+    )
+
+
+def queries(spark, d):
+    """One query per benchmark text and site: two of its words, a label's centroid."""
+    items = load_table(spark, d, "benchmark", ["item_id", "text"]).select(
+        "item_id",
+        (F.col("item_id") % 10).cast("int").alias("label"),
+        F.expr(_WORDS.replace("list_extract", "element_at")).alias("query_text"),
+    )
+    return items.join(centroids(chunks(spark, d)), "label").select(
+        F.concat_ws("-", "item_id", "agent_id").alias("query_id"), "agent_id", "embedding", "query_text"
+    )
+
+
+_WORDS = "list_extract(split(text, ' '), 2) || ' ' || list_extract(split(text, ' '), 4)"
+
+_BASE = f"""
+  c AS (SELECT vec_id AS chunk_id, lang AS agent_id, label, CAST(embedding AS DOUBLE[]) AS v, text AS content,
+               1 + label / 10.0 AS rank_weight FROM embeddings JOIN documents ON vec_id = doc_id),
+  x AS (SELECT agent_id, label, unnest(v) AS x, unnest(range(0, len(v))) AS pos FROM c),
+  m AS (SELECT agent_id, label, list(x ORDER BY pos) AS v
+        FROM (SELECT agent_id, label, pos, avg(x) AS x FROM x GROUP BY ALL) GROUP BY agent_id, label),
+  q AS (SELECT item_id || '-' || agent_id AS query_id, agent_id, v,
+               {_WORDS.replace("split(", "string_split(")} AS query_text
+        FROM benchmark JOIN m ON item_id % 10 = label)"""
+
+_SEM = """
+  sim AS (SELECT query_id, chunk_id, list_cosine_similarity(q.v, c.v) AS similarity
+          FROM q JOIN c ON q.agent_id = c.agent_id),
+  sem AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS rank
+          FROM sim WHERE similarity > {t}
+          QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) <= {k})"""
+
+_KW = r"""
+  w AS (SELECT chunk_id, agent_id, unnest(t) AS term, unnest(range(1, len(t) + 1)) AS pos FROM (
+          SELECT chunk_id, agent_id, list_filter(regexp_split_to_array(lower(content), '[^\p{L}\p{N}]+'),
+                 lambda s: s <> '') AS t FROM c)),
+  qt AS (SELECT DISTINCT query_id, agent_id, unnest(list_filter(regexp_split_to_array(lower(query_text),
+                 '[^\p{L}\p{N}]+'), lambda s: s <> '')) AS term FROM q),
+  qn AS (SELECT query_id, count(*) AS n FROM qt GROUP BY query_id),
+  hit AS (SELECT query_id, chunk_id, w.term, pos FROM w JOIN qt ON w.agent_id = qt.agent_id AND w.term = qt.term),
+  mt AS (SELECT query_id, chunk_id, n FROM hit JOIN qn USING (query_id)
+         GROUP BY query_id, chunk_id, n HAVING count(DISTINCT term) = n),
+  adj AS (SELECT hit.*, n, lag(term) OVER u AS t0, lag(pos) OVER u AS p0 FROM hit JOIN mt USING (query_id, chunk_id)
+          WINDOW u AS (PARTITION BY query_id, chunk_id ORDER BY pos)),
+  kw AS (SELECT query_id, chunk_id, sum(CASE WHEN n = 1 THEN 0.1 WHEN t0 <> term THEN 0.1 / (pos - p0)
+           ELSE 0 END) AS keyword_rank FROM adj GROUP BY query_id, chunk_id)"""
+
+_HYBRID = """
+  kw2 AS (SELECT * FROM kw QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY keyword_rank DESC, chunk_id) <= {k2}),
+  hy AS (SELECT query_id, chunk_id, similarity, coalesce(keyword_rank, 0) AS keyword_rank,
+           (0.7 * similarity + 0.3 * coalesce(keyword_rank, 0)) * rank_weight AS score
+         FROM sem LEFT JOIN kw2 USING (query_id, chunk_id) JOIN c USING (chunk_id)),
+  top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM hy
+          QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= {k})"""
+
+
+def _hybrid_sql(k):
+    return ",".join([_BASE, _SEM.format(t=_T, k=2 * k), _KW, _HYBRID.format(k2=2 * k, k=k)])
+
+
+@query(
+    f"""WITH {_BASE} SELECT query_id, chunk_id, round(list_cosine_similarity(q.v, c.v), 6) AS similarity
+        FROM q JOIN c ON q.agent_id = c.agent_id"""
+)
+def cosine_similarity(spark, d):
+    q = queries(spark, d).select("query_id", "agent_id", F.col("embedding").alias("v"))
+    return (
+        q.join(chunks(spark, d), "agent_id")
+        .select("query_id", "chunk_id", F.round(cosine(F.col("v"), F.col("embedding")), 6).alias("similarity"))
+    )
+
+
+@query(
+    f"""WITH {_BASE}, {_SEM.format(t=_T, k=5)}
+        SELECT query_id, chunk_id, round(similarity, 6) AS similarity, CAST(rank AS INT) AS rank FROM sem"""
+)
+def vector_search(spark, d):
+    return S.vector_search(queries(spark, d), chunks(spark, d), _T, 5).withColumn(
+        "similarity", F.round("similarity", 6)
+    )
+
+
+@query()
+def ann_search(spark, d):
+    """Approximate neighbours; the share of the exact ones is tested apart."""
+    return S.ann_search(queries(spark, d), chunks(spark, d), 5, _T).withColumn(
+        "similarity", F.round("similarity", 6)
+    )
+
+
+@query(
+    r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'),
+                          lambda s: s <> '') AS t FROM documents),
+       w AS (SELECT doc_id, unnest(t) AS term, unnest(range(1, len(t) + 1)) AS pos FROM t),
+       p AS (SELECT doc_id, term, count(*) AS n, min(pos) AS first, max(pos) AS last FROM w GROUP BY doc_id, term)
+       SELECT term, count(*) AS documents, CAST(sum(n) AS BIGINT) AS occurrences,
+              CAST(sum(first) AS BIGINT) AS first_sum, CAST(sum(last) AS BIGINT) AS last_sum FROM p GROUP BY term"""
+)
+def postings(spark, d):
+    docs = load_table(spark, d, "documents", ["doc_id", "text"], spread=True)
+    p = K.postings(docs, "doc_id", "text", stop_words=False)
+    return p.groupBy("term").agg(
+        F.count("*").alias("documents"),
+        F.sum(F.size("positions")).alias("occurrences"),
+        F.sum(F.element_at("positions", 1)).alias("first_sum"),
+        F.sum(F.element_at("positions", -1)).alias("last_sum"),
+    )
+
+
+@query(f"WITH {_BASE}, {_KW} SELECT query_id, chunk_id FROM mt")
+def keyword_match(spark, d):
+    return K.keyword_match(queries(spark, d), chunks(spark, d), stop_words=False)
+
+
+@query(f"WITH {_BASE}, {_KW} SELECT query_id, chunk_id, round(keyword_rank, 6) AS keyword_rank FROM kw")
+def cover_density_rank(spark, d):
+    return K.keyword_rank(queries(spark, d), chunks(spark, d), stop_words=False).withColumn(
+        "keyword_rank", F.round("keyword_rank", 6)
+    )
+
+
+@query(
+    f"""WITH {_BASE}, {_SEM.format(t=_T, k=16)}, {_KW}
+        SELECT query_id, chunk_id, round(similarity, 6) AS similarity,
+               round(coalesce(keyword_rank, 0), 6) AS keyword_rank
+        FROM sem LEFT JOIN kw USING (query_id, chunk_id)"""
+)
+def hybrid_join(spark, d):
+    q, c = queries(spark, d), chunks(spark, d)
+    joined = S.hybrid_join(
+        S.vector_search(q, c, _T, 16).drop("rank"),
+        K.keyword_rank(q, c, stop_words=False),
+        ["query_id", "chunk_id"],
+    )
+    return joined.withColumn("similarity", F.round("similarity", 6)).withColumn(
+        "keyword_rank", F.round("keyword_rank", 6)
+    )
+
+
+@query(
+    f"""WITH {_hybrid_sql(8)} SELECT query_id, chunk_id, CAST(rank AS INT) AS rank, round(similarity, 6) AS similarity,
+          round(keyword_rank, 6) AS keyword_rank, round(score, 6) AS combined_score FROM top"""
+)
+def hybrid_search(spark, d):
+    hits = S.hybrid_search(queries(spark, d), chunks(spark, d), 8, _T, stop_words=False)
+    return hits.select(
+        "query_id", "chunk_id", "rank", F.round("similarity", 6).alias("similarity"),
+        F.round("keyword_rank", 6).alias("keyword_rank"), F.round("combined_score", 6).alias("combined_score"),
+    )
+
+
+def _pages(spark, d):
+    return load_table(spark, d, "pages", ["page_id", "url", "html"]).select(
+        "page_id", "url", F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title")
+    )
+
+
+_PAGES = "p AS (SELECT page_id, url, regexp_extract(html, '<title>(.*?)</title>', 1) AS title FROM pages)"
+
+
+@query(
+    f"""WITH {_hybrid_sql(8)}, {_PAGES} SELECT query_id, chunk_id, CAST(rank AS INT) AS rank,
+          round(score, 6) AS combined_score, coalesce(url, '') AS url, coalesce(title, '') AS title
+        FROM top LEFT JOIN p ON chunk_id = page_id"""
+)
+def search_knowledge(spark, d):
+    hits = R.search_knowledge(queries(spark, d), chunks(spark, d), _pages(spark, d), "data", _T, stop_words=False)
+    return hits.select(
+        "query_id", "chunk_id", "rank", F.round("combined_score", 6).alias("combined_score"), "url", "title"
+    )
+
+
+@query(
+    f"""WITH {_BASE}, {_SEM.format(t=_T, k=5)}, {_PAGES} SELECT query_id, chunk_id, coalesce(url, '') AS url,
+          coalesce(title, '') AS title FROM sem LEFT JOIN p ON chunk_id = page_id"""
+)
+def attach_pages(spark, d):
+    c = chunks(spark, d)
+    hits = S.vector_search(queries(spark, d), c, _T, 5).join(c.select("chunk_id", "page_id"), "chunk_id")
+    return L.attach_pages(hits, _pages(spark, d)).select("query_id", "chunk_id", "url", "title")
+
+
+_RANKED = f"""{_BASE}, {_SEM.format(t=_T, k=15)},
+  n AS (SELECT query_id, count(*) AS n FROM sem GROUP BY query_id),
+  ix AS (SELECT query_id, n, [CAST(n - 1 AS BIGINT), 2, 99, 2, -1, 0, n // 2] AS ix FROM n),
+  r AS (SELECT query_id, unnest(ix) AS i, unnest(range(0, 7)) AS place, n FROM ix),
+  pl AS (SELECT query_id, i, min(place) AS place FROM r WHERE i >= 0 AND i < n AND n > 6 GROUP BY query_id, i),
+  rr AS (SELECT sem.query_id, chunk_id, similarity, row_number() OVER (PARTITION BY sem.query_id
+           ORDER BY place NULLS LAST, sem.rank) AS rank
+         FROM sem LEFT JOIN pl ON pl.query_id = sem.query_id AND pl.i = sem.rank - 1),
+  r6 AS (SELECT * FROM rr WHERE rank <= 6)"""
+
+
+def _reranked(spark, d):
+    c = chunks(spark, d)
+    hits = S.vector_search(queries(spark, d), c, _T, 15).withColumn("orig", F.col("rank") - 1).drop("rank")
+    n = F.count("*")
+    ranking = hits.groupBy("query_id").agg(
+        F.array(n - 1, F.lit(2), F.lit(99), F.lit(2), F.lit(-1), F.lit(0), F.floor(n / 2)).alias("indices")
+    )
+    return L.rerank(hits.join(c.select("chunk_id", "page_id", "snippet", "content"), "chunk_id"), ranking, 6)
+
+
+@query(f"WITH {_RANKED} SELECT query_id, chunk_id, CAST(rank AS INT) AS rank FROM r6")
+def rerank(spark, d):
+    return _reranked(spark, d).select("query_id", "chunk_id", "rank")
+
+
+@query(
+    f"""WITH {_RANKED}, {_PAGES} SELECT query_id, chunk_id, url, title,
+          CASE WHEN left(text, 40) = '' THEN left(text, 150) ELSE left(text, 40) END AS snippet
+        FROM r6 JOIN p ON page_id = chunk_id JOIN documents ON doc_id = chunk_id WHERE rank <= 5"""
+)
+def citations(spark, d):
+    return L.citations(_reranked(spark, d), _pages(spark, d)).select(
+        "query_id", "chunk_id", "url", "title", "snippet"
+    )
