@@ -106,14 +106,15 @@ def _hybrid_sql(k):
 
 
 @query(
-    f"""WITH {_BASE} SELECT query_id, chunk_id, round(list_cosine_similarity(q.v, c.v), 6) AS similarity
-        FROM q JOIN c ON q.agent_id = c.agent_id"""
+    f"""WITH {_BASE} SELECT chunk_id, round(list_cosine_similarity(m.v, c.v), 6) AS similarity
+        FROM m JOIN c USING (agent_id, label)"""
 )
 def cosine_similarity(spark, d):
-    q = queries(spark, d).select("query_id", "agent_id", F.col("embedding").alias("v"))
-    return (
-        q.join(chunks(spark, d), "agent_id")
-        .select("query_id", "chunk_id", F.round(cosine(F.col("v"), F.col("embedding")), 6).alias("similarity"))
+    """Each chunk against the centroid of its own group."""
+    rows = chunks(spark, d)
+    mean = centroids(rows).withColumnRenamed("embedding", "v")
+    return rows.join(mean, ["agent_id", "label"]).select(
+        "chunk_id", F.round(cosine(F.col("v"), F.col("embedding")), 6).alias("similarity")
     )
 
 
