@@ -2,7 +2,8 @@
 
 URLs are taken apart with one regular expression that follows the browser
 definition of a URL (``parse_url`` follows ``java.net.URI``, which rejects many
-links that browsers accept). A URL without a host is invalid.
+links that browsers accept). A URL without a host is invalid. Arguments are
+bound with ``let``: functions nest, and plain expressions would multiply.
 """
 
 from __future__ import annotations
@@ -50,34 +51,38 @@ def _part(u: Column, group: int) -> Column:
 
 def host(u: Column) -> Column:
     """Lower-case host name, null for an invalid URL."""
-    return F.nullif(F.lower(_part(u, 3)), F.lit(""))
+    return F.lower(F.get(F.regexp_extract_all(u, F.lit(_PARTS), F.lit(3)), 0))
 
 
 def pathname(u: Column) -> Column:
     """Serialised path, null for an invalid URL."""
-    return F.when(host(u).isNotNull(), _clean_path(_part(u, 5)))
+    return _clean_path(F.get(F.regexp_extract_all(u, F.lit(_PARTS), F.lit(5)), 0))
 
 
 def with_scheme(u: Column) -> Column:
     return F.when(u.startswith("http"), u).otherwise(F.concat(F.lit("https://"), u))
 
 
-def _percent_encode(c: Column) -> Column:
+def _percent_encode(text: Column) -> Column:
     """Encode what a browser encodes in paths and queries; leave the rest."""
     unsafe = r"[^\x21-\x7E]|[\"<>`{}]"
-    encoded = F.array_join(
-        F.transform(
-            F.split(c, ""),
-            lambda ch: F.when(ch == " ", F.lit("%20"))
-            .when(ch.rlike(unsafe), F.url_encode(ch))
-            .otherwise(ch),
-        ),
-        "",
-    )
-    return F.when(c.rlike(unsafe), encoded).otherwise(c)
 
+    def encode(c: Column) -> Column:
+        encoded = F.array_join(
+            F.transform(
+                F.split(c, ""),
+                lambda ch: F.when(ch == " ", F.lit("%20"))
+                .when(ch.rlike(unsafe), F.url_encode(ch))
+                .otherwise(ch),
+            ),
+            "",
+        )
+        return F.when(c.rlike(unsafe), encoded).otherwise(c)
+
+    return let(text, encode)
 
-def _drop_dot_segments(path: Column) -> Column:
+
+def _fold_dots(path: Column) -> Column:
     def fold(segments: Column) -> Column:
         kept = F.aggregate(
             segments,
@@ -89,14 +94,14 @@ def _drop_dot_segments(path: Column) -> Column:
         tail = F.when(F.element_at(segments, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
         return F.concat(F.array_join(kept, "/"), tail)
 
-    dotted = path.rlike(r"/\.\.?(/|\z)")
     return F.when(
-        dotted, F.regexp_replace(let(F.split(path, "/"), fold), "^(?!/)", "/")
+        path.rlike(r"/\.\.?(/|\z)"),
+        F.regexp_replace(let(F.split(path, "/"), fold), "^(?!/)", "/"),
     ).otherwise(path)
 
 
 def _clean_path(path: Column) -> Column:
-    return F.when(path == "", F.lit("/")).otherwise(_percent_encode(_drop_dot_segments(path)))
+    return let(path, lambda p: F.when(p == "", F.lit("/")).otherwise(_percent_encode(_fold_dots(p))))
 
 
 def _origin(u: Column) -> Column:
@@ -114,13 +119,17 @@ def _origin(u: Column) -> Column:
 
 def serialize_url(u: Column) -> Column:
     """The URL as a browser writes it back; null when it is invalid."""
-    whole = F.concat(
-        _origin(u),
-        _clean_path(_part(u, 5)),
-        F.when(_part(u, 6) == "", F.lit("")).otherwise(_percent_encode(_part(u, 6))),
-        F.when(_part(u, 7) == "", F.lit("")).otherwise(_percent_encode(_part(u, 7))),
-    )
-    return F.when(host(u).isNotNull(), whole)
+
+    def build(x: Column) -> Column:
+        whole = F.concat(
+            _origin(x),
+            _clean_path(_part(x, 5)),
+            _percent_encode(_part(x, 6)),
+            _percent_encode(_part(x, 7)),
+        )
+        return F.when(host(x).isNotNull(), whole)
+
+    return let(u, build)
 
 
 def _form_value(c: Column) -> Column:
@@ -154,14 +163,17 @@ def _clean_query(query: Column) -> Column:
 
 def normalize_url(u: Column) -> Column:
     """Canonical form: no fragment, no tracking parameters, no final slash."""
-    full = with_scheme(F.btrim(u, F.lit(" \t\r\n")))
-    query = _part(full, 6)
-    url = F.concat(
-        _origin(full),
-        _clean_path(_part(full, 5)),
-        F.when(query == "", F.lit("")).otherwise(_clean_query(query)),
-    )
-    return F.when(host(full).isNull(), u).otherwise(F.regexp_replace(url, r"/\z", ""))
+
+    def build(full: Column) -> Column:
+        query = _part(full, 6)
+        url = F.concat(
+            _origin(full),
+            _clean_path(_part(full, 5)),
+            F.when(query == "", F.lit("")).otherwise(_clean_query(query)),
+        )
+        return F.when(host(full).isNotNull(), F.regexp_replace(url, r"/\z", ""))
+
+    return let(u, lambda x: F.coalesce(let(with_scheme(F.btrim(x, F.lit(" \t\r\n"))), build), x))
 
 
 def is_same_domain(u: Column, base: Column) -> Column:
@@ -223,24 +235,28 @@ def path_allowed(u: Column, include: list[str], exclude: list[str]) -> Column:
 
 def resolve_link(href: Column, base: Column) -> Column:
     """Absolute form of a link on page ``base``; null when it is invalid."""
-    h = F.btrim(href, F.lit(" \t\r\n"))
-    origin = _origin(base)
-    base_path = F.when(_part(base, 5) == "", F.lit("/")).otherwise(_part(base, 5))
-    web = h.rlike(r"^(?i)https?:")
-    absolute = (
-        F.when(h.startswith("//"), F.concat(F.lower(_part(base, 1)), F.lit(":"), h))
-        .when(h.startswith("/"), F.concat(origin, h))
-        .when(h.startswith("?"), F.concat(origin, base_path, h))
-        .when(h.startswith("#"), F.concat(origin, base_path, _part(base, 6), h))
-        .otherwise(F.concat(origin, F.regexp_replace(base_path, r"[^/]*\z", ""), h))
-    )
-    other = h.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:") & ~web
-    return (
-        F.when(F.coalesce(h, F.lit("")) == "", None)
-        .when(other, h)
-        .when(web, serialize_url(h))
-        .otherwise(serialize_url(absolute))
-    )
+
+    def build(pair: Column) -> Column:
+        h, b = pair["h"], pair["b"]
+        origin = _origin(b)
+        base_path = F.when(_part(b, 5) == "", F.lit("/")).otherwise(_part(b, 5))
+        web = h.rlike(r"^(?i)https?:")
+        absolute = (
+            F.when(web, h)
+            .when(h.startswith("//"), F.concat(F.lower(_part(b, 1)), F.lit(":"), h))
+            .when(h.startswith("/"), F.concat(origin, h))
+            .when(h.startswith("?"), F.concat(origin, base_path, h))
+            .when(h.startswith("#"), F.concat(origin, base_path, _part(b, 6), h))
+            .otherwise(F.concat(origin, F.regexp_replace(base_path, r"[^/]*\z", ""), h))
+        )
+        other = h.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:") & ~web
+        return (
+            F.when(F.coalesce(h, F.lit("")) == "", None)
+            .when(other, h)
+            .otherwise(serialize_url(absolute))
+        )
+
+    return let(F.struct(F.btrim(href, F.lit(" \t\r\n")).alias("h"), base.alias("b")), build)
 
 
 def title_from_url(u: Column) -> Column:
