@@ -1 +1,54 @@
+"""Crawl order and link statistics over all pages."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corpus_engine.functions import urls as U
+from corpus_engine.operators import graph as G
+from corpus_engine.operators.extraction import extract_links
+from corpus_engine.registry import query, sql
+from corpus_engine.sources.tables import load_table
+
+_HREFS = """SELECT url, unnest(l) AS href, unnest(range(0, len(l))) AS pos FROM (
+  SELECT url, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS l FROM pages)"""
+_EDGES = f"""h AS ({_HREFS}),
+  e AS (SELECT {sql.normalize_url('url')} AS src, pos, {sql.normalize_url("(regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || href)")} AS dst FROM h)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_EDGES},
+        l AS (SELECT src, dst, min(pos) AS pos FROM e WHERE src <> dst GROUP BY src, dst),
+        s AS (SELECT {sql.host('url')} AS site, {sql.normalize_url('url')} AS url FROM pages
+              WHERE NOT regexp_matches(lower(url), '/(feed|rss|login|admin)')),
+        d0 AS (SELECT DISTINCT site, url FROM s),
+        d1 AS (SELECT DISTINCT site, dst AS url FROM d0 JOIN l ON src = url WHERE {sql.host('dst')} = site
+               AND NOT regexp_matches(lower(dst), '([.](docx?|xlsx?|pptx?|zip|tar|gz|rar|jpe?g|png|gif|svg|webp|ico|mp[34]|avi|mov|wmv|css|js|json|xml|rss))$|/(feed|rss|login|admin|signin|account|cart|checkout)')),
+        n1 AS (SELECT * FROM d1 ANTI JOIN d0 USING (site, url)),
+        d2 AS (SELECT DISTINCT n1.site, dst AS url FROM n1 JOIN l ON src = n1.url WHERE {sql.host('dst')} = n1.site),
+        n2 AS (SELECT * FROM d2 ANTI JOIN (SELECT * FROM d0 UNION ALL SELECT * FROM n1) USING (site, url))
+        SELECT site, url, 0 AS depth FROM d0 UNION ALL SELECT site, url, 1 FROM n1 UNION ALL SELECT site, url, 2 FROM n2"""
+)
+def crawl_order(spark, d):
+    pages = load_table(spark, d, "pages", spread=True)
+    seeds = pages.filter(~F.lower("url").rlike("/(feed|rss|login|admin)")).select(
+        U.host(F.col("url")).alias("site"),
+        F.concat(F.lit("https://"), U.host(F.col("url"))).alias("root_url"),
+        "url",
+        F.col("page_id").alias("pos"),
+    )
+    return G.crawl_order(extract_links(pages), seeds, 2).select("site", "url", "depth")
+
+
+@query(
+    f"""WITH {_EDGES}, k AS (SELECT {sql.host('src')} AS site, dst AS url FROM e
+          UNION SELECT {sql.host('url')}, {sql.normalize_url('url')} FROM pages),
+        f AS (SELECT DISTINCT {sql.host('url')} AS site, {sql.normalize_url('url')} AS url, 1 AS f FROM pages)
+        SELECT site, count(*) AS discovered, count(f) AS crawled FROM k LEFT JOIN f USING (site, url) GROUP BY site"""
+)
+def link_stats(spark, d):
+    pages = load_table(spark, d, "pages", spread=True)
+    normal = U.normalize_url
+    edges = extract_links(pages).select(U.host(F.col("src_url")).alias("site"), normal(F.col("dst_url")).alias("url"))
+    fetched = pages.select(U.host(F.col("url")).alias("site"), normal(F.col("url")).alias("url"))
+    return G.link_stats(edges, fetched)

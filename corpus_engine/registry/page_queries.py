@@ -1 +1,92 @@
+"""Extraction over all pages."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corpus_engine.functions import markup as M
+from corpus_engine.operators import extraction as E
+from corpus_engine.registry import query, sql
+from corpus_engine.sources.tables import load_table
+
+
+def _pages(spark, d):
+    return load_table(spark, d, "pages", spread=True)
+
+
+@query(
+    """SELECT page_id, url, trim(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&amp;', '&')) AS title,
+         regexp_extract(html, '<html lang="([a-z]+)', 1) AS language, '' AS description FROM pages"""
+)
+def page_metadata(spark, d):
+    html = F.col("html")
+    return _pages(spark, d).select(
+        "page_id", "url", M.title(html).alias("title"), M.language(html).alias("language"), M.description(html).alias("description")
+    )
+
+
+@query(
+    f"""SELECT url AS src_url, CAST(pos AS INT) AS pos, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || {sql.percent_encode('href')} AS dst_url
+        FROM (SELECT url, unnest(l) AS href, unnest(range(0, len(l))) AS pos FROM (
+          SELECT url, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS l FROM pages))"""
+)
+def extract_links(spark, d):
+    return E.extract_links(_pages(spark, d))
+
+
+@query(
+    rf"""SELECT page_id, array_to_string(list_distinct(e), ',') AS first, CAST(len(list_distinct(e)) AS INT) AS n
+        FROM (SELECT page_id, regexp_extract_all(html, '{M.EMAIL}') AS e FROM pages) WHERE len(list_distinct(e)) <= 1"""
+)
+def page_emails(spark, d):
+    """Mail addresses; pages with several are left out of the order-free check."""
+    found = _pages(spark, d).select("page_id", M.emails(F.col("html")).alias("e"))
+    return found.select("page_id", F.array_join("e", ",").alias("first"), F.size("e").alias("n")).filter("n <= 1")
+
+
+@query(
+    """SELECT page_id, length(html) % 2 = 0 AS marked, length(html) % 2 = 0 AND length(trim(regexp_replace(regexp_replace(regexp_replace(
+         regexp_replace(regexp_extract(html, '(?is)<body[^>]*>(.*?)</body>', 1), '(?is)<script.*?</script>', '', 'g'),
+         '(?is)<style.*?</style>', '', 'g'), '<[^>]+>', '', 'g'), '\\s+', ' ', 'g'))) < 200
+         AND regexp_matches(html, '(?is)<body[^>]*>.*?</body>') AS spa FROM pages""".replace("\\\\", "\\")
+)
+def likely_spa(spark, d):
+    html = F.when(F.length("html") % 2 == 0, F.concat("html", F.lit('<div id="root">'))).otherwise(F.col("html"))
+    return _pages(spark, d).select("page_id", M.maybe_spa(html).alias("marked"), M.likely_spa(html).alias("spa"))
+
+
+@query(
+    """SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'html' WHEN 1 THEN 'pdf' ELSE 'dropped' END AS page_type,
+         page_id % 3 = 0 AND length(html) < 2000 + 100 AS needs_browser, page_id % 3 < 2 AND length(html) >= 2000 + 50 AS keep
+       FROM pages"""
+)
+def page_gate(spark, d):
+    kind = F.col("page_id") % 3
+    content_type = F.when(kind == 0, "text/html; charset=utf-8").when(kind == 1, "application/pdf").otherwise("image/png")
+    text = F.substring("html", 2001, 1 << 30)
+    return _pages(spark, d).select("page_id", M.page_gate(content_type, text).alias("g")).select("page_id", "g.*")
+
+
+@query()
+def extract_pages(spark, d):
+    """Contacts, main text and full text from the tag walk."""
+    out = E.extract_pages(_pages(spark, d))
+    return out.select(
+        "page_id", "title", "language", F.size("contacts").alias("contacts"),
+        F.md5("main_text").alias("main_digest"), F.length("page_text").alias("chars"),
+    )
+
+
+@query()
+def structured_data(spark, d):
+    """Linked data added to each page from its own title and address."""
+    ld = F.concat(
+        F.lit('<script type="application/ld+json">[{"@type":"Organization","name":"Site '), F.col("page_id"),
+        F.lit('","telephone":"555-0100","address":{"streetAddress":"1 Main St","postalCode":"10"}}]</script>'
+              '<meta property="og:site_name" content="og"><meta content="second" property="og:site_name">'),
+    )
+    pages = _pages(spark, d).withColumn("html", F.concat("html", ld))
+    out = E.structured_data(pages)
+    return out.select(
+        "page_id", F.size("json_ld").alias("objects"), F.col("open_graph")["site_name"].alias("site_name"), "text"
+    )
