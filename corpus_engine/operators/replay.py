@@ -1,0 +1,197 @@
+"""Exact replay of per-key state machines, without putting a key into one task.
+
+A machine is sequential within its key. Each key is cut into time slices that
+run in parallel from an assumed start state; then the end state of each slice is
+compared with what the next one assumed, and only slices that assumed wrongly
+run again, until none is left. Rows stream through sorted partitions, so memory
+holds one state, not a group. Machines forget soon, so few slices run twice.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from corpus_engine.operators.timeline import slice_of
+from corpus_engine.runtime import durable
+
+HOUR_US = 3_600_000_000
+
+
+class RateLimit:
+    """At most ``most`` accepted events per window; then a block."""
+
+    output = "allowed boolean, remaining int, retry_after_us bigint"
+
+    def __init__(self, most: int, window_us: int, block_us: int | None = None):
+        self.most, self.window, self.block = most, window_us, block_us or window_us
+
+    def start(self):
+        return [0, []]
+
+    def settle(self, state, t):
+        until, times = state
+        return [until if until > t else 0, [x for x in times if t - x < self.window]]
+
+    def step(self, state, t, value):
+        until, times = self.settle(state, t)
+        if until:
+            return [until, times], (False, 0, until - t)
+        if len(times) >= self.most:
+            return [t + self.block, times], (False, 0, self.block)
+        times = times + [t]
+        return [0, times], (True, self.most - len(times), None)
+
+
+class CircuitBreaker:
+    """Opens after ``most`` failures in a row; may be tried again after a pause."""
+
+    output = "proceed boolean, open boolean, failures int"
+
+    def __init__(self, most: int = 10, reset_us: int = 30_000_000):
+        self.most, self.reset = most, reset_us
+
+    def start(self):
+        return [0, False, 0]
+
+    def settle(self, state, t):
+        failures, is_open, last = state
+        if is_open and t - last > self.reset:
+            return [0, False, 0]
+        return [failures, is_open, last if is_open else 0]
+
+    def step(self, state, t, ok):
+        failures, is_open, last = self.settle(state, t)
+        proceed = not is_open
+        if ok:
+            failures, is_open, last = 0, False, 0
+        else:
+            failures, last = failures + 1, t
+            is_open = is_open or failures >= self.most
+        return [failures, is_open, last], (proceed, is_open, failures)
+
+
+class TtlCache:
+    """A hit lies within the time to live of the last miss."""
+
+    output = "hit boolean"
+
+    def __init__(self, ttl_us: int):
+        self.ttl = ttl_us
+
+    def start(self):
+        return [None]
+
+    def settle(self, state, t):
+        return state if state[0] is not None and t - state[0] < self.ttl else [None]
+
+    def step(self, state, t, value):
+        (miss,) = self.settle(state, t)
+        return ([t], (False,)) if miss is None else ([miss], (True,))
+
+
+_MIN = 60_000_000
+
+# The limits of each entry point (events, window, block).
+RATE_LIMITS = {
+    "chat": (30, _MIN, _MIN),
+    "chat_session": (60, _MIN, 30_000_000),
+    "share_view": (100, 60 * _MIN, 60 * _MIN),
+    "agent_creation": (10, 60 * _MIN, 60 * _MIN),
+    "crawl_trigger": (5, 60 * _MIN, 60 * _MIN),
+    "passcode": (5, _MIN, 5 * _MIN),
+}
+
+# Times to live in seconds.
+TTL_SECONDS = {"embedding": 3600, "search": 900, "response": 1800}
+
+
+def _segments(batches: Iterator[pd.DataFrame], machine, ends: bool) -> Iterator[pd.DataFrame]:
+    """Run a machine over rows sorted by segment and time."""
+    segment, state, first, last_start = None, None, None, None
+    for pdf in batches:
+        out = []
+        done = []
+        for key, piece, t, value, given in zip(pdf["k"], pdf["s"], pdf["us"], pdf["v"], pdf["start"]):
+            if (key, piece) != segment:
+                if segment is not None:
+                    done.append((*segment, first, last_start, json.dumps(state)))
+                state = machine.settle(json.loads(given) if given else machine.start(), t)
+                segment, first, last_start = (key, piece), t, json.dumps(state)
+            state, result = machine.step(state, t, value)
+            out.append(result)
+        if ends:
+            if done:
+                yield pd.DataFrame(done, columns=["k", "s", "first_us", "used", "end"])
+        else:
+            names = [c.split()[0] for c in machine.output.split(", ")]
+            rows = pdf[["id"]].reset_index(drop=True)
+            yield pd.concat([rows, pd.DataFrame(out, columns=names, dtype=object)], axis=1)
+    if ends and segment is not None:
+        yield pd.DataFrame(
+            [(*segment, first, last_start, json.dumps(state))], columns=["k", "s", "first_us", "used", "end"]
+        )
+
+
+def replay(
+    events: DataFrame,
+    machine,
+    key: str = "key",
+    time: str = "ts",
+    row_id: str = "event_id",
+    value: str | None = None,
+    slice_us: int = 24 * HOUR_US,
+) -> DataFrame:
+    """``(row_id, outputs…)`` of every event, as if each key ran in time order."""
+    key_type = events.schema[key].dataType.simpleString()
+    id_type = events.schema[row_id].dataType.simpleString()
+    rows = events.select(
+        F.col(key).alias("k"),
+        slice_of(F.col(time), slice_us).alias("s"),
+        F.unix_micros(time).alias("us"),
+        F.col(row_id).alias("id"),
+        (F.col(value) if value else F.lit(True)).alias("v"),
+    )
+
+    def ordered(df: DataFrame) -> DataFrame:
+        return df.repartition("k", "s").sortWithinPartitions("k", "s", "us", "id")
+
+    def run_ends(df: DataFrame) -> DataFrame:
+        return ordered(df).mapInPandas(
+            lambda b: _segments(b, machine, True),
+            f"k {key_type}, s bigint, first_us bigint, used string, end string",
+        )
+
+    def settled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf["start"] = [
+                json.dumps(machine.settle(json.loads(e) if e else machine.start(), t))
+                for e, t in zip(pdf.pop("before"), pdf["first_us"])
+            ]
+            yield pdf
+
+    table = durable(run_ends(rows.withColumn("start", F.lit(None).cast("string"))))
+    while True:
+        # one row per key and slice
+        chained = table.withColumn("before", F.lag("end").over(Window.partitionBy("k").orderBy("s"))).mapInPandas(
+            settled, f"k {key_type}, s bigint, first_us bigint, used string, end string, start string"
+        )
+        wrong = durable(chained.filter("start <> used").select("k", "s", "start"))
+        if wrong.isEmpty():
+            break
+        again = run_ends(rows.join(wrong, ["k", "s"]))
+        table = durable(table.join(wrong, ["k", "s"], "left_anti").unionByName(again))
+    starts = table.select("k", "s", F.col("used").alias("start"))
+    return ordered(rows.join(starts, ["k", "s"])).mapInPandas(
+        lambda b: _segments(b, machine, False), f"id {id_type}, {machine.output}"
+    ).withColumnRenamed("id", row_id)
+
+
+def cache_key(*parts: Column) -> Column:
+    """Cache key of the given string columns."""
+    return F.sha2(F.concat_ws("|", *parts), 256)

@@ -1 +1,253 @@
+"""State machines, streams and stored-body sources over whole tables."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corpus_engine.functions import urls as U
+from corpus_engine.operators import replay as R
+from corpus_engine.registry import query, sql
+from corpus_engine.registry.job_queries import outcomes
+from corpus_engine.runtime import scratch_path
+from corpus_engine.sources import robots, sinks, sitemaps, transcripts
+from corpus_engine.sources.tables import load_table
+from corpus_engine.streaming import ingest, progress, runner
+from corpus_engine.streaming.stateful import stateful
+
+_HOUR = R.HOUR_US
+
+
+@query()
+def rate_limit(spark, d):
+    """Three events per user in six hours, then a block of four hours."""
+    return R.replay(outcomes(spark, d), R.RateLimit(3, 6 * _HOUR, 4 * _HOUR))
+
+
+@query()
+def rate_limit_stream(spark, d):
+    events = runner.read_stream(spark, d, "events").select("event_id", "ts", F.col("user_id").alias("key"))
+    return runner.run_append(stateful(events, R.RateLimit(3, 6 * _HOUR, 4 * _HOUR)), "rate-limit")
+
+
+@query()
+def circuit_breaker(spark, d):
+    return R.replay(outcomes(spark, d), R.CircuitBreaker(10, 8 * _HOUR), value="ok")
+
+
+@query()
+def circuit_breaker_stream(spark, d):
+    events = runner.read_stream(spark, d, "events").select(
+        "event_id", "ts", F.col("user_id").alias("key"), (F.col("event_type") == "view").alias("ok")
+    )
+    return runner.run_append(stateful(events, R.CircuitBreaker(10, 8 * _HOUR), value="ok"), "breaker")
+
+
+@query(
+    """WITH RECURSIVE n AS (SELECT event_id, epoch_us(ts) AS us, sha256(user_id || '|' || event_type) AS key,
+            row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events),
+       w AS (SELECT event_id, us, key, rn, us AS miss, false AS hit FROM n WHERE rn = 1
+             UNION ALL SELECT n.event_id, n.us, n.key, n.rn,
+               CASE WHEN n.us - w.miss < 86400000000 THEN w.miss ELSE n.us END, n.us - w.miss < 86400000000
+             FROM w JOIN n ON n.key = w.key AND n.rn = w.rn + 1)
+       SELECT event_id, hit FROM w"""
+)
+def ttl_cache_hits(spark, d):
+    events = load_table(spark, d, "events", ["event_id", "ts", "user_id", "event_type"]).withColumn(
+        "key", R.cache_key(F.col("user_id").cast("string"), F.col("event_type"))
+    )
+    return R.replay(events, R.TtlCache(24 * _HOUR))
+
+
+_JOB_STATUS = "CASE event_type WHEN 'signup' THEN 'crawl.started' WHEN 'click' THEN 'crawl.progress' WHEN 'purchase' THEN 'crawl.completed' WHEN 'error' THEN 'crawl.failed' ELSE 'other' END"
+
+
+@query(
+    f"""WITH e AS (SELECT *, {_JOB_STATUS} AS event FROM events)
+        SELECT user_id AS job_id, arg_max(CASE event WHEN 'crawl.started' THEN 'running' WHEN 'crawl.completed' THEN 'completed'
+             ELSE 'failed' END, event_id) FILTER (WHERE event NOT IN ('other', 'crawl.progress')) AS status,
+          epoch_us(max(ts) FILTER (WHERE event = 'crawl.started')) AS started,
+          epoch_us(max(ts) FILTER (WHERE event IN ('crawl.completed', 'crawl.failed'))) AS completed,
+          arg_max(CAST(floor(value) AS BIGINT), event_id) FILTER (WHERE event IN ('crawl.progress', 'crawl.completed')) AS crawled
+        FROM e WHERE event <> 'other' GROUP BY user_id"""
+)
+def fold_job_events(spark, d):
+    events = load_table(spark, d, "events").select(
+        F.col("user_id").alias("job_id"), F.expr(_JOB_STATUS).alias("event"), "ts", "event_id",
+        F.struct(
+            F.floor("value").alias("pages_crawled"), F.lit(None).cast("bigint").alias("pages_discovered"),
+            F.lit(None).cast("bigint").alias("chunks_created"), F.lit(None).cast("string").alias("error"),
+        ).alias("data"),
+    )
+    return progress.fold_job_events(events).select(
+        "job_id", "status", F.unix_micros("started_at").alias("started"), F.unix_micros("completed_at").alias("completed"),
+        F.col("total_urls_crawled").alias("crawled"),
+    )
+
+
+@query(
+    """SELECT user_id AS agent_id, count(*) FILTER (WHERE event_type IN ('view', 'click')) AS crawled,
+         CAST(sum(CASE WHEN event_type IN ('view', 'click') THEN floor(value) ELSE 0 END) AS BIGINT) AS total_chunks,
+         count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY 1"""
+)
+def crawl_progress(spark, d):
+    kind = F.col("event_type")
+    events = runner.read_stream(spark, d, "events").select(
+        F.col("user_id").alias("agent_id"),
+        F.when(kind.isin("view", "click"), "page_crawled").otherwise(kind).alias("type"),
+        F.floor("value").alias("chunks"),
+    )
+    return runner.run_update(progress.crawl_progress(events), "progress", ["agent_id"])
+
+
+@query(
+    """SELECT epoch_us(date_trunc('hour', ts)) AS window_start, event_type, count(*) AS events FROM events GROUP BY 1, 2"""
+)
+def events_per_window(spark, d):
+    counts = progress.events_per_window(runner.read_stream(spark, d, "events"), "1 hour")
+    return runner.run_update(counts, "windows", ["window_start", "event_type"]).withColumn(
+        "window_start", F.unix_micros("window_start")
+    )
+
+
+@query(
+    f"""WITH c AS ({sql.plain_chunks('documents', 'doc_id')})
+        SELECT doc_id AS page_id, chunk_index, md5(content) AS digest FROM c WHERE NOT {sql.boilerplate('content')}"""
+)
+def ingest_stream(spark, d):
+    pages = runner.read_stream(spark, d, "documents").select(
+        F.col("doc_id").alias("page_id"), F.lit("").alias("title"), "text"
+    )
+    sink = scratch_path(spark, "ingest")
+    ingest.ingest_stream(pages, sink, scratch_path(spark, "ingest-checkpoint"))
+    return ingest.current_chunks(spark, sink).select("page_id", "chunk_index", F.md5("content").alias("digest"))
+
+
+@query(
+    """SELECT 'm' || page_id AS sitemap_url, url AS loc, false AS is_child FROM pages
+       UNION ALL SELECT 'm' || page_id, 'sitemap-' || page_id || '.xml', true FROM pages"""
+)
+def parse_sitemaps(spark, d):
+    pages = load_table(spark, d, "pages", ["page_id", "url"])
+    bodies = pages.select(
+        F.concat(F.lit("m"), "page_id").alias("sitemap_url"),
+        F.concat(
+            F.lit("<urlset><url><loc> "), F.replace("url", F.lit("&"), F.lit("&")), F.lit(" </loc></url><LOC>sitemap-"),
+            "page_id", F.lit(".xml</LOC></urlset>"),
+        ).alias("body"),
+    )
+    return sitemaps.parse_sitemaps(bodies)
+
+
+_BODY = "'User-agent: *' || chr(10) || 'Disallow: /' || lang || '/' || chr(10) || 'Allow: /' || lang || '/1' || chr(10) || 'Crawl-delay: 2'"
+
+
+def _robots(spark, d):
+    """One file per host; it closes the host's first language, but for numbers in 1."""
+    hosts = (
+        load_table(spark, d, "pages", ["url"])
+        .select(U.host(F.col("url")).alias("host"), F.regexp_extract("url", "/([a-z]{2})/", 1).alias("lang"))
+        .groupBy("host")
+        .agg(F.min("lang").alias("lang"))
+    )
+    nl = F.lit("\n")
+    return hosts.select(
+        "host",
+        F.concat(
+            F.lit("User-agent: *\nDisallow: /"), "lang", F.lit("/\nAllow: /"), "lang", F.lit("/1"), nl,
+            F.lit("Crawl-delay: 2\nSitemap: https://"), "host", F.lit("/sitemap.xml"),
+        ).alias("body"),
+    )
+
+
+_HOSTS = f"hosts AS (SELECT {sql.host('url')} AS host, min(regexp_extract(url, '/([a-z]{{2}})/', 1)) AS lang FROM pages GROUP BY 1)"
+
+
+@query(
+    f"""WITH {_HOSTS} SELECT host, '*' AS agent, 'disallow' AS rule, '/' || lang || '/' AS path FROM hosts
+        UNION ALL SELECT host, '*', 'allow', '/' || lang || '/1' FROM hosts
+        UNION ALL SELECT host, '*', 'crawl-delay', '2' FROM hosts
+        UNION ALL SELECT host, NULL, 'sitemap', 'https://' || host || '/sitemap.xml' FROM hosts"""
+)
+def parse_robots(spark, d):
+    return robots.parse_robots(_robots(spark, d)).select("host", "agent", "rule", F.col("value").alias("path"))
+
+
+@query(
+    f"""WITH {_HOSTS}, p AS (SELECT page_id, {sql.host('url')} AS host, regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) AS path FROM pages)
+        SELECT page_id, NOT (starts_with(path, '/' || lang || '/') AND NOT starts_with(path, '/' || lang || '/1')) AS allowed
+        FROM p JOIN hosts USING (host)"""
+)
+def robots_filter(spark, d):
+    pages = load_table(spark, d, "pages", ["page_id", "url"])
+    return robots.robots_filter(pages, robots.parse_robots(_robots(spark, d)), "AnyBot").select("page_id", "allowed")
+
+
+@query(f"WITH {_HOSTS} SELECT host, length(host) % 2 = 0 AS allowed FROM hosts")
+def crawl_allowed(spark, d):
+    odd = F.length("host") % 2 == 1
+    body = F.when(odd, F.concat("body", F.lit("\nDISALLOW:  / \n"))).otherwise(F.col("body"))
+    return _robots(spark, d).select("host", robots.crawl_allowed(body).alias("allowed"))
+
+
+@query(
+    """SELECT conv_id || '-' || turn AS id, md5(replace(text, chr(10), ' ')) AS digest,
+         round(CASE WHEN turn % 2 = 0 THEN (turn % 10) / 10.0 ELSE 0 END, 6) AS confidence, turn % 2 = 1 AS sources_only FROM conversations"""
+)
+def parse_sse(spark, d):
+    turns = load_table(spark, d, "conversations")
+    half = F.floor(F.length("text") / 2).cast("int")
+    text = F.replace("text", F.lit("\n"), F.lit(" "))
+
+    def message(content):
+        return F.concat(F.lit("data: "), F.to_json(F.struct(F.lit("text").alias("type"), content.alias("content"))), F.lit("\n\n"))
+
+    sources = F.when(
+        F.col("turn") % 2 == 0,
+        F.concat(
+            F.lit('data: {"type":"sources","answered_from_sources_only":false,"confidence":'), (F.col("turn") % 10) / 10, F.lit("}\n\n")
+        ),
+    ).otherwise(F.lit('data: {"type":"sources","confidence":null}\n\n'))
+    body = F.concat(
+        message(F.left(text, half)), F.lit("data: {bad json\n\n"), message(F.substring(text, half + 1, F.length(text))), sources, F.lit("data: [DONE]\n")
+    )
+    parsed = transcripts.parse_sse(turns.select(F.concat_ws("-", "conv_id", "turn").alias("id"), body.alias("body")))
+    return parsed.select("id", F.md5("answer").alias("digest"), F.round("confidence", 6).alias("confidence"), "sources_only")
+
+
+@query(
+    """SELECT user_id AS agent_id, CASE event_type WHEN 'click' THEN 'chat' ELSE 'crawl' END AS event_type, count(*) AS events
+       FROM events WHERE event_type IN ('click', 'view') GROUP BY 1, 2"""
+)
+def append_events(spark, d):
+    kind = F.col("event_type")
+    events = load_table(spark, d, "events").select(
+        "event_id", F.col("user_id").alias("agent_id"),
+        F.when(kind == "click", "chat").when(kind == "view", "crawl").otherwise(kind).alias("event_type"),
+        F.lit(None).cast("string").alias("payload"), F.col("ts").alias("created_at"),
+    )
+    path = scratch_path(spark, "usage")
+    sinks.append_events(events, path)
+    return sinks.read_events(spark, path).groupBy("agent_id", "event_type").agg(F.count("*").alias("events"))
+
+
+@query(
+    """SELECT source AS agent_id, name, digest FROM (SELECT source, 'agent-' || source || '-' || left(replace(replace('https://a.b/' || doc_id, ':', '%3A'), '/', '%2F'), 100) || '.md' AS name,
+         md5('# ' || lang || chr(10) || 'Source: https://a.b/' || doc_id || chr(10) || chr(10) || text) AS digest,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 50"""
+)
+def export_documents(spark, d):
+    pages = load_table(spark, d, "documents").select(
+        F.col("source").alias("agent_id"), F.col("doc_id").alias("page_id"), F.concat(F.lit("https://a.b/"), "doc_id").alias("url"),
+        F.col("lang").alias("title"), F.col("text").alias("clean_markdown"), F.lit("crawled").alias("crawl_status"),
+    )
+    return sinks.export_documents(pages, 50, [F.col("page_id")]).select("agent_id", "name", F.md5("content").alias("digest"))
+
+
+@query()
+def pdf_text(spark, d):
+    """Text strings of each document written as PDF text operators."""
+    from corpus_engine.sources.pdf import pdf_text_column
+
+    docs = load_table(spark, d, "documents", ["doc_id", "text"], spread=True)
+    body = F.concat(F.lit("BT ("), F.regexp_replace("text", r"([()\\])", r"\\$1"), F.lit(") Tj ET"))
+    return docs.select("doc_id", F.md5(pdf_text_column(body)).alias("digest"))

@@ -1,0 +1,77 @@
+"""The state machines of ``operators.replay`` as stateful stream operators."""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StringType, StructField, StructType
+
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class MachineProcessor(StatefulProcessor):
+    """Keeps one small state per key.
+
+    Rows of a micro-batch are taken in event-time order with the id as the tie
+    break; rows that come in a later batch are taken as they arrive.
+    """
+
+    def __init__(self, machine):
+        self.machine = machine
+        self.names = [c.split()[0] for c in machine.output.split(", ")]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", StructType([StructField("json", StringType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        saved = self.state.get() if self.state.exists() else None
+        state = json.loads(saved[0]) if saved else self.machine.start()
+        for pdf in rows:
+            out = []
+            for t, value in zip(pdf["us"], pdf["v"]):
+                state, result = self.machine.step(state, int(t), value)
+                out.append(result)
+            yield pd.concat(
+                [pdf[["id"]].reset_index(drop=True), pd.DataFrame(out, columns=self.names, dtype=object)], axis=1
+            )
+        self.state.update((json.dumps(state),))
+
+    def close(self) -> None:
+        pass
+
+
+class _SortedProcessor(MachineProcessor):
+    def handleInputRows(self, key, rows, timerValues):
+        # a micro-batch of one key; its size is set by the source's batch limit
+        pdf = pd.concat(list(rows)).sort_values(["us", "id"])
+        yield from super().handleInputRows(key, iter([pdf]), timerValues)
+
+
+def stateful(
+    events: DataFrame, machine, key: str = "key", time: str = "ts", row_id: str = "event_id", value: str | None = None
+) -> DataFrame:
+    """``(row_id, outputs…)`` for a stream of events."""
+    spark = events.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    id_type = events.schema[row_id].dataType.simpleString()
+    rows = events.select(
+        F.col(key).alias("k"),
+        F.unix_micros(time).alias("us"),
+        F.col(row_id).alias("id"),
+        (F.col(value) if value else F.lit(True)).alias("v"),
+    )
+    return (
+        rows.groupBy("k")
+        .transformWithStateInPandas(
+            statefulProcessor=_SortedProcessor(machine),
+            outputStructType=f"id {id_type}, {machine.output}",
+            outputMode="Append",
+            timeMode="None",
+        )
+        .withColumnRenamed("id", row_id)
+    )
