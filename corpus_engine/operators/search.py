@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from corpus_engine.functions.vectors import cosine_similarity, normalize_vector
 from corpus_engine.operators.keyword import keyword_rank
-from corpus_engine.runtime import top_per_group
+from corpus_engine.runtime import durable, top_per_group
 
 QUERY_BLOCK = 512
 CHUNK_BLOCK = 4096
@@ -113,12 +113,15 @@ def ann_search(
 ) -> DataFrame:
     """Approximate form: random-projection candidates, exact scores.
 
-    On unit vectors similarity ``s`` is the distance ``sqrt(2 - 2 s)``.
+    On unit vectors similarity ``s`` is the distance ``sqrt(2 - 2 s)``. The unit
+    vectors are written once: the model and the join read them several times, and
+    must never meet a missing vector.
     """
 
     def unit(df: DataFrame, key: str) -> DataFrame:
         v = normalize_vector(F.col("embedding"))
-        return df.select(key, "agent_id", "embedding", array_to_vector(v).alias("unit"))
+        present = df.filter(F.size("embedding") > 0).select(key, "agent_id", "embedding", v.alias("unit"))
+        return durable(present).withColumn("unit", array_to_vector("unit"))
 
     lsh = BucketedRandomProjectionLSH(
         inputCol="unit", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed

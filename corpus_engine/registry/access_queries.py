@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from corpus_engine.operators import access as A
 from corpus_engine.registry import query
-from corpus_engine.registry.analytics_queries import sites
+from corpus_engine.registry.analytics_queries import at, sites
 from corpus_engine.sources.tables import load_table
 
-_NOW = F.lit("1999-01-01").cast("timestamp")
 
 
 def _memberships(spark, d):
@@ -96,7 +95,7 @@ _SQL = """
 
 @query(f"WITH {_SQL} SELECT request_id, link_id FROM v")
 def valid_share_links(spark, d):
-    return A.valid_share_links(_links(spark, d), _requests(spark, d), _NOW).select("request_id", "link_id")
+    return A.valid_share_links(_links(spark, d), _requests(spark, d), at("1999-01-01")).select("request_id", "link_id")
 
 
 @query(
@@ -115,7 +114,7 @@ def accessible_sites(spark, d):
     sessions = load_table(spark, d, "supplier", ["s_suppkey"]).select(
         F.col("s_suppkey").alias("agent_id"), F.col("s_suppkey").alias("session_id")
     )
-    return A.accessible_sites(_requests(spark, d), owners, _links(spark, d), sessions, _NOW)
+    return A.accessible_sites(_requests(spark, d), owners, _links(spark, d), sessions, at("1999-01-01"))
 
 
 @query(

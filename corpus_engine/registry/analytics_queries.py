@@ -14,9 +14,11 @@ from corpus_engine.operators import ranking as K
 from corpus_engine.registry import query, sql
 from corpus_engine.sources.tables import load_table
 
-_AS_OF = F.lit("2000-01-01").cast("timestamp")
 _DAYS = 400
-_NOW = F.lit("2024-01-31").cast("timestamp")
+
+
+def at(text):
+    return F.lit(text).cast("timestamp")
 
 
 def conversations(spark, d):
@@ -63,7 +65,7 @@ _RECENT = f"created_at >= TIMESTAMP '2000-01-01' - INTERVAL {_DAYS} DAY"
               FROM ms WHERE role = 'assistant' AND {_RECENT} GROUP BY agent_id) m ON c.agent_id = m.agent_id"""
 )
 def site_analytics(spark, d):
-    stats = A.site_analytics(conversations(spark, d), messages(spark, d), _AS_OF, _DAYS)
+    stats = A.site_analytics(conversations(spark, d), messages(spark, d), at("2000-01-01"), _DAYS)
     return stats.withColumn("avg_confidence", F.round("avg_confidence", 6))
 
 
@@ -73,7 +75,7 @@ def site_analytics(spark, d):
           WHERE {_RECENT} GROUP BY ALL) GROUP BY agent_id"""
 )
 def messages_by_day(spark, d):
-    days = A.messages_by_day(conversations(spark, d), messages(spark, d), _AS_OF, _DAYS)
+    days = A.messages_by_day(conversations(spark, d), messages(spark, d), at("2000-01-01"), _DAYS)
     text = F.transform("messages_by_day", lambda x: F.concat_ws("=", x["date"].cast("string"), x["count"].cast("string")))
     return days.select("agent_id", F.array_join(text, ",").alias("days"))
 
@@ -99,7 +101,7 @@ def _usage(spark, d):
          FROM events WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 25 DAY) WHERE rn <= 40 GROUP BY ALL"""
 )
 def usage_summary(spark, d):
-    return A.usage_summary(_usage(spark, d), _NOW, 25, 40)
+    return A.usage_summary(_usage(spark, d), at("2024-01-31"), 25, 40)
 
 
 @query(
@@ -219,7 +221,7 @@ def _counts(spark, d):
         for name, key in (("conversations", "conv_id"), ("lineitem", "l_orderkey"), ("documents", "doc_id"), ("pages", "page_id"))
     ]
     return A.platform_counts(
-        sites(spark, d), *tables, jobs, usage, F.lit("2024-01-30 12:00:00").cast("timestamp")
+        sites(spark, d), *tables, jobs, usage, at("2024-01-30 12:00:00")
     )
 
 

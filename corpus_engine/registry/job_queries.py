@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from corpus_engine.operators import jobs as J
 from corpus_engine.operators import timeline as W
 from corpus_engine.registry import query
-from corpus_engine.registry.analytics_queries import sites
+from corpus_engine.registry.analytics_queries import at, sites
 from corpus_engine.sources.tables import load_table
 
-_NOW = F.lit("1999-01-01").cast("timestamp")
 
 
 def _policies(spark, d):
@@ -29,7 +28,7 @@ def _policies(spark, d):
        WHERE o_orderstatus <> 'P' AND o_orderdate <= TIMESTAMP '1999-01-01' AND c_mktsegment <> 'MACHINERY'"""
 )
 def due_recrawls(spark, d):
-    return J.due_recrawls(_policies(spark, d), sites(spark, d), _NOW).select(
+    return J.due_recrawls(_policies(spark, d), sites(spark, d), at("1999-01-01")).select(
         "agent_id", "user_id", "job_type", F.date_format("next_run_at", "yyyy-MM-dd HH:mm:ss").alias("next_run_at")
     )
 
@@ -62,7 +61,7 @@ def upsert_policy(spark, d):
         .withColumn("enabled", F.when(F.col("s") == "P", False).when(F.col("s") == "O", True))
         .drop("s")
     )
-    return J.upsert_policy(policies, changes, _NOW).withColumn(
+    return J.upsert_policy(policies, changes, at("1999-01-01")).withColumn(
         "next_run_at", F.date_format("next_run_at", "yyyy-MM-dd HH:mm:ss")
     )
 

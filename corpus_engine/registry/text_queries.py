@@ -10,8 +10,6 @@ from corpus_engine.functions import vectors as V
 from corpus_engine.registry import query, sql
 from corpus_engine.sources.tables import load_table
 
-_TEXT = F.col("text")
-
 
 def _documents(spark, directory, *columns):
     return load_table(spark, directory, "documents", ["doc_id", *(columns or ("text",))], spread=True)
@@ -19,22 +17,22 @@ def _documents(spark, directory, *columns):
 
 @query("SELECT doc_id, sha256(text) AS content_hash FROM documents")
 def content_hash(spark, d):
-    return _documents(spark, d).select("doc_id", T.content_hash(_TEXT).alias("content_hash"))
+    return _documents(spark, d).select("doc_id", T.content_hash(F.col("text")).alias("content_hash"))
 
 
 @query(f"SELECT doc_id, {sql.norm_hash('text')} AS hash FROM documents")
 def normalized_hash(spark, d):
-    return _documents(spark, d).select("doc_id", T.normalized_hash(_TEXT).alias("hash"))
+    return _documents(spark, d).select("doc_id", T.normalized_hash(F.col("text")).alias("hash"))
 
 
 @query(f"SELECT doc_id, {sql.tokens('text')} AS tokens FROM documents")
 def estimate_tokens(spark, d):
-    return _documents(spark, d).select("doc_id", T.estimate_tokens(_TEXT).alias("tokens"))
+    return _documents(spark, d).select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
 
 
 @query(f"SELECT doc_id, {sql.snippet('text')} AS snippet FROM documents")
 def snippet(spark, d):
-    return _documents(spark, d).select("doc_id", T.snippet(_TEXT).alias("snippet"))
+    return _documents(spark, d).select("doc_id", T.snippet(F.col("text")).alias("snippet"))
 
 
 @query(
@@ -50,7 +48,7 @@ def snippet(spark, d):
 def embedding_text(spark, d):
     return _documents(spark, d, "text", "source", "lang").select(
         "doc_id",
-        T.embedding_text(_TEXT, F.col("source"), F.col("lang")).alias("embedding_text"),
+        T.embedding_text(F.col("text"), F.col("source"), F.col("lang")).alias("embedding_text"),
     )
 
 
@@ -63,7 +61,7 @@ def embedding_text(spark, d):
 def shingles(spark, d):
     return (
         _documents(spark, d)
-        .select("doc_id", T.shingles(_TEXT).alias("s"))
+        .select("doc_id", T.shingles(F.col("text")).alias("s"))
         .select(
             "doc_id",
             F.size("s").alias("shingles"),
@@ -81,17 +79,17 @@ def shingles(spark, d):
     FROM s"""
 )
 def jaccard(spark, d):
-    half = F.left(_TEXT, F.floor(F.length(_TEXT) / 2).cast("int"))
+    half = F.left(F.col("text"), F.floor(F.length(F.col("text")) / 2).cast("int"))
     return (
         _documents(spark, d)
-        .select("doc_id", T.shingles(_TEXT).alias("a"), T.shingles(half).alias("b"))
+        .select("doc_id", T.shingles(F.col("text")).alias("a"), T.shingles(half).alias("b"))
         .select("doc_id", F.round(T.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
     )
 
 
 @query(f"SELECT doc_id, {sql.boilerplate('text')} AS boilerplate FROM documents")
 def is_likely_boilerplate(spark, d):
-    return _documents(spark, d).select("doc_id", T.is_likely_boilerplate(_TEXT).alias("boilerplate"))
+    return _documents(spark, d).select("doc_id", T.is_likely_boilerplate(F.col("text")).alias("boilerplate"))
 
 
 @query(
@@ -116,7 +114,7 @@ def fts_language(spark, d):
     + " AS value FROM documents"
 )
 def sanitize_value(spark, d):
-    return _documents(spark, d).select("doc_id", T.sanitize_value(_TEXT).alias("value"))
+    return _documents(spark, d).select("doc_id", T.sanitize_value(F.col("text")).alias("value"))
 
 
 @query(
@@ -126,7 +124,7 @@ def sanitize_value(spark, d):
 )
 def needs_fresh_data(spark, d):
     turns = load_table(spark, d, "conversations", ["conv_id", "turn", "text"])
-    return turns.select("conv_id", "turn", T.needs_fresh_data(_TEXT).alias("fresh"))
+    return turns.select("conv_id", "turn", T.needs_fresh_data(F.col("text")).alias("fresh"))
 
 
 @query(
@@ -137,7 +135,7 @@ def needs_fresh_data(spark, d):
     + " END AS bot FROM documents"
 )
 def is_likely_bot(spark, d):
-    return _documents(spark, d).select("doc_id", T.is_likely_bot(_TEXT).alias("bot"))
+    return _documents(spark, d).select("doc_id", T.is_likely_bot(F.col("text")).alias("bot"))
 
 
 @query(
@@ -187,7 +185,7 @@ def model_label(spark, d):
 @query("SELECT conv_id, turn, left(text, 100) AS title FROM conversations")
 def conversation_title(spark, d):
     return load_table(spark, d, "conversations", ["conv_id", "turn", "text"]).select(
-        "conv_id", "turn", T.conversation_title(_TEXT).alias("title")
+        "conv_id", "turn", T.conversation_title(F.col("text")).alias("title")
     )
 
 
@@ -288,7 +286,7 @@ def validate_enums(spark, d):
        FROM k WHERE rn = 1 OR t = '' GROUP BY doc_id"""
 )
 def dedupe_lines(spark, d):
-    clean = T.dedupe_lines(_TEXT)
+    clean = T.dedupe_lines(F.col("text"))
     return (
         _documents(spark, d)
         .select("doc_id", clean.alias("clean"))

@@ -8,7 +8,6 @@ from corpus_engine.functions import urls as U
 from corpus_engine.registry import query, sql
 from corpus_engine.sources.tables import load_table
 
-_URL = F.col("url")
 _ROOT = "https://www.thther.example.org/start"
 
 
@@ -18,13 +17,13 @@ def _pages(spark, d, *extra):
 
 @query(f"SELECT page_id, {sql.normalize_url('url')} AS url FROM pages")
 def normalize_url(spark, d):
-    return _pages(spark, d).select("page_id", U.normalize_url(_URL).alias("url"))
+    return _pages(spark, d).select("page_id", U.normalize_url(F.col("url")).alias("url"))
 
 
 @query(f"SELECT page_id, {sql.host('url')} = 'thther.example.org' AS same FROM pages")
 def is_same_domain(spark, d):
     base = F.lit("http://THTHER.example.org:8080/x")
-    return _pages(spark, d).select("page_id", U.is_same_domain(_URL, base).alias("same"))
+    return _pages(spark, d).select("page_id", U.is_same_domain(F.col("url"), base).alias("same"))
 
 
 @query(
@@ -33,9 +32,9 @@ def is_same_domain(spark, d):
 def is_valid_url(spark, d):
     kind = F.length("url") % 4
     u = (
-        F.when(kind == 1, F.regexp_replace(_URL, "//[^/]+", "//10.1.2.3"))
-        .when(kind == 2, F.regexp_replace(_URL, "//[^/]+", "//db.internal"))
-        .otherwise(_URL)
+        F.when(kind == 1, F.regexp_replace(F.col("url"), "//[^/]+", "//10.1.2.3"))
+        .when(kind == 2, F.regexp_replace(F.col("url"), "//[^/]+", "//db.internal"))
+        .otherwise(F.col("url"))
     )
     bare = F.col("page_id") % 3 == 0
     u = F.when(bare, F.regexp_replace(u, "^https?://", "")).otherwise(u)
@@ -47,7 +46,7 @@ def is_valid_url(spark, d):
         FROM pages GROUP BY 1"""
 )
 def extract_domain(spark, d):
-    return _pages(spark, d).groupBy(U.extract_domain(_URL).alias("domain")).agg(F.count("*").alias("pages"))
+    return _pages(spark, d).groupBy(U.extract_domain(F.col("url")).alias("domain")).agg(F.count("*").alias("pages"))
 
 
 _SKIP = (
@@ -80,7 +79,7 @@ def should_skip_url(spark, d):
 def is_in_domain_scope(spark, d):
     allowed = F.array(F.lit("www.thther.example.org"), F.lit("example.net"))
     return _pages(spark, d).select(
-        "page_id", U.is_in_domain_scope(_URL, F.lit(_ROOT), allowed).alias("in_scope")
+        "page_id", U.is_in_domain_scope(F.col("url"), F.lit(_ROOT), allowed).alias("in_scope")
     )
 
 
@@ -95,7 +94,7 @@ def is_pdf_url(spark, d):
 )
 def matches_path_patterns(spark, d):
     return _pages(spark, d).select(
-        "page_id", U.path_allowed(_URL, ["/en/*", "/??/9"], ["/en/*0"]).alias("allowed")
+        "page_id", U.path_allowed(F.col("url"), ["/en/*", "/??/9"], ["/en/*0"]).alias("allowed")
     )
 
 
@@ -107,7 +106,7 @@ def resolve_link(spark, d):
     hrefs = _pages(spark, d, "html").select(
         "page_id", "url", F.explode_outer(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'))).alias("href")
     )
-    return hrefs.select("page_id", U.resolve_link(F.col("href"), _URL).alias("link"))
+    return hrefs.select("page_id", U.resolve_link(F.col("href"), F.col("url")).alias("link"))
 
 
 @query(
@@ -117,7 +116,7 @@ def resolve_link(spark, d):
           FROM (SELECT page_id, regexp_replace(url, '([a-z]{2})/([0-9]+)', '\1/a-\2_b', '') AS url FROM pages))"""
 )
 def title_from_url(spark, d):
-    u = F.regexp_replace(_URL, "([a-z]{2})/([0-9]+)", "$1/a-$2_b")
+    u = F.regexp_replace(F.col("url"), "([a-z]{2})/([0-9]+)", "$1/a-$2_b")
     return _pages(spark, d).select("page_id", U.title_from_url(u).alias("title"))
 
 
@@ -139,7 +138,7 @@ def slugify(spark, d):
             UNION ALL SELECT regexp_extract({sql.host('url')}, '[^.]+[.][^.]+$') FROM pages) GROUP BY 1, 2"""
 )
 def is_valid_custom_domain(spark, d):
-    h = U.host(_URL)
+    h = U.host(F.col("url"))
     return (
         _pages(spark, d)
         .select(F.explode(F.array(h, F.regexp_extract(h, r"[^.]+[.][^.]+$", 0))).alias("domain"))
