@@ -22,16 +22,16 @@ ACTIVE_STATUSES = ("pending", "crawling", "processing")
 # Sample presets (pages, characters) for profile, extraction, starters.
 SAMPLES = {"profile": (10, 1000), "extract": (8, 2800), "starters": (5, 800)}
 
-# Gauge names and help texts.
+# Gauge names (below a prefix of the user's choice) and help texts.
 GAUGES = (
-    ("ragplatform_agents_total", "Total number of agents"),
-    ("ragplatform_agents_ready", "Number of ready agents"),
-    ("ragplatform_conversations_total", "Total conversations"),
-    ("ragplatform_messages_total", "Total messages"),
-    ("ragplatform_chunks_total", "Total indexed chunks"),
-    ("ragplatform_pages_total", "Total crawled pages"),
-    ("ragplatform_crawl_jobs_active", "Currently running crawl jobs"),
-    ("ragplatform_chat_requests_1h", "Chat requests in last hour"),
+    ("agents_total", "Total number of agents"),
+    ("agents_ready", "Number of ready agents"),
+    ("conversations_total", "Total conversations"),
+    ("messages_total", "Total messages"),
+    ("chunks_total", "Total indexed chunks"),
+    ("pages_total", "Total crawled pages"),
+    ("crawl_jobs_active", "Currently running crawl jobs"),
+    ("chat_requests_1h", "Chat requests in last hour"),
 )
 
 
@@ -168,6 +168,7 @@ def platform_counts(
     jobs: DataFrame,
     events: DataFrame,
     as_of: Column,
+    prefix: str = "platform",
 ) -> DataFrame:
     """One ``(position, metric, value)`` row per gauge."""
 
@@ -177,7 +178,7 @@ def platform_counts(
             F.explode(
                 F.array(
                     *[
-                        F.struct(F.lit(i).alias("position"), F.lit(GAUGES[i][0]).alias("metric"), F.col(f"g{i}").alias("value"))
+                        F.struct(F.lit(i).alias("position"), F.lit(f"{prefix}_{GAUGES[i][0]}").alias("metric"), F.col(f"g{i}").alias("value"))
                         for i, _ in values
                     ]
                 )
@@ -200,10 +201,10 @@ def platform_counts(
 
 def metrics_exposition(counts: DataFrame) -> DataFrame:
     """Gauges as text: three lines and a blank one each, in order."""
-    helps = F.create_map(*[F.lit(x) for gauge in GAUGES for x in gauge])
+    helps = F.array(*[F.lit(text) for _, text in GAUGES])
     m = F.col("metric")
     lines = F.array(
-        F.concat_ws(" ", F.lit("# HELP"), m, helps[m]),
+        F.concat_ws(" ", F.lit("# HELP"), m, F.get(helps, F.col("position"))),
         F.concat_ws(" ", F.lit("# TYPE"), m, F.lit("gauge")),
         F.concat_ws(" ", m, F.col("value").cast("string")),
         F.lit(""),

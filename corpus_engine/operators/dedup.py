@@ -53,17 +53,19 @@ def near_boilerplate(
     page: str = "page_url",
     threshold: float = THRESHOLD,
     min_pages: int = MIN_PAGES,
+    common_hashes: DataFrame | None = None,
 ) -> DataFrame:
     """Hashes of rarer texts that nearly equal a boilerplate text.
 
-    The texts are read three times and never written: to count copies, to take
-    the boilerplate texts, and to compare the rest with their shingles. What is
-    kept of a rarer text is only its shingles that boilerplate holds as well.
+    The texts are read a few times and never written: to count copies, to take
+    the boilerplate texts, to find rarer texts with enough shingles in common,
+    and to compare those. ``common_hashes`` saves the first pass.
     (``explode_outer``, because a plain ``explode`` makes the optimizer test the
     array's size first and so compute the shingles twice.)
     """
     hashed = df.select(text_key(content).alias("hash"), F.col(content).alias("text"))
-    common_hashes = durable(exact_boilerplate(df, content, page, min_pages).select("hash"))
+    if common_hashes is None:
+        common_hashes = durable(exact_boilerplate(df, content, page, min_pages).select("hash"))
 
     def sets(side: DataFrame) -> DataFrame:
         return side.select("hash", shingles(F.col("text")).alias("s")).withColumn("n", F.coalesce(F.size("s"), F.lit(0)))
@@ -128,11 +130,11 @@ def near_boilerplate(
         .distinct()
     )
     # texts too short for a shingle all count as equal
+    if common.filter("n = 0").isEmpty():
+        return near
     short = (
         hashed.filter(F.size(words(F.col("text"))) < 3)
         .join(common_hashes, "hash", "left_anti")
-        .select("hash", F.lit(0).alias("n"))
-        .join(common.filter("n = 0").select("n").distinct(), "n", "left_semi")
         .select("hash")
         .distinct()
     )
@@ -141,11 +143,9 @@ def near_boilerplate(
 
 def boilerplate_hashes(df: DataFrame, content: str = "content", page: str = "page_url") -> DataFrame:
     """Exact and near boilerplate hashes, with the kind of each."""
-    return (
-        exact_boilerplate(df, content, page)
-        .select("hash", F.lit("exact").alias("kind"))
-        .unionByName(near_boilerplate(df, content, page).withColumn("kind", F.lit("near")))
-    )
+    exact = durable(exact_boilerplate(df, content, page).select("hash"))
+    near = near_boilerplate(df, content, page, common_hashes=exact)
+    return exact.withColumn("kind", F.lit("exact")).unionByName(near.withColumn("kind", F.lit("near")))
 
 
 def remove_boilerplate(

@@ -226,14 +226,14 @@ def _counts(spark, d):
 
 
 _COUNTS = """
-  SELECT 0 AS position, 'ragplatform_agents_total' AS metric, 'Total number of agents' AS h, count(*) AS value FROM customer
-  UNION ALL SELECT 1, 'ragplatform_agents_ready', 'Number of ready agents', count(*) FROM customer WHERE c_mktsegment = 'BUILDING'
-  UNION ALL SELECT 2, 'ragplatform_conversations_total', 'Total conversations', count(*) FROM conversations
-  UNION ALL SELECT 3, 'ragplatform_messages_total', 'Total messages', count(*) FROM lineitem
-  UNION ALL SELECT 4, 'ragplatform_chunks_total', 'Total indexed chunks', count(*) FROM documents
-  UNION ALL SELECT 5, 'ragplatform_pages_total', 'Total crawled pages', count(*) FROM pages
-  UNION ALL SELECT 6, 'ragplatform_crawl_jobs_active', 'Currently running crawl jobs', count(*) FROM orders WHERE o_orderstatus = 'O'
-  UNION ALL SELECT 7, 'ragplatform_chat_requests_1h', 'Chat requests in last hour', count(*) FROM events
+  SELECT 0 AS position, 'platform_agents_total' AS metric, 'Total number of agents' AS h, count(*) AS value FROM customer
+  UNION ALL SELECT 1, 'platform_agents_ready', 'Number of ready agents', count(*) FROM customer WHERE c_mktsegment = 'BUILDING'
+  UNION ALL SELECT 2, 'platform_conversations_total', 'Total conversations', count(*) FROM conversations
+  UNION ALL SELECT 3, 'platform_messages_total', 'Total messages', count(*) FROM lineitem
+  UNION ALL SELECT 4, 'platform_chunks_total', 'Total indexed chunks', count(*) FROM documents
+  UNION ALL SELECT 5, 'platform_pages_total', 'Total crawled pages', count(*) FROM pages
+  UNION ALL SELECT 6, 'platform_crawl_jobs_active', 'Currently running crawl jobs', count(*) FROM orders WHERE o_orderstatus = 'O'
+  UNION ALL SELECT 7, 'platform_chat_requests_1h', 'Chat requests in last hour', count(*) FROM events
     WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-30 11:00:00'"""
 
 

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpus_engine.functions.vectors import cosine_similarity as cosine
+from corpus_engine.functions.vectors import cosine_similarity as cosine, norm
+from corpus_engine.operators import embedding as B
 from corpus_engine.operators import keyword as K
 from corpus_engine.operators import ranking as L
 from corpus_engine.operators import search as S
 from corpus_engine.plans import retrieval as R
 from corpus_engine.registry import query, sql
+from corpus_engine.runtime import durable
 from corpus_engine.sources.tables import load_table
 
 _T = 0.2
@@ -53,8 +55,11 @@ def queries(spark, d):
         (F.col("item_id") % 10).cast("int").alias("label"),
         F.expr(_WORDS.replace("list_extract", "element_at")).alias("query_text"),
     )
-    return items.join(centroids(chunks(spark, d)), "label").select(
-        F.concat_ws("-", "item_id", "agent_id").alias("query_id"), "agent_id", "embedding", "query_text"
+    # searches use their queries several times
+    return durable(
+        items.join(centroids(chunks(spark, d)), "label").select(
+            F.concat_ws("-", "item_id", "agent_id").alias("query_id"), "agent_id", "embedding", "query_text"
+        )
     )
 
 
@@ -263,3 +268,19 @@ def citations(spark, d):
     return L.citations(_reranked(spark, d), _pages(spark, d)).select(
         "query_id", "chunk_id", "url", "title", "snippet"
     )
+
+
+@query(
+    f"""WITH w AS (SELECT doc_id, lang, source, len({sql.words('text')}) AS n FROM documents)
+        SELECT doc_id, CASE WHEN n = 0 THEN 0 ELSE 64 END AS dim, CASE WHEN n = 0 THEN 0.0 ELSE 1.0 END AS norm FROM w"""
+)
+def embed(spark, d):
+    """Vectors of all documents by hashed words; a text without words fails."""
+    docs = load_table(spark, d, "documents", ["doc_id", "text"], spread=True)
+    out = B.embed(docs, "text", B.hashed_words(64))
+    size = F.coalesce(F.size("embedding"), F.lit(0))
+    return out.select(
+        "doc_id",
+        F.when(size > 0, size).otherwise(0).alias("dim"),
+        F.coalesce(F.round(norm(F.col("embedding")), 6), F.lit(0.0)).alias("norm"),
+    )

@@ -296,3 +296,10 @@ def dedupe_lines(spark, d):
             F.size(F.split("clean", "\n")).cast("bigint").alias("lines"),
         )
     )
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_orderdate >= TIMESTAMP '1998-01-01'")
+def load_table_filtered(spark, d):
+    """A scan whose filter and columns reach the Parquet reader."""
+    late = F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz")
+    return load_table(spark, d, "orders", ["o_orderkey", "o_totalprice"], (F.col("o_orderstatus") == "F") & late)

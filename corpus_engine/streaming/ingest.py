@@ -19,7 +19,8 @@ _MANIFEST = "page_id bigint, content_hash string, chunk_index int"
 
 
 def _read(spark: SparkSession, path: str, schema: str, before: int | None) -> DataFrame:
-    spark.createDataFrame([], schema).write.mode("append").parquet(f"{path}/batch=-1")
+    # the first read of a new sink lays down an empty batch
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/batch=-1")
     df = spark.read.schema(f"{schema}, batch bigint").parquet(path)
     return df if before is None else df.filter(F.col("batch") < before)
 

@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 from corpus_engine.runtime import scratch_path
 
 
-def read_stream(spark: SparkSession, directory: str, name: str, files_per_batch: int | None = None) -> DataFrame:
-    """A table as a file stream, with the schema of its present files."""
+def read_stream(spark: SparkSession, directory: str, name: str, bytes_per_batch: int = 1 << 30) -> DataFrame:
+    """A table as a file stream, with the schema of its present files.
+
+    The batch limit also bounds what one key can bring to a stateful operator at
+    a time.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     path = f"{directory.rstrip('/')}/{name}.parquet"
-    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxBytesPerTrigger", bytes_per_batch)
     # a pattern, because the file source takes a plain path for a folder
     path = f"{path[:-1]}[t]"
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     df = reader.parquet(path)
     for field in df.schema.fields:
         if field.dataType.typeName() == "timestamp_ntz":

@@ -64,7 +64,7 @@ def test_stream_equals_batch(spark, tmp_path):
     folder = tmp_path / "events.parquet"
     df.filter("unix_timestamp(ts) < 450").coalesce(1).write.parquet(str(folder))
     df.filter("unix_timestamp(ts) >= 450").coalesce(1).write.mode("append").parquet(str(folder))
-    stream = runner.read_stream(spark, str(tmp_path), "events")
+    stream = runner.read_stream(spark, str(tmp_path), "events", 1)
     machine = R.RateLimit(5, 60 * SECOND, 90 * SECOND)
     got = {r[0]: tuple(r)[1:] for r in runner.run_append(stateful(stream, machine), "t").collect()}
     assert got == sequential(rows, machine)
