@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpus_engine.functions import markup as M
+from corpus_engine.functions.collections import explode_once
 from corpus_engine.functions.text import dedupe_lines, js_trim
 from corpus_engine.functions.urls import resolve_link
 
@@ -176,12 +177,10 @@ def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def extract_links(pages: DataFrame) -> DataFrame:
     """``(src_url, pos, dst_url)`` of every valid link, repetitions kept."""
-    rows = pages.select(F.col("url").alias("src_url"), F.posexplode_outer(M.hrefs(F.col("html"))).alias("pos", "href"))
-    return (
-        rows.filter(F.col("pos").isNotNull())
-        .select("src_url", "pos", resolve_link(F.col("href"), F.col("src_url")).alias("dst_url"))
-        .filter(F.col("dst_url").isNotNull())
-    )
+    # resolved before the explode: a filter on a computed column computes it twice
+    targets = F.transform(M.hrefs(F.col("html")), lambda h: resolve_link(h, F.col("src_url")))
+    rows = explode_once(pages.withColumnRenamed("url", "src_url"), ["src_url"], targets, "pos", "dst_url")
+    return rows.filter(F.col("dst_url").isNotNull())
 
 
 def main_text(walked):

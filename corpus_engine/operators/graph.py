@@ -40,9 +40,9 @@ def crawl_order(
     sites = durable(seeds.groupBy("site").agg(F.min(F.struct("root_url", *extra)).alias("_s")).select("site", "_s.*"))
     links = edges.select(
         normalize_url(F.col("src_url")).alias("src"), "pos", normalize_url(F.col("dst_url")).alias("url")
-    ).filter(F.col("src") != F.col("url"))
-    if max_depth > 0:
-        links = durable(links.groupBy("src", "url").agg(F.min("pos").alias("pos")))
+    )
+    # written first, so that the filter does not normalise the URLs again
+    links = durable(links.groupBy("src", "url").agg(F.min("pos").alias("pos"))).filter("src <> url")
 
     start = admissible(
         seeds.withColumn("url", normalize_url(F.col("url"))).withColumn("root_url", normalize_url(F.col("root_url")))

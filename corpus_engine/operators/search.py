@@ -2,8 +2,9 @@
 
 Vectors are packed into matrix blocks inside the map tasks; query blocks meet
 chunk blocks of the same site, and each pair of blocks gives its best rows only.
-So no pair of a query and a chunk becomes a row, a site of any size is spread
-over its blocks, and Spark broadcasts the query blocks only when they are small.
+So no pair of a query and a chunk becomes a row, and a site of any size is spread
+over its blocks. Query blocks are broadcast when the queries are counted to be
+few; otherwise both sides are shuffled on the site with a salt.
 """
 
 from __future__ import annotations
@@ -23,6 +24,9 @@ from corpus_engine.runtime import durable, top_per_group
 
 QUERY_BLOCK = 512
 CHUNK_BLOCK = 4096
+# at 768 dimensions that many queries take 25 MB
+MAX_BROADCAST_QUERIES = 4096
+SALTS = 32
 
 # Result counts of the retrieval presets.
 PRESETS = {"chat": 15, "fallback": 8, "data": 8, "knowledge": 10}
@@ -71,9 +75,14 @@ def vector_search(
     c_type = chunks.schema[chunk_id].dataType.simpleString()
     q = _packed(queries, query_id, site, vector, QUERY_BLOCK)
     c = _packed(chunks, chunk_id, site, vector, CHUNK_BLOCK)
-    pairs = c.join(
-        q.withColumnsRenamed({"ids": "query_ids", "vectors": "query_vectors"}), ["site", "dim"]
-    )
+    q = q.withColumnsRenamed({"ids": "query_ids", "vectors": "query_vectors"})
+    counted = queries.select(query_id).limit(MAX_BROADCAST_QUERIES + 1).count()
+    if counted <= MAX_BROADCAST_QUERIES:
+        pairs = c.join(F.broadcast(q), ["site", "dim"])
+    else:
+        spread = c.withColumn("_salt", F.pmod(F.xxhash64(F.get("ids", 0)), F.lit(SALTS)).cast("int"))
+        copies = q.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        pairs = spread.join(copies.hint("merge"), ["site", "dim", "_salt"]).drop("_salt")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corpus_engine.operators import keyword as K
@@ -37,7 +38,9 @@ def brute(queries, chunks, threshold, k):
     return want
 
 
-def test_vector_search_equals_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("most", [1000, 3])
+def test_vector_search_equals_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(S, "MAX_BROADCAST_QUERIES", most)
     monkeypatch.setattr(S, "QUERY_BLOCK", 4)
     monkeypatch.setattr(S, "CHUNK_BLOCK", 50)
     _, _, chunks, queries, qdf, cdf = frames(spark)
