@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,11 +19,14 @@ def configure(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """Folder for checkpoints and intermediate tables.
 
-    The cluster names a shared folder in ``spark.checkpoint.dir``; a private one
-    is made only when that is unset (tests, local runs).
+    The cluster names a shared folder in ``spark.checkpoint.dir``. Without one, a
+    session that runs in a single process gets a private folder; on a cluster a
+    machine-local folder would lose parts, so that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="corpus-engine-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")
