@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_engine.llm import byte_bpe, token_counts
+from corpus_engine.llm import byte_bpe, decontamination, token_counts
 from corpus_engine.sources.tables import load_table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -40,3 +40,21 @@ def op2_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
         F.sha2("token_ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op7_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    docs = load_table(spark, d, "documents", ["doc_id", "text"])
+    benchmark = load_table(spark, d, "benchmark", ["item_id", "text"])
+    judged = decontamination.decontaminate(docs, benchmark)
+    return judged.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+SQL["op7_decontamination"] = decontamination.ORACLE
