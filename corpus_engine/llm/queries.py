@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_engine.llm import byte_bpe, decontamination, token_counts
+from corpus_engine.llm import byte_bpe, decontamination, token_counts, toxicity
+from corpus_engine.llm.common import remainder
 from corpus_engine.sources.tables import load_table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -58,3 +59,16 @@ def op7_decontamination(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL["op7_decontamination"] = decontamination.ORACLE
+
+
+def fit_toxicity(spark: SparkSession, documents: DataFrame, d: str):
+    """A network from the labels of documents that are not held out."""
+    labels = load_table(spark, d, "labels", ["doc_id", "toxic"])
+    return toxicity.fit(documents, labels, remainder(F.col("doc_id"), 5) != 0)
+
+
+@query
+def op9_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    docs = load_table(spark, d, "documents", ["doc_id", "text", "lang"])
+    scored = toxicity.score_texts(docs.drop("lang"), fit_toxicity(spark, docs, d))
+    return scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
