@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_engine.llm import byte_bpe, decontamination, token_counts, toxicity
+from corpus_engine.llm import byte_bpe, decontamination, ngram_join, token_counts, toxicity
 from corpus_engine.llm.common import remainder
 from corpus_engine.sources.tables import load_table
 
@@ -67,6 +67,12 @@ def fit_toxicity(spark: SparkSession, documents: DataFrame, d: str):
     return toxicity.fit(documents, labels, remainder(F.col("doc_id"), 5) != 0)
 
 
+@query
+def op8_ngram_join(spark: SparkSession, d: str) -> DataFrame:
+    docs = load_table(spark, d, "documents", ["doc_id", "text"])
+    return ngram_join.near_copies(docs).select("doc_id", "class_id", "n_links")
+
+
 @query
 def op9_toxicity(spark: SparkSession, d: str) -> DataFrame:
     docs = load_table(spark, d, "documents", ["doc_id", "text", "lang"])
