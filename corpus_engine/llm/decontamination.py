@@ -30,7 +30,7 @@ def benchmark_windows(benchmark: DataFrame, item_id: str, text: str, window: int
     items = benchmark.select(item, words(field(text)).alias("w")).filter(F.size("w") > 0)
     length = F.least(F.size("w"), F.lit(window))
     starts = F.sequence(F.lit(1), F.size("w") - length + 1)
-    each = items.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, length))).alias("window"))
+    each = items.select("item", F.explode_outer(F.transform(starts, lambda i: F.slice("w", i, length))).alias("window"))
     return (
         each.groupBy("window")
         .agg(F.collect_set("item").alias("items"))
@@ -77,7 +77,8 @@ def window_hits(
     # one marker per row, then the row's windows
     marker = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit(None).cast("long").alias("h")))
     probes = base.withColumn("probes", F.concat(marker, *(hashes(n) for n in sorted(lengths))))
-    probes = probes.select("doc_id", "text_hash", "w", F.explode("probes").alias("p")).select(
+    # the outer form: otherwise the optimizer filters on, and so repeats, the whole expression
+    probes = probes.select("doc_id", "text_hash", "w", F.explode_outer("probes").alias("p")).select(
         "doc_id", "text_hash", "w", "p.start", "p.n", "p.h"
     )
     parts = []
