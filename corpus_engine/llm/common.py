@@ -6,7 +6,7 @@ import string
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -57,6 +57,7 @@ def per_row(
         for batch in batches:
             yield fn(list(batch))
 
+    bound_batches(SparkSession.active())
     udf = run_one if len(inputs) == 1 else run
     return udf.asNondeterministic()(*inputs)
 
@@ -76,3 +77,8 @@ def text_blocks(texts: list[str | None], limit: int = 2_000_000) -> Iterator[tup
         size += len(text)
     if block:
         yield start, block
+
+
+def bound_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Hand texts to Python in batches of about this size, however long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
