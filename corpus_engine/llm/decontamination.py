@@ -62,7 +62,7 @@ def window_hits(
 
     base = documents.select(
         field(doc_id).alias("doc_id"),
-        F.xxhash64(F.coalesce(field(text), F.lit(""))).alias("text_hash"),
+        F.xxhash64(field(text)).alias("text_hash"),
         words(field(text)).alias("w"),
     )
 

@@ -209,12 +209,13 @@ def near_copies(
     similarity: float = SIMILARITY,
     recall: float = RECALL,
 ) -> DataFrame:
-    """``doc_id, text_hash, class_id, n_links``, one row per input row.
+    """``doc_id, text_hash, class_key, class_id, n_links``, one row per input row.
 
     Two texts are linked when the Jaccard similarity of their sets of ``n`` successive
     words (lower case, ``\\w+``) is at least ``similarity``; a text of fewer words has
     one n-gram of them all. ``n_links`` counts the other rows that a row is linked to,
-    copies included. A class is what links connect, and its id its smallest doc_id.
+    copies included. A class is what links connect, and its id its smallest doc_id;
+    ``class_key`` tells classes apart that have no id.
 
     Null texts and texts without a word have no n-gram: no links, and a class of their
     own. Null ids are members but never a class id where another id exists. Repeated
@@ -276,12 +277,13 @@ def near_copies(
     )
     classes = info.groupBy("label").agg(F.min("first_id").alias("class_id"))
     info = info.join(classes, "label").select(
-        "node", "class_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")
+        "node", F.col("label").alias("class_key"), "class_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")
     )
     whole = thin.select("doc_id", "text_hash", "node").join(info, "node", "left")
     return whole.select(
         F.col("doc_id").alias(doc_id),
         "text_hash",
+        "class_key",
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )

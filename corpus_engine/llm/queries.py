@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_engine.llm import byte_bpe, decontamination, ngram_join, token_counts, toxicity
+from corpus_engine.llm import (
+    byte_bpe,
+    context_tree,
+    decontamination,
+    html_extraction,
+    language_id,
+    ngram_join,
+    quality,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+)
 from corpus_engine.llm.common import remainder
 from corpus_engine.sources.tables import load_table
 
@@ -43,6 +55,43 @@ def op2_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def op3_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
+    docs = load_table(spark, d, "documents", ["doc_id", "text"])
+    cut = suffix_dedup.remove_repeats(docs)
+    n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    return cut.select(
+        "doc_id",
+        n_bytes.alias("n_bytes"),
+        (n_bytes - F.octet_length("kept")).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+@query
+def op4_language_id(spark: SparkSession, d: str) -> DataFrame:
+    docs = load_table(spark, d, "documents", ["doc_id", "text", "lang"])
+    held_out = remainder(F.col("doc_id"), 3) == 1
+    model = language_id.fit(docs, ~held_out, PIECES, order=F.xxhash64("doc_id", "text"))
+    return language_id.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op5_quality(spark: SparkSession, d: str) -> DataFrame:
+    docs = load_table(spark, d, "documents", ["doc_id", "text", "lang", "source"])
+    return quality.judge(docs).drop("lang", "source")
+
+
+@query
+def op6_context_tree(spark: SparkSession, d: str) -> DataFrame:
+    docs = load_table(spark, d, "documents", ["doc_id", "text"])
+    held_out = remainder(F.col("doc_id"), 7) == 2
+    model = context_tree.fit(docs, ~held_out)
+    scored = context_tree.score_texts(docs.withColumn("held_out", held_out), model)
+    return scored
+
+
 @query
 def op7_decontamination(spark: SparkSession, d: str) -> DataFrame:
     docs = load_table(spark, d, "documents", ["doc_id", "text"])
@@ -78,3 +127,19 @@ def op9_toxicity(spark: SparkSession, d: str) -> DataFrame:
     docs = load_table(spark, d, "documents", ["doc_id", "text", "lang"])
     scored = toxicity.score_texts(docs.drop("lang"), fit_toxicity(spark, docs, d))
     return scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query
+def op10_html_extraction(spark: SparkSession, d: str) -> DataFrame:
+    pages = load_table(spark, d, "pages", ["page_id", "url", "html"])
+    extracted = html_extraction.extract(pages, html_extraction.fit(pages))
+    return extracted.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def pipeline(spark: SparkSession, d: str) -> DataFrame:
+    return corpus_pipeline.run(spark, d)
+
+
+if corpus_pipeline.ORACLE_SQL is not None:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
