@@ -88,13 +88,13 @@ def messages_by_day(
 
 
 def usage_summary(
-    events: DataFrame, as_of: Column, days: int = 30, limit: int | None = 100, site: str = "agent_id"
+    events: DataFrame, as_of: Column, days: int = 30, limit: int | None = None, site: str = "agent_id"
 ) -> DataFrame:
-    """Events per type, over the newest ``limit`` events of each site."""
+    """Events per type and site; with ``limit``, over the newest so many events of each site only."""
     recent = events.filter(F.col("created_at") >= _since(as_of, days))
     if limit is not None:
         recent = top_per_group(
-            recent, [site], [F.col("created_at").desc(), F.col("event_id").desc()], limit, row_id=["event_id"]
+            recent, [site], [F.col("created_at").desc(), F.col("event_id").desc()], limit
         )
     return recent.groupBy(site, "event_type").agg(F.count("*").alias("events"))
 

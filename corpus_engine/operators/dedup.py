@@ -57,11 +57,12 @@ def near_boilerplate(
 ) -> DataFrame:
     """Hashes of rarer texts that nearly equal a boilerplate text.
 
-    The texts are read a few times and never written: to count copies, to take
-    the boilerplate texts, to find rarer texts with enough shingles in common,
-    and to compare those. ``common_hashes`` saves the first pass.
-    (``explode_outer``, because a plain ``explode`` makes the optimizer test the
-    array's size first and so compute the shingles twice.)
+    Three passes over the texts, none of which writes them: count copies (saved by
+    ``common_hashes``), take the boilerplate texts, and find each rarer text's shingles
+    that boilerplate knows. From there on shingles are numbers, copies of a text are one
+    row, boilerplate texts of equal shingles are one set, and a text is done at its
+    first match. (``explode_outer``, because a plain ``explode`` makes the optimizer
+    test the array's size first and so compute the shingles twice.)
     """
     hashed = df.select(text_key(content).alias("hash"), F.col(content).alias("text"))
     if common_hashes is None:
@@ -75,11 +76,10 @@ def near_boilerplate(
     )
     rare = sets(hashed.join(common_hashes, "hash", "left_anti"))
 
-    # how many boilerplate texts hold each shingle; nothing else can match. As a
-    # written table its size is known, so Spark broadcasts it only when small.
-    frequency = durable(
-        common.select(F.explode("s").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("df"))
-    )
+    # how many boilerplate texts hold each shingle, and its number; nothing else can
+    # match. As a written table its size is known, so Spark broadcasts it only when small.
+    frequency = common.select(F.explode("s").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("df"))
+    frequency = durable(frequency.withColumn("id", F.monotonically_increasing_id()))
 
     def known(side: DataFrame) -> DataFrame:
         """Per text its shingles known to boilerplate, rarest first."""
@@ -87,45 +87,31 @@ def near_boilerplate(
             side.select("hash", "n", F.explode_outer("s").alias("shingle"))
             .join(frequency, "shingle")
             .groupBy("hash", "n")
-            .agg(F.sort_array(F.collect_set(F.struct("df", "shingle"))).alias("known"))
+            .agg(F.sort_array(F.collect_set(F.struct("df", "id"))).alias("known"))
+            .withColumn("known", F.transform("known", lambda k: k["id"]))
         )
 
-    # |x n y| >= t|x|, so a match has that many known shingles at least; copies
-    # of one text count several times, which keeps too many texts but loses none
-    possible = durable(
-        rare.select("hash", "n", F.explode_outer("s").alias("shingle"))
-        .join(frequency, "shingle")
-        .groupBy("hash", "n")
-        .agg(F.count("*").alias("hits"))
-        .filter(F.col("hits") >= F.col("n") * threshold)
-        .select("hash")
-    )
-    near_rare = durable(
-        known(sets(hashed.join(possible, "hash", "left_semi"))).filter(F.size("known") >= F.col("n") * threshold)
+    # |x n y| >= t|x|, so a match has that many known shingles at least
+    near_rare = durable(known(rare).filter(F.size("known") >= F.col("n") * threshold))
+    folded = durable(
+        known(common).groupBy(F.array_sort("known").alias("all")).agg(F.first("known").alias("known"), F.first("n").alias("m"))
     )
 
     # unknown shingles come first in the order, so they use up the prefix
     take = _prefix_length(F.col("n"), threshold) - (F.col("n") - F.size("known"))
-    rare_prefix = near_rare.select(
-        "hash", "n", F.explode(F.slice("known", F.lit(1), take.cast("int"))).alias("k")
-    ).select("hash", "n", F.col("k.shingle").alias("shingle"))
-    head = F.slice("known", F.lit(1), _prefix_length(F.col("n"), threshold).cast("int"))
-    common_prefix = (
-        known(common)
-        .select(F.col("hash").alias("of"), F.col("n").alias("m"), F.explode(head).alias("k"))
-        .select("of", "m", F.col("k.shingle").alias("shingle"))
-    )
-    pairs = (
-        rare_prefix.join(common_prefix, "shingle")
-        .filter((F.col("m") >= F.col("n") * threshold) & (F.col("n") >= F.col("m") * threshold))
-        .select("hash", "of")
-        .distinct()
-    )
-    both = F.size(F.array_intersect(F.transform("known", lambda k: k["shingle"]), "t"))
+    rare_prefix = near_rare.select("hash", "n", "known", F.explode(F.slice("known", F.lit(1), take.cast("int"))).alias("id"))
+    head = F.slice("known", F.lit(1), _prefix_length(F.col("m"), threshold).cast("int"))
+    common_prefix = folded.select("m", "all", F.explode(head).alias("id"))
+    both = F.size(F.array_intersect("known", "all"))
     near = (
-        pairs.join(near_rare, "hash")
-        .join(common.select(F.col("hash").alias("of"), F.col("s").alias("t"), F.col("n").alias("m")), "of")
-        .filter(both / (F.col("n") + F.col("m") - both) >= threshold)
+        rare_prefix.join(
+            common_prefix.withColumnRenamed("id", "of"),
+            (F.col("id") == F.col("of"))
+            & (F.col("m") >= F.col("n") * threshold)
+            & (F.col("n") >= F.col("m") * threshold)
+            & (both / (F.col("n") + F.col("m") - both) >= threshold),
+            "left_semi",
+        )
         .select("hash")
         .distinct()
     )

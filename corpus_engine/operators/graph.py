@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ def crawl_order(
     edges: DataFrame,
     seeds: DataFrame,
     max_depth: int = 5,
-    max_pages: int = 5000,
+    max_pages: int | None = None,
     include: list[str] | None = None,
     exclude: list[str] | None = None,
     blocked: DataFrame | None = None,
@@ -22,10 +24,11 @@ def crawl_order(
 
     ``edges(src_url, pos, dst_url)`` are links of fetched pages; ``seeds(site,
     root_url, url, pos[, allowed])`` start at depth zero. Links must pass the path,
-    scope and skip rules, must not be in ``blocked(url)`` and must be new. Links
-    beyond ``max_pages`` per site are dropped in queue order, which is the order
-    of the positions on the way from the seed. Each level is one join and one
-    anti-join and is written to the shared folder.
+    scope and skip rules, must not be in ``blocked(url)`` and must be new. Each level
+    is one join and one anti-join and is written to the shared folder.
+
+    With ``max_pages`` a site's queue is cut there, in the order of the positions on
+    the way from the seed, and ``dropped`` counts the site's URLs that were cut off.
     """
     allowed = F.col("allowed") if "allowed" in seeds.columns else None
     extra = ["allowed"] if allowed is not None else []
@@ -50,7 +53,7 @@ def crawl_order(
     level = durable(
         start.groupBy("site", "url").agg(F.min(F.array(F.col("pos").cast("bigint"))).alias("way")).withColumn("depth", F.lit(0))
     )
-    reached = level
+    reached, cut = level, []
     for depth in range(1, max_depth + 1):
         found = (
             level.join(links, F.col("src") == level["url"])
@@ -62,17 +65,24 @@ def crawl_order(
         if blocked is not None:
             found = found.join(blocked.select("url"), "url", "left_anti")
         found = admissible(found.join(sites, "site")).select("site", "url", "way")
-        queued = reached.groupBy("site").agg(F.count("*").alias("_queued"))
-        ranked = top_per_group(found, ["site"], [F.col("way"), F.col("url")], max_pages, row_id=["url"])
-        level = durable(
-            ranked.join(queued, "site")
-            .filter(F.col("rn") + F.col("_queued") <= max_pages)
-            .select("site", "url", "way", F.lit(depth).alias("depth"))
-        )
+        ranked = found.withColumn("depth", F.lit(depth))
+        if max_pages is not None:
+            queued = reached.groupBy("site").agg(F.count("*").alias("_queued"))
+            total = durable(found.groupBy("site").agg(F.count("*").alias("_found")).join(queued, "site"))
+            cut.append(total.select("site", F.greatest(F.col("_found") + F.col("_queued") - max_pages, F.lit(0)).alias("n")))
+            ranked = top_per_group(ranked, ["site"], [F.col("way"), F.col("url")], max_pages).join(queued, "site")
+            ranked = ranked.filter(F.col("rn") + F.col("_queued") <= max_pages)
+        level = durable(ranked.select("site", "url", "way", "depth"))
         if level.isEmpty():
             break
         reached = reached.unionByName(level)
-    return reached.select("site", "url", "depth", "way")
+    out = reached.select("site", "url", "depth", "way")
+    if max_pages is None:
+        return out
+    dropped = reduce(DataFrame.unionByName, cut).groupBy("site").agg(F.sum("n").alias("dropped")) if cut else None
+    if dropped is None:
+        return out.withColumn("dropped", F.lit(0).cast("bigint"))
+    return out.join(dropped, "site", "left").withColumn("dropped", F.coalesce("dropped", F.lit(0)))
 
 
 def link_stats(edges: DataFrame, fetched: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ from corpus_engine.functions.text import or_else
 from corpus_engine.functions.urls import is_in_domain_scope, normalize_url, should_skip_url
 from corpus_engine.runtime import top_per_group
 
-MAX_PAGE_SIZE = 100
 
 
 def attach_pages(hits: DataFrame, pages: DataFrame, columns: tuple[str, ...] = ("url", "title")) -> DataFrame:
@@ -63,13 +62,12 @@ def citations(hits: DataFrame, pages: DataFrame, n: int = 5, fallback: bool = Fa
 
 
 def paginate(
-    df: DataFrame, order: list[Column], page: int = 1, limit: int = 50, where: Column | None = None
+    df: DataFrame, order: list[Column], page: int, size: int, where: Column | None = None
 ) -> DataFrame:
     """One page of a listing, with the exact total and the number of pages.
 
     The total comes from a count over the same rows, which reads no columns.
     """
-    size = min(limit, MAX_PAGE_SIZE)
     rows = df if where is None else df.filter(where)
     total = rows.agg(F.count("*").alias("total"))
     cut = rows.orderBy(*order).offset((page - 1) * size).limit(size)
@@ -90,24 +88,23 @@ def latest_per_site(df: DataFrame, n: int, order: list[Column], site: str = "age
 
 
 def site_url_map(
-    root: str, sitemap_urls: DataFrame, home_links: DataFrame, limit: int = 200
+    sites: DataFrame, sitemap_urls: DataFrame, home_links: DataFrame, limit: int | None, site: str = "agent_id"
 ) -> DataFrame:
-    """First ``limit`` URLs of a site in order, with the number of all of them."""
-    spark = sitemap_urls.sparkSession
-    start = spark.createDataFrame([(root,)], "url string").select(normalize_url(F.col("url")).alias("url"))
-    found = (
-        sitemap_urls.select("url")
-        .unionByName(home_links.select("url"))
-        .select(normalize_url(F.col("url")).alias("url"))
-        .filter(
-            ~should_skip_url(F.col("url"), allow_pdf=True)
-            & is_in_domain_scope(F.col("url"), normalize_url(F.lit(root)))
-        )
+    """URLs of each site with the number of all of them; the first ``limit`` in order, or all for None.
+
+    ``sites(site, root_url)``; ``sitemap_urls`` and ``home_links`` have ``site, url``.
+    """
+    start = sites.select(site, normalize_url(F.col("root_url")).alias("url"))
+    roots = start.withColumnRenamed("url", "_root")
+    found = sitemap_urls.select(site, "url").unionByName(home_links.select(site, "url"))
+    found = found.select(site, normalize_url(F.col("url")).alias("url")).distinct().join(roots, site)
+    found = found.filter(
+        ~should_skip_url(F.col("url"), allow_pdf=True) & is_in_domain_scope(F.col("url"), F.col("_root"))
     )
-    urls = start.unionByName(found).distinct()
-    total = urls.agg(F.count("*").alias("discovered")).withColumn("_one", F.lit(1))
-    first = urls.orderBy("url").limit(limit).withColumn("_one", F.lit(1))
-    return first.join(total, "_one").drop("_one")
+    urls = start.unionByName(found.drop("_root")).distinct()
+    total = urls.groupBy(site).agg(F.count("*").alias("discovered"))
+    first = urls if limit is None else top_per_group(urls, [site], [F.col("url")], limit).drop("rn")
+    return first.join(total, site)
 
 
 def search_sites(sites: DataFrame, needle: str) -> DataFrame:

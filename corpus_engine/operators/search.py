@@ -3,8 +3,8 @@
 Vectors are packed into matrix blocks inside the map tasks; query blocks meet
 chunk blocks of the same site, and each pair of blocks gives its best rows only.
 So no pair of a query and a chunk becomes a row, and a site of any size is spread
-over its blocks. Query blocks are broadcast when the queries are counted to be
-few; otherwise both sides are shuffled on the site with a salt.
+over its blocks. Query blocks are written first, so that Spark knows their bytes:
+it broadcasts them or shuffles both sides, and splits a site that is skewed.
 """
 
 from __future__ import annotations
@@ -24,9 +24,6 @@ from corpus_engine.runtime import durable, top_per_group
 
 QUERY_BLOCK = 512
 CHUNK_BLOCK = 4096
-# at 768 dimensions that many queries take 25 MB
-MAX_BROADCAST_QUERIES = 4096
-SALTS = 32
 
 # Result counts of the retrieval presets.
 PRESETS = {"chat": 15, "fallback": 8, "data": 8, "knowledge": 10}
@@ -76,13 +73,7 @@ def vector_search(
     q = _packed(queries, query_id, site, vector, QUERY_BLOCK)
     c = _packed(chunks, chunk_id, site, vector, CHUNK_BLOCK)
     q = q.withColumnsRenamed({"ids": "query_ids", "vectors": "query_vectors"})
-    counted = queries.select(query_id).limit(MAX_BROADCAST_QUERIES + 1).count()
-    if counted <= MAX_BROADCAST_QUERIES:
-        pairs = c.join(F.broadcast(q), ["site", "dim"])
-    else:
-        spread = c.withColumn("_salt", F.pmod(F.xxhash64(F.get("ids", 0)), F.lit(SALTS)).cast("int"))
-        copies = q.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        pairs = spread.join(copies.hint("merge"), ["site", "dim", "_salt"]).drop("_salt")
+    pairs = c.join(durable(q), ["site", "dim"])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -107,7 +98,7 @@ def vector_search(
 
     hits = pairs.mapInPandas(score, f"{query_id} {q_type}, {chunk_id} {c_type}, similarity double")
     return top_per_group(
-        hits, [query_id], [F.col("similarity").desc(), F.col(chunk_id)], k, "rank", row_id=[chunk_id]
+        hits, [query_id], [F.col("similarity").desc(), F.col(chunk_id)], k, "rank"
     )
 
 
@@ -150,8 +141,7 @@ def ann_search(
         ["query_id"],
         [F.col("similarity").desc(), F.col("chunk_id")],
         k,
-        "rank",
-        row_id=["chunk_id"],
+        "rank"
     )
 
 
@@ -188,8 +178,7 @@ def hybrid_search(
         keyword_rank(queries, chunks, stop_words=stop_words),
         ["query_id"],
         [F.col("keyword_rank").desc(), F.col("chunk_id")],
-        2 * k,
-        row_id=["chunk_id"],
+        2 * k
     ).drop("rn")
     scored = (
         hybrid_join(semantic, keyword, ["query_id", "chunk_id"])
@@ -207,6 +196,5 @@ def hybrid_search(
         ["query_id"],
         [F.col("combined_score").desc(), F.col("chunk_id")],
         k,
-        "rank",
-        row_id=["chunk_id"],
+        "rank"
     )

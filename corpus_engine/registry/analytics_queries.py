@@ -104,6 +104,14 @@ def usage_summary(spark, d):
     return A.usage_summary(_usage(spark, d), at("2024-01-31"), 25, 40)
 
 
+@query(
+    """SELECT user_id AS agent_id, event_type, count(*) AS events FROM events
+       WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 25 DAY GROUP BY ALL"""
+)
+def usage_totals(spark, d):
+    return A.usage_summary(_usage(spark, d), at("2024-01-31"), 25)
+
+
 @query(
     f"""WITH {_CM}, newest AS (SELECT * FROM conv QUALIFY row_number() OVER (PARTITION BY agent_id
           ORDER BY created_at DESC, conversation_id DESC) <= 10)
@@ -363,16 +371,19 @@ def page_links(spark, d):
 
 
 @query(
-    f"""WITH u AS (SELECT 'https://spam-farm.example.org' AS u UNION SELECT n FROM (
-            SELECT {sql.normalize_url('url')} AS n FROM (SELECT url FROM pages UNION ALL {_LINKS}))
-          WHERE {sql.host('n')} = 'spam-farm.example.org' AND NOT regexp_matches(lower(n),
-            '([.](docx?|xlsx?|pptx?|zip|tar|gz|rar|jpe?g|png|gif|svg|webp|ico|mp[34]|avi|mov|wmv|css|js|json|xml|rss))$|/(feed|rss|login|admin)'))
-        SELECT u AS url, (SELECT count(*) FROM u) AS discovered FROM u ORDER BY u LIMIT 200"""
+    f"""WITH n AS (SELECT DISTINCT {sql.normalize_url('url')} AS u FROM (SELECT url FROM pages UNION ALL {_LINKS})),
+        s AS (SELECT DISTINCT {sql.host('url')} AS agent_id FROM pages),
+        u AS (SELECT agent_id, 'https://' || agent_id AS u FROM s
+              UNION SELECT {sql.host('u')}, u FROM n WHERE NOT regexp_matches(lower(u),
+                '([.](docx?|xlsx?|pptx?|zip|tar|gz|rar|jpe?g|png|gif|svg|webp|ico|mp[34]|avi|mov|wmv|css|js|json|xml|rss))$|/(feed|rss|login|admin)'))
+        SELECT agent_id, u AS url, count(*) OVER (PARTITION BY agent_id) AS discovered FROM u
+        QUALIFY row_number() OVER (PARTITION BY agent_id ORDER BY u) <= 200"""
 )
 def site_url_map(spark, d):
-    return K.site_url_map(
-        "https://spam-farm.example.org/", load_table(spark, d, "pages", ["url"]), page_links(spark, d)
-    )
+    pages = load_table(spark, d, "pages", ["url"]).withColumn("agent_id", U.host(F.col("url")))
+    sites = pages.select("agent_id", F.concat(F.lit("https://"), "agent_id", F.lit("/")).alias("root_url")).distinct()
+    links = page_links(spark, d).withColumn("agent_id", U.host(F.col("url")))
+    return K.site_url_map(sites, pages, links, 200)
 
 
 @query(

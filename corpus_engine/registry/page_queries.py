@@ -53,15 +53,16 @@ def likely_spa(spark, d):
 
 
 @query(
-    """SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'html' WHEN 1 THEN 'pdf' ELSE 'dropped' END AS page_type,
-         page_id % 3 = 0 AND length(html) < 2000 + 100 AS needs_browser, page_id % 3 < 2 AND length(html) >= 2000 + 50 AS keep
-       FROM pages"""
+    """SELECT doc_id AS page_id, CASE doc_id % 3 WHEN 0 THEN 'html' WHEN 1 THEN 'pdf' ELSE 'dropped' END AS page_type,
+         doc_id % 3 = 0 AND length(text) < 100 AS needs_browser, doc_id % 3 < 2 AND length(text) >= 50 AS keep
+       FROM documents"""
 )
 def page_gate(spark, d):
-    kind = F.col("page_id") % 3
+    kind = F.col("doc_id") % 3
     content_type = F.when(kind == 0, "text/html; charset=utf-8").when(kind == 1, "application/pdf").otherwise("image/png")
-    text = F.substring("html", 2001, 1 << 30)
-    return _pages(spark, d).select("page_id", M.page_gate(content_type, text).alias("g")).select("page_id", "g.*")
+    docs = load_table(spark, d, "documents", ["doc_id", "text"])
+    gate = M.page_gate(content_type, F.col("text")).alias("g")
+    return docs.select(F.col("doc_id").alias("page_id"), gate).select("page_id", "g.*")
 
 
 @query()

@@ -131,7 +131,7 @@ def parse_sitemaps(spark, d):
     bodies = pages.select(
         F.concat(F.lit("m"), "page_id").alias("sitemap_url"),
         F.concat(
-            F.lit("<urlset><url><loc> "), F.replace("url", F.lit("&"), F.lit("&")), F.lit(" </loc></url><LOC>sitemap-"),
+            F.lit("<urlset><url><loc> "), "url", F.lit(" </loc></url><LOC>sitemap-"),
             "page_id", F.lit(".xml</LOC></urlset>"),
         ).alias("body"),
     )

@@ -122,12 +122,12 @@ def title_from_url(spark, d):
 
 @query(
     rf"""SELECT doc_id, left(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
-           lower(left(text, 120)), '[^a-z0-9\t\n\x0B\f\r -]', '', 'g'), '[\t\n\x0B\f\r ]+', '-', 'g'),
+           lower(text), '[^a-z0-9\t\n\x0B\f\r -]', '', 'g'), '[\t\n\x0B\f\r ]+', '-', 'g'),
            '-+', '-', 'g'), '^-|-$', '', 'g'), 60) AS slug FROM documents"""
 )
 def slugify(spark, d):
     return load_table(spark, d, "documents", ["doc_id", "text"]).select(
-        "doc_id", U.slugify(F.left("text", F.lit(120))).alias("slug")
+        "doc_id", U.slugify(F.col("text")).alias("slug")
     )
 
 

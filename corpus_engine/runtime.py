@@ -48,37 +48,21 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def salt(columns: list[str], buckets: int) -> Column:
-    """Deterministic bucket number, so that a retried task repeats its choice."""
-    return F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("int")
-
-
 def top_per_group(
     df: DataFrame,
     keys: list[str],
     order: list[Column],
     n: int,
     rank_name: str = "rn",
-    row_id: list[str] | None = None,
-    buckets: int = 64,
 ) -> DataFrame:
     """First ``n`` rows per key group, with their 1-based rank.
 
-    Up to 1000 rows Spark cuts each group inside the map tasks already
-    (WindowGroupLimit), so a group of any size is safe. Beyond that the cut is
-    made twice: once per salted part of the group, once over the survivors.
+    Each map task cuts its part of a group to ``n`` rows (WindowGroupLimit), so a
+    group of any size is safe. Spark makes that cut only below a configured ``n``,
+    which is raised here so that every ``n`` has the same plan.
     """
-    if n >= 1000:
-        if not row_id:
-            raise ValueError("row_id is needed to split large cuts")
-        part = Window.partitionBy(*keys, "_salt").orderBy(*order)
-        df = (
-            df.withColumn("_salt", salt(row_id, buckets))
-            .withColumn("_part_rn", F.row_number().over(part))
-            .filter(F.col("_part_rn") <= n)
-            .drop("_salt", "_part_rn")
-        )
+    conf, name = df.sparkSession.conf, "spark.sql.optimizer.windowGroupLimitThreshold"
+    if n >= int(conf.get(name)):
+        conf.set(name, str(n + 1))
     window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank_name, F.row_number().over(window)).filter(
-        F.col(rank_name) <= n
-    )
+    return df.withColumn(rank_name, F.row_number().over(window)).filter(F.col(rank_name) <= n)

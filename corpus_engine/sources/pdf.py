@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from corpus_engine.functions.text import js_trim
 
-# File size limit, bytes read, and the text of an empty result.
-SIZE_LIMIT = 50 * 1024 * 1024
-READ_BYTES = 5_000_000
+# The text of an empty result and the escapes of shown strings.
 PLACEHOLDER = "[PDF content could not be extracted]"
 
 _ESCAPES = ((r"\\n", "\n"), (r"\\r", ""), (r"\\t", " "), (r"\\\(", "("), (r"\\\)", ")"), (r"\\\\", r"\\"))
@@ -32,10 +30,21 @@ def pdf_text_column(raw: Column) -> Column:
     return F.coalesce(F.nullif(js_trim(F.array_join(parts, "\n")), F.lit("")), F.lit(PLACEHOLDER))
 
 
-def pdf_text(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, text)`` of the PDF files in a folder."""
-    files = spark.read.format("binaryFile").load(path).filter(F.col("length") <= SIZE_LIMIT)
-    head = F.substring("content", 1, READ_BYTES)
+def pdf_text(
+    spark: SparkSession, path: str, size_limit: int | None = None, read_bytes: int | None = None
+) -> DataFrame:
+    """``(path, text, skipped)`` of the PDF files in a folder.
+
+    Whole files are read. With ``size_limit`` larger files have no text and say so in
+    ``skipped``; with ``read_bytes`` only the beginning of each file is looked at.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    too_large = F.lit(False) if size_limit is None else F.col("length") > size_limit
+    content = F.col("content") if read_bytes is None else F.substring("content", 1, read_bytes)
     # bytes that are not UTF-8 become replacement characters
-    raw = F.coalesce(F.try_validate_utf8(head.cast("string")), F.make_valid_utf8(head.cast("string")))
-    return files.select("path", pdf_text_column(raw).alias("text"))
+    raw = F.coalesce(F.try_validate_utf8(content.cast("string")), F.make_valid_utf8(content.cast("string")))
+    return files.select(
+        "path",
+        F.when(~too_large, pdf_text_column(raw)).alias("text"),
+        F.when(too_large, F.lit("too large")).alias("skipped"),
+    )

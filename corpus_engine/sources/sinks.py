@@ -26,10 +26,10 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"{schema.USAGE_EVENTS}, date date").parquet(path)
 
 
-def export_documents(pages: DataFrame, limit: int = 50, order: list[Column] | None = None) -> DataFrame:
-    """``(agent_id, name, content)``: the first pages of each site as Markdown files."""
+def export_documents(pages: DataFrame, limit: int | None, order: list[Column] | None = None) -> DataFrame:
+    """``(agent_id, name, content)``: the pages of each site, or its first ``limit``, as Markdown files."""
     full = pages.filter((F.col("crawl_status") == "crawled") & F.col("clean_markdown").isNotNull())
-    top = top_per_group(full, ["agent_id"], order or [F.col("url")], limit)
+    top = full if limit is None else top_per_group(full, ["agent_id"], order or [F.col("url")], limit)
     encoded = F.replace(F.url_encode("url"), F.lit("+"), F.lit("%20"))
     return top.select(
         "agent_id",

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from corpus_engine.runtime import configure
 
+SPREAD_BYTES = 128 << 20
+
 
 def load_table(
     spark: SparkSession,
@@ -34,12 +36,14 @@ def load_table(
 
 
 def spread_small(df: DataFrame) -> DataFrame:
-    """Use every core for a table of fewer splits than cores.
+    """Deal a table of at most ``SPREAD_BYTES`` out to every core.
 
-    A table of many splits comes back as it is, so large tables never shuffle.
+    A small file may be a single row group, which one task would read and work on
+    alone. The bound is on bytes, not on cores: what is moved never exceeds it, and
+    larger tables come back as they are on a cluster of any size.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
 
 
 def union_versions(*versions: DataFrame) -> DataFrame:
