@@ -9,16 +9,14 @@ it broadcasts them or shuffles both sides, and splits a site that is skewed.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpus_engine.functions.vectors import cosine_similarity, normalize_vector
 from corpus_engine.operators.keyword import keyword_rank
 from corpus_engine.runtime import durable, top_per_group
 
@@ -102,46 +100,70 @@ def vector_search(
     )
 
 
-def ann_search(
+def _sketch(m: np.ndarray, bits: int, seed: int) -> np.ndarray:
+    """Signs on random planes, packed into 64-bit words."""
+    planes = np.random.default_rng([seed, m.shape[1]]).standard_normal((m.shape[1], bits))
+    return np.packbits(m @ planes > 0, axis=1).view(np.uint64)
+
+
+def ann_hits(
     queries: DataFrame,
     chunks: DataFrame,
     k: int = 5,
-    threshold: float = 0.5,
-    bucket_length: float = 2.0,
-    tables: int = 12,
+    bits: int = 512,
+    share: float = 0.1,
     seed: int = 7,
+    query_id: str = "query_id",
+    chunk_id: str = "chunk_id",
+    site: str = "agent_id",
+    vector: str = "embedding",
 ) -> DataFrame:
-    """Approximate form: random-projection candidates, exact scores.
+    """The best ``k`` of each query in each block: ``(ids, similarity, block, compared)``.
 
-    On unit vectors similarity ``s`` is the distance ``sqrt(2 - 2 s)``. The unit
-    vectors are written once: the model and the join read them several times, and
-    must never meet a missing vector.
+    Sketches of ``bits`` signs are compared first; only the nearest ``share`` of a
+    block, ``4 k`` at least, is compared exactly. ``compared`` counts those.
     """
+    q_type = queries.schema[query_id].dataType.simpleString()
+    c_type = chunks.schema[chunk_id].dataType.simpleString()
+    q = _packed(queries, query_id, site, vector, QUERY_BLOCK)
+    c = _packed(chunks, chunk_id, site, vector, CHUNK_BLOCK)
+    pairs = c.join(durable(q.withColumnsRenamed({"ids": "query_ids", "vectors": "query_vectors"})), ["site", "dim"])
 
-    def unit(df: DataFrame, key: str) -> DataFrame:
-        v = normalize_vector(F.col("embedding"))
-        present = df.filter(F.size("embedding") > 0).select(key, "agent_id", "embedding", v.alias("unit"))
-        return durable(present).withColumn("unit", array_to_vector("unit"))
-
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="unit", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    )
-    c = unit(chunks, "chunk_id")
-    model = lsh.fit(c)
-    near = model.approxSimilarityJoin(
-        unit(queries, "query_id"), c, (2 - 2 * threshold) ** 0.5 + 1e-9, "distance"
-    )
-    scored = near.filter("datasetA.agent_id = datasetB.agent_id").select(
-        F.col("datasetA.query_id").alias("query_id"),
-        F.col("datasetB.chunk_id").alias("chunk_id"),
-        cosine_similarity(F.col("datasetA.embedding"), F.col("datasetB.embedding")).alias("similarity"),
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                a = np.frombuffer(row.query_vectors).reshape(-1, row.dim)
+                b = np.frombuffer(row.vectors).reshape(-1, row.dim)
+                near = min(len(b), max(4 * k, math.ceil(len(b) * share)))
+                far, own = _sketch(b, bits, seed), _sketch(a, bits, seed)
+                for i in range(len(a)):
+                    apart = np.bitwise_count(far ^ own[i]).sum(1, dtype=np.int32)
+                    few = np.argpartition(apart, near - 1)[:near] if near < len(b) else np.arange(len(b))
+                    sims = b[few] @ a[i]
+                    best = np.argsort(-sims, kind="stable")[:k]
+                    yield pd.DataFrame(
+                        {
+                            query_id: [row.query_ids[i]] * len(best),
+                            chunk_id: np.asarray(row.ids)[few[best]],
+                            "similarity": sims[best],
+                            "block": str(row.ids[0]),
+                            "compared": near,
+                        }
+                    )
+
+    return pairs.mapInPandas(
+        score, f"{query_id} {q_type}, {chunk_id} {c_type}, similarity double, block string, compared bigint"
     )
+
+
+def ann_search(
+    queries: DataFrame, chunks: DataFrame, k: int = 5, threshold: float = 0.5, **options
+) -> DataFrame:
+    """Approximate form of :func:`vector_search`: sketches choose what is compared."""
+    query_id, chunk_id = options.get("query_id", "query_id"), options.get("chunk_id", "chunk_id")
+    hits = ann_hits(queries, chunks, k, **options).drop("block", "compared")
     return top_per_group(
-        scored.filter(F.col("similarity") > threshold),
-        ["query_id"],
-        [F.col("similarity").desc(), F.col("chunk_id")],
-        k,
-        "rank"
+        hits.filter(F.col("similarity") > threshold), [query_id], [F.col("similarity").desc(), F.col(chunk_id)], k, "rank"
     )
 
 

@@ -11,6 +11,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 DAY_US = 86_400_000_000
+HOUR_US = 3_600_000_000
+_MIN = 60_000_000
+
+# The limits of each entry point (events, window).
+RATE_LIMITS = {
+    "chat": (30, _MIN),
+    "chat_session": (60, _MIN),
+    "share_view": (100, 60 * _MIN),
+    "agent_creation": (10, 60 * _MIN),
+    "crawl_trigger": (5, 60 * _MIN),
+    "passcode": (5, _MIN),
+}
+
+# Times to live in seconds.
+TTL_SECONDS = {"embedding": 3600, "search": 900, "response": 1800}
 
 
 def slice_of(ts: Column, size_us: int) -> Column:
@@ -112,3 +127,31 @@ def sliding_counts(
     return (
         events.withColumn("_us", F.unix_micros(time)).join(counted, [key, "_us"]).drop("_us")
     )
+
+
+def over_limit(events: DataFrame, most: int, window_us: int, key: str = "key", time: str = "ts") -> DataFrame:
+    """Events with ``in_window`` and ``allowed``: at most ``most`` of the key in the trailing window.
+
+    All requests count, refused ones too, so that the log alone decides and no key
+    has to be worked through in order.
+    """
+    return sliding_counts(events, window_us, key, time).withColumn("allowed", F.col("in_window") <= most)
+
+
+def openings(events: DataFrame, opens_at: int = 10, **columns) -> DataFrame:
+    """The failure at which each run of failures reaches ``opens_at``."""
+    return failure_streaks(events, opens_at, **columns).filter(F.col("streak") == opens_at)
+
+
+def cache_key(*parts: Column) -> Column:
+    """Cache key of the given string columns."""
+    return F.sha2(F.concat_ws("|", *parts), 256)
+
+
+def repeats_within(
+    events: DataFrame, ttl_us: int, keys: list[str], time: str = "ts", size_us: int = DAY_US
+) -> DataFrame:
+    """Events with ``hit``: the same key was asked for less than ``ttl_us`` before."""
+    rows = events.withColumn("_us", F.unix_micros(time))
+    rows = previous_version(rows, keys, time, "_us", "_earlier", size_us)
+    return rows.withColumn("hit", F.coalesce(F.col("_us") - F.col("_earlier") < ttl_us, F.lit(False))).drop("_us", "_earlier")

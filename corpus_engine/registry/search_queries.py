@@ -6,6 +6,9 @@ vectors are the centroids per label; the query words come from ``benchmark``.
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpus_engine.functions.vectors import cosine_similarity as cosine, norm
@@ -15,7 +18,7 @@ from corpus_engine.operators import ranking as L
 from corpus_engine.operators import search as S
 from corpus_engine.plans import retrieval as R
 from corpus_engine.registry import query, sql
-from corpus_engine.runtime import durable
+from corpus_engine.runtime import durable, top_per_group
 from corpus_engine.sources.tables import load_table
 
 _T = 0.2
@@ -141,6 +144,38 @@ def ann_search(spark, d):
     )
 
 
+@query(
+    f"""WITH {_BASE}, {_SEM.format(t=_T, k=5)}
+        SELECT count(*) AS exact_hits, true AS found_most, true AS compared_few FROM sem"""
+)
+def ann_quality(spark, d):
+    """Whether nine tenths of the exact hits are found while comparing less than a fifth of the pairs.
+
+    A tenth of a site, or four times the hits asked for, is compared, so the share is
+    measured on sites of 200 vectors and more.
+    """
+    q, c = queries(spark, d), durable(chunks(spark, d).select("chunk_id", "agent_id", "embedding"))
+    exact = durable(S.vector_search(q, c, _T, 5))
+    hits = durable(S.ann_hits(q, c, 5))
+    best = top_per_group(hits, ["query_id"], [F.col("similarity").desc(), F.col("chunk_id")], 5)
+    found = exact.join(best, ["query_id", "chunk_id"]).agg(F.count("*").alias("found"))
+    sizes = c.groupBy("agent_id").agg(F.count("*").alias("size")).filter("size >= 200")
+    large = q.select("query_id", "agent_id").join(sizes, "agent_id")
+    per_block = hits.groupBy("query_id", "block").agg(F.first("compared").alias("compared"))
+    counts = [
+        exact.agg(F.count("*").alias("n")).withColumn("of", F.lit("exact")),
+        found.select(F.col("found").alias("n"), F.lit("found").alias("of")),
+        per_block.join(large, "query_id").agg(F.sum("compared").alias("n")).withColumn("of", F.lit("compared")),
+        large.agg(F.sum("size").alias("n")).withColumn("of", F.lit("pairs")),
+    ]
+    named = {n: F.max(F.when(F.col("of") == n, F.col("n"))) for n in ("exact", "found", "compared", "pairs")}
+    return reduce(DataFrame.unionByName, counts).agg(
+        named["exact"].alias("exact_hits"),
+        (named["found"] >= 0.9 * named["exact"]).alias("found_most"),
+        F.coalesce(named["compared"] < 0.2 * named["pairs"], F.lit(True)).alias("compared_few"),
+    )
+
+
 @query(
     r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'),
                           lambda s: s <> '') AS t FROM documents),

@@ -1,61 +1,83 @@
-"""State machines, streams and stored-body sources over whole tables."""
+"""Limits, streams and stored-body sources over whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from corpus_engine.functions import urls as U
-from corpus_engine.operators import replay as R
+from corpus_engine.operators import timeline as W
 from corpus_engine.registry import query, sql
 from corpus_engine.registry.job_queries import outcomes
 from corpus_engine.runtime import scratch_path
-from corpus_engine.sources import robots, sinks, sitemaps, transcripts
+from corpus_engine.sources import pdf, robots, sinks, sitemaps, transcripts
 from corpus_engine.sources.tables import load_table
 from corpus_engine.streaming import ingest, progress, runner
-from corpus_engine.streaming.stateful import stateful
 
-_HOUR = R.HOUR_US
+_HOUR = W.HOUR_US
 
 
-@query()
+@query(
+    """SELECT event_id, n AS in_window, n <= 3 AS allowed FROM (
+         SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts)
+           RANGE BETWEEN 21599999999 PRECEDING AND CURRENT ROW) AS n FROM events)"""
+)
 def rate_limit(spark, d):
-    """Three events per user in six hours, then a block of four hours."""
-    return R.replay(outcomes(spark, d), R.RateLimit(3, 6 * _HOUR, 4 * _HOUR))
+    """At most three events per user in the trailing six hours."""
+    return W.over_limit(outcomes(spark, d), 3, 6 * _HOUR).select("event_id", "in_window", "allowed")
+
+
+def _stream(spark, d):
+    return runner.read_stream(spark, d, "events").select(
+        "event_id", "ts", F.col("user_id").alias("key"), (F.col("event_type") == "view").alias("ok")
+    )
 
 
-@query()
+@query(
+    """SELECT epoch_us(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01')) AS window_start, user_id AS key,
+         count(*) AS events, count(*) <= 3 AS allowed FROM events GROUP BY ALL"""
+)
 def rate_limit_stream(spark, d):
-    events = runner.read_stream(spark, d, "events").select("event_id", "ts", F.col("user_id").alias("key"))
-    return runner.run_append(stateful(events, R.RateLimit(3, 6 * _HOUR, 4 * _HOUR)), "rate-limit")
+    """The same limit per six-hour window of a stream."""
+    counts = runner.run_update(progress.keys_per_window(_stream(spark, d), "6 hours"), "rate-limit", ["window_start", "key"])
+    return counts.withColumn("window_start", F.unix_micros("window_start")).withColumn("allowed", F.col("events") <= 3)
+
+
+_STREAKS = """g AS (SELECT event_id, ts, user_id, event_type, sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END)
+    OVER (PARTITION BY user_id ORDER BY ts, event_id) AS grp FROM events),
+  s AS (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id, grp ORDER BY ts, event_id) AS streak
+    FROM g WHERE event_type <> 'view')"""
 
 
-@query()
+@query(f"WITH {_STREAKS} SELECT event_id, user_id AS key FROM s WHERE streak = 10")
 def circuit_breaker(spark, d):
-    return R.replay(outcomes(spark, d), R.CircuitBreaker(10, 8 * _HOUR), value="ok")
+    """Where ten failures in a row open a user's circuit."""
+    return W.openings(outcomes(spark, d), 10).select("event_id", "key")
 
 
-@query()
+@query(
+    """SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01')) AS window_start, user_id AS key, count(*) AS events,
+         count(*) FILTER (WHERE event_type <> 'view') AS failures, count(*) FILTER (WHERE event_type <> 'view') >= 10 AS open
+       FROM events GROUP BY ALL"""
+)
 def circuit_breaker_stream(spark, d):
-    events = runner.read_stream(spark, d, "events").select(
-        "event_id", "ts", F.col("user_id").alias("key"), (F.col("event_type") == "view").alias("ok")
-    )
-    return runner.run_append(stateful(events, R.CircuitBreaker(10, 8 * _HOUR), value="ok"), "breaker")
+    """Failures per user and day of a stream; ten of them are too many."""
+    counts = progress.keys_per_window(_stream(spark, d), "1 day", failed=~F.col("ok"))
+    rows = runner.run_update(counts, "breaker", ["window_start", "key"])
+    return rows.withColumn("window_start", F.unix_micros("window_start")).withColumn("open", F.col("failures") >= 10)
 
 
 @query(
-    """WITH RECURSIVE n AS (SELECT event_id, epoch_us(ts) AS us, sha256(user_id || '|' || event_type) AS key,
-            row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events),
-       w AS (SELECT event_id, us, key, rn, us AS miss, false AS hit FROM n WHERE rn = 1
-             UNION ALL SELECT n.event_id, n.us, n.key, n.rn,
-               CASE WHEN n.us - w.miss < 86400000000 THEN w.miss ELSE n.us END, n.us - w.miss < 86400000000
-             FROM w JOIN n ON n.key = w.key AND n.rn = w.rn + 1)
-       SELECT event_id, hit FROM w"""
+    """WITH w AS (SELECT sha256(user_id || '|' || event_type) AS key,
+            epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS gap FROM events)
+       SELECT key, count(*) AS events, count(*) FILTER (WHERE gap < 86400000000) AS hits FROM w GROUP BY 1"""
 )
 def ttl_cache_hits(spark, d):
+    """Requests that repeat one of the same key within a day."""
     events = load_table(spark, d, "events", ["event_id", "ts", "user_id", "event_type"]).withColumn(
-        "key", R.cache_key(F.col("user_id").cast("string"), F.col("event_type"))
+        "key", W.cache_key(F.col("user_id").cast("string"), F.col("event_type"))
     )
-    return R.replay(events, R.TtlCache(24 * _HOUR))
+    rows = W.repeats_within(events, 24 * _HOUR, ["key"])
+    return rows.groupBy("key").agg(F.count("*").alias("events"), F.count_if("hit").alias("hits"))
 
 
 _JOB_STATUS = "CASE event_type WHEN 'signup' THEN 'crawl.started' WHEN 'click' THEN 'crawl.progress' WHEN 'purchase' THEN 'crawl.completed' WHEN 'error' THEN 'crawl.failed' ELSE 'other' END"
@@ -243,11 +265,25 @@ def export_documents(spark, d):
     return sinks.export_documents(pages, 50, [F.col("page_id")]).select("agent_id", "name", F.md5("content").alias("digest"))
 
 
-@query()
-def pdf_text(spark, d):
-    """Text strings of each document written as PDF text operators."""
-    from corpus_engine.sources.pdf import pdf_text_column
+_ESCAPED = r"replace(replace(replace(replace(replace(replace(x, '\\n', chr(10)), '\\r', ''), '\\t', ' '), '\\(', '('), '\\)', ')'), '\\\\', '\\')"
+
 
+@query(
+    rf"""WITH b AS (SELECT doc_id, 'BT (' || regexp_replace(text, '([()\\])', '\\\1', 'g') || ') Tj ET' AS raw FROM documents),
+        p AS (SELECT doc_id, list_filter(
+                list_transform(regexp_extract_all(raw, '\(([^)]+)\)\s*Tj', 1), lambda x: {sql.trim(_ESCAPED)})
+                || list_filter(list_transform(regexp_extract_all(raw, '[\x20-\x7E]{{20,}}'), lambda x: {sql.trim('x')}),
+                     lambda x: NOT (contains(x, '<<') OR contains(x, '>>') OR contains(x, '/Type'))),
+                lambda x: x <> '') AS l FROM b),
+        t AS (SELECT doc_id, {sql.trim("array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), chr(10))")} AS t FROM p)
+        SELECT doc_id, md5(CASE WHEN coalesce(t, '') = '' THEN '[PDF content could not be extracted]' ELSE t END) AS digest FROM t"""
+)
+def pdf_text(spark, d):
+    """Each document is written as a file of PDF text operators and read back by the file source."""
     docs = load_table(spark, d, "documents", ["doc_id", "text"], spread=True)
     body = F.concat(F.lit("BT ("), F.regexp_replace("text", r"([()\\])", r"\\$1"), F.lit(") Tj ET"))
-    return docs.select("doc_id", F.md5(pdf_text_column(body)).alias("digest"))
+    folder = scratch_path(spark, "pdf")
+    docs.select("doc_id", body.alias("value")).write.partitionBy("doc_id").text(folder)
+    texts = pdf.pdf_text(spark, folder).filter("skipped is null")
+    doc_id = F.regexp_extract("path", r"doc_id=(\d+)/", 1).cast("long")
+    return texts.select(doc_id.alias("doc_id"), F.md5("text").alias("digest"))

@@ -30,6 +30,22 @@ def events_per_window(
     )
 
 
+def keys_per_window(
+    events: DataFrame, size: str, key: str = "key", late: str = "1 day", time: str = "ts", failed: Column | None = None
+) -> DataFrame:
+    """Events, and with ``failed`` failures, per key and tumbling window."""
+    counts = [F.count("*").alias("events")]
+    if failed is not None:
+        counts.append(F.count_if(failed).alias("failures"))
+    return (
+        events.withWatermark(time, late)
+        .groupBy(F.window(time, size).alias("w"), key)
+        .agg(*counts)
+        .withColumn("window_start", F.col("w.start"))
+        .drop("w")
+    )
+
+
 def fold_job_events(events: DataFrame) -> DataFrame:
     """State of each job after its events; unknown events are dropped.
 

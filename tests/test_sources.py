@@ -45,6 +45,8 @@ def test_pdf(spark, tmp_path):
     assert rows["a.pdf"].startswith("Hello\n\\you\n")
     assert "A readable run of more than twenty signs" in rows["a.pdf"] and "/Type" not in rows["a.pdf"]
     assert rows["b.pdf"] == pdf.PLACEHOLDER
+    cut = {r.path[-5:]: (r.text, r.skipped) for r in pdf.pdf_text(spark, str(tmp_path), size_limit=10).collect()}
+    assert cut["a.pdf"] == (None, "too large") and cut["b.pdf"] == (pdf.PLACEHOLDER, None)
 
 
 def test_sse(spark):

@@ -2,11 +2,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from corpus_engine.operators import replay as R
 from corpus_engine.operators import timeline as W
 from corpus_engine.runtime import scratch_path
-from corpus_engine.streaming import ingest, runner
-from corpus_engine.streaming.stateful import stateful
+from corpus_engine.streaming import ingest, progress, runner
 
 SECOND = 1_000_000
 
@@ -21,41 +19,29 @@ def events(spark, n=600, keys=4, span=900):
     return rows, df.withColumn("ts", F.timestamp_seconds("sec")).drop("sec")
 
 
-def sequential(rows, machine):
-    """The machine run key by key, in order, in one place."""
-    out, states = {}, {}
+def test_over_limit_and_openings(spark):
+    rows, df = events(spark)
+    got = {r.event_id: r.allowed for r in W.over_limit(df, 5, 60 * SECOND).collect()}
+    assert got == {i: sum(k == key and 0 <= sec - s < 60 for _, k, s, _ in rows) <= 5 for i, key, sec, _ in rows}
+    opened = {r.event_id for r in W.openings(df, 3, size_us=40 * SECOND).collect()}
+    runs, want = {}, set()
     for i, key, sec, ok in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
-        state = states.get(key, machine.start())
-        states[key], out[i] = machine.step(state, sec * SECOND, ok)
-    return out
+        runs[key] = 0 if ok else runs.get(key, 0) + 1
+        if runs[key] == 3:
+            want.add(i)
+    assert opened == want
 
 
-def check(spark, machine, value, slice_us):
+def test_repeats_across_slices(spark):
     rows, df = events(spark)
-    got = {r[0]: tuple(r)[1:] for r in R.replay(df, machine, value=value, slice_us=slice_us).collect()}
-    assert got == sequential(rows, machine)
-
-
-def test_rate_limit_slices(spark):
-    check(spark, R.RateLimit(5, 60 * SECOND, 90 * SECOND), None, 20 * SECOND)
-
-
-def test_circuit_breaker_slices(spark):
-    check(spark, R.CircuitBreaker(4, 30 * SECOND), "ok", 15 * SECOND)
-
-
-def test_ttl_slices(spark):
-    check(spark, R.TtlCache(40 * SECOND), None, 25 * SECOND)
-
-
-def test_rate_limit_edges():
-    m = R.RateLimit(2, 10, 5)
-    state, seen = m.start(), []
-    for t in (0, 0, 3, 7, 8, 10, 11):
-        state, out = m.step(state, t, None)
-        seen.append(out)
-    # refused and blocked at 3 until 8; refused again at 8 until 13
-    assert seen == [(True, 1, None), (True, 0, None), (False, 0, 5), (False, 0, 1), (False, 0, 5), (False, 0, 3), (False, 0, 2)]
+    got = {}
+    for r in W.repeats_within(df, 9 * SECOND, ["key"], size_us=25 * SECOND).collect():
+        got[r.key] = got.get(r.key, 0) + r.hit
+    want = {}
+    for key in {r[1] for r in rows}:
+        times = sorted(r[2] for r in rows if r[1] == key)
+        want[key] = sum(b - a < 9 for a, b in zip(times, times[1:]))
+    assert got == want
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -65,9 +51,13 @@ def test_stream_equals_batch(spark, tmp_path):
     df.filter("unix_timestamp(ts) < 450").coalesce(1).write.parquet(str(folder))
     df.filter("unix_timestamp(ts) >= 450").coalesce(1).write.mode("append").parquet(str(folder))
     stream = runner.read_stream(spark, str(tmp_path), "events", 1)
-    machine = R.RateLimit(5, 60 * SECOND, 90 * SECOND)
-    got = {r[0]: tuple(r)[1:] for r in runner.run_append(stateful(stream, machine), "t").collect()}
-    assert got == sequential(rows, machine)
+    counts = progress.keys_per_window(stream, "1 minute", failed=~F.col("ok"))
+    got = {(r.window_start.timestamp(), r.key): (r.events, r.failures) for r in runner.run_update(counts, "t", ["window_start", "key"]).collect()}
+    want = {}
+    for _, key, sec, ok in rows:
+        n, bad = want.get((sec // 60 * 60, key), (0, 0))
+        want[sec // 60 * 60, key] = (n + 1, bad + (not ok))
+    assert got == want
 
 
 def test_failure_streaks_across_slices(spark):
