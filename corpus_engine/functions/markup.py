@@ -32,14 +32,29 @@ def unescape(c: Column) -> Column:
     return out
 
 
+def visible(html: Column) -> Column:
+    """The page without comments, scripts and styles, whose text may look like tags."""
+    return F.regexp_replace(html, r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)", "")
+
+
+#: An attribute value: quoted with anything in it, or bare.
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'>]++)"""
+
+
 def attribute(tag: Column, name: str) -> Column:
-    """Value of an attribute of one start tag; empty when it is missing."""
-    pattern = rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)')"""
-    return unescape(F.concat(F.regexp_extract(tag, pattern, 1), F.regexp_extract(tag, pattern, 2)))
+    """Value of an attribute of one start tag; empty when it is missing.
+
+    The attributes before it are stepped over one by one, so that a name inside a
+    quoted value is not taken for one.
+    """
+    before = rf"(?:[\s/]++(?!{name}[\s=/>])[^\s=/>\"']++(?:\s*+=\s*+{_VALUE})?)*+"
+    pattern = rf"""(?is)\A<[^\s/>]++{before}[\s/]++{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return unescape(F.concat(*(F.regexp_extract(tag, pattern, k) for k in (1, 2, 3))))
 
 
 def _tags(html: Column, name: str) -> Column:
-    return F.regexp_extract_all(html, F.lit(rf"(?is)<{name}\b[^>]*>"), F.lit(0))
+    """Start tags; a ``>`` inside quotes does not end one."""
+    return F.regexp_extract_all(html, F.lit(rf"""(?is)<{name}(?=[\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""), F.lit(0))
 
 
 def meta(html: Column, key: str, value: str) -> Column:

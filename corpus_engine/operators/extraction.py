@@ -21,9 +21,9 @@ NOISE_CLASSES = {
     "advertisement", "ad", "ads", "adsbygoogle", "social-share", "social-links", "comments",
 }
 NOISE_IDS = {"comments"}
-FRAME_TAGS = {"nav", "footer", "header"}
-FRAME_ROLES = {"navigation", "banner", "contentinfo"}
-FRAME_CLASSES = {"sidebar", "widget"}
+FRAME_TAGS = ("nav", "footer", "header")
+FRAME_ROLES = ("navigation", "banner", "contentinfo")
+FRAME_CLASSES = ("sidebar", "widget")
 
 HEADING_MARKS = {"h1": "##", "h2": "###", "h3": "####", "h4": "#####", "h5": "######", "h6": "######"}
 TEXT_BLOCKS = {"p", "blockquote", "figcaption", "dd", "dt", "pre", "address", "summary", "details"}
@@ -101,7 +101,14 @@ def _noise(e: Element) -> bool:
 
 
 def _frame(e: Element) -> bool:
-    return e.tag in FRAME_TAGS or e.attrs.get("role") in FRAME_ROLES or e.has_class(FRAME_CLASSES)
+    return any(kind(e) for kind in FRAMES)
+
+
+FRAMES = (
+    *(lambda e, t=t: e.tag == t for t in FRAME_TAGS),
+    *(lambda e, r=r: e.attrs.get("role") == r for r in FRAME_ROLES),
+    *(lambda e, c=c: e.has_class({c}) for c in FRAME_CLASSES),
+)
 
 
 def _prune(e: Element) -> None:
@@ -148,7 +155,8 @@ def page_parts(html: str) -> tuple[str, str, str]:
     builder.close()
     root = builder.open[0]
     body = next((e for e in root.walk() if e.tag == "body"), root)
-    frame = " ".join(e.text() for e in root.walk() if _frame(e))
+    # kind after kind, so that numbers come in the order of the kinds, not of the page
+    frame = " ".join(e.text() for kind in FRAMES for e in root.walk() if kind(e))
     whole = body.text()
     _prune(root)
     mains = [e for e in root.walk() if e.tag in ("main", "article") or e.attrs.get("role") == "main"] or [body]
@@ -178,7 +186,7 @@ def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def extract_links(pages: DataFrame) -> DataFrame:
     """``(src_url, pos, dst_url)`` of every valid link, repetitions kept."""
     # resolved before the explode: a filter on a computed column computes it twice
-    targets = F.transform(M.hrefs(F.col("html")), lambda h: resolve_link(h, F.col("src_url")))
+    targets = F.transform(M.hrefs(M.visible(F.col("html"))), lambda h: resolve_link(h, F.col("src_url")))
     rows = explode_once(pages.withColumnRenamed("url", "src_url"), ["src_url"], targets, "pos", "dst_url")
     return rows.filter(F.col("dst_url").isNotNull())
 
@@ -191,7 +199,8 @@ def main_text(walked):
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """Metadata, contacts, main text and full text of pages ``(page_id, url, html)``."""
-    html = F.col("html")
+    html = F.col("_visible")
+    pages = pages.withColumn("_visible", M.visible(F.col("html")))
     meta = pages.select(
         "page_id",
         "url",
@@ -199,7 +208,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
         M.description(html).alias("description"),
         M.canonical(html).alias("canonical"),
         M.language(html).alias("language"),
-        F.length(html).cast("bigint").alias("raw_html_length"),
+        F.length("html").cast("bigint").alias("raw_html_length"),
         "html",
     )
     fields = [f for f in meta.schema.fields if f.name != "html"]
@@ -219,8 +228,9 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 def structured_data(pages: DataFrame) -> DataFrame:
     """Linked data, Open Graph map, owner and the text form of each page."""
     html = F.col("html")
+    shown = pages.withColumn("_visible", M.visible(html))
     return (
-        pages.select("page_id", "html", M.json_ld(html).alias("json_ld"), M.open_graph(html).alias("open_graph"))
+        shown.select("page_id", "html", M.json_ld(html).alias("json_ld"), M.open_graph(F.col("_visible")).alias("open_graph"))
         .withColumn("company", M.company_meta(F.col("json_ld"), F.col("open_graph"), html))
         .withColumn("text", M.structured_data_to_text(F.col("company"), F.col("json_ld")))
         .drop("html")

@@ -145,7 +145,15 @@ def faq_pairs_lines(spark, d):
     )
 
 
-@query()
+@query(
+    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
+       m AS (SELECT doc_id, line, i, regexp_full_match(line, '.{1,60}[.]') AS q FROM l WHERE line <> ''),
+       n AS (SELECT *, sum(q::INT) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM m),
+       p AS (SELECT doc_id, n, max(line) FILTER (WHERE q) AS q, string_agg(line, chr(10) || 'A: ' ORDER BY i) FILTER (WHERE NOT q) AS a
+             FROM n WHERE n > 0 GROUP BY 1, 2)
+       SELECT doc_id, CAST(n - 1 AS INT) AS pair_no, md5('Q: ' || trim(q) || coalesce(chr(10) || 'A: ' || trim(a), '')) AS digest
+       FROM p QUALIFY count(*) OVER (PARTITION BY doc_id) >= 2"""
+)
 def faq_pairs_marked(spark, d):
     """Marked pairs: short lines as questions, the lines below as answers."""
     marked = F.regexp_replace("text", r"(?m)^(.{1,60}[.])$", "Q: $1")

@@ -74,3 +74,16 @@ def test_normalize_url(spark):
     bad = ["http://localhost/", "https://10.1.1.1", "https://172.20.0.1", "https://x.local", "https://[::1]/"]
     df = spark.createDataFrame([(u,) for u in [*bad, "a.com", "https://172.32.0.1"]], "u string")
     assert [r[0] for r in df.select(U.is_valid_url(F.col("u"))).collect()] == [False] * 5 + [True] * 2
+
+
+def test_links_of_ordinary_html(spark):
+    html = """<a href=/x>1</a><!-- <a href="/c">no</a> --><script>var s = '<a href="/s">';</script>
+      <a title="a>b" href="/q">2</a><a data-href="/d" title=" href='/t'" href='/r'>3</a><A HREF = "/u?a=1&amp;b=2">4</a><abbr href="/v">5</abbr>"""
+    pages = spark.createDataFrame([("https://a.com/p", html)], "url string, html string")
+    got = [r.dst_url for r in E.extract_links(pages).orderBy("pos").collect()]
+    assert got == [f"https://a.com{p}" for p in ("/x", "/q", "/r", "/u?a=1&b=2")]
+
+
+def test_phones_by_kind_of_frame():
+    frame, _, _ = E.page_parts("<header>555-0101</header><footer>555-0102</footer><nav>555-0103</nav>")
+    assert frame.split() == ["555-0103", "555-0102", "555-0101"]
