@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 
 from corpus_engine.functions.collections import let
 from corpus_engine.functions.text import fts_language
+from corpus_engine.runtime import durable
 
 _NOT_WORD = r"[^\p{L}\p{N}]+"
 _CLAUSE = r'-?"[^"]*"|\S+'
 
+#: Folders of a stored index.
+BUCKETS = 64
+
 # Fixed value: weight of an occurrence in the default class.
 WEIGHT = 0.1
 
@@ -108,21 +112,53 @@ def query_clauses(queries: DataFrame, stop_words: bool = True) -> DataFrame:
     return terms.join(sizes, ["query_id", "clause_no"]).join(needed, ["query_id", "group_no"])
 
 
-def _occurrences(
-    queries: DataFrame, chunks: DataFrame, stop_words: bool
-) -> DataFrame:
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("agent_id", "term"), F.lit(BUCKETS)).cast("int")
+
+
+def build_index(chunks: DataFrame, text_col: str = "content", stop_words: bool = True) -> DataFrame:
+    """Postings of every chunk: ``(agent_id, term, chunk_id, positions, bucket)``."""
+    return (
+        word_positions(chunks, ["chunk_id", "agent_id"], text_col, stop_words)
+        .groupBy("agent_id", "chunk_id", "term")
+        .agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+        .withColumn("bucket", _bucket())
+    )
+
+
+def write_index(index: DataFrame, path: str) -> DataFrame:
+    """Store postings in folders of site and term hashes, and read them back."""
+    index.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(8))).write.partitionBy("bucket").parquet(path)
+    return index.sparkSession.read.schema(index.schema).parquet(path)
+
+
+def _occurrences(queries: DataFrame, index: DataFrame, stop_words: bool) -> DataFrame:
     """Where each clause starts in each chunk of the query's site.
 
-    Words meet query terms by an equi-join that Spark turns into a broadcast
-    when the terms are few. One shuffle on (query, chunk) serves all later steps.
+    Only the index folders of the query terms are read. Each alternative starts from
+    its rarest required term: the other terms count in the chunks that hold it.
     """
+    terms = durable(query_clauses(queries, stop_words).withColumn("bucket", _bucket()))
+    folders = [r.bucket for r in terms.select("bucket").distinct().collect()]  # at most BUCKETS numbers
+    index = index.filter(F.col("bucket").isin(folders))
+    needed = terms.select("bucket", "agent_id", "term").distinct()
+    held = durable(index.join(needed, ["bucket", "agent_id", "term"]))
+
+    frequency = held.groupBy("agent_id", "term").agg(F.count("*").alias("df"))
+    required = terms.filter(~F.col("negated")).join(frequency, ["agent_id", "term"], "left")
+    rarest = required.groupBy("query_id", "agent_id", "group_no").agg(
+        F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term")
+    )
+    group = ["query_id", "group_no", "chunk_id"]
+    possible = held.join(rarest, ["agent_id", "term"]).select(*group)
     found = (
-        word_positions(chunks, ["chunk_id", "agent_id"], stop_words=stop_words)
-        .join(query_clauses(queries, stop_words), ["agent_id", "term"])
+        held.join(terms.drop("bucket"), ["agent_id", "term"])
+        .join(possible, group, "left_semi")
         .select(
-            "query_id", "chunk_id", "group_no", "clause_no", "negated", "n_terms", "n_clauses",
-            (F.col("pos") - F.col("offset")).alias("start"),
+            "query_id", "chunk_id", "group_no", "clause_no", "negated", "n_terms", "n_clauses", "offset",
+            F.explode("positions").alias("pos"),
         )
+        .withColumn("start", F.col("pos") - F.col("offset"))
         .repartition("query_id", "chunk_id")
     )
     keys = ["query_id", "chunk_id", "group_no", "clause_no", "negated", "n_terms", "n_clauses", "start"]
@@ -143,10 +179,10 @@ def _matched_groups(occurrences: DataFrame) -> DataFrame:
     )
 
 
-def keyword_match(queries: DataFrame, chunks: DataFrame, stop_words: bool = True) -> DataFrame:
-    """``(query_id, chunk_id)`` of all chunks that satisfy a query."""
+def keyword_match(queries: DataFrame, index: DataFrame, stop_words: bool = True) -> DataFrame:
+    """``(query_id, chunk_id)`` of all indexed chunks that satisfy a query."""
     return (
-        _matched_groups(_occurrences(queries, chunks, stop_words)).select("query_id", "chunk_id").distinct()
+        _matched_groups(_occurrences(queries, index, stop_words)).select("query_id", "chunk_id").distinct()
     )
 
 
@@ -196,10 +232,10 @@ def cover_density(entries: Column) -> Column:
     return let(entries, covers)
 
 
-def keyword_rank(queries: DataFrame, chunks: DataFrame, stop_words: bool = True) -> DataFrame:
-    """``(query_id, chunk_id, keyword_rank)`` of all matching chunks."""
+def keyword_rank(queries: DataFrame, index: DataFrame, stop_words: bool = True) -> DataFrame:
+    """``(query_id, chunk_id, keyword_rank)`` of all matching indexed chunks."""
     return (
-        _matched_groups(_occurrences(queries, chunks, stop_words))
+        _matched_groups(_occurrences(queries, index, stop_words))
         .select("query_id", "chunk_id", cover_density(F.col("entries")).alias("r"))
         .groupBy("query_id", "chunk_id")
         .agg(F.sum("r").alias("keyword_rank"))

@@ -183,6 +183,7 @@ def combined_score(
 def hybrid_search(
     queries: DataFrame,
     chunks: DataFrame,
+    index: DataFrame,
     k: int = 8,
     threshold: float = 0.5,
     keyword_weight: float = 0.3,
@@ -192,12 +193,12 @@ def hybrid_search(
     """Semantic top ``2k`` rescored with the keyword top ``2k``; best ``k`` per query.
 
     ``queries`` has ``query_id, agent_id, embedding, query_text``; ``chunks`` has
-    ``chunk_id, agent_id, embedding, content, rank_weight`` and, for stop words,
-    ``language``. Hits found by keywords alone do not appear.
+    ``chunk_id, agent_id, embedding, rank_weight``; ``index`` is the stored keyword
+    index. Hits found by keywords alone do not appear.
     """
     semantic = vector_search(queries, chunks, threshold, 2 * k).drop("rank")
     keyword = top_per_group(
-        keyword_rank(queries, chunks, stop_words=stop_words),
+        keyword_rank(queries, index, stop_words=stop_words),
         ["query_id"],
         [F.col("keyword_rank").desc(), F.col("chunk_id")],
         2 * k

@@ -12,22 +12,23 @@ from corpus_engine.operators.search import PRESETS, hybrid_search
 def search_knowledge(
     queries: DataFrame,
     chunks: DataFrame,
+    index: DataFrame,
     pages: DataFrame,
     preset: str = "data",
     threshold: float = 0.5,
     stop_words: bool = True,
 ) -> DataFrame:
     """Hybrid hits of a preset size with their chunk text and page."""
-    hits = hybrid_search(queries, chunks, PRESETS[preset], threshold, stop_words=stop_words)
+    hits = hybrid_search(queries, chunks, index, PRESETS[preset], threshold, stop_words=stop_words)
     details = chunks.drop("agent_id", "embedding", "rank_weight")
     return attach_pages(hits.join(details, "chunk_id"), pages)
 
 
 def answer_context(
-    queries: DataFrame, chunks: DataFrame, pages: DataFrame, ranking: DataFrame, threshold: float = 0.5
+    queries: DataFrame, chunks: DataFrame, index: DataFrame, pages: DataFrame, ranking: DataFrame, threshold: float = 0.5
 ) -> DataFrame:
     """Citations for chat: over-fetch, re-rank to six, cite five."""
-    hits = hybrid_search(queries, chunks, PRESETS["chat"], threshold)
+    hits = hybrid_search(queries, chunks, index, PRESETS["chat"], threshold)
     details = chunks.drop("agent_id", "embedding", "rank_weight")
     numbered = hits.withColumn("orig", F.col("rank") - 1).drop("rank").join(details, "chunk_id")
     return citations(rerank(numbered, ranking, 6), pages, 5)

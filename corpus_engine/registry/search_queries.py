@@ -18,7 +18,7 @@ from corpus_engine.operators import ranking as L
 from corpus_engine.operators import search as S
 from corpus_engine.plans import retrieval as R
 from corpus_engine.registry import query, sql
-from corpus_engine.runtime import durable, top_per_group
+from corpus_engine.runtime import durable, scratch_path, top_per_group
 from corpus_engine.sources.tables import load_table
 
 _T = 0.2
@@ -40,6 +40,20 @@ def chunks(spark, d):
     )
 
 
+_INDEXES: dict[tuple[str, str], DataFrame] = {}
+
+
+def index(spark, d):
+    """The keyword index of all documents, without stop words; stored once per session and table."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        docs = load_table(spark, d, "documents", ["doc_id", "text", "lang"], spread=True).select(
+            F.col("doc_id").alias("chunk_id"), F.col("lang").alias("agent_id"), F.col("text").alias("content")
+        )
+        _INDEXES[key] = K.write_index(K.build_index(docs, stop_words=False), scratch_path(spark, "index"))
+    return _INDEXES[key]
+
+
 def centroids(rows):
     """Mean vector per site and label."""
     return (
@@ -87,8 +101,8 @@ _SEM = """
 
 _KW = r"""
   w AS (SELECT chunk_id, agent_id, unnest(t) AS term, unnest(range(1, len(t) + 1)) AS pos FROM (
-          SELECT chunk_id, agent_id, list_filter(regexp_split_to_array(lower(content), '[^\p{L}\p{N}]+'),
-                 lambda s: s <> '') AS t FROM c)),
+          SELECT doc_id AS chunk_id, lang AS agent_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'),
+                 lambda s: s <> '') AS t FROM documents)),
   qt AS (SELECT DISTINCT query_id, agent_id, unnest(list_filter(regexp_split_to_array(lower(query_text),
                  '[^\p{L}\p{N}]+'), lambda s: s <> '')) AS term FROM q),
   qn AS (SELECT query_id, count(*) AS n FROM qt GROUP BY query_id),
@@ -197,12 +211,48 @@ def postings(spark, d):
 
 @query(f"WITH {_BASE}, {_KW} SELECT query_id, chunk_id FROM mt")
 def keyword_match(spark, d):
-    return K.keyword_match(queries(spark, d), chunks(spark, d), stop_words=False)
+    return K.keyword_match(queries(spark, d), index(spark, d), stop_words=False)
+
+
+_FORMS = r"""
+  i AS (SELECT item_id, lang AS agent_id, list_transform([2, 3, 5, 7], lambda k: list_filter(regexp_split_to_array(
+          lower(string_split(replace(text, chr(10), ' '), ' ')[k]), '[^\p{L}\p{N}]+'), lambda s: s <> '')[1]) AS q
+        FROM benchmark, (SELECT DISTINCT lang FROM documents)),
+  has AS (SELECT DISTINCT agent_id, chunk_id, term FROM w),
+  phrase AS (SELECT DISTINCT item_id, i.agent_id, x.chunk_id FROM i JOIN w x ON x.agent_id = i.agent_id AND x.term = q[1]
+             JOIN w y ON y.chunk_id = x.chunk_id AND y.pos = x.pos + 1 AND y.term = q[2]),
+  either AS (SELECT DISTINCT item_id, i.agent_id, chunk_id FROM i JOIN has ON has.agent_id = i.agent_id AND term IN (q[1], q[3])),
+  without AS (SELECT item_id, i.agent_id, chunk_id FROM i JOIN has ON has.agent_id = i.agent_id AND term IN (q[1], q[3], q[4])
+              GROUP BY ALL HAVING bool_or(term = q[1]) AND bool_or(term = q[4]) AND NOT bool_or(term = q[3]))"""
+
+
+@query(
+    f"""WITH {_KW[: _KW.index('qt AS')].rstrip().rstrip(',')}, {_FORMS}
+        SELECT item_id || '-' || agent_id || '-phrase' AS query_id, chunk_id FROM phrase
+        UNION ALL SELECT item_id || '-' || agent_id || '-or', chunk_id FROM either
+        UNION ALL SELECT item_id || '-' || agent_id || '-not', chunk_id FROM without"""
+)
+def keyword_match_forms(spark, d):
+    """Phrases, alternatives, and three words of which one must not occur."""
+    sites = load_table(spark, d, "documents", ["lang"]).distinct().withColumnRenamed("lang", "agent_id")
+    items = load_table(spark, d, "benchmark", ["item_id", "text"])
+    word = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")
+    w2, w3, w5, w7 = (F.get(word, k - 1) for k in (2, 3, 5, 7))
+    quote, space = F.lit('"'), F.lit(" ")
+    forms = F.array(
+        F.struct(F.lit("phrase").alias("form"), F.concat(quote, w2, space, w3, quote).alias("query_text")),
+        F.struct(F.lit("or").alias("form"), F.concat(w2, F.lit(" OR "), w5).alias("query_text")),
+        F.struct(F.lit("not").alias("form"), F.concat(w2, F.lit(" -"), w5, space, w7).alias("query_text")),
+    )
+    asked = items.select("item_id", F.inline(forms))
+    asked = asked.withColumn("one", F.lit(1)).join(sites.withColumn("one", F.lit(1)), "one")  # a handful of sites
+    asked = asked.select(F.concat_ws("-", "item_id", "agent_id", "form").alias("query_id"), "agent_id", "query_text")
+    return K.keyword_match(durable(asked), index(spark, d), stop_words=False)
 
 
 @query(f"WITH {_BASE}, {_KW} SELECT query_id, chunk_id, round(keyword_rank, 6) AS keyword_rank FROM kw")
 def cover_density_rank(spark, d):
-    return K.keyword_rank(queries(spark, d), chunks(spark, d), stop_words=False).withColumn(
+    return K.keyword_rank(queries(spark, d), index(spark, d), stop_words=False).withColumn(
         "keyword_rank", F.round("keyword_rank", 6)
     )
 
@@ -217,7 +267,7 @@ def hybrid_join(spark, d):
     q, c = queries(spark, d), chunks(spark, d)
     joined = S.hybrid_join(
         S.vector_search(q, c, _T, 16).drop("rank"),
-        K.keyword_rank(q, c, stop_words=False),
+        K.keyword_rank(q, index(spark, d), stop_words=False),
         ["query_id", "chunk_id"],
     )
     return joined.withColumn("similarity", F.round("similarity", 6)).withColumn(
@@ -230,7 +280,7 @@ def hybrid_join(spark, d):
           round(keyword_rank, 6) AS keyword_rank, round(score, 6) AS combined_score FROM top"""
 )
 def hybrid_search(spark, d):
-    hits = S.hybrid_search(queries(spark, d), chunks(spark, d), 8, _T, stop_words=False)
+    hits = S.hybrid_search(queries(spark, d), chunks(spark, d), index(spark, d), 8, _T, stop_words=False)
     return hits.select(
         "query_id", "chunk_id", "rank", F.round("similarity", 6).alias("similarity"),
         F.round("keyword_rank", 6).alias("keyword_rank"), F.round("combined_score", 6).alias("combined_score"),
@@ -252,7 +302,7 @@ _PAGES = "p AS (SELECT page_id, url, regexp_extract(html, '<title>(.*?)</title>'
         FROM top LEFT JOIN p ON chunk_id = page_id"""
 )
 def search_knowledge(spark, d):
-    hits = R.search_knowledge(queries(spark, d), chunks(spark, d), _pages(spark, d), "data", _T, stop_words=False)
+    hits = R.search_knowledge(queries(spark, d), chunks(spark, d), index(spark, d), _pages(spark, d), "data", _T, stop_words=False)
     return hits.select(
         "query_id", "chunk_id", "rank", F.round("combined_score", 6).alias("combined_score"), "url", "title"
     )

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from corpus_engine.operators import keyword as K
 from corpus_engine.operators import ranking as L
 from corpus_engine.operators import search as S
+from corpus_engine.runtime import scratch_path
 
 
 def vectors(n, dim, seed):
@@ -67,9 +68,13 @@ def texts(spark):
     return spark.createDataFrame(rows, "chunk_id int, agent_id string, language string, content string")
 
 
+def index(spark):
+    return K.write_index(K.build_index(texts(spark)), scratch_path(spark, "index"))
+
+
 def ask(spark, text):
     q = spark.createDataFrame([(1, "a", text)], "query_id int, agent_id string, query_text string")
-    return sorted(r.chunk_id for r in K.keyword_match(q, texts(spark)).collect())
+    return sorted(r.chunk_id for r in K.keyword_match(q, index(spark)).collect())
 
 
 def test_keyword_queries(spark):
@@ -84,7 +89,7 @@ def test_keyword_queries(spark):
 
 def test_cover_density(spark):
     q = spark.createDataFrame([(1, "a", "quick brown fox")], "query_id int, agent_id string, query_text string")
-    (row,) = K.keyword_rank(q, texts(spark)).collect()
+    (row,) = K.keyword_rank(q, index(spark)).collect()
     assert (row.chunk_id, round(row.keyword_rank, 6)) == (1, 0.1)
     entries = [(1, 0), (4, 1), (5, 0), (9, 2), (10, 1)]
     df = spark.createDataFrame([(entries,)], "e array<struct<start: int, clause_no: int>>")
