@@ -15,6 +15,7 @@ HEADLINES = (
     "extract_pages", "extract_links", "crawl_order", "dedupe_urls", "classify_pages", "upsert_pages",
     "diff_chunks", "page_line_diff", "site_analytics", "messages_by_day", "usage_summary", "model_usage",
     "failure_streaks", "sliding_counts", "previous_version", "rate_limit", "accessible_sites", "job_metrics",
+    "ann_search", "ingest_stream", "link_stats", "citations",
 )
 
 

@@ -46,14 +46,18 @@ def visible_organizations(organizations: DataFrame, memberships: DataFrame, prin
     )
 
 
-def valid_share_links(links: DataFrame, requests: DataFrame, as_of: Column) -> DataFrame:
-    """Requests ``(request_id, agent_id, token)`` with the live link they carry."""
-    live = (
+def live_links(links: DataFrame, as_of: Column) -> DataFrame:
+    """Links that are neither revoked, expired nor used up."""
+    return links.filter(
         F.col("revoked_at").isNull()
         & (F.col("expires_at").isNull() | (F.col("expires_at") >= as_of))
         & ((F.coalesce("max_uses", F.lit(0)) == 0) | (F.col("use_count") < F.col("max_uses")))
     )
-    return requests.join(links.filter(live).select("link_id", "agent_id", "token"), ["agent_id", "token"])
+
+
+def valid_share_links(links: DataFrame, requests: DataFrame, as_of: Column) -> DataFrame:
+    """Requests ``(request_id, agent_id, token)`` with the live link they carry."""
+    return requests.join(live_links(links, as_of).select("link_id", "agent_id", "token"), ["agent_id", "token"])
 
 
 def accessible_sites(
@@ -64,7 +68,8 @@ def accessible_sites(
     Public sites are open, private ones need a link, and those behind a passcode
     a link or a session ``(agent_id, session_id)``.
     """
-    linked = valid_share_links(links, requests, as_of).select("request_id", F.lit(True).alias("_link")).distinct()
+    # requests are read once; several live links of one token count as one
+    linked = live_links(links, as_of).select("agent_id", "token", F.lit(True).alias("_link")).distinct()
     entered = sessions.select("agent_id", "session_id", F.lit(True).alias("_session")).distinct()
     link = F.coalesce("_link", F.lit(False))
     session = F.coalesce("_session", F.lit(False))
@@ -75,7 +80,7 @@ def accessible_sites(
     )
     return (
         requests.join(sites.select("agent_id", "visibility"), "agent_id")
-        .join(linked, "request_id", "left")
+        .join(linked, ["agent_id", "token"], "left")
         .join(entered, ["agent_id", "session_id"], "left")
         .select("request_id", "agent_id", allowed.alias("allowed"))
     )

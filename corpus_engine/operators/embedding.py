@@ -32,17 +32,17 @@ def hashed_words(dim: int) -> Embedder:
     return embed_texts
 
 
-def _embed_all(texts: list, fn: Embedder) -> list:
-    """Vectors of one batch; None where the text failed twice."""
+def _embed_all(texts: list, fn: Embedder) -> list[tuple]:
+    """(vector, error) of the texts of one call; a vector is None where its text failed twice."""
 
-    def attempt(some: list) -> list:
+    def attempt(some: list) -> list[tuple]:
         try:
-            return list(fn(some))
-        except Exception:  # a failed call fails its texts, not the job
-            return [None] * len(some)
+            return [(v, None if v is not None else "no vector") for v in fn(some)]
+        except Exception as e:  # a failed call fails its texts, and says why
+            return [(None, f"{type(e).__name__}: {e}")] * len(some)
 
     found = attempt(texts)
-    failed = [i for i, v in enumerate(found) if v is None]
+    failed = [i for i, (v, _) in enumerate(found) if v is None]
     if failed and len(failed) < len(texts) * RETRY_BELOW:
         for i in failed:
             found[i] = attempt([texts[i]])[0]
@@ -50,22 +50,33 @@ def _embed_all(texts: list, fn: Embedder) -> list:
 
 
 def embed(df: DataFrame, text_col: str, fn: Embedder, batch: int = BATCH) -> DataFrame:
-    """``df`` with ``embedding``: unit vectors, null where the text failed.
+    """``df`` with ``embedding``, unit vectors, and ``error`` where the text failed.
 
     A failed text never gets a zero vector, which would match everything.
     """
 
-    @F.pandas_udf("array<float>")
-    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("v array<float>, e string")
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for series in batches:
             texts = series.fillna("").tolist()
             found = []
             for start in range(0, len(texts), batch):
                 found += _embed_all(texts[start : start + batch], fn)
-            yield pd.Series(found, dtype=object)
+            yield pd.DataFrame({"v": pd.Series([v for v, _ in found], dtype=object), "e": pd.Series([e for _, e in found], dtype=object)})
 
-    raw = df.withColumn("_raw", vectors(F.col(text_col)))
-    return raw.withColumn("embedding", normalize_vector(F.col("_raw"))).drop("_raw")
+    # not to be repeated for each field that is read
+    raw = df.withColumn("_raw", vectors.asNondeterministic()(F.col(text_col)))
+    return raw.withColumns({"embedding": normalize_vector(F.col("_raw.v")), "error": F.col("_raw.e")}).drop("_raw")
+
+
+def require_embedded(embedded: DataFrame, keys: list[str] | None = None, most: float = 0.5) -> DataFrame:
+    """The rows, when in every group of ``keys`` (or over the job) at most that share has failed."""
+    share = F.avg(F.col("error").isNotNull().cast("int")).alias("share")
+    worst = embedded.groupBy(*(keys or [])).agg(share, F.first("error", ignorenulls=True).alias("error"))
+    row = worst.orderBy(F.desc("share")).first()
+    if row and row["share"] is not None and row["share"] > most:
+        raise RuntimeError(f"{row['share']:.0%} of the texts have no vector, for example: {row['error']}")
+    return embedded
 
 
 def failures(embedded: DataFrame, dim: int) -> DataFrame:

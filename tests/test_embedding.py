@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from corpus_engine.functions.vectors import norm
 from corpus_engine.operators import embedding as B
@@ -11,10 +12,10 @@ def test_failed_texts_are_tried_once_more():
         calls.append(list(texts))
         return [None if t == "bad" or (t == "late" and len(calls) == 1) else [3.0, 4.0] for t in texts]
 
-    assert B._embed_all(["a", "b", "late", "bad", "c"], flaky)[2:4] == [[3.0, 4.0], None]
+    assert B._embed_all(["a", "b", "late", "bad", "c"], flaky)[2:4] == [([3.0, 4.0], None), (None, "no vector")]
     assert calls[1:] == [["late"], ["bad"]]
     calls.clear()
-    assert B._embed_all(["bad", "a"], flaky)[0] is None and len(calls) == 1
+    assert B._embed_all(["bad", "a"], flaky)[0][0] is None and len(calls) == 1
 
 
 def test_embed(spark):
@@ -23,3 +24,16 @@ def test_embed(spark):
     rows = {r.i: r for r in out.withColumn("n", norm(out["embedding"])).collect()}
     assert np.isclose(rows[1].n, 1) and rows[2].embedding is None
     assert sorted(r.i for r in B.failures(out, 8).collect()) == [2, 3]
+
+
+def test_errors_are_told(spark):
+    def dead(texts):
+        raise ValueError("no service")
+
+    df = spark.createDataFrame([(1, "a"), (2, None)], "id int, content string")
+    rows = B.embed(df, "content", dead)
+    assert {(r.embedding, r.error) for r in rows.collect()} == {(None, "ValueError: no service")}
+    with pytest.raises(RuntimeError, match="no service"):
+        B.require_embedded(rows)
+    good = B.embed(df.filter("id = 1"), "content", B.hashed_words(8))
+    assert B.require_embedded(good, ["id"]).first().error is None
