@@ -329,7 +329,10 @@ def fit(
 ) -> np.ndarray:
     """Weights from at most ``rows`` pages of up to ``row_chars`` characters, in the order of a hash of the id."""
     few = pages.filter(F.length(field(source)) <= row_chars)
-    chosen = few.select(field(source).alias("h")).orderBy(F.xxhash64(field(page_id)), F.xxhash64(field(source))).limit(rows)
+    few = few.select(field(source).alias("h"), F.xxhash64(field(page_id), field(source)).alias("o"))
+    # hashes first: tasks send numbers to the driver, and then only the chosen pages
+    last = few.select("o").orderBy("o").limit(rows).agg(F.max("o")).first()[0]
+    chosen = few.filter(F.col("o") <= last).orderBy("o").limit(rows) if last is not None else few.limit(0)
     return fit_weights([blocks(r.h) for r in chosen.collect()])
 
 
