@@ -38,22 +38,41 @@ def read_pieces(path: str) -> list[str]:
     return list(dict.fromkeys(names))
 
 
+OPEN = -1
+
+
+def with_prefixes(pieces: dict[str, int]) -> dict[str, int]:
+    """The pieces, and their beginnings that are no pieces as ``OPEN``."""
+    starts = {p[:k]: OPEN for p in pieces for k in range(1, len(p))}
+    return starts | pieces
+
+
 class Lattice:
-    """All segmentations of a batch of words, as edges sorted by end, then word."""
+    """All segmentations of a batch of words, as edges sorted by end, then word.
+
+    ``known`` maps pieces to numbers and beginnings of pieces to ``OPEN``, so that a
+    search ends at the first substring that begins no piece.
+    """
 
-    def __init__(self, words: list[str], pieces: dict[str, int], longest: int):
-        self.n, unknown = len(words), len(pieces)
+    def __init__(self, words: list[str], known: dict[str, int], unknown: int):
+        self.n = len(words)
         word, start, end, piece = [], [], [], []
+        get = known.get
         for k, text in enumerate(words):
-            for i in range(len(text)):
-                found = False
-                for j in range(i + 1, min(len(text), i + longest) + 1):
-                    p = pieces.get(text[i:j])
-                    if p is not None:
-                        word.append(k), start.append(i), end.append(j), piece.append(p)
-                        found = found or j == i + 1
-                if not found:  # a character outside the vocabulary
-                    word.append(k), start.append(i), end.append(i + 1), piece.append(unknown)
+            size, before = len(text), len(piece)
+            for i in range(size):
+                j = i + 1
+                p = get(text[i:j])
+                if p is None or p == OPEN:  # a character outside the vocabulary
+                    start.append(i), end.append(j), piece.append(unknown)
+                while p is not None:
+                    if p != OPEN:
+                        start.append(i), end.append(j), piece.append(p)
+                    j += 1
+                    if j > size:
+                        break
+                    p = get(text[i:j])
+            word += [k] * (len(piece) - before)
         self.size = np.array([len(w) for w in words])
         arrays = [np.array(x, dtype=np.int64) for x in (word, start, end, piece)]
         order = np.lexsort((arrays[0], arrays[2]))
@@ -91,7 +110,7 @@ class Lattice:
         return alpha[np.arange(self.n), self.size]
 
 
-def lattices(words: list[str], pieces: dict[str, int], longest: int, cells: int = 400_000):
+def lattices(words: list[str], known: dict[str, int], unknown: int, cells: int = 400_000):
     """Lattices of words of similar length, of a bounded size; with the words' indices."""
     order = sorted(range(len(words)), key=lambda i: len(words[i]))
     at = 0
@@ -100,7 +119,7 @@ def lattices(words: list[str], pieces: dict[str, int], longest: int, cells: int
         while end < len(order) and (end - at + 1) * (len(words[order[end]]) + 1) <= cells:
             end += 1
         chosen = order[at:end]
-        yield chosen, Lattice([words[i] for i in chosen], pieces, longest)
+        yield chosen, Lattice([words[i] for i in chosen], known, unknown)
         at = end
 
 
@@ -109,14 +128,14 @@ class PieceModel:
     """Log probabilities (piece or unknown character, language) and log priors."""
 
     pieces: dict[str, int]
-    longest: int
+    known: dict[str, int]
     languages: list[str]
     logp: np.ndarray
     prior: np.ndarray
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.languages)))
-        for chosen, lattice in lattices([SPACE + w for w in words], self.pieces, self.longest):
+        for chosen, lattice in lattices([SPACE + w for w in words], self.known, len(self.pieces)):
             out[chosen] = lattice.totals(lattice.forward(self.logp))
         return out
 
@@ -136,12 +155,12 @@ def fit_pieces(
         counts[lang].update(letters(text))
     words = sorted(set().union(*counts.values()))
     weight = np.array([[counts[lang][w] for lang in languages] for w in words], dtype=float).reshape(len(words), -1)
-    longest = max(map(len, pieces))
+    known = with_prefixes(index)
     logp = np.full((len(pieces) + 1, len(languages)), -np.log(len(pieces)))
     logp[-1] = UNKNOWN
     for _ in range(rounds):
         expected = np.full((len(pieces) + 1, len(languages)), smooth)
-        for chosen, lattice in lattices([SPACE + w for w in words], index, longest):
+        for chosen, lattice in lattices([SPACE + w for w in words], known, len(pieces)):
             alpha, beta = lattice.forward(logp), lattice.backward(logp)
             share = np.exp(
                 alpha[lattice.word, lattice.start]
@@ -153,7 +172,7 @@ def fit_pieces(
         logp = np.log(expected / expected[:-1].sum(0))
         logp[-1] = UNKNOWN
     total = np.array([prior.get(lang, 1) for lang in languages], dtype=float)
-    return PieceModel(index, longest, languages, logp, np.log(total / total.sum()))
+    return PieceModel(index, known, languages, logp, np.log(total / total.sum()))
 
 
 class Identifier:
@@ -165,13 +184,17 @@ class Identifier:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.words: dict[str, int] = {}
+        self.scores = np.zeros((0, len(self.model.languages)))
         # per token: its letters' log score in each language, and whether it has any
         self.table = np.zeros((0, len(self.model.languages) + 1))
 
     def _learn(self, tokens: list[str]) -> None:
         parts = [letters(t) for t in tokens]
-        words = list(dict.fromkeys(w for p in parts for w in p))
-        scores, index = self.model.word_scores(words), {w: i for i, w in enumerate(words)}
+        words = [w for w in dict.fromkeys(w for p in parts for w in p) if w not in self.words]
+        self.words |= {w: len(self.scores) + i for i, w in enumerate(words)}
+        self.scores = scores = np.concatenate([self.scores, self.model.word_scores(words)])
+        index = self.words
         rows = np.zeros((len(tokens), self.table.shape[1]))
         for row, part in zip(rows, parts):
             for w in part:
@@ -215,15 +238,15 @@ def fit(
     text: str = "text",
     lang: str = "lang",
     order: Column | None = None,
-    rows_per_language: int = 1_000,
+    sample_rows: int = 4_000,
     row_chars: int = 20_000,
     languages: int = 200,
 ) -> PieceModel | None:
     """Learn from a bounded sample of rows for which ``usable`` holds.
 
-    The sample has at most ``rows_per_language`` rows of each of the ``languages``
-    most frequent languages, in the order of ``order`` (a hash of the text by
-    default), among texts of up to ``row_chars`` characters. Priors count all usable
+    The sample has at most ``sample_rows`` rows, dealt evenly to the ``languages`` most
+    frequent languages, in the order of ``order`` (a hash of the text by default),
+    among texts of up to ``row_chars`` characters. Priors count all usable
     rows. None when no usable row has a text and a language.
     """
     rows = documents.filter(usable & field(lang).isNotNull() & field(text).isNotNull())
@@ -235,7 +258,7 @@ def fit(
     few = rows.filter(F.col("lang").isin(*prior) & (F.length("t") <= row_chars))
     place = Window.partitionBy("lang").orderBy("o")
     # the cut is made on ids first, so that no group of texts is gathered
-    ids = few.select("lang", "o").withColumn("k", F.row_number().over(place)).filter(F.col("k") <= rows_per_language)
+    ids = few.select("lang", "o").withColumn("k", F.row_number().over(place)).filter(F.col("k") <= max(1, sample_rows // len(prior)))
     picked = few.join(F.broadcast(ids.select("lang", "o").distinct()), ["lang", "o"]).dropDuplicates(["lang", "o"]).toPandas()
     picked = picked.sort_values(["lang", "o"], kind="stable")
     if picked.empty:

@@ -14,14 +14,14 @@ ROWS = [(i, t, lang, "x") for i, (t, lang) in enumerate([
 
 def model(spark):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string, lang string, made string")
-    return docs, L.fit(docs, F.lit(True), PIECES, rows_per_language=20)
+    return docs, L.fit(docs, F.lit(True), PIECES, sample_rows=40)
 
 
 def slow_score(m, word, lang):
     """Sum over all segmentations, by recursion from the left."""
     word, total = L.SPACE + word, [0.0]
     for j in range(1, len(word) + 1):
-        terms = [total[i] + m.logp[m.pieces[word[i:j]], lang] for i in range(max(0, j - m.longest), j) if word[i:j] in m.pieces]
+        terms = [total[i] + m.logp[m.pieces[word[i:j]], lang] for i in range(j) if word[i:j] in m.pieces]
         if word[j - 1] not in m.pieces:
             terms.append(total[j - 1] + L.UNKNOWN)
         total.append(np.logaddexp.reduce(terms) if terms else -np.inf)
