@@ -178,7 +178,7 @@ def fit_pieces(
 class Identifier:
     """Scores batches of whole texts; remembers a bounded number of white-space tokens."""
 
-    def __init__(self, model: PieceModel, remember: int = 250_000):
+    def __init__(self, model: PieceModel, remember: int = 600_000):
         self.model, self.remember = model, remember
         self._forget()
 
