@@ -74,24 +74,53 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return x if size == width else np.minimum(x[: len(x) - (width - size)], x[width - size :])
 
 
+def _repeating(rolling: Rolling, sums, hashes, key, start, count, length: int) -> np.ndarray:
+    """Whether two windows of a run are equal.
+
+    Equal windows hold their smallest substring at one offset, so it stands in such
+    a run twice, without another window's smallest substring in between. Only runs
+    over such places are compared window by window.
+    """
+    wide = len(hashes) - len(key) + 1
+    # a substring is some window's smallest if it is the largest key around
+    around = np.concatenate([np.zeros(wide - 1, np.uint64), key, np.zeros(wide - 1, np.uint64)])
+    smallest = np.flatnonzero(~sliding_min(~around, wide) == hashes)
+    twice = np.zeros(len(hashes) + 1, dtype=np.int64)
+    twice[smallest[:-1][hashes[smallest[1:]] == hashes[smallest[:-1]]] + 1] = 1
+    twice = np.cumsum(twice)
+    near = np.flatnonzero((count > 1) & (twice[start + count + wide - 1] > twice[start]))
+    inner = np.zeros(len(start), dtype=bool)
+    if len(near):
+        n = count[near]
+        run = np.repeat(near, n)
+        at = start[run] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        window = _mix((sums[at + length] - sums[at]) * rolling.backs[at])
+        order = np.lexsort((window, run))
+        run, window = run[order], window[order]
+        inner[run[1:][(run[1:] == run[:-1]) & (window[1:] == window[:-1])]] = True
+    return inner
+
+
 def runs(rolling: Rolling, data: np.ndarray, inside: np.ndarray, k: int, length: int):
-    """Runs of windows with one key: (start, windows, key, hash of the run's bytes).
+    """Runs of windows with one key: (start, windows, key, hash of the run's bytes, repeats within).
 
     A window's key is its smallest hash of ``k`` bytes. ``inside`` tells the starts
     of the windows that count.
     """
     sums = rolling.prefix(data)
-    key = sliding_min(rolling.all_of(sums, k), length - k + 1)
+    hashes = rolling.all_of(sums, k)
+    key = sliding_min(hashes, length - k + 1)
     at = np.flatnonzero(inside[: len(key)])
     if not len(at):
-        return at, at, key[:0], key[:0]
+        return at, at, key[:0], key[:0], inside[:0]
     new = np.concatenate([[True], (np.diff(at) != 1) | (key[at[1:]] != key[at[:-1]])])
     began = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
     new |= (np.arange(len(at)) - began) % RUN == 0
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(at)))
     start = at[first]
-    return start, count, key[start], rolling.some(sums, start, start + count + length - 1)
+    inner = _repeating(rolling, sums, hashes, key, start, count, length)
+    return start, count, key[start], rolling.some(sums, start, start + count + length - 1), inner
 
 
 def _blocks(items: Iterator[tuple[int, int, bytes]], length: int):
@@ -123,7 +152,7 @@ def _slices(owner: int, text: bytes, length: int) -> Iterator[tuple[int, int, by
         yield owner, at, text[at : at + SLICE + length - 1]
 
 
-_SCHEMA = "doc long, tie long, start long, n long, key long, body long, done boolean"
+_SCHEMA = "doc long, tie long, start long, n long, key long, body long, done boolean, inner boolean"
 
 
 def coarse_runs(length: int, k: int):
@@ -138,14 +167,14 @@ def coarse_runs(length: int, k: int):
             parts = []
             for block in _blocks(items, length):
                 data, begins, inside = _laid(block, length)
-                start, count, key, body = runs(rolling, data, inside, k, length)
+                start, count, key, body, inner = runs(rolling, data, inside, k, length)
                 owner = np.searchsorted(begins, start, side="right") - 1
                 own = np.array([o for o, _, _ in block])[owner]
                 offset = np.array([a for _, a, _ in block])[owner]
-                parts.append((own, start - begins[owner] + offset, count, key, body))
+                parts.append((own, start - begins[owner] + offset, count, key, body, inner))
             if not parts:
                 continue
-            own, start, count, key, body = (np.concatenate(x) for x in zip(*parts))
+            own, start, count, key, body, inner = (np.concatenate(x) for x in zip(*parts))
             _, first, inverse = np.unique(key ^ body * _BASE, return_index=True, return_inverse=True)
             first = first[inverse]
             done = (first < np.arange(len(key))) & (key[first] == key) & (body[first] == body)
@@ -153,7 +182,7 @@ def coarse_runs(length: int, k: int):
             follows = done[1:] & done[:-1] & (own[1:] == own[:-1]) & (start[1:] == start[:-1] + count[:-1])
             head = np.flatnonzero(np.concatenate([[True], ~follows]))
             total = np.add.reduceat(count, head)
-            own, start, done, key, body = own[head], start[head], done[head], key[head], body[head]
+            own, start, done, key, body, inner = (x[head] for x in (own, start, done, key, body, inner))
             place = _mix(own.astype(np.uint64) * _BASE + start.astype(np.uint64))
             yield pd.DataFrame(
                 {
@@ -164,6 +193,7 @@ def coarse_runs(length: int, k: int):
                     "key": np.where(done, place, key).astype(np.int64),
                     "body": body.astype(np.int64),
                     "done": done,
+                    "inner": inner,
                 }
             )
 
@@ -174,7 +204,8 @@ def settle(rows: DataFrame, *more: str) -> DataFrame:
     """Compare the runs of each key.
 
     Adds ``state``: done (an earlier run has its bytes), open (the key has other
-    bytes too), or null (nothing to compare with); and ``size``, the runs of the key.
+    bytes too, or the run repeats itself), or null (nothing to compare with); and
+    ``size``, the runs of the key.
     """
     by_key, by_body = Window.partitionBy("key"), Window.partitionBy("key", "body")
     # the wider window first: its shuffle serves both
@@ -182,7 +213,7 @@ def settle(rows: DataFrame, *more: str) -> DataFrame:
     rows = rows.withColumn("size", F.count("*").over(by_key))
     # a row read twice is at one place, so it doesn't repeat itself
     rows = rows.withColumn("again", F.struct(*PLACE) > F.min(F.struct(*PLACE)).over(by_body))
-    state = F.when(F.col("done") | F.col("again"), "done").when(F.col("mixed"), "open")
+    state = F.when(F.col("done") | F.col("again"), "done").when(F.col("mixed") | F.col("inner"), "open")
     return rows.select(*PLACE, "n", "key", *more, "size", state.alias("state")).filter("state is not null")
 
 
@@ -207,7 +238,7 @@ def fine_runs(length: int, k: int):
                         items.append((i, lo + at, piece))
             for block in _blocks(iter(items), length):
                 data, begins, inside = _laid(block, length)
-                start, count, key, body = runs(rolling, data, inside, k, length)
+                start, count, key, body, inner = runs(rolling, data, inside, k, length)
                 if not len(start):
                     continue
                 owner = np.searchsorted(begins, start, side="right") - 1
@@ -223,6 +254,7 @@ def fine_runs(length: int, k: int):
                         "key": key.astype(np.int64),
                         "body": body.astype(np.int64),
                         "done": False,
+                        "inner": inner,
                         "raw": [raw[a : a + c + length - 1] for a, c in zip(start.tolist(), count.tolist())],
                     }
                 )

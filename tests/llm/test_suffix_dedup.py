@@ -85,3 +85,29 @@ def test_repeated_and_null_ids(spark):
     assert len(got) == 4
     apart = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert sorted(bytes(r.kept) for r in suffix_dedup.remove_repeats(apart).collect()) == sorted(r[1] for r in got)
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["a" * 300, "ab" * 150, "a" * 609, "-" * 120, "The sixty bytes of this line are not repeated within itself\n" * 4],
+    ids=["one byte", "two bytes", "two runs", "rule", "line"],
+)
+def test_repeats_within_the_only_run(spark, text):
+    """The text's windows have one key, and no other text has it."""
+    rows = [(1, " ".join(f"w{i}" for i in range(60))), (2, text)]
+    want = brute(rows, 100)
+    assert want[1][2] == 1
+    assert run(spark, rows) == want
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_runs_that_repeat_themselves(seed):
+    rng = np.random.default_rng(seed)
+    parts = [np.tile(rng.integers(97, 123, p), 400 // p + 1)[: rng.integers(90, 400)] for p in (1, 2, 7, 35, 60, 69, 90, 150, 240)]
+    parts += [rng.integers(97, 123, n) for n in (150, 300)]
+    data = np.concatenate([parts[i] for i in rng.permutation(len(parts))]).astype(np.uint8)
+    for k in (suffix_dedup.COARSE, suffix_dedup.FINE):
+        start, count, _, _, inner = suffix_dedup.runs(suffix_dedup.Rolling(), data, np.ones(len(data), bool), k, 100)
+        windows = [[data[s + i : s + i + 100].tobytes() for i in range(c)] for s, c in zip(start, count)]
+        assert inner.tolist() == [len(set(w)) < len(w) for w in windows]
+        assert k == suffix_dedup.FINE or inner.any()
