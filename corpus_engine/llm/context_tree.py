@@ -4,6 +4,10 @@ Bytes are decomposed into eight binary decisions. Each decision has a tree of
 contexts, the bytes before it from none to ``DEPTH``. A node's counts give a
 Krichevsky-Trofimov estimate; a node's weight against its deeper nodes follows from
 how well either explains the training bytes, so all depths are mixed.
+
+All counts stay a table. Contexts that end in the same two bytes lie in one part of
+the tree, which is at most 2**16 entries; depths 0 and 1 are above all parts and are
+small. So each part is built, and asked for the symbols to score, in one task.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +28,12 @@ from corpus_engine.runtime import durable
 
 DEPTH = 3
 END = b"\n"
-#: A context keeps a symbol seen in at least this share of the training bytes, so at
-#: most 2**20 entries a depth exist, however large the corpus is.
+#: What makes up at least this share of the training tokens or bytes is broadcast, at
+#: most 2**20 entries; all else is joined. The scores are the same.
 SHARE = 1 << 20
+#: Depths above all parts of the tree, and rows of whole parts that are built at once.
+TOP = 2
+PART_ROWS = 200_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -122,41 +130,46 @@ class ContextTree:
     ones: list[np.ndarray]
     stop: list[np.ndarray]
 
-    @classmethod
-    def build(cls, depths: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> ContextTree:
-        """From (context, symbol, count) of every depth."""
+    @staticmethod
+    def nodes(context: np.ndarray, symbol: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of the decisions of such entries, with their zeros and ones."""
         keys, zero, one = [], [], []
-        for context, symbol, count in depths:
-            k, z, o = [], [], []
-            for bit in range(8):
-                node = (np.int64(1) << bit) | (symbol >> (8 - bit))
-                set_ = (symbol >> (7 - bit)) & 1
-                k.append(context * 256 + node)
-                z.append(np.where(set_ == 0, count, 0))
-                o.append(np.where(set_ == 1, count, 0))
-            key, inverse = np.unique(np.concatenate(k), return_inverse=True)
-            keys.append(key)
-            zero.append(np.bincount(inverse, np.concatenate(z), len(key)).astype(float))
-            one.append(np.bincount(inverse, np.concatenate(o), len(key)).astype(float))
-        stop, below = [np.zeros(0)] * len(keys), None
-        for d in reversed(range(len(keys))):
-            own = log_kt(zero[d], one[d])
-            if below is None:
-                weighted, stop[d] = own, np.ones(len(own))
-            else:
-                # what no deeper node has seen is explained by an estimator of its own
-                mask = (1 << (8 * d)) - 1
-                parent = ((keys[d + 1] >> 8) & mask) * 256 + (keys[d + 1] & 255)
-                at = np.searchsorted(keys[d], parent)
-                children = np.bincount(at, below, len(own))
-                rest_zero = np.maximum(zero[d] - np.bincount(at, zero[d + 1], len(own)), 0)
-                rest_one = np.maximum(one[d] - np.bincount(at, one[d + 1], len(own)), 0)
-                deeper = children + log_kt(rest_zero, rest_one)
-                leaf = np.bincount(at, minlength=len(own)) == 0
-                weighted = np.where(leaf, own, np.logaddexp(own, deeper) + np.log(0.5))
-                stop[d] = np.where(leaf, 1.0, np.exp(np.minimum(own + np.log(0.5) - weighted, 0)))
-            below = weighted
-        return cls(keys, [(o + 0.5) / (z + o + 1) for z, o in zip(zero, one)], stop)
+        for bit in range(8):
+            node = (np.int64(1) << bit) | (symbol >> (8 - bit))
+            set_ = (symbol >> (7 - bit)) & 1
+            keys.append(context * 256 + node)
+            zero.append(np.where(set_ == 0, count, 0))
+            one.append(np.where(set_ == 1, count, 0))
+        key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        return key, *(np.bincount(inverse, np.concatenate(x), len(key)).astype(float) for x in (zero, one))
+
+    @staticmethod
+    def above(key: np.ndarray, depth: int, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Sums of the nodes' values for each node of ``depth``, one above theirs."""
+        parent = ((key >> 8) & ((1 << (8 * depth)) - 1)) * 256 + (key & 255)
+        parent, inverse = np.unique(parent, return_inverse=True)
+        return parent, *(np.bincount(inverse, v, len(parent)) for v in values)
+
+    @classmethod
+    def part(cls, codes: np.ndarray, counts: np.ndarray) -> tuple[ContextTree, tuple[np.ndarray, ...]]:
+        """The depths from TOP of whole parts, and what the depth above needs: key, weight, zeros, ones."""
+        key, zero, one = cls.nodes(codes >> 8, codes & 255, counts)
+        own = log_kt(zero, one)
+        tree = cls([key], [(one + 0.5) / (zero + one + 1)], [np.ones(len(key))])
+        sums = cls.above(key, DEPTH - 1, own, zero, one)
+        for d in reversed(range(TOP, DEPTH)):
+            sums = tree.cover(sums, d)
+        return tree, sums
+
+    def cover(self, sums: tuple[np.ndarray, ...], depth: int) -> tuple[np.ndarray, ...]:
+        """Put ``depth`` on top, given its deeper nodes' sums; gives the sums for the depth above."""
+        key, deeper, zero, one = sums
+        own = log_kt(zero, one)
+        weighted = np.logaddexp(own, deeper) + np.log(0.5)
+        self.keys.insert(0, key)
+        self.ones.insert(0, (one + 0.5) / (zero + one + 1))
+        self.stop.insert(0, np.exp(np.minimum(own + np.log(0.5) - weighted, 0)))
+        return self.above(key, depth - 1, weighted, zero, one) if depth else sums
 
     def log_probability(self, codes: np.ndarray) -> np.ndarray:
         """Natural log probability of each code's symbol after its context."""
@@ -181,37 +194,114 @@ class ContextTree:
         return total
 
 
+def tree_top(grams: DataFrame) -> ContextTree:
+    """Depths 0 to TOP - 1 of the tree of ``code, count``: at most 65,280 nodes a depth."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in whole_parts(batches):
+            _, sums = ContextTree.part(rows["code"].to_numpy(), rows["count"].to_numpy())
+            yield pd.DataFrame(dict(zip(("node", "weight", "zero", "one"), sums)))
+
+    sums = by_part(grams).mapInPandas(run, "node long, weight double, zero double, one double")
+    sums = sums.groupBy("node").agg(*(F.sum(c).alias(c) for c in ("weight", "zero", "one"))).toPandas().sort_values("node")
+    tree, left = ContextTree([], [], []), tuple(sums[c].to_numpy() for c in ("node", "weight", "zero", "one"))
+    for d in reversed(range(TOP)):
+        left = tree.cover(left, d)
+    return tree
+
+
+def by_part(rows: DataFrame) -> DataFrame:
+    """Rows with a ``code``, part after part of the tree."""
+    part = F.shiftright("code", 8).bitwiseAND((1 << (8 * TOP)) - 1)
+    return rows.withColumn("part", part).repartition("part").sortWithinPartitions("part", "code")
+
+
+def whole_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Join batches and cut them between parts; a part is never cut."""
+    held, size = [], 0
+    for batch in batches:
+        part = batch["part"].to_numpy()
+        new = np.flatnonzero(part[1:] != part[:-1]) + 1
+        for lo, hi in zip(np.insert(new, 0, 0), np.append(new, len(part))):
+            if size >= PART_ROWS and held[-1]["part"].iloc[-1] != part[lo]:
+                yield pd.concat(held, ignore_index=True)
+                held, size = [], 0
+            if hi > lo:
+                held.append(batch.iloc[lo:hi])
+                size += hi - lo
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def symbol_scores(grams: DataFrame, wanted: DataFrame, top: Broadcast) -> DataFrame:
+    """``code, value``: natural log probability of each code in ``wanted`` under the tree of ``grams``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in whole_parts(batches):
+            codes, counts = rows["code"].to_numpy(), rows["count"].to_numpy()
+            deep, _ = ContextTree.part(codes[counts > 0], counts[counts > 0])
+            over = top.value
+            tree = ContextTree(over.keys + deep.keys, over.ones + deep.ones, over.stop + deep.stop)
+            asked = codes[counts == 0]
+            yield pd.DataFrame({"code": asked, "value": tree.log_probability(asked)})
+
+    rows = grams.select("code", "count").unionByName(wanted.select("code", F.lit(0).cast("long").alias("count")))
+    return by_part(rows).mapInPandas(run, "code long, value double")
+
+
 class TreeScorer:
-    """Text scores; a direct-mapped table remembers the symbols it has computed."""
+    """Symbol values from a sorted table; a direct-mapped table remembers where they stand."""
 
-    def __init__(self, tree: ContextTree, bits: int = 20):
-        self.tree, self.shift = tree, np.uint32(32 - bits)
+    def __init__(self, codes: np.ndarray, values: np.ndarray, bits: int = 20):
+        self.known, self.found, self.shift = codes, values, np.uint32(32 - bits)
         self.codes = np.zeros(1 << bits, dtype=np.uint32)
+        self.codes[0] = 1  # code 0 is not remembered yet
         self.values = np.full(1 << bits, np.nan)
 
     def _slot(self, codes: np.ndarray) -> np.ndarray:
         return (codes * np.uint32(0x9E3779B1)) >> self.shift
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        """Natural log probabilities of the texts' tokens and their end."""
-        codes, lengths = stream(texts)
+    def values_of(self, codes: np.ndarray) -> np.ndarray:
+        """Values of the codes, NaN where the table has none."""
         slot = self._slot(codes)
         value = self.values[slot]
-        missing = (self.codes[slot] != codes) | np.isnan(value)
+        missing = self.codes[slot] != codes
         if missing.any():
             new, inverse = np.unique(codes[missing], return_inverse=True)
-            fresh_values = self.tree.log_probability(new)
+            at = np.minimum(np.searchsorted(self.known, new), max(len(self.known) - 1, 0))
+            fresh_values = np.full(len(new), np.nan)
+            if len(self.known):
+                fresh_values = np.where(self.known[at] == new, self.found[at], np.nan)
             value[missing] = fresh_values[inverse]
             slot = self._slot(new)
             self.codes[slot], self.values[slot] = new, fresh_values
-        return np.add.reduceat(value, np.cumsum(lengths) - lengths)
+        return value
+
+    def scores(self, texts: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Natural log probabilities of the known symbols of each text; its other codes, and how often they stand."""
+        codes, lengths = stream(texts)
+        value = self.values_of(codes)
+        begins = np.cumsum(lengths) - lengths
+        other = np.flatnonzero(np.isnan(value))
+        value[other] = 0
+        owner = (np.searchsorted(begins, other, side="right") - 1).astype(np.uint64)
+        pair, times = np.unique((owner << np.uint64(32)) | codes[other], return_counts=True)
+        cuts = np.searchsorted(pair >> np.uint64(32), np.arange(1, len(texts), dtype=np.uint64))
+        code = (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        return np.add.reduceat(value, begins), np.split(code, cuts), np.split(times, cuts)
 
 
 @dataclass
 class LanguageModel:
-    """The tree, the frequent tokens' counts, and the table of the other tokens' counts."""
+    """Tables of all counts of byte contexts and of the rarer tokens; what is frequent or small stands in memory.
 
-    tree: ContextTree
+    ``codes`` are the frequent symbols in their contexts, ``values`` their log probabilities.
+    """
+
+    grams: DataFrame
+    top: Broadcast
+    codes: np.ndarray
+    values: np.ndarray
     hashes: np.ndarray
     counts: np.ndarray
     total: int
@@ -219,12 +309,12 @@ class LanguageModel:
     rare: DataFrame | None = None
 
 
-def fit(documents: DataFrame, usable: Column, text: str = "text", depth: int = DEPTH) -> LanguageModel:
+def fit(documents: DataFrame, usable: Column, text: str = "text") -> LanguageModel:
     """Count all usable texts; null texts are empty ones.
 
-    Counts of byte contexts and of tokens come from every training byte. The tree's
-    size is bounded by ``SHARE``; tokens more frequent than a share of 2**-20 are kept
-    in memory, at most that many, and the others stay a table.
+    Counts of byte contexts and of tokens come from every training byte, and all of
+    them count. Symbols and tokens more frequent than a share of 2**-20 are kept in
+    memory, at most that many, and the others stay a table.
     """
     texts = documents.filter(usable).select(F.coalesce(field(text), F.lit("")).alias("t"))
     counted = durable(corpus_counts(texts))
@@ -234,26 +324,22 @@ def fit(documents: DataFrame, usable: Column, text: str = "text", depth: int = D
     ends = counted.filter("kind = 2").agg(F.sum("count")).first()[0] or 0
     total, distinct = (known[0] or 0) + ends, known[1] + (ends > 0)
 
-    depths = []
-    for d in range(depth + 1):
-        context = F.shiftright("code", 8).bitwiseAND((1 << (8 * d)) - 1)
-        entries = grams.groupBy(context.alias("context"), F.col("code").bitwiseAND(255).alias("symbol")).agg(
-            F.sum("count").alias("count")
-        )
-        frame = entries.filter(F.col("count") >= size / SHARE).toPandas()
-        depths.append(tuple(frame[c].to_numpy(dtype=np.int64) for c in ("context", "symbol", "count")))
+    grams = grams.select("code", "count")
+    top = documents.sparkSession.sparkContext.broadcast(tree_top(grams))
+    frequent = symbol_scores(grams, grams.filter(F.col("count") * SHARE >= size), top).toPandas().sort_values("code")
+    codes, values = frequent["code"].to_numpy(dtype=np.uint32), frequent["value"].to_numpy(dtype=float)
     often = words.filter(F.col("count") * SHARE >= total).toPandas().sort_values("code")
     rare = words.filter(F.col("count") * SHARE < total).select(F.col("code").alias("word"), F.col("count").alias("c"))
     hashes, counts = (often[c].to_numpy(dtype=np.int64) for c in ("code", "count"))
     end_hash = np.int64(word_hash(END))
     at = np.searchsorted(hashes, end_hash)
     hashes, counts = np.insert(hashes, at, end_hash), np.insert(counts, at, ends)
-    return LanguageModel(ContextTree.build(depths), hashes, counts, total, distinct, rare)
+    return LanguageModel(grams, top, codes, values, hashes, counts, total, distinct, rare)
 
 
-def _score_batch(tree, hashes, counts):
+def _score_batch(codes, values, hashes, counts):
     def make():
-        scorer = TreeScorer(tree.value)
+        scorer = TreeScorer(codes.value, values.value)
         frequent = dict(zip(hashes.value.tolist(), counts.value.tolist()))
         seen: dict[bytes, tuple[int, int]] = {}
 
@@ -263,7 +349,7 @@ def _score_batch(tree, hashes, counts):
             for _, block in text_blocks(texts, 1_000_000):
                 if len(seen) > 200_000:
                     seen = {}
-                for text, score in zip(block, scorer.scores(block) / np.log(10)):
+                for text, score, grams, gram_times in zip(block, *scorer.scores(block)):
                     found = Counter(tokens(text))
                     found[END] = 1
                     known, base, other, times = 0, 0.0, [], []
@@ -278,8 +364,8 @@ def _score_batch(tree, hashes, counts):
                         elif entry[1] > 0:
                             known += n
                             base += n * np.log10(entry[1] + 1)
-                    out.append((sum(found.values()), known, base, score, other, times))
-            return pd.DataFrame(out, columns=["n_tokens", "known", "base", "score", "words", "times"])
+                    out.append((sum(found.values()), known, base, score, other, times, grams, gram_times))
+            return pd.DataFrame(out, columns=["n_tokens", "known", "base", "score", "words", "times", "grams", "gram_times"])
 
         return run
 
@@ -292,15 +378,16 @@ def score_texts(df: DataFrame, model: LanguageModel, text: str = "text") -> Data
     A null text is empty: one token, its end. The model scores the lower-cased tokens
     joined by single spaces, then the end. Repeated rows stay; other columns pass
     through, and one named like a result is replaced. The text is left out because
-    the rows are written once before the counts of rare tokens are joined.
+    the rows are written once before the values of rare symbols and tokens are joined.
     """
     context = df.sparkSession.sparkContext
     results = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
-    made, row, mine, size = (fresh(df, c) for c in ("made", "row", "mine", "size"))
+    made, row, mine, rare, size = (fresh(df, c) for c in ("made", "row", "mine", "rare", "size"))
     keep = [field(c) for c in df.columns if c not in (*results, text)]
     # bounded by SHARE, whatever the corpus
-    shared = [context.broadcast(x) for x in (model.tree, model.hashes, model.counts)]
+    shared = [context.broadcast(x) for x in (model.codes, model.values, model.hashes, model.counts)]
     schema = "n_tokens long, known long, base double, score double, words array<long>, times array<long>"
+    schema += ", grams array<long>, gram_times array<long>"
     scored = df.withColumn(made, per_row(_score_batch(*shared), schema, field(text)))
     scored = scored.withColumn(size, F.octet_length(F.coalesce(field(text), F.lit(""))) + 1)
     scored = durable(scored.select(*keep, field(made), field(size), F.monotonically_increasing_id().alias(row)))
@@ -314,13 +401,21 @@ def score_texts(df: DataFrame, model: LanguageModel, text: str = "text") -> Data
         .agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("base"))
     )
     sums = sums.select(F.col("row").alias(row), F.struct("known", "base").alias(mine))
+
+    zipped = F.arrays_zip(own["grams"].alias("code"), own["gram_times"].alias("times"))
+    pairs = scored.select(field(row).alias("row"), F.explode(zipped).alias("p")).select("row", "p.code", "p.times")
+    found = symbol_scores(model.grams, pairs.select("code").distinct(), model.top)
+    logs = pairs.join(found, "code").groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("value"))
+    logs = logs.select(F.col("row").alias(row), F.col("value").alias(rare))
+
+    score = (own["score"] + F.coalesce(field(rare), F.lit(0.0))) / F.log(F.lit(10.0))
     per_token = F.log10(F.lit(float(model.total + model.distinct + 1)))
-    return scored.join(sums, row, "left").select(
+    return scored.join(sums, row, "left").join(logs, row, "left").select(
         *keep,
         own["n_tokens"].alias("n_tokens"),
         (own["known"] + F.coalesce(rest["known"], F.lit(0))).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"),
         (own["base"] + F.coalesce(rest["base"], F.lit(0.0)) - own["n_tokens"] * per_token).alias("base_score"),
-        own["score"].alias("score"),
-        (-own["score"] / F.log10(F.lit(2.0)) / field(size)).alias("bits_per_byte"),
+        score.alias("score"),
+        (-score / F.log10(F.lit(2.0)) / field(size)).alias("bits_per_byte"),
     )

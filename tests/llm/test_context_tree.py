@@ -94,6 +94,19 @@ def test_rare_tokens_by_join(spark, monkeypatch):
     assert rows() == want
 
 
+def test_rare_symbols_by_join(spark, monkeypatch):
+    """Whatever is broadcast, all counts make the score; parts of the tree may be built one by one."""
+    df = spark.createDataFrame(ROWS, "doc_id long, text string, score string").drop("score")
+    train = F.coalesce(F.col("doc_id"), F.lit(1)) % 3 != 1
+    slow = slow_model([t for i, t, _ in ROWS if (1 if i is None else i) % 3 != 1])
+    want = sorted((str(i), round(slow(t), 6)) for i, t, _ in ROWS)
+    for share, rows in ((3, 500_000), (40, 1), (1, 7)):
+        monkeypatch.setattr(C, "SHARE", share)
+        monkeypatch.setattr(C, "PART_ROWS", rows, raising=False)
+        got = C.score_texts(df, C.fit(df, train)).collect()
+        assert sorted((str(r.doc_id), round(r.score, 6)) for r in got) == want
+
+
 def test_log_gamma():
     x = np.array([0.5, 1, 1.5, 3, 7.9, 8, 100.5, 1e7])
     assert np.allclose(C.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-9, atol=1e-8)
