@@ -2,8 +2,9 @@
 
 The sink holds three append-only folders. ``pages`` names the pages of each
 batch, ``manifest`` lists the chunks a page has since that batch, and ``bodies``
-holds chunk texts, each written once. A batch reads manifests of its own pages
-only and writes only what changed; a repeated batch overwrites its own folders.
+holds chunk texts, each written once. A batch writes only what changed, but reads
+the page names and manifests of all past batches to find those of its own pages; a
+repeated batch overwrites its own folders.
 """
 
 from __future__ import annotations
