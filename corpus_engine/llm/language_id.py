@@ -240,26 +240,33 @@ def fit(
     order: Column | None = None,
     sample_rows: int = 4_000,
     row_chars: int = 20_000,
-    languages: int = 200,
 ) -> PieceModel | None:
     """Learn from a bounded sample of rows for which ``usable`` holds.
 
-    The sample has at most ``sample_rows`` rows, dealt evenly to the ``languages`` most
-    frequent languages, in the order of ``order`` (a hash of the text by default),
-    among texts of up to ``row_chars`` characters. Priors count all usable
+    The sample has at most ``sample_rows`` rows, dealt evenly to all languages but at
+    least one each, in the order of ``order`` (a hash of the text by default), among
+    texts of up to ``row_chars`` characters. A language that has no such text gives its
+    shortest ones, as many as have the characters of its share. Priors count all usable
     rows. None when no usable row has a text and a language.
     """
     rows = documents.filter(usable & field(lang).isNotNull() & field(text).isNotNull())
     rows = rows.select(field(lang).alias("lang"), field(text).alias("t"), (order if order is not None else F.xxhash64(field(text))).alias("o"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return None
     prior = {r["lang"]: r["count"] for r in counts}
-    few = rows.filter(F.col("lang").isin(*prior) & (F.length("t") <= row_chars))
-    place = Window.partitionBy("lang").orderBy("o")
+    # long texts come after all others, the shortest first
+    size = F.when(F.length("t") > row_chars, F.length("t")).otherwise(0)
+    rows, share = rows.withColumn("size", size), max(1, sample_rows // len(prior))
+    place = Window.partitionBy("lang").orderBy("size", "o")
     # the cut is made on ids first, so that no group of texts is gathered
-    ids = few.select("lang", "o").withColumn("k", F.row_number().over(place)).filter(F.col("k") <= max(1, sample_rows // len(prior)))
-    picked = few.join(F.broadcast(ids.select("lang", "o").distinct()), ["lang", "o"]).dropDuplicates(["lang", "o"]).toPandas()
+    ids = rows.select("lang", "size", "o").withColumn("k", F.row_number().over(place)).filter(F.col("k") <= share)
+    least = F.min("size").over(Window.partitionBy("lang"))
+    chars = F.sum("size").over(place.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ids = ids.withColumn("least", least).withColumn("chars", chars)
+    ids = ids.filter((F.col("size") == 0) | (F.col("least") > 0) & ((F.col("k") == 1) | (F.col("chars") <= share * row_chars)))
+    key = ["lang", "size", "o"]
+    picked = rows.join(F.broadcast(ids.select(*key).distinct()), key).dropDuplicates(["lang", "o"]).toPandas()
     picked = picked.sort_values(["lang", "o"], kind="stable")
     if picked.empty:
         return None

@@ -65,3 +65,12 @@ def test_held_out_accuracy(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
     held = [r for r in rows if r.held_out]
     assert sum(r.lang_pred == lang[r.doc_id] for r in held) / len(held) > 0.97
+
+
+def test_every_language_is_learned(spark):
+    """However many languages there are, and even if a language has only long texts."""
+    rows = [(f"l{i:03}", f"word{i} and more of it {k}") for i in range(230) for k in range(1 + (i < 200))]
+    rows += [("long", "ein langer satz " * n) for n in (20, 30, 500)] + [("l000", "another text " * 20)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    model = L.fit(docs, F.lit(True), PIECES, row_chars=100)
+    assert sorted(model.languages) == sorted({r[0] for r in rows})
