@@ -9,17 +9,21 @@ from pyspark.sql import functions as F
 
 from corpus_engine.llm import (
     byte_bpe,
+    chat_format,
     context_tree,
     decontamination,
     html_extraction,
     language_id,
+    lexical_search,
     ngram_join,
     quality,
+    structure_repair,
     suffix_dedup,
     token_counts,
     toxicity,
 )
 from corpus_engine.llm.common import remainder
+from corpus_engine.runtime import durable
 from corpus_engine.sources.tables import load_table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -136,6 +140,61 @@ def op10_html_extraction(spark: SparkSession, d: str) -> DataFrame:
     return extracted.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+#: A conversation whose texts look like the template's own control strings.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+@query
+def op11_chat_format(spark: SparkSession, d: str) -> DataFrame:
+    rows = load_table(spark, d, "conversations", ["conv_id", "turn", "role", "text"])
+    control = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], rows.schema)
+    windows = chat_format.format_conversations(rows.unionByName(control), PIECES)
+    return chat_format.read_back(windows)
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversation rows with a fault in five of twenty, chosen by a checksum of their key."""
+    space = F.lit(" ")
+    key = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn")))
+    rows = rows.select("conv_id", "turn", *(F.coalesce(c, space).alias(c) for c in ("role", "text")))
+    rows = rows.withColumn("fault", F.crc32(key.cast("binary")) % 20).filter("fault != 0")
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.regexp_replace("text", "[.!?]", ""))
+    rows = rows.withColumn("text", text.otherwise(F.col("text")))
+    rows = rows.withColumn("role", F.when(F.col("fault") == 4, "user").otherwise(F.col("role")))
+    copies = F.array_repeat(F.lit(0), F.when(F.col("fault") == 3, 2).otherwise(1))
+    return rows.withColumn("copy", F.explode(copies)).select("conv_id", "turn", "role", "text")
+
+
+@query
+def op12_structure_repair(spark: SparkSession, d: str) -> DataFrame:
+    original = load_table(spark, d, "conversations", ["conv_id", "turn", "role", "text"])
+    rows = damaged(original)
+    plans = durable(structure_repair.plan_repairs(rows))
+    digests = structure_repair.conversation_digests(structure_repair.apply_repairs(rows, plans))
+    ids = original.select(F.col("conv_id").alias("id")).distinct()
+    found = plans.drop("edits", "inserted").withColumnRenamed("conv_id", "plan_id")
+    out = ids.join(found, ids.id.eqNullSafe(found.plan_id), "left").join(
+        digests, ids.id.eqNullSafe(digests.conv_id), "left"
+    )
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return out.select(
+        F.col("id").alias("conv_id"),
+        *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
+@query
+def op13_lexical_search(spark: SparkSession, d: str) -> DataFrame:
+    docs = load_table(spark, d, "documents", ["doc_id", "text"])
+    items = load_table(spark, d, "benchmark", ["item_id", "text"])
+    return lexical_search.search(lexical_search.build_index(docs), items)
+
+
+SQL["op13_lexical_search"] = lexical_search.ORACLE
+
+
 @query
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     return corpus_pipeline.run(spark, d)
