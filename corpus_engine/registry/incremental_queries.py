@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 
 from corpus_engine.functions.text import content_hash
 from corpus_engine.operators import incremental as I
+from corpus_engine.operators.embedding import hashed_words
 from corpus_engine.operators.timeline import previous_version as previous
-from corpus_engine.registry import query
+from corpus_engine.plans import maintenance
+from corpus_engine.registry import query, sql
+from corpus_engine.runtime import scratch_path
 from corpus_engine.sources.tables import load_table
+from corpus_engine.streaming import ingest
 
 _NEW = r"""CASE lang WHEN 'de' THEN 'Neu. ' || text WHEN 'en' THEN regexp_replace(text, '\n[^\n]*$', '') ELSE text END"""
 _GONE = "source LIKE '%7'"
@@ -177,3 +181,66 @@ def previous_version(spark, d):
     return previous(events, ["user_id", "event_type"], "ts", "props", "previous", 5 * 86_400_000_000).select(
         "event_id", "previous"
     )
+
+
+_DIM = 16
+
+
+@query(
+    f"""WITH {_V},
+       seen AS (SELECT n.doc_id FROM new n JOIN old o USING (doc_id) WHERE n.lang <> 'fr' AND n.hash <> o.hash),
+       c1 AS (SELECT * FROM ({sql.plain_chunks('old', 'doc_id')}) WHERE NOT {sql.boilerplate('content')}),
+       changed AS (SELECT * FROM new SEMI JOIN seen USING (doc_id)),
+       c2 AS (SELECT * FROM ({sql.plain_chunks('changed', 'doc_id')}) WHERE NOT {sql.boilerplate('content')}),
+       kept AS (SELECT doc_id, max(chunk_index) AS chunk_index, content FROM c1 SEMI JOIN c2 USING (doc_id, content)
+                GROUP BY doc_id, content),
+       present AS (SELECT doc_id, chunk_index, content, 0 AS batch FROM c1 ANTI JOIN seen USING (doc_id)
+                   UNION ALL SELECT doc_id, chunk_index, content, 0 FROM kept
+                   UNION ALL SELECT doc_id, chunk_index, content, 1 FROM c2 ANTI JOIN c1 USING (doc_id, content))
+       SELECT doc_id AS page_id, chunk_index, md5(content) AS digest, batch, {_DIM} AS dim FROM present"""
+)
+def incremental_ingest(spark, d):
+    """The chunk table after a second crawl: unchanged texts keep their row, only new ones are embedded."""
+    old, new = _versions(spark, d)
+    sink, embedder = scratch_path(spark, "sink"), hashed_words(_DIM)
+
+    def batch(pages, number):
+        rows = pages.select("page_id", F.lit("").alias("title"), F.col("clean_markdown").alias("text"), "status_code")
+        ingest.ingest_batch(rows, number, sink, embedder, _DIM, 16)
+
+    batch(old.withColumn("status_code", F.lit(200)), 0)
+    batch(new, 1)
+    chunks = ingest.current_chunks(spark, sink)
+    return chunks.select(
+        "page_id", "chunk_index", F.md5("content").alias("digest"),
+        F.split_part("chunk_id", F.lit("-"), F.lit(1)).cast("int").alias("batch"), F.size("embedding").alias("dim"),
+    )
+
+
+# a paragraph that every page has, and one that a third of them gains
+_BASE = "<p>" + "Ein Absatz, der auf jeder Seite steht, damit keine leer ist. " * 2 + "</p></article>"
+_NEWS = "<p>Neu auf dieser Seite, Nummer %s: " + "ein ganzer Absatz, der vorher nicht da war. " * 3 + "</p></article>"
+
+
+@query(
+    """SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'not_modified' WHEN 1 THEN 'content_unchanged' ELSE 'changed' END AS outcome,
+         page_id % 3 = 2 AS has_news, true AS has_chunks, page_id % 3 < 2 AS untouched FROM pages"""
+)
+def refresh_pages(spark, d):
+    """Two crawls of all pages through the whole job; a third of them gained a paragraph."""
+    end, kind = F.lit("</article>"), F.col("page_id") % 3
+    pages = load_table(spark, d, "pages", ["page_id", "url", "html"], spread=True)
+    pages = pages.withColumn("html", F.replace("html", end, F.lit(_BASE)))
+    news = F.replace("html", end, F.format_string(_NEWS, "page_id"))
+    second = pages.withColumn("html", F.when(kind == 2, news).otherwise(F.col("html")))
+    sink, embedder = scratch_path(spark, "pages-sink"), hashed_words(_DIM)
+    maintenance.refresh_pages(pages.withColumn("status_code", F.lit(200)), 0, sink, embedder, _DIM, 16)
+    again = second.withColumn("status_code", F.when(kind == 0, 304).otherwise(200))
+    outcomes = maintenance.refresh_pages(again, 1, sink, embedder, _DIM, 16)
+    found = ingest.current_chunks(spark, sink).groupBy("page_id").agg(
+        F.bool_or(F.contains("content", F.format_string("Nummer %s:", "page_id"))).alias("has_news"),
+        F.bool_and(F.startswith("chunk_id", F.lit("0-"))).alias("untouched"),
+    )
+    return outcomes.join(found, "page_id", "left").select(
+        "page_id", "outcome", "has_news", F.col("untouched").isNotNull().alias("has_chunks"), "untouched"
+    )

@@ -140,7 +140,7 @@ def ingest_stream(spark, d):
         F.col("doc_id").alias("page_id"), F.lit("").alias("title"), "text"
     )
     sink = scratch_path(spark, "ingest")
-    ingest.ingest_stream(pages, sink, scratch_path(spark, "ingest-checkpoint"))
+    ingest.ingest_stream(pages, sink, scratch_path(spark, "ingest-checkpoint"), buckets=16)
     return ingest.current_chunks(spark, sink).select("page_id", "chunk_index", F.md5("content").alias("digest"))
 
 

@@ -1,10 +1,13 @@
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from corpus_engine.operators import timeline as W
 from corpus_engine.runtime import scratch_path
 from corpus_engine.streaming import ingest, progress, runner
+from corpus_engine.streaming.buckets import Sink
 
 SECOND = 1_000_000
 
@@ -101,3 +104,65 @@ def test_ingest_keeps_unchanged_chunks(spark):
     rows = ingest.current_chunks(spark, sink).orderBy("page_id", "chunk_index").collect()
     assert [(r.page_id, r.chunk_index, "number 3" in r.content) for r in rows] == [(1, 0, False), (1, 1, True)]
     assert spark.read.parquet(f"{sink}/bodies/batch=1").count() == 1
+
+
+def test_batches_read_their_own_buckets(spark):
+    sink = scratch_path(spark, "t-buckets")
+    text = "A page number {} whose text is long enough to be kept as one chunk in version {} of its life."
+
+    def batch(ids, n):
+        rows = [(i, "", text.format(i, n)) for i in ids]
+        ingest.ingest_batch(spark.createDataFrame(rows, "page_id bigint, title string, text string"), n, sink)
+
+    batch(range(300), 0)
+    files = []
+    for n in range(1, 7):
+        batch([1, 2, 3], n)
+        held = Sink(spark, sink)
+        touched = held.touched(spark.createDataFrame([(1,), (2,), (3,)], "page_id bigint"), "page_id")
+        state = held.read("manifest", ingest._MANIFEST, touched)
+        files.append((state.count(), len(held.versions["manifest"])))
+        assert len(touched) <= 3 and {r.v for r in state.selectExpr("max(body_batch) as v").collect()} == {n}
+    # neither rows nor state folders grow with the number of batches
+    assert len(set(files)) == 1
+    fs = [p for p in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{sink}/manifest").select("path").collect()]
+    kept = {p.path.split("/manifest/")[1].split("/part-")[0] for p in fs if "/part-" in p.path}
+    assert len(kept) <= held.buckets + 3 * 2
+    before = {(r.page_id, r.content) for r in ingest.current_chunks(spark, sink).collect()}
+    assert len(before) == 300 and ingest.compact(spark, sink, 7) > 0
+    assert {(r.page_id, r.content) for r in ingest.current_chunks(spark, sink).collect()} == before
+    assert spark.read.parquet(f"{sink}/bodies").count() == 300
+    batch([1], 8)
+    assert ingest.current_chunks(spark, sink).filter("chunk_id like '8-%'").count() == 1
+
+
+def test_failed_batch_leaves_no_trace(spark):
+    sink = scratch_path(spark, "t-failed")
+    rows = [(i, "", f"Page {i} with words enough to make a chunk of at least eighty characters, as this one has.") for i in range(9)]
+    pages = spark.createDataFrame(rows, "page_id bigint, title string, text string")
+    ingest.ingest_batch(pages.filter("page_id < 5"), 0, sink)
+    # all is written but the snapshot
+    commit, Sink.commit = Sink.commit, lambda *a: (_ for _ in ()).throw(OSError("lost"))
+    try:
+        with pytest.raises(OSError):
+            ingest.ingest_batch(pages.withColumn("text", F.upper("text")), 1, sink)
+    finally:
+        Sink.commit = commit
+    assert ingest.current_chunks(spark, sink).count() == 5
+    ingest.ingest_batch(pages.withColumn("text", F.upper("text")), 1, sink)
+    got = ingest.current_chunks(spark, sink).collect()
+    assert len(got) == 9 and all(r.content.isupper() for r in got)
+
+
+def test_chunks_without_a_vector_are_not_stored(spark):
+    sink = scratch_path(spark, "t-vectors")
+    words = "enough words to be a chunk of its own, which has to be eighty characters long or more than that, "
+
+    def embedder(texts):
+        return [None if "bad" in t else [1.0, 2.0] for t in texts]
+
+    rows = [(1, "", words + "good"), (2, "", words + "bad")]
+    out = ingest.ingest_batch(spark.createDataFrame(rows, "page_id bigint, title string, text string"), 0, sink, embedder, 2)
+    assert {r.outcome for r in out.collect()} == {"new"}
+    assert [r.page_id for r in ingest.current_chunks(spark, sink).collect()] == [1]
+    assert ingest.current_pages(spark, sink).count() == 2
