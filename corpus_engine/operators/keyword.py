@@ -6,19 +6,24 @@ the same as those of a database with stemmers.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpus_engine.functions.collections import let
 from corpus_engine.functions.text import fts_language
-from corpus_engine.runtime import durable
+from corpus_engine.runtime import durable, top_per_group
 
 _NOT_WORD = r"[^\p{L}\p{N}]+"
 _CLAUSE = r'-?"[^"]*"|\S+'
 
-#: Folders of a stored index.
-BUCKETS = 64
+#: Blocks of each length stratum of a stored index.
+BLOCKS = 16
+#: Query terms up to which the Parquet reader is told their names; the join decides in any case.
+NAMED_TERMS = 2000
 
 # Fixed value: weight of an occurrence in the default class.
 WEIGHT = 0.1
@@ -112,59 +117,101 @@ def query_clauses(queries: DataFrame, stop_words: bool = True) -> DataFrame:
     return terms.join(sizes, ["query_id", "clause_no"]).join(needed, ["query_id", "group_no"])
 
 
-def _bucket() -> Column:
-    return F.pmod(F.xxhash64("agent_id", "term"), F.lit(BUCKETS)).cast("int")
+@dataclass(frozen=True)
+class KeywordIndex:
+    """A stored index: postings in the order of site, term and block, and a summary of each block."""
+
+    postings: DataFrame  # agent_id, term, block, chunk_id, positions
+    blocks: DataFrame  # agent_id, term, block, chunks, most: the highest number of occurrences
+
+
+def _block(words: Column, chunk_id: Column) -> Column:
+    """Chunks of like length share blocks, so that a block's highest count says something."""
+    stratum = F.floor(4 * F.log2(words + 1)).cast("int")
+    return stratum * BLOCKS + F.pmod(F.xxhash64(chunk_id), F.lit(BLOCKS)).cast("int")
 
 
 def build_index(chunks: DataFrame, text_col: str = "content", stop_words: bool = True) -> DataFrame:
-    """Postings of every chunk: ``(agent_id, term, chunk_id, positions, bucket)``."""
+    """Postings of every chunk: ``(agent_id, term, block, chunk_id, positions)``."""
+    placed = chunks.withColumn("block", _block(F.length(text_col), F.col("chunk_id")))
     return (
-        word_positions(chunks, ["chunk_id", "agent_id"], text_col, stop_words)
-        .groupBy("agent_id", "chunk_id", "term")
+        word_positions(placed, ["chunk_id", "agent_id", "block"], text_col, stop_words)
+        .groupBy("agent_id", "chunk_id", "block", "term")
         .agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-        .withColumn("bucket", _bucket())
+        .select("agent_id", "term", "block", "chunk_id", "positions")
     )
 
 
-def write_index(index: DataFrame, path: str) -> DataFrame:
-    """Store postings in folders of site and term hashes, and read them back."""
-    index.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(8))).write.partitionBy("bucket").parquet(path)
-    return index.sparkSession.read.schema(index.schema).parquet(path)
+def write_index(index: DataFrame, path: str) -> KeywordIndex:
+    """Store postings sorted by site and term, in as many files as they fill.
+
+    File and row-group statistics then tell which parts hold a term. The summary has a
+    row per (site, term, block).
+    """
+    spark, order = index.sparkSession, ["agent_id", "term", "block"]
+    index.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{path}/postings")
+    postings = spark.read.schema(index.schema).parquet(f"{path}/postings")
+    count = F.count("*").alias("chunks"), F.max(F.size("positions")).alias("most")
+    blocks = postings.groupBy(*order).agg(*count)
+    blocks.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{path}/blocks")
+    return KeywordIndex(postings, spark.read.parquet(f"{path}/blocks"))
+
+
+def _asked(queries: DataFrame, stop_words: bool) -> DataFrame:
+    """Query terms with ``required``, the number of terms an alternative needs."""
+    terms = query_clauses(queries, stop_words)
+    required = F.count_if(~F.col("negated")).over(Window.partitionBy("query_id", "group_no"))
+    return durable(terms.withColumn("required", required))
+
 
+def _of_terms(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """Index rows of the query terms; few terms are named to the Parquet reader."""
+    some = asked.select("term").distinct().limit(NAMED_TERMS + 1).collect()
+    return rows.filter(F.col("term").isin([r.term for r in some])) if len(some) <= NAMED_TERMS else rows
 
-def _occurrences(queries: DataFrame, index: DataFrame, stop_words: bool) -> DataFrame:
-    """Where each clause starts in each chunk of the query's site.
 
-    Only the index folders of the query terms are read. Each alternative starts from
-    its rarest required term: the other terms count in the chunks that hold it.
+def _complete(asked: DataFrame, index: KeywordIndex, picks: DataFrame | None = None, floors: DataFrame | None = None) -> DataFrame:
+    """Alternatives all of whose terms a chunk holds, with the positions of each term.
+
+    ``picks`` (query_id, block) names the blocks to look into. ``floors`` (query_id,
+    floor) drops chunks whose counts rule out that rank before any position is unpacked.
     """
-    terms = durable(query_clauses(queries, stop_words).withColumn("bucket", _bucket()))
-    folders = [r.bucket for r in terms.select("bucket").distinct().collect()]  # at most BUCKETS numbers
-    index = index.filter(F.col("bucket").isin(folders))
-    needed = terms.select("bucket", "agent_id", "term").distinct()
-    held = durable(index.join(needed, ["bucket", "agent_id", "term"]))
-
-    frequency = held.groupBy("agent_id", "term").agg(F.count("*").alias("df"))
-    required = terms.filter(~F.col("negated")).join(frequency, ["agent_id", "term"], "left")
-    rarest = required.groupBy("query_id", "agent_id", "group_no").agg(
-        F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term")
+    terms = asked if picks is None else asked.join(picks, "query_id")
+    on = ["agent_id", "term"] if picks is None else ["agent_id", "term", "block"]
+    rows = _of_terms(index.postings, asked).join(terms, on).repartition("query_id", "chunk_id")
+    entry = F.struct("clause_no", "negated", "n_terms", "offset", "positions")
+    tf = F.when(~F.col("negated"), F.size("positions"))
+    whole = (
+        rows.groupBy("query_id", "chunk_id", "group_no", "n_clauses", "required")
+        .agg(F.collect_list(entry).alias("terms"), F.count(tf).alias("present"), F.min(tf).alias("least"))
+        .filter(F.col("present") == F.col("required"))
+        .withColumn("bound", rank_bound(F.col("n_clauses"), F.col("least")))
     )
-    group = ["query_id", "group_no", "chunk_id"]
-    possible = held.join(rarest, ["agent_id", "term"]).select(*group)
-    found = (
-        held.join(terms.drop("bucket"), ["agent_id", "term"])
-        .join(possible, group, "left_semi")
-        .select(
-            "query_id", "chunk_id", "group_no", "clause_no", "negated", "n_terms", "n_clauses", "offset",
-            F.explode("positions").alias("pos"),
-        )
-        .withColumn("start", F.col("pos") - F.col("offset"))
-        .repartition("query_id", "chunk_id")
+    if floors is not None:
+        together = F.sum("bound").over(Window.partitionBy("query_id", "chunk_id"))
+        whole = whole.withColumn("bound", together).join(floors, "query_id").filter("bound >= floor").drop("floor")
+    return whole.select("query_id", "chunk_id", "group_no", "n_clauses", F.explode("terms").alias("t"))
+
+
+def _occurrences(complete: DataFrame) -> DataFrame:
+    """Where each clause starts in each chunk."""
+    found = complete.select(
+        "query_id", "chunk_id", "group_no", "n_clauses", "t.clause_no", "t.negated", "t.n_terms",
+        F.explode(F.transform("t.positions", lambda p: p - F.col("t.offset"))).alias("start"),
     )
     keys = ["query_id", "chunk_id", "group_no", "clause_no", "negated", "n_terms", "n_clauses", "start"]
     return found.groupBy(*keys).count().filter(F.col("count") == F.col("n_terms")).drop("count", "n_terms")
 
 
+def rank_bound(n_clauses: Column, least: Column) -> Column:
+    """The highest rank that counts allow, a little rounded up.
+
+    A cover weighs at most ``WEIGHT``. One occurrence of the rarest term lies in at most
+    as many minimal covers as there are clauses.
+    """
+    return WEIGHT * n_clauses * least * (1 + 1e-9)
+
+
 def _matched_groups(occurrences: DataFrame) -> DataFrame:
     """Alternatives whose clauses all occur, with the positions of each clause."""
     entry = F.struct("start", "clause_no")
@@ -179,11 +226,10 @@ def _matched_groups(occurrences: DataFrame) -> DataFrame:
     )
 
 
-def keyword_match(queries: DataFrame, index: DataFrame, stop_words: bool = True) -> DataFrame:
+def keyword_match(queries: DataFrame, index: KeywordIndex, stop_words: bool = True) -> DataFrame:
     """``(query_id, chunk_id)`` of all indexed chunks that satisfy a query."""
-    return (
-        _matched_groups(_occurrences(queries, index, stop_words)).select("query_id", "chunk_id").distinct()
-    )
+    complete = _complete(_asked(queries, stop_words), index)
+    return _matched_groups(_occurrences(complete)).select("query_id", "chunk_id").distinct()
 
 
 def cover_density(entries: Column) -> Column:
@@ -232,11 +278,47 @@ def cover_density(entries: Column) -> Column:
     return let(entries, covers)
 
 
-def keyword_rank(queries: DataFrame, index: DataFrame, stop_words: bool = True) -> DataFrame:
-    """``(query_id, chunk_id, keyword_rank)`` of all matching indexed chunks."""
+def _ranked(complete: DataFrame) -> DataFrame:
     return (
-        _matched_groups(_occurrences(queries, index, stop_words))
+        _matched_groups(_occurrences(complete))
         .select("query_id", "chunk_id", cover_density(F.col("entries")).alias("r"))
         .groupBy("query_id", "chunk_id")
         .agg(F.sum("r").alias("keyword_rank"))
     )
+
+
+def keyword_rank(queries: DataFrame, index: KeywordIndex, stop_words: bool = True) -> DataFrame:
+    """``(query_id, chunk_id, keyword_rank)`` of all matching indexed chunks."""
+    return _ranked(_complete(_asked(queries, stop_words), index))
+
+
+def keyword_top(queries: DataFrame, index: KeywordIndex, k: int, stop_words: bool = True) -> DataFrame:
+    """``(query_id, chunk_id, keyword_rank, ranked)``: the ``k`` best of :func:`keyword_rank` by block bounds.
+
+    The summary bounds the ranks of each block. The blocks with the highest bounds are
+    ranked until they may hold ``2k`` matches; of the others only those blocks, and in
+    them those chunks, are ranked whose bound reaches the k-th rank found. Equal ranks
+    go by chunk. ``ranked`` counts the chunks that were ranked for the query.
+    """
+    asked = _asked(queries, stop_words)
+    blocks = _of_terms(index.blocks, asked)
+    bounds = (
+        blocks.join(asked.filter("not negated"), ["agent_id", "term"])
+        .groupBy("query_id", "group_no", "n_clauses", "required", "block")
+        .agg(F.count("*").alias("present"), F.min("most").alias("least"), F.min("chunks").alias("chunks"))
+        .filter(F.col("present") == F.col("required"))
+        .groupBy("query_id", "block")
+        .agg(F.sum(rank_bound(F.col("n_clauses"), F.col("least"))).alias("bound"), F.max("chunks").alias("chunks"))
+    )
+    order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
+    bounds = durable(bounds.withColumn("before", F.sum("chunks").over(order) - F.col("chunks")))
+    first = durable(_ranked(_complete(asked, index, bounds.filter(F.col("before") < 2 * k).select("query_id", "block"))))
+    best = [F.col("keyword_rank").desc(), F.col("chunk_id")]
+    kth = top_per_group(first, ["query_id"], best, k).filter(F.col("rn") == k)
+    floors = bounds.select("query_id").distinct().join(kth, "query_id", "left")
+    floors = durable(floors.select("query_id", F.coalesce("keyword_rank", F.lit(0.0)).alias("floor")))
+    rest = bounds.filter(F.col("before") >= 2 * k).join(floors, "query_id").filter("bound >= floor")
+    second = _ranked(_complete(asked, index, rest.select("query_id", "block"), floors))
+    found = durable(first.unionByName(second))
+    ranked = found.groupBy("query_id").agg(F.count("*").alias("ranked"))
+    return top_per_group(found, ["query_id"], best, k).drop("rn").join(ranked, "query_id")

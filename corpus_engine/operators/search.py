@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpus_engine.operators.keyword import keyword_rank
+from corpus_engine.operators.keyword import KeywordIndex, keyword_top
 from corpus_engine.runtime import durable, top_per_group
 
 QUERY_BLOCK = 512
@@ -183,7 +183,7 @@ def combined_score(
 def hybrid_search(
     queries: DataFrame,
     chunks: DataFrame,
-    index: DataFrame,
+    index: KeywordIndex,
     k: int = 8,
     threshold: float = 0.5,
     keyword_weight: float = 0.3,
@@ -197,12 +197,7 @@ def hybrid_search(
     index. Hits found by keywords alone do not appear.
     """
     semantic = vector_search(queries, chunks, threshold, 2 * k).drop("rank")
-    keyword = top_per_group(
-        keyword_rank(queries, index, stop_words=stop_words),
-        ["query_id"],
-        [F.col("keyword_rank").desc(), F.col("chunk_id")],
-        2 * k
-    ).drop("rn")
+    keyword = keyword_top(queries, index, 2 * k, stop_words).drop("ranked")
     scored = (
         hybrid_join(semantic, keyword, ["query_id", "chunk_id"])
         .join(chunks.select("chunk_id", "rank_weight"), "chunk_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpus_engine.operators.keyword import KeywordIndex
 from corpus_engine.operators.ranking import attach_pages, citations, rerank
 from corpus_engine.operators.search import PRESETS, hybrid_search
 
@@ -12,7 +13,7 @@ from corpus_engine.operators.search import PRESETS, hybrid_search
 def search_knowledge(
     queries: DataFrame,
     chunks: DataFrame,
-    index: DataFrame,
+    index: KeywordIndex,
     pages: DataFrame,
     preset: str = "data",
     threshold: float = 0.5,
@@ -25,7 +26,7 @@ def search_knowledge(
 
 
 def answer_context(
-    queries: DataFrame, chunks: DataFrame, index: DataFrame, pages: DataFrame, ranking: DataFrame, threshold: float = 0.5
+    queries: DataFrame, chunks: DataFrame, index: KeywordIndex, pages: DataFrame, ranking: DataFrame, threshold: float = 0.5
 ) -> DataFrame:
     """Citations for chat: over-fetch, re-rank to six, cite five."""
     hits = hybrid_search(queries, chunks, index, PRESETS["chat"], threshold)

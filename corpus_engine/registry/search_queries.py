@@ -16,10 +16,11 @@ from corpus_engine.operators import embedding as B
 from corpus_engine.operators import keyword as K
 from corpus_engine.operators import ranking as L
 from corpus_engine.operators import search as S
+from corpus_engine.operators import vector_index as V
 from corpus_engine.plans import retrieval as R
 from corpus_engine.registry import query, sql
 from corpus_engine.runtime import durable, scratch_path, top_per_group
-from corpus_engine.sources.tables import load_table
+from corpus_engine.sources.tables import load_table, spread_small
 
 _T = 0.2
 
@@ -40,17 +41,20 @@ def chunks(spark, d):
     )
 
 
-_INDEXES: dict[tuple[str, str], DataFrame] = {}
+_INDEXES: dict[tuple, K.KeywordIndex] = {}
 
 
 def index(spark, d):
-    """The keyword index of all documents, without stop words; stored once per session and table."""
-    key = (spark.sparkContext.applicationId, d)
+    """The keyword index of all documents, without stop words; stored once per state of the table's files."""
+    docs = load_table(spark, d, "documents", ["doc_id", "text", "lang", "_metadata"], spread=False)
+    file = F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+    state = docs.select(file.cast("decimal(20,0)").alias("f")).agg(F.sum("f")).first()[0]
+    key = (spark.sparkContext.applicationId, d, state)
     if key not in _INDEXES:
-        docs = load_table(spark, d, "documents", ["doc_id", "text", "lang"], spread=True).select(
+        rows = spread_small(docs.drop("_metadata")).select(
             F.col("doc_id").alias("chunk_id"), F.col("lang").alias("agent_id"), F.col("text").alias("content")
         )
-        _INDEXES[key] = K.write_index(K.build_index(docs, stop_words=False), scratch_path(spark, "index"))
+        _INDEXES[key] = K.write_index(K.build_index(rows, stop_words=False), scratch_path(spark, "index"))
     return _INDEXES[key]
 
 
@@ -190,6 +194,50 @@ def ann_quality(spark, d):
     )
 
 
+_CLUSTERED = _BASE.replace(
+    "CAST(embedding AS DOUBLE[]) AS v",
+    """list_transform(CAST(embedding AS DOUBLE[]), lambda x, i: x + CASE WHEN i - 1 = label * 6 % len(embedding)
+         THEN 3 ELSE 0 END) AS v""",
+)
+
+
+def _clustered(rows):
+    """Vectors with structure: each leans towards an axis of its label."""
+    axis = F.col("label") * 6 % F.size("embedding")
+    leaning = F.transform("embedding", lambda x, i: x.cast("double") + F.when(i == axis, 3.0).otherwise(0.0))
+    return rows.withColumn("embedding", leaning)
+
+
+@query(
+    f"""WITH {_CLUSTERED}, {_SEM.format(t=_T, k=5)}
+        SELECT count(*) AS exact_hits, true AS found_most, true AS read_few FROM sem"""
+)
+def index_quality(spark, d):
+    """Whether the stored index finds nine tenths of the exact hits in cells that hold under a fifth of the vectors.
+
+    The given vectors have no clusters, so each is moved towards an axis of its label.
+    """
+    c = durable(_clustered(chunks(spark, d)).select("chunk_id", "agent_id", "label", "embedding"))
+    q = durable(
+        centroids(c).select(F.concat_ws("-", "label", "agent_id").alias("query_key"), "agent_id", "label", "embedding")
+    )
+    items = load_table(spark, d, "benchmark", ["item_id"]).withColumn("label", (F.col("item_id") % 10).cast("int"))
+    asked = durable(items.join(q, "label").select(F.concat_ws("-", "item_id", "agent_id").alias("query_id"), "agent_id", "embedding"))
+    path = scratch_path(spark, "vectors")
+    book = V.fit_codebook(c, cells=20)
+    V.write_index(c, book, path)
+    exact = durable(S.vector_search(asked, c, _T, 5))
+    found = V.index_search(asked, path, book, 5, _T, probes=2)
+    both = exact.join(found, ["query_id", "chunk_id"]).agg(F.count("*").alias("found"))
+    share = V.read_share(path, asked, book, 2).withColumn("one", F.lit(1))
+    counts = exact.agg(F.count("*").alias("exact_hits")).withColumn("one", F.lit(1))
+    return counts.join(both.withColumn("one", F.lit(1)), "one").join(share, "one").select(
+        "exact_hits",
+        (F.col("found") >= 0.9 * F.col("exact_hits")).alias("found_most"),
+        (F.col("read") < 0.2 * F.col("stored")).alias("read_few"),
+    )
+
+
 @query(
     r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'),
                           lambda s: s <> '') AS t FROM documents),
@@ -209,6 +257,41 @@ def postings(spark, d):
     )
 
 
+@query(
+    r"""WITH t AS (SELECT doc_id, lang, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'),
+                          lambda s: s <> '') AS t FROM documents),
+       p AS (SELECT lang, doc_id, term, count(*) AS tf FROM (SELECT lang, doc_id, unnest(t) AS term FROM t) GROUP BY ALL)
+       SELECT lang AS agent_id, count(DISTINCT term) AS terms, count(*) AS postings, CAST(sum(tf) AS BIGINT) AS positions,
+              CAST(max(tf) AS BIGINT) AS most FROM p GROUP BY lang"""
+)
+def keyword_index(spark, d):
+    """Size of the stored index per site; the first query of a session builds it."""
+    built = index(spark, d)
+    held = built.postings.groupBy("agent_id").agg(
+        F.count("*").alias("postings"), F.sum(F.size("positions")).alias("positions")
+    )
+    blocks = built.blocks.groupBy("agent_id").agg(
+        F.countDistinct("term").alias("terms"), F.max("most").cast("long").alias("most")
+    )
+    return held.join(blocks, "agent_id").select("agent_id", "terms", "postings", "positions", "most")
+
+
+@query(
+    f"""WITH {_BASE}, {_KW},
+        top AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM kw
+                QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY keyword_rank DESC, chunk_id) <= 16)
+        SELECT query_id, chunk_id, round(keyword_rank, 6) AS keyword_rank, true AS within FROM top"""
+)
+def keyword_top(spark, d):
+    """The best sixteen of each query by block bounds; never more chunks are ranked than match."""
+    q, built = queries(spark, d), index(spark, d)
+    matches = K.keyword_match(q, built, stop_words=False).groupBy("query_id").agg(F.count("*").alias("n"))
+    top = K.keyword_top(q, built, 16, stop_words=False).join(matches, "query_id")
+    return top.select(
+        "query_id", "chunk_id", F.round("keyword_rank", 6).alias("keyword_rank"), (F.col("ranked") <= F.col("n")).alias("within")
+    )
+
+
 @query(f"WITH {_BASE}, {_KW} SELECT query_id, chunk_id FROM mt")
 def keyword_match(spark, d):
     return K.keyword_match(queries(spark, d), index(spark, d), stop_words=False)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from corpus_engine.operators import keyword as K
 from corpus_engine.operators import ranking as L
 from corpus_engine.operators import search as S
+from corpus_engine.operators import vector_index as V
 from corpus_engine.runtime import scratch_path
 
 
@@ -109,3 +110,119 @@ def test_rerank_and_citations(spark):
     pages = spark.createDataFrame([(7, "u7", None), (3, "u3", "t3"), (4, "u4", "t4")], "page_id int, url string, title string")
     cited = L.citations(full, pages, 5, fallback=True).filter("query_id = 1").orderBy("rank").collect()
     assert [(r.url, r.title, len(r.snippet)) for r in cited] == [("u7", "u7", 153), ("u3", "t3", 153)]
+
+
+def many_texts(spark):
+    rng = np.random.default_rng(5)
+    words, odds = np.array([f"w{i}" for i in range(30)]), 1 / np.arange(1, 31)
+    rows = []
+    for i in range(400):
+        size = int(rng.choice([3, 10, 40, 200]))
+        rows.append((i, "ab"[i % 3 == 0], "xx", " ".join(rng.choice(words, size, p=odds / odds.sum()))))
+    rows += [(1000 + i, "a", "xx", "w3 w4 w3") for i in range(60)]  # equal ranks
+    return spark.createDataFrame(rows, "chunk_id int, agent_id string, language string, content string")
+
+
+ASKED = ["w3", "w3 w4", "w1 w2 w9", '"w3 w4" w5', "w7 OR w8 w9", "w2 -w3", "w20 w21 w22", "nowhere", "w1 nowhere", "-w1", "w4 w4"]
+
+
+def test_keyword_top_equals_full_rank(spark, monkeypatch):
+    monkeypatch.setattr(K, "BLOCKS", 2)
+    built = K.write_index(K.build_index(many_texts(spark), stop_words=False), scratch_path(spark, "index"))
+    rows = [(f"{s}{i}", s, text) for s in "ab" for i, text in enumerate(ASKED)]
+    q = spark.createDataFrame(rows, "query_id string, agent_id string, query_text string")
+    full = {}
+    for r in K.keyword_rank(q, built, stop_words=False).collect():
+        full.setdefault(r.query_id, []).append((-round(r.keyword_rank, 9), r.chunk_id))
+    for k, named in ((4, 2000), (15, 1)):
+        monkeypatch.setattr(K, "NAMED_TERMS", named)
+        got, ranked = {}, {}
+        for r in K.keyword_top(q, built, k, stop_words=False).collect():
+            got.setdefault(r.query_id, []).append((-round(r.keyword_rank, 9), r.chunk_id))
+            ranked[r.query_id] = r.ranked
+        assert {i: sorted(v) for i, v in got.items()} == {i: sorted(v)[:k] for i, v in full.items()}
+        assert all(n <= len(full[i]) for i, n in ranked.items())
+    # one word: its counts are its ranks, so few chunks of many are looked at
+    assert ranked["a0"] < len(full["a0"])
+
+
+def test_rank_bound_holds(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(300):
+        n = int(rng.integers(1, 5))
+        found = sorted((int(p), int(rng.integers(0, n))) for p in rng.integers(0, 40, int(rng.integers(n, 25))))
+        counts = [sum(c == j for _, c in found) for j in range(n)]
+        if min(counts):
+            rows.append((i, sorted(set(found)), n, min(sum(c == j for _, c in set(found)) for j in range(n))))
+    df = spark.createDataFrame(rows, "i int, e array<struct<start: int, clause_no: int>>, n int, least int")
+    over = df.withColumn("score", K.cover_density(F.col("e"))).filter(F.col("score") > K.rank_bound(F.col("n"), F.col("least")))
+    assert over.count() == 0
+
+
+def test_index_follows_its_table(spark):
+    from corpus_engine.registry.search_queries import index as stored
+
+    folder = scratch_path(spark, "docs")
+    rows = [(1, "one two", "en"), (2, "two three", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    assert stored(spark, folder) is stored(spark, folder)
+    assert stored(spark, folder).postings.count() == 4
+    docs.limit(1).write.mode("append").parquet(f"{folder}/documents.parquet")
+    assert stored(spark, folder).postings.filter("term = 'one'").count() == 1
+    docs.withColumn("doc_id", F.col("doc_id") + 5).write.mode("append").parquet(f"{folder}/documents.parquet")
+    assert stored(spark, folder).postings.filter("term = 'three'").count() == 2
+
+
+def clustered(n, dim, groups, seed):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(groups, dim)) * 3
+    own = rng.integers(0, groups, n)
+    own[: n // 3] = 0  # a third of all rows in one cluster
+    return (centres[own] + rng.normal(size=(n, dim)) * 0.6).astype(np.float32), centres
+
+
+def recall(found, exact):
+    both = sum(len(set(found.get(q, [])) & set(ids)) for q, ids in exact.items())
+    return both / sum(map(len, exact.values()))
+
+
+def by_query(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r.query_id, []).append(r.chunk_id)
+    return out
+
+
+@pytest.mark.parametrize("structure", [True, False])
+def test_stored_vector_index(spark, structure):
+    c, centres = clustered(3000, 24, 16, 3)
+    if not structure:
+        c = vectors(3000, 24, 3)
+    q = (centres[np.arange(40) % 16] + np.random.default_rng(4).normal(size=(40, 24)) * 0.6) if structure else vectors(40, 24, 9)
+    rows = [(f"c{i:04d}", i % 2, v.tolist()) for i, v in enumerate(c)] + [("none", 0, None), ("zero", 0, [0.0] * 24), ("short", 1, [1.0])]
+    chunks = spark.createDataFrame(rows, "chunk_id string, agent_id int, embedding array<float>")
+    asked = spark.createDataFrame([(i, i % 2, v.tolist()) for i, v in enumerate(q)], "query_id int, agent_id int, embedding array<float>")
+    book = V.fit_codebook(chunks, cells=16, parts=8, sample=1500)
+    path = scratch_path(spark, "vectors")
+    V.write_index(chunks, book, path)
+    assert spark.read.parquet(f"{path}/codes").count() == 3000  # every vector of the dimension is indexed
+    probes = 3 if structure else 16
+    found = V.index_search(asked, path, book, 10, -1.0, probes=probes, candidates=120)
+    exact = by_query(S.vector_search(asked, chunks, -1.0, 10).collect())
+    got = found.collect()
+    assert recall(by_query(got), exact) >= 0.9
+    sims = {(r.query_id, r.chunk_id): r.similarity for r in S.vector_search(asked, chunks, -1.0, 3000).collect()}
+    assert all(abs(sims[r.query_id, r.chunk_id] - r.similarity) < 1e-6 for r in got)  # re-ranked exactly
+    read, stored = V.read_share(path, asked, book, probes).first()
+    assert read < 0.5 * stored if structure else read == stored
+    one = asked.filter("query_id = 1")
+    cells = spark.read.parquet(f"{path}/codes").select("cell").distinct().count()
+    assert V.read_share(path, one, book, 1).first()[0] < 3000 and cells > 8
+
+
+def test_vector_index_without_vectors(spark):
+    empty = spark.createDataFrame([("a", 0, None)], "chunk_id string, agent_id int, embedding array<float>")
+    with pytest.raises(ValueError):
+        V.fit_codebook(empty)
