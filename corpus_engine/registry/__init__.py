@@ -25,6 +25,7 @@ AREAS = (
     "access_queries",
     "graph_queries",
     "stream_queries",
+    "function_queries",
 )
 
 

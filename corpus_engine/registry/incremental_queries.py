@@ -14,7 +14,8 @@ from corpus_engine.operators.embedding import hashed_words
 from corpus_engine.operators.timeline import previous_version as previous
 from corpus_engine.plans import maintenance
 from corpus_engine.registry import query, sql
-from corpus_engine.runtime import scratch_path
+from corpus_engine.runtime import durable, scratch_path
+from corpus_engine.sources.site_tables import SiteTable
 from corpus_engine.sources.tables import load_table
 from corpus_engine.streaming import ingest
 
@@ -70,6 +71,14 @@ def classify_pages(spark, d):
           ON o.agent_id = c.agent_id AND o.url = c.url"""
 )
 def upsert_pages(spark, d):
+    existing, changes = _crawl(spark, d)
+    return I.upsert_pages(existing, changes).select(
+        "page_id", "crawl_status", F.md5("clean_markdown").alias("digest"), F.md5("previous_markdown").alias("previous")
+    )
+
+
+def _crawl(spark, d):
+    """Stored pages, and the changes of a crawl."""
     old, new = _versions(spark, d)
     existing = old.filter(~F.col("agent_id").endswith("3")).withColumns(
         {
@@ -89,9 +98,38 @@ def upsert_pages(spark, d):
         .withColumn("last_crawled_at", F.timestamp_seconds(F.lit(9)))
         .drop("lang", "status_code")
     )
-    return I.upsert_pages(existing, changes).select(
+    return existing, changes
+
+
+_ONE_SITE = "agent_id LIKE '%1'"
+
+
+@query(
+    f"""WITH {_V}, ch AS (SELECT *, CASE lang WHEN 'fr' THEN 'skipped' WHEN 'es' THEN 'failed' ELSE 'crawled' END AS st
+                          FROM new WHERE {_ONE_SITE})
+        SELECT coalesce(o.doc_id, c.doc_id) AS page_id, coalesce(c.st, 'pending') AS crawl_status,
+          md5(CASE WHEN c.st = 'crawled' THEN c.text ELSE o.text END) AS digest,
+          md5(CASE WHEN c.st = 'crawled' THEN o.text END) AS previous, true AS others_untouched
+        FROM (SELECT * FROM old WHERE agent_id NOT LIKE '%3' AND agent_id NOT LIKE '%5') o FULL JOIN ch c
+          ON o.agent_id = c.agent_id AND o.url = c.url"""
+)
+def upsert_site_table(spark, d):
+    """A crawl of some sites applied to the stored table, and other sites dropped; other files stay."""
+    existing, changes = _crawl(spark, d)
+    table = SiteTable(spark, scratch_path(spark, "site-table"), buckets=64)
+    table.create(existing)
+
+    def files():
+        path = F.col("_metadata.file_path")
+        return spark.read.parquet(table.path).select("bucket", path.alias("file")).distinct()
+
+    before = durable(files())
+    touched = table.upsert(changes.filter(F.col("agent_id").endswith("1")))
+    touched += table.drop_sites(existing.filter(F.col("agent_id").endswith("5")).select("agent_id").distinct())
+    lost = before.filter(~F.col("bucket").isin(touched)).join(files(), ["bucket", "file"], "left_anti")
+    return table.read().select(
         "page_id", "crawl_status", F.md5("clean_markdown").alias("digest"), F.md5("previous_markdown").alias("previous")
-    )
+    ).join(F.broadcast(lost.agg((F.count("*") == 0).alias("others_untouched"))))
 
 
 _LINES = """

@@ -11,7 +11,7 @@ from corpus_engine.registry.job_queries import outcomes
 from corpus_engine.runtime import scratch_path
 from corpus_engine.sources import pdf, robots, sinks, sitemaps, transcripts
 from corpus_engine.sources.tables import load_table
-from corpus_engine.streaming import ingest, progress, runner
+from corpus_engine.streaming import ingest, progress, runner, state
 
 _HOUR = W.HOUR_US
 
@@ -131,6 +131,84 @@ def events_per_window(spark, d):
     )
 
 
+@query(
+    """WITH w AS (SELECT event_type, epoch_us(date_trunc('hour', ts)) - i * 3600000000 AS window_start
+                  FROM events, (SELECT unnest(range(0, 6)) AS i)),
+       m AS (SELECT epoch_us(max(ts)) - 86400000000 AS mark FROM events)
+       SELECT window_start, event_type, count(*) AS events FROM w, m
+       WHERE window_start + 6 * 3600000000 <= mark GROUP BY ALL"""
+)
+def closed_windows(spark, d):
+    """Sliding windows of six hours, written once the watermark has closed them."""
+    counts = progress.events_per_window(runner.read_stream(spark, d, "events"), "6 hours", "1 hour")
+    return runner.run_append(counts, "closed").withColumn("window_start", F.unix_micros("window_start"))
+
+
+@query(
+    """SELECT user_id, event_type, CAST(date_trunc('day', ts) AS DATE)::VARCHAR AS day, count(*) OVER () AS kept
+       FROM events GROUP BY ALL"""
+)
+def once_per_key(spark, d):
+    """One row per user, event type and day of a stream."""
+    events = runner.read_stream(spark, d, "events").select("ts", "user_id", "event_type", F.to_date("ts").cast("string").alias("day"))
+    rows = runner.run_append(state.once_per_key(events, ["user_id", "event_type", "day"]), "once")
+    total = rows.agg(F.count("*").alias("kept"))
+    return rows.drop("ts").join(F.broadcast(total))
+
+
+@query(
+    f"""WITH e AS (SELECT *, {_JOB_STATUS} AS event FROM events),
+       f AS (SELECT user_id AS job_id, arg_max(CASE event WHEN 'crawl.started' THEN 'running' WHEN 'crawl.completed' THEN 'completed'
+               ELSE 'failed' END, (ts, event_id)) FILTER (WHERE event NOT IN ('other', 'crawl.progress')) AS status,
+             epoch_us(max(ts) FILTER (WHERE event = 'crawl.started')) AS started,
+             arg_max(CAST(floor(value) AS BIGINT), (ts, event_id)) FILTER (WHERE event IN ('crawl.progress', 'crawl.completed')) AS crawled,
+             epoch_us(max(ts)) AS last FROM e WHERE event <> 'other' GROUP BY user_id),
+       m AS (SELECT epoch_us(max(ts)) - 86400000000 AS mark FROM e WHERE event <> 'other')
+       SELECT job_id, CASE WHEN status = 'running' AND last + 21600000000 <= mark THEN 'timed_out' ELSE status END AS status,
+         started, crawled, last FROM f, m"""
+)
+def track_jobs(spark, d):
+    """Job states of an event stream; six hours of silence end a running job."""
+    events = runner.read_stream(spark, d, "events").select(
+        F.col("user_id").alias("job_id"), "event_id", F.expr(_JOB_STATUS).alias("event"), "ts",
+        F.floor("value").alias("pages_crawled"),
+    )
+    rows = runner.run_update(state.track_jobs(events, 6 * 3_600_000), "jobs", ["job_id"])
+    return rows.select(
+        "job_id", "status", F.unix_micros("started_at").alias("started"), F.col("total_urls_crawled").alias("crawled"),
+        F.unix_micros("last_event_at").alias("last"),
+    )
+
+
+@query(
+    """SELECT CAST(ts AS DATE)::VARCHAR AS date, CASE event_type WHEN 'click' THEN 'chat' WHEN 'view' THEN 'crawl' ELSE event_type END AS event_type,
+         event_type IN ('click', 'view') AS accepted, count(*) AS events FROM events GROUP BY ALL"""
+)
+def stream_events(spark, d):
+    """Usage events as a stream of files that is stopped in its middle and started again."""
+    kind = F.col("event_type")
+    table = load_table(spark, d, "events").select(
+        "event_id", F.col("user_id").alias("agent_id"),
+        F.when(kind == "click", "chat").when(kind == "view", "crawl").otherwise(kind).alias("event_type"),
+        F.lit(None).cast("string").alias("payload"), F.col("ts").alias("created_at"),
+    )
+    files, out, checkpoint = (scratch_path(spark, f"usage-{n}") for n in ("files", "sink", "checkpoint"))
+    table.repartition(4, "event_id").write.parquet(files)
+
+    def stream():
+        return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(files)
+
+    for running in sinks.stream_events(stream(), out, checkpoint, available_now=False):
+        while not running.recentProgress and running.isActive:
+            running.awaitTermination(1)
+        running.stop()
+    sinks.stream_events(stream(), out, checkpoint)
+    accepted = spark.read.parquet(f"{out}/events").select("event_type", "created_at", F.lit(True).alias("accepted"))
+    rejects = spark.read.parquet(f"{out}/rejects").select("event_type", "created_at", F.lit(False).alias("accepted"))
+    rows = accepted.unionByName(rejects).withColumn("date", F.to_date("created_at").cast("string"))
+    return rows.groupBy("date", "event_type", "accepted").agg(F.count("*").alias("events"))
+
+
 @query(
     f"""WITH c AS ({sql.plain_chunks('documents', 'doc_id')})
         SELECT doc_id AS page_id, chunk_index, md5(content) AS digest FROM c WHERE NOT {sql.boilerplate('content')}"""

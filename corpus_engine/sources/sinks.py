@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from corpus_engine import schema
 from corpus_engine.functions.text import or_else
@@ -22,6 +23,26 @@ def append_events(events: DataFrame, path: str) -> None:
     )
 
 
+def stream_events(events: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> list[StreamingQuery]:
+    """Append a stream of usage events to ``path/events`` by date, and rejects to ``path/rejects``.
+
+    Both are file sinks with a log of finished batches: readers see each batch once,
+    also after a restart from the checkpoint. Rejects keep the names of the columns
+    that were not allowed.
+    """
+    valid, rejects = schema.split_valid(events, {"event_type": "usage_event"})
+    valid = valid.withColumn("payload", F.coalesce("payload", F.lit("{}"))).withColumn("date", F.to_date("created_at"))
+    started = []
+    for name, rows, parts in (("events", valid, ["date"]), ("rejects", rejects, [])):
+        writer = rows.writeStream.format("parquet").option("checkpointLocation", f"{checkpoint}/{name}")
+        writer = writer.option("path", f"{path}/{name}").partitionBy(*parts).outputMode("append")
+        started.append((writer.trigger(availableNow=True) if available_now else writer).start())
+    if available_now:
+        for query in started:
+            query.awaitTermination()
+    return started
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"{schema.USAGE_EVENTS}, date date").parquet(path)
 
