@@ -1,4 +1,4 @@
-"""HTML parts that regular expressions can read, as Columns."""
+"""What is made of the parsed parts of a page, as Columns."""
 
 from __future__ import annotations
 
@@ -17,91 +17,10 @@ SPA_IDS = ('id="root"', 'id="app"', 'id="__next"', 'id="__nuxt"')
 PHONE = r"(?:\+?1[-.\s]?)?(?:\(?\d{3}\)?[-.\s]?)?\d{3}[-.\s]?\d{4}"
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 
-# Named character references; the ampersand comes last.
-ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-    ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
-)
-_JSON = "application/ld\\+json"
-
-
-def unescape(c: Column) -> Column:
-    out = c
-    for name, char in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return out
-
-
-def visible(html: Column) -> Column:
-    """The page without comments, scripts and styles, whose text may look like tags."""
-    return F.regexp_replace(html, r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)", "")
-
-
-#: An attribute value: quoted with anything in it, or bare.
-_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'>]++)"""
-
 
-def attribute(tag: Column, name: str) -> Column:
-    """Value of an attribute of one start tag; empty when it is missing.
-
-    The attributes before it are stepped over one by one, so that a name inside a
-    quoted value is not taken for one.
-    """
-    before = rf"(?:[\s/]++(?!{name}[\s=/>])[^\s=/>\"']++(?:\s*+=\s*+{_VALUE})?)*+"
-    pattern = rf"""(?is)\A<[^\s/>]++{before}[\s/]++{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    return unescape(F.concat(*(F.regexp_extract(tag, pattern, k) for k in (1, 2, 3))))
-
-
-def _tags(html: Column, name: str) -> Column:
-    """Start tags; a ``>`` inside quotes does not end one."""
-    return F.regexp_extract_all(html, F.lit(rf"""(?is)<{name}(?=[\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""), F.lit(0))
-
-
-def meta(html: Column, key: str, value: str) -> Column:
+def meta(metas: Column, key: str, value: str) -> Column:
     """Content of the first ``meta`` tag with the given attribute."""
-    return F.get(
-        F.transform(
-            F.filter(_tags(html, "meta"), lambda t: attribute(t, key) == value),
-            lambda t: attribute(t, "content"),
-        ),
-        0,
-    )
-
-
-def title(html: Column) -> Column:
-    text = js_trim(unescape(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))
-    heading = F.regexp_extract(html, r"(?is)<h1\b[^>]*>(.*?)</h1>", 1)
-    plain = js_trim(unescape(F.regexp_replace(heading, r"<[^>]+>", "")))
-    return F.coalesce(or_else(meta(html, "property", "og:title"), text, plain), F.lit(""))
-
-
-def description(html: Column) -> Column:
-    return F.coalesce(
-        or_else(meta(html, "name", "description"), meta(html, "property", "og:description")), F.lit("")
-    )
-
-
-def canonical(html: Column) -> Column:
-    link = F.get(F.filter(_tags(html, "link"), lambda t: F.lower(attribute(t, "rel")) == "canonical"), 0)
-    return F.nullif(attribute(link, "href"), F.lit(""))
-
-
-def language(html: Column) -> Column:
-    code = F.element_at(F.split(attribute(F.get(_tags(html, "html"), 0), "lang"), "-"), 1)
-    return F.coalesce(or_else(code), F.lit("en"))
-
-
-def hrefs(html: Column) -> Column:
-    """Link targets in order, with repetitions."""
-    return F.filter(
-        F.transform(_tags(html, "a"), lambda t: attribute(t, "href")), lambda h: h != ""
-    )
-
-
-def image_alts(html: Column) -> Column:
-    alts = F.transform(_tags(html, "img"), lambda t: js_trim(attribute(t, "alt")))
-    kept = F.filter(alts, lambda a: (F.length(a) > 5) & (F.length(a) < 200))
-    return F.transform(kept, lambda a: F.concat(F.lit("[Image: "), a, F.lit("]")))
+    return F.get(F.filter(metas, lambda m: m[key] == value), 0)["content"]
 
 
 def emails(text: Column) -> Column:
@@ -120,33 +39,24 @@ def contacts(region_text: Column, body_text: Column) -> Column:
     )
 
 
-def open_graph(html: Column) -> Column:
+def open_graph(metas: Column) -> Column:
     """``og:`` properties; the last of equal names wins."""
-    pairs = F.filter(
-        F.transform(
-            F.filter(_tags(html, "meta"), lambda t: attribute(t, "property").startswith("og:")),
-            lambda t: F.struct(
-                F.regexp_replace(attribute(t, "property"), "^og:", "").alias("k"), attribute(t, "content").alias("v")
-            ),
-        ),
-        lambda p: (p["k"] != "") & (p["v"] != ""),
+    named = F.transform(
+        F.filter(metas, lambda m: m["property"].startswith("og:") & (F.length(m["property"]) > 3) & (m["content"] != "")),
+        lambda m: F.struct(F.substring(m["property"], 4, 1 << 30).alias("k"), m["content"].alias("v")),
     )
     # keep only the last entry of each name, so any duplicate policy will do
     last = F.filter(
-        F.transform(pairs, lambda p, i: F.struct(p["k"].alias("k"), p["v"].alias("v"), i.alias("i"))),
-        lambda p: ~F.exists(F.slice(pairs, p["i"] + 2, F.size(pairs)), lambda q: q["k"] == p["k"]),
+        F.transform(named, lambda p, i: F.struct(p["k"].alias("k"), p["v"].alias("v"), i.alias("i"))),
+        lambda p: ~F.exists(F.slice(named, p["i"] + 2, F.size(named)), lambda q: q["k"] == p["k"]),
     )
     return F.map_from_arrays(F.transform(last, lambda p: p["k"]), F.transform(last, lambda p: p["v"]))
 
 
-def json_ld(html: Column) -> Column:
+def json_ld(scripts: Column) -> Column:
     """JSON texts of all linked-data objects; arrays are flattened, bad ones skipped."""
-    scripts = F.regexp_extract_all(
-        html, F.lit(rf"""(?is)<script\b[^>]*type\s*=\s*["']{_JSON}["'][^>]*>(.*?)</script>"""), F.lit(1)
-    )
-    valid = F.filter(scripts, lambda s: F.try_parse_json(s).isNotNull())
     as_lists = F.transform(
-        valid,
+        F.filter(scripts, lambda s: F.try_parse_json(s).isNotNull()),
         lambda s: F.when(
             js_trim(s).startswith("["),
             F.transform(
@@ -161,7 +71,7 @@ def _of_type(objects: Column, *kinds: str) -> Column:
     return F.get(F.filter(objects, lambda o: F.get_json_object(o, "$['@type']").isin(*kinds)), 0)
 
 
-def company_meta(objects: Column, graph: Column, html: Column) -> Column:
+def company_meta(objects: Column, graph: Column, metas: Column) -> Column:
     """Name, description, phone, mail and address of the site's owner."""
     org = _of_type(objects, "Organization", "LocalBusiness")
 
@@ -174,11 +84,11 @@ def company_meta(objects: Column, graph: Column, html: Column) -> Column:
     name = or_else(
         F.get_json_object(_of_type(objects, "Organization"), "$.name"),
         F.try_element_at(graph, F.lit("site_name")),
-        meta(html, "name", "application-name"),
+        meta(metas, "name", "application-name"),
     )
     return F.struct(
         name.alias("company_name"),
-        or_else(meta(html, "name", "description"), F.try_element_at(graph, F.lit("description"))).alias("description"),
+        or_else(meta(metas, "name", "description"), F.try_element_at(graph, F.lit("description"))).alias("description"),
         of_org("$.telephone").alias("phone"),
         of_org("$.email").alias("email"),
         F.nullif(F.array_join(parts, ", "), F.lit("")).alias("address"),

@@ -1,4 +1,9 @@
-"""Page extraction: metadata natively, the text walk in Arrow batches."""
+"""Page extraction: one parse of each page gives typed columns, which the rest reads.
+
+The parser runs in Arrow batches and decodes every character reference, in texts and in
+attributes. Links, linked data, tables, image texts and the text walk come from the
+same tree; what is made of them are Column expressions.
+"""
 
 from __future__ import annotations
 
@@ -11,9 +16,12 @@ from pyspark.sql import functions as F
 
 from corpus_engine.functions import markup as M
 from corpus_engine.functions.collections import explode_once
-from corpus_engine.functions.text import dedupe_lines, js_trim
+from corpus_engine.functions.text import dedupe_lines, js_trim, or_else
 from corpus_engine.functions.urls import resolve_link
 
+# Fixed value: the type of linked-data scripts.
+LINKED_DATA = "application/ld+json"
+
 # What is removed, by tag, class, id and role.
 NOISE_TAGS = {"script", "style", "noscript", "iframe", "svg"}
 NOISE_CLASSES = {
@@ -36,6 +44,8 @@ CLOSES = {
     **{t: {"p"} for t in INNER_BLOCKS | {"article", "section", "main", "nav", "footer", "header", "pre", "address", "details"}},
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"},
 }
+# elements whose content is text even where it looks like tags
+TEXT_ONLY = {"textarea", "title"}
 _SCOPES = {"table", "ul", "ol", "dl", "body", "html"}
 
 
@@ -67,13 +77,19 @@ class Element:
 
 
 class _Builder(HTMLParser):
-    """A small tree: void tags, implied end tags, nothing more."""
+    """A small tree: void tags, implied end tags, texts that hold no tags, nothing more."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open = [Element("#root", {})]
 
+    def _in_text(self) -> bool:
+        return self.open[-1].tag in TEXT_ONLY
+
     def handle_starttag(self, tag, attrs):
+        if self._in_text():
+            self.handle_data(self.get_starttag_text() or "")
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag in CLOSES.get(tag, ()):
                 del self.open[i:]
@@ -86,7 +102,14 @@ class _Builder(HTMLParser):
         if tag not in VOID_TAGS:
             self.open.append(node)
 
+    def handle_startendtag(self, tag, attrs):
+        # the slash means nothing in HTML
+        self.handle_starttag(tag, attrs)
+
     def handle_endtag(self, tag):
+        if self._in_text() and tag != self.open[-1].tag:
+            self.handle_data(f"</{tag}>")
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag == tag:
                 del self.open[i:]
@@ -148,20 +171,48 @@ def _piece(e: Element) -> str | None:
     return None
 
 
-def page_parts(html: str) -> tuple[str, str, str]:
-    """Frame text, body text and the text walk of one page."""
+_PARTS = (
+    "title_text string, heading string, language string, canonical string, metas array<struct<name:string,property:string,content:string>>, "
+    "scripts array<string>, links array<string>, images array<string>, tables array<string>, "
+    "frame_text string, body_text string, walked string"
+)
+
+
+def page_parts(html: str | None) -> dict:
+    """The typed parts of one page; an empty or null page has empty ones."""
     builder = _Builder()
     builder.feed(html or "")
     builder.close()
     root = builder.open[0]
-    body = next((e for e in root.walk() if e.tag == "body"), root)
+    every = list(root.walk())
+
+    def first(tag: str) -> str:
+        found = next((e for e in every if e.tag == tag), None)
+        return found.text() if found else ""
+
+    top = next((e for e in every if e.tag == "html"), None)
+    canonical = next((e for e in every if e.tag == "link" and e.attrs.get("rel", "").lower() == "canonical"), None)
+    metas = [{k: e.attrs.get(k, "") for k in ("name", "property", "content")} for e in every if e.tag == "meta"]
+    scripts = [e.text() for e in every if e.tag == "script" and e.attrs.get("type", "").strip().lower() == LINKED_DATA]
+    links = [e.attrs["href"] for e in every if e.tag == "a" and e.attrs.get("href")]
+    body = next((e for e in every if e.tag == "body"), root)
     # kind after kind, so that numbers come in the order of the kinds, not of the page
-    frame = " ".join(e.text() for kind in FRAMES for e in root.walk() if kind(e))
-    whole = body.text()
+    frame = " ".join(e.text() for kind in FRAMES for e in every if kind(e))
+    out = {
+        "title_text": first("title"),
+        "heading": first("h1"),
+        "language": top.attrs.get("lang", "") if top else "",
+        "canonical": canonical.attrs.get("href", "") if canonical else "",
+        "metas": metas,
+        "scripts": scripts,
+        "links": links,
+        "frame_text": frame,
+        "body_text": body.text(),
+    }
     _prune(root)
     mains = [e for e in root.walk() if e.tag in ("main", "article") or e.attrs.get("role") == "main"] or [body]
     seen: set[int] = set()
-    pieces = []
+    pieces, tables = [], []
     for main in mains:
         for e in main.walk():
             if id(e) not in seen:
@@ -169,25 +220,51 @@ def page_parts(html: str) -> tuple[str, str, str]:
                 piece = _piece(e)
                 if piece is not None:
                     pieces.append(piece)
-    for img in root.walk():
-        alt = img.attrs.get("alt", "").strip() if img.tag == "img" else ""
-        if 5 < len(alt) < 200:
-            pieces.append(f"[Image: {alt}]")
-    return frame, whole, "\n".join(pieces)
-
-
-def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        found = [page_parts(h) for h in pdf.pop("html")]
-        pdf[["frame_text", "body_text", "walked"]] = pd.DataFrame(found, index=pdf.index, columns=list("abc"))
-        yield pdf
+                    if e.tag == "table":
+                        tables.append(piece.strip("\n"))
+    alts = (img.attrs.get("alt", "").strip() for img in root.walk() if img.tag == "img")
+    out["images"] = [f"[Image: {alt}]" for alt in alts if 5 < len(alt) < 200]
+    out["tables"] = tables
+    out["walked"] = "\n".join(pieces + out["images"])
+    return out
+
+
+def parse_pages(pages: DataFrame) -> DataFrame:
+    """The columns of ``pages`` but ``html``, and the typed parts of each page."""
+    names = [f.split()[0] for f in _PARTS.split(", ")]
+    keep = [f for f in pages.schema.fields if f.name != "html"]
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in keep), "raw_html_length bigint", _PARTS])
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [page_parts(h) for h in pdf.pop("html")]
+            yield pdf.assign(**{n: pd.Series([f[n] for f in found], index=pdf.index, dtype=object) for n in names})
+
+    return pages.withColumn("raw_html_length", F.length("html").cast("bigint")).mapInPandas(parse, schema)
+
+
+def with_metadata(parsed: DataFrame) -> DataFrame:
+    """Parsed pages with title, description, canonical address, language and Open Graph map."""
+    metas = F.col("metas")
+    code = F.element_at(F.split("language", "-"), 1)
+    named = {
+        "title": F.coalesce(or_else(M.meta(metas, "property", "og:title"), js_trim("title_text"), js_trim("heading")), F.lit("")),
+        "description": F.coalesce(
+            or_else(M.meta(metas, "name", "description"), M.meta(metas, "property", "og:description")), F.lit("")
+        ),
+        "canonical": F.nullif("canonical", F.lit("")),
+        "language": F.coalesce(or_else(code), F.lit("en")),
+        "open_graph": M.open_graph(metas),
+    }
+    return parsed.withColumns(named)
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
     """``(src_url, pos, dst_url)`` of every valid link, repetitions kept."""
+    parsed = parse_pages(pages.select(F.col("url").alias("src_url"), "html")).select("src_url", "links")
     # resolved before the explode: a filter on a computed column computes it twice
-    targets = F.transform(M.hrefs(M.visible(F.col("html"))), lambda h: resolve_link(h, F.col("src_url")))
-    rows = explode_once(pages.withColumnRenamed("url", "src_url"), ["src_url"], targets, "pos", "dst_url")
+    targets = F.transform("links", lambda h: resolve_link(h, F.col("src_url")))
+    rows = explode_once(parsed, ["src_url"], targets, "pos", "dst_url")
     return rows.filter(F.col("dst_url").isNotNull())
 
 
@@ -199,39 +276,27 @@ def main_text(walked):
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """Metadata, contacts, main text and full text of pages ``(page_id, url, html)``."""
-    html = F.col("_visible")
-    pages = pages.withColumn("_visible", M.visible(F.col("html")))
-    meta = pages.select(
-        "page_id",
-        "url",
-        M.title(html).alias("title"),
-        M.description(html).alias("description"),
-        M.canonical(html).alias("canonical"),
-        M.language(html).alias("language"),
-        F.length("html").cast("bigint").alias("raw_html_length"),
-        "html",
-    )
-    fields = [f for f in meta.schema.fields if f.name != "html"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
-    walked = meta.mapInPandas(_parts, f"{schema}, frame_text string, body_text string, walked string")
+    parsed = with_metadata(parse_pages(pages.select("page_id", "url", "html")))
     text = F.concat_ws(
         "\n\n", F.nullif(F.array_join("contacts", "\n"), F.lit("")), F.col("main_text")
     )
     return (
-        walked.withColumn("contacts", M.contacts(F.col("frame_text"), F.col("body_text")))
+        parsed.withColumn("contacts", M.contacts(F.col("frame_text"), F.col("body_text")))
         .withColumn("main_text", main_text(F.col("walked")))
         .withColumn("page_text", js_trim(text))
-        .drop("frame_text", "body_text", "walked")
+        .select(
+            "page_id", "url", "title", "description", "canonical", "language", "raw_html_length",
+            "contacts", "images", "tables", "main_text", "page_text",
+        )
     )
 
 
 def structured_data(pages: DataFrame) -> DataFrame:
     """Linked data, Open Graph map, owner and the text form of each page."""
-    html = F.col("html")
-    shown = pages.withColumn("_visible", M.visible(html))
+    parsed = with_metadata(parse_pages(pages.select("page_id", "html")))
     return (
-        shown.select("page_id", "html", M.json_ld(html).alias("json_ld"), M.open_graph(F.col("_visible")).alias("open_graph"))
-        .withColumn("company", M.company_meta(F.col("json_ld"), F.col("open_graph"), html))
+        parsed.select("page_id", "metas", M.json_ld(F.col("scripts")).alias("json_ld"), "open_graph")
+        .withColumn("company", M.company_meta(F.col("json_ld"), F.col("open_graph"), F.col("metas")))
         .withColumn("text", M.structured_data_to_text(F.col("company"), F.col("json_ld")))
-        .drop("html")
+        .drop("metas")
     )

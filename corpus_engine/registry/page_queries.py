@@ -19,10 +19,8 @@ def _pages(spark, d):
          regexp_extract(html, '<html lang="([a-z]+)', 1) AS language, '' AS description FROM pages"""
 )
 def page_metadata(spark, d):
-    html = F.col("html")
-    return _pages(spark, d).select(
-        "page_id", "url", M.title(html).alias("title"), M.language(html).alias("language"), M.description(html).alias("description")
-    )
+    parsed = E.with_metadata(E.parse_pages(_pages(spark, d)))
+    return parsed.select("page_id", "url", "title", "language", "description")
 
 
 @query(
@@ -65,26 +63,79 @@ def page_gate(spark, d):
     return docs.select(F.col("doc_id").alias("page_id"), gate).select("page_id", "g.*")
 
 
-@query()
+def _document_pages(spark, d):
+    """Every document as a page with a frame, a heading, a table, an image, a mail address and references."""
+    docs = load_table(spark, d, "documents", ["doc_id", "text", "lang"], spread=True)
+    number = F.col("doc_id").cast("string")
+    text = F.col("text")
+    for char, reference in (("&", "&amp;"), ("<", "&lt;"), ("é", "&eacute;"), ("ü", "&#252;"), ("ñ", "&#xF1;")):
+        text = F.replace(text, F.lit(char), F.lit(reference))
+    html = F.concat(
+        F.lit('<!DOCTYPE html><html lang="'), "lang", F.lit('-x"><head><title>Caf&eacute; '), number, F.lit(" &#8217; &amp; mehr</title>"),
+        F.lit('<meta property=og:site_name content="A&#38;B &eacute; '), number, F.lit('"><meta name="description" content="&Uuml;ber '), number,
+        F.lit('"><link rel=canonical href="/c?a=1&#38;n='), number,
+        F.lit('"><script type="application/ld+json">[{"@type":"Organization","name":"Firma '), number,
+        F.lit('","email":"a@b.example"},{"@type":"FAQPage","mainEntity":[{"@type":"Question","name":"Nummer '), number,
+        F.lit('?","acceptedAnswer":{"text":"Ja."}}]}]</script></head><body><nav>Tel. 555-'), F.lpad((F.col("doc_id") % 10000).cast("string"), 4, "0"),
+        F.lit('</nav><article><h1>Kopf '), number, F.lit("</h1><p>"), text,
+        F.lit("</p><table><tr><th>a</th><th>b|c</th></tr><tr><td>"), number,
+        F.lit('</td></tr></table><img src=x alt="Ein Bild &ndash; '), number, F.lit('"></article></body></html>'),
+    )
+    return docs.select(F.col("doc_id").alias("page_id"), F.lit("https://a.example/").alias("url"), html.alias("html"))
+
+
+def _squeeze(x: str) -> str:
+    return sql.trim(f"regexp_replace({x}, '\\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+_WALKED = rf"""
+  w AS (SELECT doc_id, lang, text, {_squeeze(f"""chr(10) || '## Kopf ' || doc_id || chr(10) ||
+         CASE WHEN {sql.trim('text')} = '' THEN '' ELSE chr(10) || {sql.trim('text')} END || chr(10) ||
+         chr(10) || '| a | b\|c |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || doc_id || ' |  |' || chr(10) ||
+         chr(10) || '[Image: Ein Bild – ' || doc_id || ']'""")} AS x FROM documents),
+  l AS (SELECT doc_id, unnest(string_split(x, chr(10))) AS line, unnest(range(0, len(string_split(x, chr(10))))) AS pos FROM w),
+  k AS (SELECT *, {sql.trim('line')} AS t, row_number() OVER (PARTITION BY doc_id, {sql.trim('line')} ORDER BY pos) AS rn FROM l),
+  m AS (SELECT doc_id, {_squeeze("string_agg(line, chr(10) ORDER BY pos)")} AS main FROM k WHERE rn = 1 OR t = '' GROUP BY doc_id),
+  mails AS (SELECT doc_id, regexp_extract_all(text, '{M.EMAIL}') AS found FROM documents),
+  c AS (SELECT doc_id, ['Phone: 555-' || lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0')] || list_transform(
+          list_filter(found, lambda e, i: list_position(found, e) = i), lambda e: 'Email: ' || e) AS contacts FROM mails)"""
+
+
+@query(
+    rf"""WITH {_WALKED}
+        SELECT doc_id AS page_id, 'Café ' || doc_id || ' ’ & mehr' AS title, 'Über ' || doc_id AS description,
+          '/c?a=1&n=' || doc_id AS canonical, lang AS language, len(contacts) AS contacts,
+          '| a | b\|c |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || doc_id || ' |  |' AS tables,
+          '[Image: Ein Bild – ' || doc_id || ']' AS images, md5(main) AS main_digest,
+          md5({sql.trim("array_to_string(contacts, chr(10)) || chr(10) || chr(10) || main")}) AS page_digest
+        FROM w JOIN m USING (doc_id) JOIN c USING (doc_id)"""
+)
 def extract_pages(spark, d):
-    """Contacts, main text and full text from the tag walk."""
-    out = E.extract_pages(_pages(spark, d))
-    return out.select(
-        "page_id", "title", "language", F.size("contacts").alias("contacts"),
-        F.md5("main_text").alias("main_digest"), F.length("page_text").alias("chars"),
+    """Metadata, contacts, main text and full text, each document as a page."""
+    return E.extract_pages(_document_pages(spark, d)).select(
+        "page_id", "title", "description", "canonical", "language", F.size("contacts").alias("contacts"),
+        F.array_join("tables", "\n\n").alias("tables"), F.array_join("images", "\n").alias("images"),
+        F.md5("main_text").alias("main_digest"), F.md5("page_text").alias("page_digest"),
     )
 
 
-@query()
+@query(
+    """SELECT doc_id AS page_id, 2 AS objects, 'A&B é ' || doc_id AS site_name, 'Firma ' || doc_id AS company_name,
+         'Company: Firma ' || doc_id || chr(10) || 'Description: Über ' || doc_id || chr(10) || 'Email: a@b.example' || chr(10) ||
+         chr(10) || 'Frequently Asked Questions:' || chr(10) || 'Q: Nummer ' || doc_id || '?' || chr(10) || 'A: Ja.' AS text
+       FROM documents"""
+)
 def structured_data(spark, d):
-    """Linked data added to each page from its own title and address."""
-    ld = F.concat(
-        F.lit('<script type="application/ld+json">[{"@type":"Organization","name":"Site '), F.col("page_id"),
-        F.lit('","telephone":"555-0100","address":{"streetAddress":"1 Main St","postalCode":"10"}}]</script>'
-              '<meta property="og:site_name" content="og"><meta content="second" property="og:site_name">'),
-    )
-    pages = _pages(spark, d).withColumn("html", F.concat("html", ld))
-    out = E.structured_data(pages)
+    """Linked data, Open Graph names and owner, each document as a page."""
+    out = E.structured_data(_document_pages(spark, d))
     return out.select(
-        "page_id", F.size("json_ld").alias("objects"), F.col("open_graph")["site_name"].alias("site_name"), "text"
+        "page_id", F.size("json_ld").alias("objects"), F.col("open_graph")["site_name"].alias("site_name"),
+        F.col("company.company_name").alias("company_name"), "text",
     )
+
+
+@query("SELECT page_id, length(html) AS length FROM pages")
+def parse_pages(spark, d):
+    """The row source over all raw pages; the walk gives every page a text."""
+    parsed = E.parse_pages(_pages(spark, d)).filter(F.length("walked") > 0)
+    return parsed.select("page_id", F.col("raw_html_length").alias("length"))

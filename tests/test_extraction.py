@@ -85,5 +85,26 @@ def test_links_of_ordinary_html(spark):
 
 
 def test_phones_by_kind_of_frame():
-    frame, _, _ = E.page_parts("<header>555-0101</header><footer>555-0102</footer><nav>555-0103</nav>")
-    assert frame.split() == ["555-0103", "555-0102", "555-0101"]
+    parts = E.page_parts("<header>555-0101</header><footer>555-0102</footer><nav>555-0103</nav>")
+    assert parts["frame_text"].split() == ["555-0103", "555-0102", "555-0101"]
+
+
+def test_references_are_decoded_everywhere(spark):
+    html = """<html lang=de-AT><title>Caf&eacute; &#8217;s &#x26; more</title><meta property=og:site_name content="A&#38;B &eacute;">
+      <textarea><a href="/no">x</a> &lt;b&gt;</textarea><script src=/a/>var s = "<a href='/s'>";</script>
+      <a href="/x?a=1&#38;b=2">one</a><p>1 &hellip; 2 &notin; 3</p>"""
+    pages = spark.createDataFrame([(1, "https://a.com/p", html), (2, "https://a.com/q", None)], "page_id bigint, url string, html string")
+    got = {r.page_id: r for r in E.extract_pages(pages).collect()}
+    assert (got[1].title, got[1].language) == ("Café ’s & more", "de")
+    assert got[1].main_text == "1 … 2 ∉ 3" and got[2].main_text == got[2].title == ""
+    assert E.structured_data(pages).filter("page_id = 1").first().open_graph == {"site_name": "A&B é"}
+    assert [r.dst_url for r in E.extract_links(pages).collect()] == ["https://a.com/x?a=1&b=2"]
+    assert E.page_parts("<textarea><a href='/no'>x</a></textarea>")["body_text"] == "<a href='/no'>x</a>"
+
+
+def test_typed_parts():
+    parts = E.page_parts(PAGE)
+    assert parts["tables"] == ["| k\\|v | n |\n| --- | --- |\n| 1 |  |"]
+    assert parts["images"] == ["[Image: A nice long picture]"]
+    assert parts["links"] == ["/x"] and len(parts["scripts"]) == 3
+    assert E.page_parts("")["links"] == [] and E.page_parts(None)["walked"] == ""
