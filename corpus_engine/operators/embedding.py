@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpus_engine.functions.vectors import normalize_vector, valid_embedding
+from corpus_engine.runtime import durable
 
 Embedder = Callable[[list[str]], list]
 
@@ -32,6 +33,18 @@ def hashed_words(dim: int) -> Embedder:
     return embed_texts
 
 
+def word_shapes(dim: int) -> Embedder:
+    """Deterministic counts of words by length and first letter; a text whose length is a multiple of 97 fails its call."""
+
+    def embed_texts(texts: list[str]) -> list:
+        if any(len(t) % 97 == 0 for t in texts):
+            raise ValueError("a text of a forbidden length")
+        places = [[(31 * len(w) + ord(w[0])) % dim for w in t.split()] for t in texts]
+        return [np.bincount(p, minlength=dim).astype("float32") if p else None for p in places]
+
+    return embed_texts
+
+
 def _embed_all(texts: list, fn: Embedder) -> list[tuple]:
     """(vector, error) of the texts of one call; a vector is None where its text failed twice."""
 
@@ -69,6 +82,65 @@ def embed(df: DataFrame, text_col: str, fn: Embedder, batch: int = BATCH) -> Dat
     return raw.withColumns({"embedding": normalize_vector(F.col("_raw.v")), "error": F.col("_raw.e")}).drop("_raw")
 
 
+def _call(fn: Embedder, texts: list[str]) -> tuple[list, list]:
+    """Vectors and errors of one call; a call that fails, fails its texts and says why."""
+    try:
+        found = list(fn(texts))
+        return found, [None if v is not None else "no vector" for v in found]
+    except Exception as e:
+        return [None] * len(texts), [f"{type(e).__name__}: {e}"] * len(texts)
+
+
+def embed_pages(
+    df: DataFrame, text_col: str, fn: Embedder, page: str = "page_id", index: str = "chunk_index", batch: int = BATCH
+) -> DataFrame:
+    """``df`` with ``embedding``, unit vectors, and ``error``; calls and retries follow the pages.
+
+    A call takes the texts of one page whose ``index`` lies in the same hundred, so the
+    result does not depend on partitions or Arrow batches. The first pass is written;
+    of pages that lost less than half of their texts in it, the lost ones are tried
+    again, one by one. Every column of ``df`` passes through.
+    """
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    schema = f"{fields}, _block bigint, _raw array<float>, error string"
+
+    def run(calls):
+        def embedded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for rows in calls(batches):
+                vectors, errors = _call(fn, rows[text_col].fillna("").tolist())
+                yield rows.assign(_raw=pd.Series(vectors, index=rows.index, dtype=object), error=pd.Series(errors, index=rows.index, dtype=object))
+
+        return embedded
+
+    def by_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for rows in batches:
+            rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
+            keys = rows[[page, "_block"]]
+            starts = (keys != keys.shift()).any(axis=1).to_numpy().nonzero()[0]
+            for begin, end in zip(starts[:-1], starts[1:]):
+                yield rows.iloc[begin:end]
+            held = rows.iloc[starts[-1] :] if len(starts) else None
+        if held is not None and len(held):
+            yield held
+
+    def one_by_one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for i in range(len(rows)):
+                yield rows.iloc[i : i + 1]
+
+    blocks = df.withColumn("_block", F.floor(F.col(index) / batch)).repartition(page, "_block")
+    first = durable(blocks.sortWithinPartitions(page, "_block", index).mapInPandas(run(by_block), schema))
+    lost = F.avg(F.col("error").isNotNull().cast("int"))
+    retried = first.groupBy(page).agg(lost.alias("_lost")).filter((F.col("_lost") > 0) & (F.col("_lost") < RETRY_BELOW)).select(page)
+    failed = F.col("error").isNotNull()
+    again = first.filter(failed).join(retried, page, "left_semi")
+    second = again.drop("_raw", "error").repartition(page, index).select(*df.columns, "_block").mapInPandas(run(one_by_one), schema)
+    rest = first.filter(~failed).unionByName(first.filter(failed).join(retried, page, "left_anti"))
+    both = rest.unionByName(second)
+    return both.withColumn("embedding", normalize_vector(F.col("_raw"))).select(*df.columns, "embedding", "error")
+
+
 def require_embedded(embedded: DataFrame, keys: list[str] | None = None, most: float = 0.5) -> DataFrame:
     """The rows, when in every group of ``keys`` (or over the job) at most that share has failed."""
     share = F.avg(F.col("error").isNotNull().cast("int")).alias("share")

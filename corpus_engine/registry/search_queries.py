@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpus_engine.functions.vectors import cosine_similarity as cosine, norm
 from corpus_engine.operators import embedding as B
@@ -452,3 +453,30 @@ def embed(spark, d):
         F.when(size > 0, size).otherwise(0).alias("dim"),
         F.coalesce(F.round(norm(F.col("embedding")), 6), F.lit(0.0)).alias("norm"),
     )
+
+
+_DIM = 16
+
+
+@query(
+    f"""WITH w AS (SELECT doc_id, source, length(text) AS size, {sql.words('text')} AS w FROM documents),
+       n AS (SELECT *, floor((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) / 100) AS block FROM w),
+       f AS (SELECT *, bool_or(size % 97 = 0) OVER (PARTITION BY source, block) OR len(w) = 0 AS failed FROM n),
+       g AS (SELECT *, avg(CASE WHEN failed THEN 1 ELSE 0 END) OVER (PARTITION BY source) AS lost FROM f),
+       r AS (SELECT doc_id, CASE WHEN len(w) = 0 OR size % 97 = 0 OR failed AND lost >= 0.5 THEN [] ELSE
+               list_transform(range(0, {_DIM}), lambda i: len(list_filter(w, lambda x: (31 * length(x) + unicode(x)) % {_DIM} = i))) END AS v FROM g),
+       s AS (SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS size FROM r)
+       SELECT doc_id, len(v) AS dim, coalesce(list_sum(list_transform(v, lambda x, i: i * CAST(round(1000 * x / size) AS BIGINT))), 0) AS digest FROM s"""
+)
+def embed_pages(spark, d):
+    """Documents as the chunks of their source; calls that hold a text of a forbidden length fail, and are retried."""
+    docs = load_table(spark, d, "documents", ["doc_id", "text", "source"])
+    order = Window.partitionBy("source").orderBy("doc_id")
+    chunks = docs.withColumn("chunk_index", (F.row_number().over(order) - 1).cast("int"))
+    # words as the counterpart splits them
+    chunks = chunks.withColumn("text", F.lower("text"))
+    out = B.embed_pages(chunks, "text", B.word_shapes(_DIM), page="source")
+    weighted = F.transform("embedding", lambda x, i: (i + 1) * F.round(1000 * x).cast("bigint"))
+    total = F.aggregate(weighted, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    size = F.coalesce(F.size("embedding"), F.lit(0))
+    return out.select("doc_id", F.greatest(size, F.lit(0)).alias("dim"), F.coalesce(total, F.lit(0)).alias("digest"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from corpus_engine.functions.text import content_hash
 from corpus_engine.operators.chunking import chunk_pages, filter_boilerplate_chunks
-from corpus_engine.operators.embedding import Embedder, embed
+from corpus_engine.operators.embedding import Embedder, embed_pages
 from corpus_engine.operators.incremental import apply_chunk_diff, diff_chunks
 from corpus_engine.runtime import durable
 from corpus_engine.streaming.buckets import BUCKETS, Sink
@@ -90,7 +90,7 @@ def ingest_batch(
     if embedder is None:
         bodies = bodies.withColumn("embedding", F.array().cast("array<double>"))
     else:
-        bodies = durable(embed(bodies, "content", embedder).drop("error"))
+        bodies = durable(embed_pages(bodies, "content", embedder).drop("error"))
     stored = bodies.select("page_id", "chunk_id", "heading_path", "content", "snippet", "token_count", "embedding")
     size = F.coalesce(F.size("embedding"), F.lit(0)) == dim
     held.write(stored.filter(size), "bodies", batch, "page_id")

@@ -37,3 +37,27 @@ def test_errors_are_told(spark):
         B.require_embedded(rows)
     good = B.embed(df.filter("id = 1"), "content", B.hashed_words(8))
     assert B.require_embedded(good, ["id"]).first().error is None
+
+
+def test_calls_follow_pages(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def picky(texts):
+        calls.add(1)
+        if "bad" in texts:
+            raise ValueError("bad text")
+        return [[float(len(t)), 1.0] if t else None for t in texts]
+
+    rows = [(1, i, "good") for i in range(250)] + [(1, 250, "bad"), (2, 0, "bad"), (2, 1, "good"), (3, 0, ""), (3, 1, "x"), (3, 2, "y")]
+    want = {}
+    for page, index, text in rows:
+        # page 1 loses 51 of 251 texts with their call and gets them back but one; page 2 loses all
+        want[page, index] = text not in ("bad", "") and page != 2
+    for parts in (1, 7):
+        df = spark.createDataFrame(rows, "page_id int, chunk_index int, content string").repartition(parts)
+        got = B.embed_pages(df, "content", picky).collect()
+        assert {(r.page_id, r.chunk_index): r.embedding is not None for r in got} == want
+        assert len(got) == len(rows) and all((r.embedding is None) == (r.error is not None) for r in got)
+    assert calls.value == 2 * (3 + 1 + 1 + 51 + 1)
+    empty = B.embed_pages(df.limit(0), "content", picky)
+    assert empty.collect() == []
