@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpus_engine.operators import jobs as J
 from corpus_engine.operators import timeline as W
+from corpus_engine.plans import evaluation
 from corpus_engine.registry import query
 from corpus_engine.registry.analytics_queries import at, sites
 from corpus_engine.sources.tables import load_table
@@ -131,15 +133,8 @@ def preview_estimate(spark, d):
     )
 
 
-@query(
-    """WITH a AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS q FROM conversations),
-       k AS (SELECT conv_id, turn, text, (turn % 10) / 10.0 AS conf, list_filter(string_split(coalesce(q, ''), ' '), lambda w: length(w) > 12) AS ks FROM a)
-       SELECT conv_id || '-' || turn AS case_id,
-         len(list_filter(ks, lambda w: NOT contains(lower(text), lower(w)))) + CASE WHEN conf < 0.2 THEN 1 ELSE 0 END AS failures,
-         len(list_filter(ks, lambda w: NOT contains(lower(text), lower(w)))) = 0 AND conf >= 0.2 AS passed,
-         md5(left(text, 500)) AS digest FROM k"""
-)
-def score_evals(spark, d):
+def _eval_cases(spark, d):
+    """Turns as answers to the turn before."""
     turns = load_table(spark, d, "conversations")
     key = F.concat_ws("-", "conv_id", "turn").alias("case_id")
     before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("question"))
@@ -152,6 +147,19 @@ def score_evals(spark, d):
     answers = turns.select(
         key, F.col("text").alias("answer"), ((F.col("turn") % 10) / 10).alias("confidence"), F.lit(True).alias("sources_only")
     )
+    return cases, answers
+
+
+@query(
+    """WITH a AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS q FROM conversations),
+       k AS (SELECT conv_id, turn, text, (turn % 10) / 10.0 AS conf, list_filter(string_split(coalesce(q, ''), ' '), lambda w: length(w) > 12) AS ks FROM a)
+       SELECT conv_id || '-' || turn AS case_id,
+         len(list_filter(ks, lambda w: NOT contains(lower(text), lower(w)))) + CASE WHEN conf < 0.2 THEN 1 ELSE 0 END AS failures,
+         len(list_filter(ks, lambda w: NOT contains(lower(text), lower(w)))) = 0 AND conf >= 0.2 AS passed,
+         md5(left(text, 500)) AS digest FROM k"""
+)
+def score_evals(spark, d):
+    cases, answers = _eval_cases(spark, d)
     return J.score_evals(cases, answers).select(
         "case_id", F.size("failures").alias("failures"), "passed", F.md5("answer").alias("digest")
     )
@@ -217,3 +225,58 @@ def failure_streaks(spark, d):
 )
 def sliding_counts(spark, d):
     return W.sliding_counts(outcomes(spark, d), 6 * 3_600_000_000).select("event_id", "in_window")
+
+
+@query(
+    """WITH t AS (SELECT conv_id, text AS q, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS a,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM conversations),
+       k AS (SELECT conv_id, n, coalesce(a, '') AS a, CASE WHEN a IS NULL THEN 0 ELSE (n % 10) / 10.0 END AS conf,
+               list_filter(string_split(q, ' '), lambda w: length(w) > 14) AS ks FROM t WHERE conv_id % 4 <> 0 AND q IS NOT NULL),
+       r AS (SELECT conv_id, len(list_filter(ks, lambda w: NOT contains(lower(a), lower(w)))) = 0 AND conf >= 0.1 AS passed FROM k)
+       SELECT conv_id AS agent_id, count(*) AS total, count(*) FILTER (WHERE passed) AS passed,
+         count(*) FILTER (WHERE NOT passed) AS failed, count(*) FILTER (WHERE NOT passed) / count(*) > 0.3 AS warning,
+         CASE WHEN count(*) FILTER (WHERE NOT passed) / count(*) > 0.3 THEN count(*) FILTER (WHERE NOT passed) ELSE 0 END AS named
+       FROM r GROUP BY conv_id"""
+)
+def nightly_evaluation(spark, d):
+    """Each conversation as a site's data set: a turn is a case, the next turn its answer."""
+    turns = load_table(spark, d, "conversations")
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    turns = turns.withColumns({"n": F.row_number().over(order) - 1, "reply": F.lead("text").over(order)})
+    case = F.struct(
+        "n",
+        F.col("text").alias("question"),
+        F.filter(F.split("text", " "), lambda w: F.length(w) > 14).alias("expected_answer_contains"),
+        F.lit(0.1).alias("expected_min_confidence"),
+    )
+    sets = turns.groupBy(F.col("conv_id").alias("agent_id")).agg(F.to_json(F.sort_array(F.collect_list(case))).alias("eval_dataset"))
+    status = F.when(F.col("agent_id") % 4 == 0, "crawling").otherwise("ready")
+    sites = sets.select("agent_id", status.alias("status"))
+    replies = turns.filter("reply is not null").select(F.col("conv_id").alias("agent_id"), F.col("n").alias("case_no"), "reply")
+
+    def answer(cases):
+        return cases.join(replies, ["agent_id", "case_no"]).select(
+            "case_id", F.col("reply").alias("answer"), ((F.col("case_no") % 10) / 10).alias("confidence"), F.lit(True).alias("sources_only")
+        )
+
+    run = evaluation.run_evaluations(sites, sets, answer)
+    named = run.warnings.groupBy("agent_id").agg(F.count("*").alias("named"))
+    return run.log.join(named, "agent_id", "left").select(
+        "agent_id", "total", "passed", "failed", "warning", F.coalesce("named", F.lit(0)).alias("named")
+    )
+
+
+@query(
+    """WITH a AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS q FROM conversations),
+       k AS (SELECT conv_id, turn, text, (turn % 10) / 10.0 AS conf, list_filter(string_split(coalesce(q, ''), ' '), lambda w: length(w) > 12) AS ks FROM a),
+       m AS (SELECT *, list_filter(ks, lambda w: NOT contains(lower(text), lower(w))) AS missing FROM k)
+       SELECT conv_id || '-' || turn AS case_id, md5(left(text, 300)) AS digest, len(missing) = 0 AND conf >= 0.2 AS passed,
+         CASE WHEN len(missing) > 0 THEN 'Missing keyword: "' || missing[1] || '"' WHEN conf < 0.2 THEN 'Low confidence' END AS first_failure FROM m"""
+)
+def score_evals_on_demand(spark, d):
+    """The on-demand form: shorter answers and messages, no check of the sources."""
+    cases, answers = _eval_cases(spark, d)
+    scored = J.score_evals(cases, answers.withColumn("sources_only", F.lit(False)), nightly=False)
+    first = F.get("failures", 0)
+    short = F.when(first.startswith("Low confidence"), "Low confidence").otherwise(first)
+    return scored.select("case_id", F.md5("answer").alias("digest"), "passed", short.alias("first_failure"))

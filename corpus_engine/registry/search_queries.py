@@ -439,6 +439,31 @@ def citations(spark, d):
     )
 
 
+# the same re-ranking over the hybrid hits of the chat preset
+_ANSWER = f"""{_hybrid_sql(15)},
+  {_RANKED[_RANKED.index("n AS (SELECT query_id"):].replace("sem", "top").replace("similarity", "score")}"""
+
+
+def _by_place(hits):
+    """A list that moves the last hit to the front and names places that do not exist."""
+    n = F.count("*")
+    indices = F.array(n - 1, F.lit(2), F.lit(99), F.lit(2), F.lit(-1), F.lit(0), F.floor(n / 2))
+    return hits.groupBy("query_id").agg(indices.alias("indices"))
+
+
+@query(
+    f"""WITH {_ANSWER}, {_PAGES} SELECT query_id, chunk_id, url, title,
+          CASE WHEN left(text, 40) = '' THEN left(text, 150) ELSE left(text, 40) END AS snippet
+        FROM r6 JOIN p ON page_id = chunk_id JOIN documents ON doc_id = chunk_id WHERE rank <= 5"""
+)
+def answer_context(spark, d):
+    """The sources of a chat answer: hybrid search, re-ranking, citations."""
+    cited = R.answer_context(
+        queries(spark, d), chunks(spark, d), index(spark, d), _pages(spark, d), _by_place, _T, stop_words=False
+    )
+    return cited.select("query_id", "chunk_id", "url", "title", "snippet")
+
+
 @query(
     f"""WITH w AS (SELECT doc_id, lang, source, len({sql.words('text')}) AS n FROM documents)
         SELECT doc_id, CASE WHEN n = 0 THEN 0 ELSE 64 END AS dim, CASE WHEN n = 0 THEN 0.0 ELSE 1.0 END AS norm FROM w"""
