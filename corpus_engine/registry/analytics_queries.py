@@ -322,15 +322,51 @@ def skip_reasons(spark, d):
        FROM t WHERE rn <= 10 GROUP BY source"""
 )
 def sample_context(spark, d):
-    pages = load_table(spark, d, "documents").select(
+    return A.sample_context(_crawled(spark, d), "profile").select("agent_id", F.md5("context").alias("digest"))
+
+
+def _sample_sql(text: str, glue: str) -> str:
+    """Five pages per site by the time they were crawled, as the given template has them."""
+    return f"""WITH t AS (SELECT *, 'doc/' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS url, CASE WHEN lang = 'de' THEN 'D' ELSE '' END AS title,
+                 row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS rn FROM documents)
+        SELECT source AS agent_id, md5(string_agg({text}, {glue} ORDER BY rn)) AS digest FROM t WHERE rn <= {{k}} GROUP BY source"""
+
+
+_BREAK = "chr(10) || chr(10)"
+_NAMED = "CASE WHEN title = '' THEN url ELSE title END"
+
+
+@query(
+    _sample_sql(
+        f"'## Source ' || rn || chr(10) || 'URL: ' || url || chr(10) || 'Title: ' || {_NAMED} || chr(10) || left(text, {A.SAMPLES['extract'][1]})", _BREAK
+    ).format(k=A.SAMPLES["extract"][0])
+)
+def sample_context_extract(spark, d):
+    """The sample that facts are extracted from."""
+    return A.sample_context(_crawled(spark, d), "extract").select("agent_id", F.md5("context").alias("digest"))
+
+
+@query(
+    _sample_sql(
+        f"'# ' || CASE WHEN title = '' THEN 'Page' ELSE title END || chr(10) || left(text, {A.SAMPLES['starters'][1]})",
+        f"{_BREAK} || '---' || {_BREAK}",
+    ).format(k=A.SAMPLES["starters"][0])
+)
+def sample_context_starters(spark, d):
+    """The sample that opening questions are made from."""
+    return A.sample_context(_crawled(spark, d), "starters").select("agent_id", F.md5("context").alias("digest"))
+
+
+def _crawled(spark, d):
+    return load_table(spark, d, "documents").select(
         F.col("source").alias("agent_id"),
         F.concat(F.lit("doc/"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("url"),
         F.when(F.col("lang") == "de", "D").otherwise("").alias("title"),
         F.col("text").alias("clean_markdown"),
         F.col("n_chars").alias("raw_html_length"),
         F.lit("crawled").alias("crawl_status"),
+        F.timestamp_seconds("doc_id").alias("last_crawled_at"),
     )
-    return A.sample_context(pages, "profile").select("agent_id", F.md5("context").alias("digest"))
 
 
 @query(
