@@ -336,6 +336,10 @@ def _search_block(index, hits, summary, weighted: DataFrame, k: int, id_type: st
     reaching = bounds.join(F.broadcast(known), "item").filter(F.col("bound") >= F.col("floor"))
     rest = reaching.join(seeds, "m", "left_anti").select("m").distinct()
     found = first.unionByName(scores(rest, floors))
+    # an item's k-th score over all strata leaves few places to look up
+    ranked = top_per_group(found, ["item"], [F.desc("score")], k)
+    least = ranked.filter(F.col("rn") == k).select("item", F.col("score").alias("least"))
+    found = found.join(F.broadcast(least), "item", "left").filter("least is null or score >= least").drop("least")
     names = spark.createDataFrame(list(enumerate(ids)), f"item int, item_id {id_type}")
     placed = found.join(index.pieces, ["m", "piece"]).select(
         "item", F.element_at("doc_ids", F.col("place") + 1).alias("doc_id"), "score"
