@@ -11,11 +11,11 @@ from tests.session import make_session
 
 HEADLINES = (
     "corpus_summary", "chunk_pages", "split_by_size", "near_boilerplate", "remove_boilerplate", "shingles",
-    "dedupe_lines", "postings", "vector_search", "cover_density_rank", "hybrid_search", "search_knowledge",
+    "dedupe_lines", "postings", "vector_search", "keyword_index", "cover_density_rank", "keyword_top", "hybrid_search", "search_knowledge",
     "extract_pages", "extract_links", "crawl_order", "dedupe_urls", "classify_pages", "upsert_pages",
     "diff_chunks", "page_line_diff", "site_analytics", "messages_by_day", "usage_summary", "model_usage",
     "failure_streaks", "sliding_counts", "previous_version", "rate_limit", "accessible_sites", "job_metrics",
-    "ann_search", "ingest_stream", "link_stats", "citations",
+    "ann_search", "ingest_stream", "link_stats", "citations", "index_quality", "incremental_ingest", "embed_pages",
 )
 
 

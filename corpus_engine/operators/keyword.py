@@ -24,6 +24,8 @@ _CLAUSE = r'-?"[^"]*"|\S+'
 BLOCKS = 16
 #: Query terms up to which the Parquet reader is told their names; the join decides in any case.
 NAMED_TERMS = 2000
+#: Possible matches up to which one pass over all of them costs less than two passes by bounds.
+RANK_ALL = 1_000_000
 
 # Fixed value: weight of an occurrence in the default class.
 WEIGHT = 0.1
@@ -298,7 +300,8 @@ def keyword_top(queries: DataFrame, index: KeywordIndex, k: int, stop_words: boo
     The summary bounds the ranks of each block. The blocks with the highest bounds are
     ranked until they may hold ``2k`` matches; of the others only those blocks, and in
     them those chunks, are ranked whose bound reaches the k-th rank found. Equal ranks
-    go by chunk. ``ranked`` counts the chunks that were ranked for the query.
+    go by chunk. ``ranked`` counts the chunks that were ranked for the query. Where the
+    summary promises at most ``RANK_ALL`` matches in all, they are ranked in one pass.
     """
     asked = _asked(queries, stop_words)
     blocks = _of_terms(index.blocks, asked)
@@ -310,10 +313,13 @@ def keyword_top(queries: DataFrame, index: KeywordIndex, k: int, stop_words: boo
         .groupBy("query_id", "block")
         .agg(F.sum(rank_bound(F.col("n_clauses"), F.col("least"))).alias("bound"), F.max("chunks").alias("chunks"))
     )
+    best = [F.col("keyword_rank").desc(), F.col("chunk_id")]
     order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
     bounds = durable(bounds.withColumn("before", F.sum("chunks").over(order) - F.col("chunks")))
+    if (bounds.agg(F.sum("chunks")).first()[0] or 0) <= RANK_ALL:
+        found = _ranked(_complete(asked, index)).withColumn("ranked", F.count("*").over(Window.partitionBy("query_id")))
+        return top_per_group(found, ["query_id"], best, k).drop("rn")
     first = durable(_ranked(_complete(asked, index, bounds.filter(F.col("before") < 2 * k).select("query_id", "block"))))
-    best = [F.col("keyword_rank").desc(), F.col("chunk_id")]
     kth = top_per_group(first, ["query_id"], best, k).filter(F.col("rn") == k)
     floors = bounds.select("query_id").distinct().join(kth, "query_id", "left")
     floors = durable(floors.select("query_id", F.coalesce("keyword_rank", F.lit(0.0)).alias("floor")))

@@ -128,6 +128,7 @@ ASKED = ["w3", "w3 w4", "w1 w2 w9", '"w3 w4" w5', "w7 OR w8 w9", "w2 -w3", "w20
 
 def test_keyword_top_equals_full_rank(spark, monkeypatch):
     monkeypatch.setattr(K, "BLOCKS", 2)
+    monkeypatch.setattr(K, "RANK_ALL", 0)
     built = K.write_index(K.build_index(many_texts(spark), stop_words=False), scratch_path(spark, "index"))
     rows = [(f"{s}{i}", s, text) for s in "ab" for i, text in enumerate(ASKED)]
     q = spark.createDataFrame(rows, "query_id string, agent_id string, query_text string")
@@ -144,6 +145,11 @@ def test_keyword_top_equals_full_rank(spark, monkeypatch):
         assert all(n <= len(full[i]) for i, n in ranked.items())
     # one word: its counts are its ranks, so few chunks of many are looked at
     assert ranked["a0"] < len(full["a0"])
+    monkeypatch.setattr(K, "RANK_ALL", 1 << 40)
+    once = {}
+    for r in K.keyword_top(q, built, 15, stop_words=False).collect():
+        once.setdefault(r.query_id, []).append((-round(r.keyword_rank, 9), r.chunk_id))
+    assert {i: sorted(v) for i, v in once.items()} == {i: sorted(v)[:15] for i, v in full.items()}
 
 
 def test_rank_bound_holds(spark):
