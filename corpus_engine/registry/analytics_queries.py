@@ -322,7 +322,7 @@ def skip_reasons(spark, d):
        FROM t WHERE rn <= 10 GROUP BY source"""
 )
 def sample_context(spark, d):
-    return A.sample_context(_crawled(spark, d), "profile").select("agent_id", F.md5("context").alias("digest"))
+    return A.sample_context(_sample_pages(spark, d), "profile").select("agent_id", F.md5("context").alias("digest"))
 
 
 def _sample_sql(text: str, glue: str) -> str:
@@ -343,7 +343,7 @@ _NAMED = "CASE WHEN title = '' THEN url ELSE title END"
 )
 def sample_context_extract(spark, d):
     """The sample that facts are extracted from."""
-    return A.sample_context(_crawled(spark, d), "extract").select("agent_id", F.md5("context").alias("digest"))
+    return A.sample_context(_sample_pages(spark, d), "extract").select("agent_id", F.md5("context").alias("digest"))
 
 
 @query(
@@ -354,10 +354,10 @@ def sample_context_extract(spark, d):
 )
 def sample_context_starters(spark, d):
     """The sample that opening questions are made from."""
-    return A.sample_context(_crawled(spark, d), "starters").select("agent_id", F.md5("context").alias("digest"))
+    return A.sample_context(_sample_pages(spark, d), "starters").select("agent_id", F.md5("context").alias("digest"))
 
 
-def _crawled(spark, d):
+def _sample_pages(spark, d):
     return load_table(spark, d, "documents").select(
         F.col("source").alias("agent_id"),
         F.concat(F.lit("doc/"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("url"),

@@ -91,7 +91,7 @@ def _squeeze(x: str) -> str:
 _WALKED = rf"""
   w AS (SELECT doc_id, lang, text, {_squeeze(f"""chr(10) || '## Kopf ' || doc_id || chr(10) ||
          CASE WHEN {sql.trim('text')} = '' THEN '' ELSE chr(10) || {sql.trim('text')} END || chr(10) ||
-         chr(10) || '| a | b\|c |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || doc_id || ' |  |' || chr(10) ||
+         chr(10) || '| a | b' || chr(92) || '|c |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || doc_id || ' |  |' || chr(10) ||
          chr(10) || '[Image: Ein Bild – ' || doc_id || ']'""")} AS x FROM documents),
   l AS (SELECT doc_id, unnest(string_split(x, chr(10))) AS line, unnest(range(0, len(string_split(x, chr(10))))) AS pos FROM w),
   k AS (SELECT *, {sql.trim('line')} AS t, row_number() OVER (PARTITION BY doc_id, {sql.trim('line')} ORDER BY pos) AS rn FROM l),
