@@ -1,10 +1,12 @@
 """Main text of HTML pages by minimum-cut labelling.
 
-A page becomes a row of text blocks. A classifier trained on weakly labelled blocks,
-together with the landmarks around a block, prices calling it content or boilerplate:
-these prices are the terminal capacities. Neighbouring blocks, and more so blocks
-close in the document tree, are tied by smoothness edges. The minimum cut separates
-content from boilerplate.
+A page becomes a row of text blocks. A classifier sees a block in two views: its shape
+(length, links, punctuation, depth, its neighbours, what its parent element holds) and
+its cues (elements, roles and names around it). It learns from pages that mark their
+article, with and without the cues, so that it can also judge pages without any. Its
+log odds are the terminal capacities. Neighbouring blocks, and more so blocks close in
+the document tree, are tied by smoothness edges. The minimum cut separates content
+from boilerplate.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import html
 import math
 import re
+import zlib
 from collections import deque
 from dataclasses import dataclass, field as dataclass_field
 
@@ -29,7 +32,7 @@ TAG = re.compile(
 )
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe noframes xmp svg math".split())
+RAW = frozenset("script style textarea title template iframe noframes".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search "
@@ -53,16 +56,27 @@ FOR_TAGS = frozenset("article main".split())
 AGAINST_ROLES = frozenset(
     "navigation banner contentinfo complementary search form menu menubar alert alertdialog dialog toolbar".split()
 )
-AGAINST_NAMES = re.compile(
-    r"(?:^|[-_\s])(?:nav(?:bar|igation)?|menu|breadcrumbs?|footer|header|masthead|topbar|side(?:bar|col|nav)?|widgets?|ads?|"
-    r"advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|"
-    r"signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|repl(?:y|ies)|respond|"
-    r"discussion|form|search|pagination|pager|tags|skip|toolbar|copyright|legal|toc)(?:$|[-_\s\d])",
-    re.I,
-)
-FOR_NAMES = re.compile(
-    r"(?:^|[-_\s])(?:article|content|main|post|entry|story|body|text|prose|markdown)(?:$|[-_\s\d])", re.I
+#: Words in a class or id that often name boilerplate, and those that often name the article.
+AGAINST_NAMES = frozenset(
+    "nav navbar navigation menu breadcrumb breadcrumbs footer header masthead topbar sidebar sidecol sidenav widget "
+    "widgets ad ads advert adverts advertisement sponsor sponsored promo promoted banner cookie cookies consent gdpr "
+    "notice alert popup modal overlay newsletter subscribe signup login share sharing social related recommended "
+    "recommendations form search pagination pager tags skip toolbar copyright legal toc".split()
 )
+COMMENT_NAMES = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
+FOR_NAMES = frozenset("article content main post entry story body text prose markdown".split())
+#: Buckets of hashed names.
+BUCKETS = 32
+
+
+@dataclass(frozen=True)
+class Around:
+    """What the elements around a block tell."""
+
+    landmark: int = 0  # 1 in an article or main element, -1 in navigation, a form and the like, 0 none
+    name: int = 0  # 1 named like an article, -1 partly like boilerplate, -2 like boilerplate, 0 neither
+    within: bool = False  # in something marked or named as the article
+    names: frozenset[int] = frozenset()  # hashed names
 
 
 @dataclass
@@ -71,7 +85,7 @@ class Block:
 
     text: str
     path: tuple[int, ...]  # ids of the open block elements, outermost first
-    landmark: int  # 1 content, -1 boilerplate, 0 none, by the nearest ancestor that tells
+    around: Around
     linked: int  # characters inside links
     tag: str
 
@@ -80,7 +94,7 @@ class Block:
 class _Open:
     tag: str
     key: int
-    landmark: int
+    around: Around
     drops: bool
 
 
@@ -91,20 +105,36 @@ def attributes(raw: str) -> dict[str, str]:
     return out
 
 
-def _landmark(tag: str, raw: str, inside: int) -> int:
-    names = attributes(raw) if raw.strip() else {}
-    role, hidden = names.get("role", "").lower(), "hidden" in names or names.get("aria-hidden") == "true"
-    label = f"{names.get('class', '')} {names.get('id', '')}".strip()
-    if tag in FOR_TAGS or role in ("main", "article"):
+def _named(label: str) -> int:
+    """-2 or -1: a name is (or holds) a word for boilerplate; 1: one for an article; 0: neither or both in one name."""
+    parts = [re.findall(r"[a-z]+", name) for name in label.lower().split()]
+    if any(part in COMMENT_NAMES for words in parts for part in words):
+        return -2
+    if any(len(words) == 1 and words[0] in AGAINST_NAMES for words in parts):
+        return -2
+    told = [(not AGAINST_NAMES.isdisjoint(words), not FOR_NAMES.isdisjoint(words)) for words in parts]
+    return -1 if (True, False) in told else int((False, True) in told)
+
+
+def _around(tag: str, raw: str, outer: Around) -> Around:
+    given = attributes(raw) if raw.strip() else {}
+    role, hidden = given.get("role", "").lower(), "hidden" in given or given.get("aria-hidden") == "true"
+    label = f"{given.get('class', '')} {given.get('id', '')}".strip()
+    landmark, name, within, named = outer.landmark, outer.name, outer.within, _named(label) if label else 0
+    if hidden or tag in AGAINST_TAGS or role in AGAINST_ROLES or tag == "header" and not within:
+        landmark = -1
+    elif (tag in FOR_TAGS or role in ("main", "article")) and landmark >= 0 and name > -2 and named > -2:
         # a comment is often marked up as an article of its own
-        return -1 if inside < 0 or (label and re.search(r"comment|reply", label, re.I)) else 1
-    if hidden or tag in AGAINST_TAGS or role in AGAINST_ROLES or tag == "header" and inside <= 0:
-        return -1
-    if label and AGAINST_NAMES.search(label):
-        return -1
-    if label and inside >= 0 and FOR_NAMES.search(label):
-        return 1
-    return inside
+        landmark, name, within, named = 1, 0, True, 0
+    if named < 0:
+        name = min(named, name)
+    elif named > 0 and name > -2 and landmark >= 0:
+        name, within = 1, True
+    names = outer.names
+    if label or tag not in ("div", "p"):
+        words = [tag, *label.lower().split()]
+        names = names | {zlib.crc32(w.encode()) % BUCKETS for w in words}
+    return Around(landmark, name, within, names)
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -115,8 +145,8 @@ def blocks(page: str | None) -> list[Block]:
     parts: list[str] = []
     linked = in_link = keys = at = 0
 
-    def landmark() -> int:
-        return stack[-1].landmark if stack else 0
+    def around() -> Around:
+        return stack[-1].around if stack else Around()
 
     def flush() -> None:
         nonlocal linked
@@ -124,7 +154,7 @@ def blocks(page: str | None) -> list[Block]:
         parts.clear()
         if text and not (stack and stack[-1].drops):
             path = tuple(o.key for o in stack)
-            found.append(Block(text, path, landmark(), min(linked, len(text)), stack[-1].tag if stack else ""))
+            found.append(Block(text, path, around(), min(linked, len(text)), stack[-1].tag if stack else ""))
         linked = 0
 
     def close(tags, limits=()) -> None:
@@ -149,9 +179,8 @@ def blocks(page: str | None) -> list[Block]:
         if not tag:
             continue
         if tag in RAW and not ending:
-            if not raw.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|$)[^>]*>?", re.I).search(page, at)
-                at = end.end() if end else len(page)
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|$)[^>]*>?", re.I).search(page, at)
+            at = end.end() if end else len(page)
             continue
         if tag == "br":
             parts.append(" ")
@@ -173,44 +202,91 @@ def blocks(page: str | None) -> list[Block]:
             continue
         keys += 1
         drops = tag in DROPPED or bool(stack and stack[-1].drops)
-        stack.append(_Open(tag, keys, _landmark(tag, raw, landmark()), drops))
+        stack.append(_Open(tag, keys, _around(tag, raw, around()), drops))
     flush()
     return found
 
 
+#: Weights before anything is learned: shape, then cues, then hashed names.
+PLAIN_SHAPE = np.array([-3.0, 0.7, -4.0, 0.3, 0.5, 0.6, 0.05, 0.05, 0.0, 0.1, -1.0, 1.0, 0.0])
+PLAIN_CUES = np.array([5.0, -8.0, 3.0, -3.0, -9.0, -4.0])
+PLAIN = np.concatenate([PLAIN_SHAPE, PLAIN_CUES, np.zeros(BUCKETS)])
+SHAPE = len(PLAIN_SHAPE)
+
+
 def features(found: list[Block]) -> np.ndarray:
-    """Shape of each block and of its neighbours; nothing of its landmarks."""
-    if not found:
-        return np.zeros((0, 8))
+    """One row a block: ``SHAPE`` columns of its shape, then its cues."""
+    n = len(found)
+    if not n:
+        return np.zeros((0, len(PLAIN)))
+    size = np.array([len(b.text) for b in found], dtype=float)
+    linked = np.array([b.linked for b in found], dtype=float)
     own = np.array(
         [
             (
-                math.log1p(len(b.text)),
-                b.linked / len(b.text),
                 b.text.count(" ") / 20 if len(b.text) < 400 else 3.0,
                 sum(map(b.text.count, ".,;:!?")) / (1 + b.text.count(" ")),
                 float(b.text[-1] in ".!?:;\"'”»"),
+                min(len(b.path), 12) / 4,
             )
             for b in found
         ]
     )
-    around = np.pad(own[:, :1], ((1, 1), (0, 0)))
-    return np.hstack([np.ones((len(own), 1)), own, around[:-2], around[2:]])
+    # what the parent element holds
+    parents: dict[int, int] = {}
+    group = np.array([parents.setdefault(_parent(b), len(parents)) for b in found])
+    held, links = np.bincount(group, size), np.bincount(group, linked)
+    around = np.pad(np.log1p(size), 1)
+    shape = [np.ones(n), np.log1p(size), linked / size, *own[:, :3].T, around[:-2], around[2:], own[:, 3]]
+    shape += [np.log1p(held[group]) / 2, links[group] / held[group], held[group] / size.sum(), np.arange(n) / n]
+
+    told = any(b.around.within for b in found)
+    cues = np.array(
+        [
+            (
+                b.around.landmark > 0,
+                b.around.landmark < 0,
+                b.around.within and b.around.landmark == 0,
+                b.around.name == -1,
+                b.around.name == -2,
+                told and not b.around.within,
+            )
+            for b in found
+        ],
+        dtype=float,
+    )
+    names = np.zeros((n, BUCKETS))
+    for i, b in enumerate(found):
+        names[i, list(b.around.names)] = 1.0
+    return np.hstack([np.stack(shape, axis=1), cues, names])
+
 
+def _parent(block: Block) -> int:
+    return block.path[-2] if len(block.path) > 1 else 0
 
-#: Weights before anything is learned.
-PLAIN = np.array([-3.0, 0.7, -4.0, 0.3, 0.5, 0.6, 0.05, 0.05])
 
+def marked(found: list[Block]) -> np.ndarray:
+    """Weak labels by elements alone, on a page that marks its article: 1 inside, -1 outside, 0 unknown."""
+    if not any(b.around.landmark > 0 for b in found):
+        return np.zeros(len(found), dtype=int)
+    return np.array([(0 if b.around.name < 0 else 1) if b.around.landmark > 0 else -1 for b in found])
 
-def fit_weights(pages: list[list[Block]], rounds: int = 50, ridge: float = 0.3) -> np.ndarray:
-    """Logistic regression, drawn towards ``PLAIN``, on blocks whose landmarks tell; equal class weights."""
+
+def fit_weights(pages: list[list[Block]], rounds: int = 50, ridge: float = 0.02) -> np.ndarray:
+    """Logistic regression, drawn towards ``PLAIN``, on the blocks of pages that mark their article.
+
+    Every block is seen with its cues and without them; equal class weights.
+    """
     x = [features(p) for p in pages]
-    y = [np.array([b.landmark for b in p]) for p in pages]
+    y = [marked(p) for p in pages]
     x, y = (np.concatenate(a) if a else np.zeros(0) for a in (x, y))
     told = y != 0
     x, y = x[told], y[told] > 0
     if len(y) == 0 or y.all() or not y.any():
         return PLAIN
+    bare = x.copy()
+    bare[:, SHAPE:] = 0
+    x, y = np.vstack([x, bare]), np.concatenate([y, y])
     weight = np.where(y, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     w = PLAIN.copy()
     for _ in range(rounds):  # Newton steps, damped
@@ -218,7 +294,7 @@ def fit_weights(pages: list[list[Block]], rounds: int = 50, ridge: float = 0.3)
         grad = x.T @ (weight * (p - y)) / len(y) + ridge * (w - PLAIN)
         hess = (x * (weight * p * (1 - p))[:, None]).T @ x / len(y) + ridge * np.eye(len(w))
         step = np.linalg.solve(hess, grad)
-        w -= step
+        w = w - step
         if np.abs(step).max() < 1e-8:
             break
     return w
@@ -286,20 +362,23 @@ class Network:
 
 
 SMOOTH, TREE = 0.5, 1.5
-LANDMARK = 6.0
+#: The shape alone speaks for or against a block by no more than this.
+SHAPE_ODDS = 3.0
+
+
+def prices(found: list[Block], weights: np.ndarray) -> np.ndarray:
+    """Log odds that a block is content."""
+    x = features(found)
+    return np.clip(x[:, :SHAPE] @ weights[:SHAPE], -SHAPE_ODDS, SHAPE_ODDS) + x[:, SHAPE:] @ weights[SHAPE:]
 
 
 def labels(found: list[Block], weights: np.ndarray) -> list[bool]:
     """Which blocks are content."""
     if not found:
         return []
-    learned = np.clip(features(found) @ weights, -4, 4)
-    told = any(b.landmark > 0 for b in found)
     n = len(found)
     net = Network(n + 2)
-    for i, (b, e) in enumerate(zip(found, learned.tolist())):
-        # outside of landmarks the classifier decides, against a page that marks its article
-        price = 0.5 * e + LANDMARK * b.landmark - (3.0 if told and b.landmark == 0 else 0.0)
+    for i, price in enumerate(prices(found, weights).tolist()):
         if price > 0:
             net.add(n, i, price)
         else:
@@ -310,7 +389,7 @@ def labels(found: list[Block], weights: np.ndarray) -> list[bool]:
             shared = sum(1 for x, y in zip(b.path, found[i - 1].path) if x == y)
             near = shared / max(len(b.path), len(found[i - 1].path), 1)
             net.add(i - 1, i, SMOOTH * near, SMOOTH * near)
-        parent = b.path[-2] if len(b.path) > 1 else 0
+        parent = _parent(b)
         if parent in last:
             tie = TREE if b.tag == found[last[parent]].tag else TREE / 3
             net.add(last[parent], i, tie, tie)

@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -21,6 +22,19 @@ PAGES = {
     "article header": ("<header>Top</header><article><header><h1>Title</h1></header><p>x</p></article>", "Title\nx"),
     "comment articles": ("<main><p>x</p><article class=comment-1><p>y</p></article></main>", "x"),
     "unclosed": ("<nav><ul><li>m</ul></nav><article><p><b>head<br><p>body", "head\nbody"),
+    "unquoted slash": ("<article><script src=/a/>var x = 1;</script><p>one</article>", "one"),
+    "formula": ("<article><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</article>", "so x=1 holds"),
+    "name of another thing": (
+        "<div class=post><h2>On clubs</h2><div class=social-history><p>They met often, as the letters show, and for a "
+        "long time nobody asked why; then all was told.</p></div><p>More of it, then.</p></div><div class=social>f t</div>",
+        "On clubs\nThey met often, as the letters show, and for a long time nobody asked why; then all was told.\n"
+        "More of it, then.",
+    ),
+    "long comment": (
+        "<main><p>The text, such as it is, of the page.</p><div class='comment-list'><p>I liked it, all of it, and most "
+        "of all the part in which nothing happens; more, please.</p></div></main>",
+        "The text, such as it is, of the page.",
+    ),
     "empty": ("", ""),
     "null": (None, ""),
 }
@@ -62,7 +76,6 @@ def test_long_page_and_table(spark):
 def test_driver_pages(spark):
     """Held against the article element, cut by regular expressions."""
     import html
-    import re
 
     from corpus_engine.llm.queries import op10_html_extraction
 
@@ -77,5 +90,40 @@ def test_driver_pages(spark):
         assert got[p.page_id].text == want and got[p.page_id].n_chars == len(want)
 
 
+def bare(page):
+    """A page without names, and with a div for its article, navigation and footer."""
+    page = re.sub(r'\s(?:class|id)="[^"]*"', "", page)
+    return re.sub(r"<(/?)(?:article|nav|footer)>", r"<\1div>", page)
+
+
+def test_pages_without_marks(spark):
+    """Shapes learned from marked pages find the article in others; the cut decides what they leave open."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    weights = H.fit_weights([H.blocks(p) for p in pages[::2]])
+    changed = 0
+    for page in pages[1::2]:
+        found = H.blocks(bare(page))
+        assert all(b.around.landmark == b.around.name == 0 for b in found)
+        assert H.main_text(bare(page), weights) == H.main_text(page, weights)
+        changed += sum(a != (b > 0) for a, b in zip(H.labels(found, weights), H.prices(found, weights)))
+    assert changed > 0
+
+
+def test_cut_changes_blocks():
+    """A short line among paragraphs is boilerplate by itself and content by its neighbours."""
+    text = "A line that goes on for a while, with a comma, and that then ends after some more words."
+    found = H.blocks(f"<div><p>{text}</p><p>Yes</p><p>{text}</p></div>")
+    assert H.prices(found, H.PLAIN)[1] < 0 and H.labels(found, H.PLAIN) == [True, True, True]
+
+
+def test_misleading_names(spark):
+    """Names that say the opposite on every page give way to what the pages mark."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()]
+    wrong = [p.replace("<article>", '<article class="sidebar-left">').replace('class="ad"', 'class="story"') for p in pages]
+    weights = H.fit_weights([H.blocks(p) for p in wrong])
+    plain = H.fit_weights([H.blocks(p) for p in pages])
+    assert [H.main_text(p, weights) for p in wrong] == [H.main_text(p, plain) for p in pages]
+
+
 def test_weights_without_examples():
     assert np.array_equal(H.fit_weights([]), H.PLAIN)
