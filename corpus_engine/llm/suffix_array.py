@@ -16,32 +16,43 @@ def _types(s: np.ndarray) -> np.ndarray:
     return rising[np.minimum.accumulate(last[::-1])[::-1]] > 0
 
 
-def _induce(s: list[int], is_s: list[bool], counts: np.ndarray, seeds: list[int]) -> list[int]:
+def _induce(before_l: list[int], before_s: list[int], s: list[int], counts: np.ndarray, seeds: list[int]) -> list[int]:
     """Sort all suffixes from sorted LMS seeds: L suffixes from the left, S suffixes from the right."""
-    n = len(s)
     tails = np.cumsum(counts)
     heads = (tails - counts).tolist()
     ends = (tails - 1).tolist()
-    order = [-1] * n
+    order = [-1] * len(s)
     at = list(ends)
     for p in reversed(seeds):
         c = s[p]
         order[at[c]] = p
         at[c] -= 1
+    # both loops read places that they have filled before
     for p in order:
-        if p > 0 and not is_s[p - 1]:
-            c = s[p - 1]
-            order[heads[c]] = p - 1
-            heads[c] += 1
-    for i in range(n - 1, -1, -1):
-        p = order[i]
-        if p > 0 and is_s[p - 1]:
-            c = s[p - 1]
-            order[ends[c]] = p - 1
-            ends[c] -= 1
+        c = before_l[p]
+        if c >= 0:
+            i = heads[c]
+            order[i] = p - 1
+            heads[c] = i + 1
+    for p in reversed(order):
+        c = before_s[p]
+        if c >= 0:
+            i = ends[c]
+            order[i] = p - 1
+            ends[c] = i - 1
     return order
 
 
+def _letters_before(s: np.ndarray, is_s: np.ndarray) -> tuple[list[int], list[int]]:
+    """The letter before each position if an L (an S) suffix starts at it, else -1; position -1 has none."""
+    both = []
+    for kind in (~is_s, is_s):
+        letters = np.full(len(s) + 1, -1)
+        letters[1:-1] = np.where(kind[:-1], s[:-1], -1)
+        both.append(letters.tolist())
+    return both[0], both[1]
+
+
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """Start positions of the sorted suffixes of ``s``, non-negative integers that end in a unique smallest one.
 
@@ -55,9 +66,10 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     counts = np.bincount(s)
     is_s = _types(s)
     lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
-    text, flags = s.tolist(), is_s.tolist()
+    before_l, before_s = _letters_before(s, is_s)
+    text = s.tolist()
 
-    order = np.array(_induce(text, flags, counts, lms.tolist()))
+    order = np.array(_induce(before_l, before_s, text, counts, lms.tolist()))
     rank_of = np.full(n, -1)
     rank_of[lms] = np.arange(len(lms))
     by_substring = order[rank_of[order] >= 0]
@@ -78,23 +90,38 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
         sorted_lms = by_substring
     else:
         sorted_lms = lms[suffix_array(reduced)]
-    return np.array(_induce(text, flags, counts, sorted_lms.tolist()))
+    return np.array(_induce(before_l, before_s, text, counts, sorted_lms.tolist()))
 
 
-def permuted_common_prefixes(s: np.ndarray, order: np.ndarray, cap: int, block: int = 20_000) -> np.ndarray:
-    """For each position in text order, its common prefix with the suffix sorted just before it, up to ``cap``."""
+def permuted_common_prefixes(s: np.ndarray, order: np.ndarray, step: int = 16) -> np.ndarray:
+    """For each position in text order, its common prefix with the suffix sorted just before it.
+
+    Where the letters before the two suffixes are equal, the prefix is that of the
+    position before, less one. Only the other prefixes are compared; they are short in
+    sum (at most 2 n log n letters).
+    """
     n = len(s)
     before = np.full(n, -1, dtype=np.int64)
     before[order[1:]] = order[:-1]
-    padded = np.concatenate([s, np.full(cap, -1, dtype=s.dtype)])
-    windows = np.lib.stride_tricks.sliding_window_view(padded, cap)
-    out = np.zeros(n, dtype=np.int64)
-    for at in range(0, n, block):
-        here = np.arange(at, min(n, at + block))
-        here = here[before[here] >= 0]
-        differ = windows[here] != windows[before[here]]
-        out[here] = np.where(differ.any(1), differ.argmax(1), cap)
-    return out
+    here = np.flatnonzero(before >= 0)
+    inner = here[(here > 0) & (before[here] > 0)]
+    compared = np.zeros(n, dtype=bool)
+    compared[here] = True
+    compared[inner[s[inner - 1] == s[before[inner] - 1]]] = False
+
+    start = np.flatnonzero(compared)
+    padded = np.concatenate([s, np.full(step, -1, dtype=s.dtype)])
+    windows = np.lib.stride_tricks.sliding_window_view(padded, step)
+    size = np.zeros(n, dtype=np.int64)
+    alive, done = start, 0
+    while len(alive):
+        differ = windows[alive + done] != windows[before[alive] + done]
+        ends = differ.any(1)
+        size[alive[ends]] = done + differ[ends].argmax(1)
+        alive, done = alive[~ends], done + step
+    # the smallest suffix has none before it; every other position follows a compared one
+    known = np.maximum.accumulate(np.where(compared | (before < 0), np.arange(n), 0))
+    return np.where(compared | (before < 0), size, size[known] - (np.arange(n) - known))
 
 
 def repeated_windows(strings: list[bytes], rank: np.ndarray, length: int) -> list[np.ndarray]:
@@ -109,7 +136,7 @@ def repeated_windows(strings: list[bytes], rank: np.ndarray, length: int) -> lis
     ends = np.cumsum(sizes + 1) - 1
     joined[ends], joined[-1] = 1, 0
     order = suffix_array(joined)
-    common = permuted_common_prefixes(joined, order, length)
+    common = permuted_common_prefixes(joined, order)
 
     window = np.full(len(joined), -1, dtype=np.int64)
     starts = np.repeat(ends - sizes, sizes - length + 1)
