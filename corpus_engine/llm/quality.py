@@ -22,7 +22,8 @@ STATISTICS = ("log_words", "word_length", "symbols", "dup_lines", "repeats")
 SIZE = len(STATISTICS)
 #: Share of a group that the estimate covers.
 COVER = 0.75
-ROUNDS = 3
+#: Concentration goes on while it lowers the logarithm of a determinant by more than this.
+GAIN = 1e-3
 #: Groups of fewer texts use the estimate of their language, then of all texts.
 LEAST = 100
 #: Standard deviations are never taken as smaller than this, in transformed units.
@@ -112,16 +113,35 @@ def _moments(rows: DataFrame) -> DataFrame:
     return rows.groupBy("grp", "trial").agg(F.count("*").alias("n"), F.array(*sums).alias("moments"))
 
 
-def robust_estimates(rows: DataFrame, cover: float = COVER, rounds: int = ROUNDS) -> DataFrame:
+def concentrate(rows: DataFrame, now: DataFrame, cover: float) -> DataFrame:
+    """``now`` estimated again from the ``cover`` nearest rows of each group, with ``fell``: by how much log_det fell."""
+    x = F.col("x")
+    far = rows.join(now, "grp").select("grp", "trial", "x", distance(x, F.col("mean"), F.col("precision")).alias("d"))
+    # written, so that its size is known and the many rows of a group need not meet
+    limit = durable(far.groupBy("grp", "trial").agg(F.percentile_approx("d", cover, 1000).alias("limit")))
+    near = far.join(limit, ["grp", "trial"]).filter(F.col("d") <= F.col("limit"))
+    after = _moments(near).mapInPandas(estimate, _ESTIMATE)
+    before = now.select("grp", "trial", F.struct("log_det", "mean", "precision").alias("before"))
+    fell = F.col("before.log_det") - F.col("log_det")
+    after = after.join(before, ["grp", "trial"]).withColumn("fell", fell)
+    # sketched quantiles may raise it a little: then the estimate before stays
+    better = [F.when(fell < 0, F.col("before")[c]).otherwise(F.col(c)).alias(c) for c in ("mean", "precision", "log_det")]
+    return durable(after.select("grp", "trial", *better, "fell"))
+
+
+def robust_estimates(rows: DataFrame, cover: float = COVER, gain: float = GAIN) -> DataFrame:
     """``grp, mean, precision, scale`` of rows (``grp, x``): fast minimum covariance determinant.
 
     Two starts (medians with median deviations; all rows) are concentrated: keep the
-    ``cover`` nearest of each group, estimate again. The start with the smaller
-    determinant wins. ``scale`` makes the median distance that of a normal
-    distribution. Only sums and sketches are shuffled, with map-side combination.
+    ``cover`` nearest of each group, estimate again, until the determinant falls no
+    more; groups that are done leave. The start with the smaller determinant wins.
+    ``scale`` makes the median distance that of a normal distribution. Only sums and
+    sketches are shuffled, with map-side combination; tables of a row a group are
+    written, so that joins with them are chosen by their size.
     """
     x = F.col("x")
     middle = rows.groupBy("grp").agg(F.array(*(F.percentile_approx(x[i], 0.5, 1000) for i in range(SIZE))).alias("m"))
+    middle = durable(middle)
     off = rows.join(middle, "grp").withColumn("x", F.array(*(F.abs(x[i] - F.col("m")[i]) for i in range(SIZE))))
     spread = off.groupBy("grp").agg(
         F.first("m").alias("mean"),
@@ -131,14 +151,15 @@ def robust_estimates(rows: DataFrame, cover: float = COVER, rounds: int = ROUNDS
     diagonal = [1 / F.pow(floored[i], 2) if i == j else F.lit(0.0) for i in range(SIZE) for j in range(SIZE)]
     first = spread.select("grp", F.lit(0).alias("trial"), "mean", F.array(*diagonal).alias("precision"), F.lit(0.0).alias("log_det"))
     plain = _moments(rows.withColumn("trial", F.lit(1))).mapInPandas(estimate, _ESTIMATE)
-    now = durable(first.unionByName(plain))
-    for _ in range(rounds):
-        far = rows.join(now, "grp").select("grp", "trial", "x", distance(x, F.col("mean"), F.col("precision")).alias("d"))
-        limit = far.groupBy("grp", "trial").agg(F.percentile_approx("d", cover, 1000).alias("limit"))
-        near = far.join(limit, ["grp", "trial"]).filter(F.col("d") <= F.col("limit"))
-        now = durable(_moments(near).mapInPandas(estimate, _ESTIMATE))
-    best = now.groupBy("grp").agg(F.min_by(F.struct("mean", "precision"), F.struct("log_det", "trial")).alias("e"))
-    best = best.select("grp", "e.*")
+    # neither start is an estimate from a cover set yet, so the first step always counts
+    now = durable(first.unionByName(plain).withColumn("log_det", F.lit(float("inf"))))
+    done = now.limit(0)
+    while not now.isEmpty():
+        after = concentrate(rows, now, cover)
+        done = done.unionByName(after.filter(F.col("fell") <= gain).drop("fell"))
+        now = after.filter(F.col("fell") > gain).drop("fell")
+    best = done.groupBy("grp").agg(F.min_by(F.struct("mean", "precision"), F.struct("log_det", "trial")).alias("e"))
+    best = durable(best.select("grp", "e.*"))
     d = rows.join(best, "grp").select("grp", distance(x, F.col("mean"), F.col("precision")).alias("d"))
     scale = d.groupBy("grp").agg((F.percentile_approx("d", 0.5, 1000) / CHI_MEDIAN).alias("scale"))
     return best.join(scale, "grp").withColumn("scale", F.greatest("scale", F.lit(1.0)))
@@ -182,7 +203,7 @@ def judge(
     ranked = levels.select("g", F.posexplode(F.array("g", "w", "a")).alias("level", "grp")).join(estimates, "grp")
     chosen = ranked.groupBy("g").agg(F.min_by(F.struct("mean", "precision", "scale"), "level").alias("estimate"))
     mine = fresh(measured, "estimate")
-    chosen = chosen.select(F.col("g").alias(grp), F.col("estimate").alias(mine))
+    chosen = durable(chosen.select(F.col("g").alias(grp), F.col("estimate").alias(mine)))
     joined = measured.join(chosen, grp, "left")
     d = distance(field(x), field(mine)["mean"], field(mine)["precision"]) / field(mine)["scale"]
     return joined.select(
