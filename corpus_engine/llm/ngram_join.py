@@ -30,12 +30,17 @@ BLOCK_NODES, BLOCK_GRAMS = 256, 200_000
 
 
 def bands_for(similarity: float, recall: float, most: int = 128) -> tuple[int, int]:
-    """(bands, rows): the most rows whose bands reach the recall at that similarity within ``most`` hashes."""
-    best = (most, 1)
+    """(bands, rows): the most rows whose bands reach the recall at that similarity within ``most`` hashes.
+
+    Raises ValueError if no banding does.
+    """
+    best = None
     for rows in range(1, 17):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
+        bands = math.ceil(math.log(1 - recall) / math.log1p(-(similarity**rows)))
         if bands * rows <= most:
             best = (bands, rows)
+    if best is None:
+        raise ValueError(f"no banding of {most} hashes finds similarity {similarity} with recall {recall}")
     return best
 
 

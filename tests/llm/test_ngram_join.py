@@ -68,3 +68,8 @@ def test_empty(spark):
 def test_bands(recall):
     bands, rows = N.bands_for(0.8, recall)
     assert 1 - (1 - 0.8**rows) ** bands >= recall and bands * rows <= 128
+
+
+def test_recall_out_of_reach():
+    with pytest.raises(ValueError):
+        N.bands_for(0.05, 0.999)
