@@ -5,13 +5,14 @@ contexts, the bytes before it from none to ``DEPTH``. A node's counts give a
 Krichevsky-Trofimov estimate; a node's weight against its deeper nodes follows from
 how well either explains the training bytes, so all depths are mixed.
 
-All counts stay a table. Contexts that end in the same two bytes lie in one part of
-the tree, which is at most 2**16 entries; depths 0 and 1 are above all parts and are
-small. So each part is built, and asked for the symbols to score, in one task.
+All counts stay a table. Contexts that end in the same three bytes lie in one part of
+the tree; the depths above all parts have at most 2**16 contexts each. So each part is
+built, and asked for the symbols to score, in one task.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,38 +27,68 @@ from pyspark.sql import functions as F
 from corpus_engine.llm.common import bound_batches, field, fresh, per_row, text_blocks
 from corpus_engine.runtime import durable
 
-DEPTH = 3
+DEPTH = 6
 END = b"\n"
+WHITE = re.compile("[ \t\n\x0b\x0c\r]")
 #: What makes up at least this share of the training tokens or bytes is broadcast, at
-#: most 2**20 entries; all else is joined. The scores are the same.
-SHARE = 1 << 20
+#: most 2**24 entries; all else is joined. The scores are the same.
+SHARE = 1 << 24
 #: Depths above all parts of the tree, and rows of whole parts that are built at once.
-TOP = 2
+TOP = 3
 PART_ROWS = 200_000
+#: Characters or bytes that are split or coded at once, also of a single text.
+PIECE = 1_000_000
+#: Counts whose log-gamma values are tabulated.
+TABLE = 4096
+
+
+def word_pieces(text: str | None) -> Iterator[list[bytes]]:
+    """Words between ASCII white space, with A-Z lower-cased, of pieces cut at white space."""
+    text, start = text or "", 0
+    while start < len(text):
+        cut = WHITE.search(text, start + PIECE)
+        end = cut.start() if cut else len(text)
+        yield text[start:end].encode().lower().split()
+        start = end
 
 
 def tokens(text: str | None) -> list[bytes]:
-    """Words between ASCII white space, with A-Z lower-cased."""
-    return (text or "").encode().lower().split()
-
-
-def stream(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of DEPTH context bytes and a symbol for each byte of the texts' tokens; lengths."""
-    joined = [b" ".join(tokens(t)) + END for t in texts]
-    data = np.frombuffer(END * DEPTH + b"".join(joined), dtype=np.uint8).astype(np.uint32)
-    lengths = np.array([len(j) for j in joined])
-    n = len(data) - DEPTH
-    codes = np.zeros(n, dtype=np.uint32)
-    for k in range(DEPTH + 1):
-        codes = (codes << np.uint32(8)) | data[k : k + n]
-    # every text starts after END, whatever text stands before it
-    starts = np.cumsum(lengths) - lengths
-    for offset in range(min(DEPTH, int(lengths.max(initial=0)))):
-        at = starts[lengths > offset] + offset
-        keep = np.uint32((1 << (8 * (offset + 1))) - 1)
-        blank = np.uint32(int.from_bytes(END * 4, "big")) & ~keep
-        codes[at] = (codes[at] & keep) | blank
-    return codes, lengths
+    """All words of a text."""
+    return [word for piece in word_pieces(text) for word in piece]
+
+
+def coded(text: str | None, words: Counter) -> bytes:
+    """The bytes that are coded: words joined by single spaces, then the end. Adds the words to ``words``."""
+    parts = []
+    for piece in word_pieces(text):
+        words.update(piece)
+        if piece:
+            parts.append(b" ".join(piece))
+    return b" ".join(parts) + END
+
+
+def code_blocks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Codes of DEPTH context bytes and a symbol for each byte, with the number of its text, block by block.
+
+    Every text starts after END, whatever text stands before it.
+    """
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    begins, n = np.cumsum(lengths) - lengths, int(lengths.sum())
+    data = np.frombuffer(END * DEPTH + b"".join(texts), dtype=np.uint8)
+    ends = int.from_bytes(END * (DEPTH + 1), "big")
+    for lo in range(0, n, PIECE):
+        hi = min(n, lo + PIECE)
+        codes = np.zeros(hi - lo, dtype=np.uint64)
+        for k in range(DEPTH + 1):
+            codes <<= np.uint64(8)
+            codes |= data[lo + k : hi + k]
+        first, last = np.searchsorted(begins, [lo - DEPTH + 1, hi])
+        for offset in range(DEPTH):
+            at = begins[first:last][lengths[first:last] > offset] + offset - lo
+            at = at[(at >= 0) & (at < hi - lo)]
+            own = (1 << (8 * (offset + 1))) - 1
+            codes[at] = (codes[at] & np.uint64(own)) | np.uint64(ends & ~own)
+        yield codes, np.searchsorted(begins, np.arange(lo, hi), side="right") - 1
 
 
 def word_hash(word: bytes) -> int:
@@ -83,15 +114,14 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
 
         words, grams, documents = Counter(), [], 0
         for batch in batches:
-            for _, block in text_blocks(batch["t"].tolist(), 1_000_000):
+            for _, block in text_blocks(batch["t"].tolist(), PIECE):
                 documents += len(block)
-                for t in block:
-                    words.update(tokens(t))
-                grams.append(np.unique(stream(block)[0], return_counts=True))
-                if len(grams) >= 8:
-                    grams = [grams_out(grams)]
-                    if len(grams[0][0]) > 1_000_000:
-                        yield frame(0, *grams.pop())
+                for codes, _ in code_blocks([coded(t, words) for t in block]):
+                    grams.append(np.unique(codes, return_counts=True))
+                    if len(grams) >= 8:
+                        grams = [grams_out(grams)]
+                        if len(grams[0][0]) > 2_000_000:
+                            yield frame(0, *grams.pop())
                 if len(words) > 400_000:
                     yield frame(1, [word_hash(w) for w in words], list(words.values()))
                     words = Counter()
@@ -117,9 +147,26 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
 
 
+HALF, WHOLE = (log_gamma(np.arange(TABLE) + shift) for shift in (0.5, 1.0))
+
+
+def _gamma_of(counts: np.ndarray, table: np.ndarray, shift: float) -> np.ndarray:
+    """``log_gamma(counts + shift)``, from the table where it reaches."""
+    small = counts < TABLE
+    value = table[np.where(small, counts, 0).astype(np.int64)]
+    if not small.all():
+        value[~small] = log_gamma(counts[~small] + shift)
+    return value
+
+
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Log probability that a Krichevsky-Trofimov estimator gives to such counts."""
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1) - 2 * log_gamma(np.array(0.5))
+    return _gamma_of(zeros, HALF, 0.5) + _gamma_of(ones, HALF, 0.5) - _gamma_of(zeros + ones, WHOLE, 1.0) - 2 * HALF[0]
+
+
+def run_starts(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, dtype=np.int64)
 
 
 @dataclass
@@ -132,16 +179,23 @@ class ContextTree:
 
     @staticmethod
     def nodes(context: np.ndarray, symbol: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Keys of the decisions of such entries, with their zeros and ones."""
+        """Sorted keys of the decisions of such entries, with their zeros and ones.
+
+        Entries of one context stand together, their symbols in order.
+        """
         keys, zero, one = [], [], []
-        for bit in range(8):
-            node = (np.int64(1) << bit) | (symbol >> (8 - bit))
-            set_ = (symbol >> (7 - bit)) & 1
-            keys.append(context * 256 + node)
-            zero.append(np.where(set_ == 0, count, 0))
-            one.append(np.where(set_ == 1, count, 0))
-        key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        return key, *(np.bincount(inverse, np.concatenate(x), len(key)).astype(float) for x in (zero, one))
+        for bit in range(8 if len(context) else 0):
+            key = context * 256 + ((np.int64(1) << bit) | (symbol >> (8 - bit)))
+            new = run_starts(key)
+            ones = np.add.reduceat(np.where((symbol >> (7 - bit)) & 1, count, 0), new)
+            keys.append(key[new])
+            one.append(ones.astype(float))
+            zero.append((np.add.reduceat(count, new) - ones).astype(float))
+        if not keys:
+            return np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0)
+        key = np.concatenate(keys)
+        order = np.argsort(key, kind="stable")
+        return key[order], np.concatenate(zero)[order], np.concatenate(one)[order]
 
     @staticmethod
     def above(key: np.ndarray, depth: int, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -172,30 +226,40 @@ class ContextTree:
         return self.above(key, depth - 1, weighted, zero, one) if depth else sums
 
     def log_probability(self, codes: np.ndarray) -> np.ndarray:
-        """Natural log probability of each code's symbol after its context."""
-        codes = codes.astype(np.int64)
-        symbol, total = codes & 255, np.zeros(len(codes))
+        """Natural log probability of each code's symbol after its context.
+
+        Codes that share a decision and stand together are looked up once.
+        """
+        total = np.zeros(len(codes))
         for bit in range(8):
-            node = (1 << bit) | (symbol >> (8 - bit))
-            estimate, alive = np.full(len(codes), 0.5), np.ones(len(codes), dtype=bool)
-            ahead = np.ones(len(codes))
-            mixed = np.zeros(len(codes))
-            for d, keys in enumerate(self.keys):
-                key = ((codes >> 8) & ((1 << (8 * d)) - 1)) * 256 + node
-                at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
-                alive = alive & (keys[at] == key) if len(keys) else alive & False
-                # beyond the last known depth the last estimate stands
-                stop = np.where(alive, self.stop[d][at], 0.0) if len(keys) else 0.0
-                estimate = np.where(alive, self.ones[d][at], estimate) if len(keys) else estimate
-                mixed += ahead * stop * estimate
-                ahead = ahead * (1 - stop)
-            p = mixed + ahead * estimate
-            total += np.log(np.where((symbol >> (7 - bit)) & 1, p, 1 - p))
+            decision = codes >> (8 - bit) if bit else codes >> 8
+            new = run_starts(decision)
+            p = self.estimate(codes[new], bit)
+            p = np.repeat(p, np.diff(np.append(new, len(codes))))
+            total += np.log(np.where((codes >> (7 - bit)) & 1, p, 1 - p))
         return total
 
+    def estimate(self, codes: np.ndarray, bit: int) -> np.ndarray:
+        """Probability that this bit of each code's symbol is a one, mixed over the depths."""
+        node = (1 << bit) | ((codes & 255) >> (8 - bit))
+        estimate, alive = np.full(len(codes), 0.5), np.ones(len(codes), dtype=bool)
+        ahead, mixed = np.ones(len(codes)), np.zeros(len(codes))
+        for d, keys in enumerate(self.keys):
+            if not len(keys):
+                break
+            key = ((codes >> 8) & ((1 << (8 * d)) - 1)) * 256 + node
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            alive &= keys[at] == key
+            # beyond the last known depth the last estimate stands
+            stop = np.where(alive, self.stop[d][at], 0.0)
+            estimate = np.where(alive, self.ones[d][at], estimate)
+            mixed += ahead * stop * estimate
+            ahead *= 1 - stop
+        return mixed + ahead * estimate
+
 
 def tree_top(grams: DataFrame) -> ContextTree:
-    """Depths 0 to TOP - 1 of the tree of ``code, count``: at most 65,280 nodes a depth."""
+    """Depths 0 to TOP - 1 of the tree of ``code, count``: at most 2**16 contexts of 255 nodes a depth."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in whole_parts(batches):
@@ -252,14 +316,13 @@ def symbol_scores(grams: DataFrame, wanted: DataFrame, top: Broadcast) -> DataFr
 class TreeScorer:
     """Symbol values from a sorted table; a direct-mapped table remembers where they stand."""
 
-    def __init__(self, codes: np.ndarray, values: np.ndarray, bits: int = 20):
-        self.known, self.found, self.shift = codes, values, np.uint32(32 - bits)
-        self.codes = np.zeros(1 << bits, dtype=np.uint32)
-        self.codes[0] = 1  # code 0 is not remembered yet
+    def __init__(self, codes: np.ndarray, values: np.ndarray, bits: int = 21):
+        self.known, self.found, self.shift = codes, values, np.uint64(64 - bits)
+        self.codes = np.full(1 << bits, 2**64 - 1, dtype=np.uint64)  # no code: codes have fewer bits
         self.values = np.full(1 << bits, np.nan)
 
     def _slot(self, codes: np.ndarray) -> np.ndarray:
-        return (codes * np.uint32(0x9E3779B1)) >> self.shift
+        return (codes * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
 
     def values_of(self, codes: np.ndarray) -> np.ndarray:
         """Values of the codes, NaN where the table has none."""
@@ -277,18 +340,22 @@ class TreeScorer:
             self.codes[slot], self.values[slot] = new, fresh_values
         return value
 
-    def scores(self, texts: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    def scores(self, texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
         """Natural log probabilities of the known symbols of each text; its other codes, and how often they stand."""
-        codes, lengths = stream(texts)
-        value = self.values_of(codes)
-        begins = np.cumsum(lengths) - lengths
-        other = np.flatnonzero(np.isnan(value))
-        value[other] = 0
-        owner = (np.searchsorted(begins, other, side="right") - 1).astype(np.uint64)
-        pair, times = np.unique((owner << np.uint64(32)) | codes[other], return_counts=True)
-        cuts = np.searchsorted(pair >> np.uint64(32), np.arange(1, len(texts), dtype=np.uint64))
-        code = (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        return np.add.reduceat(value, begins), np.split(code, cuts), np.split(times, cuts)
+        total, rest = np.zeros(len(texts)), []
+        for codes, owner in code_blocks(texts):
+            value = self.values_of(codes)
+            other = np.flatnonzero(np.isnan(value))
+            value[other] = 0
+            total += np.bincount(owner, value, len(texts))
+            code, own = codes[other].view(np.int64), owner[other]
+            order = np.lexsort((code, own))
+            code, own = code[order], own[order]
+            new = np.union1d(run_starts(code), run_starts(own))
+            rest.append((own[new], code[new], np.diff(np.append(new, len(code)))))
+        own, code, times = (np.concatenate(x) for x in zip(*rest))
+        cuts = np.searchsorted(own, np.arange(1, len(texts)))
+        return total, np.split(code, cuts), np.split(times, cuts)
 
 
 @dataclass
@@ -313,7 +380,7 @@ def fit(documents: DataFrame, usable: Column, text: str = "text") -> LanguageMod
     """Count all usable texts; null texts are empty ones.
 
     Counts of byte contexts and of tokens come from every training byte, and all of
-    them count. Symbols and tokens more frequent than a share of 2**-20 are kept in
+    them count. Symbols and tokens more frequent than a share of 2**-24 are kept in
     memory, at most that many, and the others stay a table.
     """
     texts = documents.filter(usable).select(F.coalesce(field(text), F.lit("")).alias("t"))
@@ -327,7 +394,7 @@ def fit(documents: DataFrame, usable: Column, text: str = "text") -> LanguageMod
     grams = grams.select("code", "count")
     top = documents.sparkSession.sparkContext.broadcast(tree_top(grams))
     frequent = symbol_scores(grams, grams.filter(F.col("count") * SHARE >= size), top).toPandas().sort_values("code")
-    codes, values = frequent["code"].to_numpy(dtype=np.uint32), frequent["value"].to_numpy(dtype=float)
+    codes, values = frequent["code"].to_numpy(dtype=np.uint64), frequent["value"].to_numpy(dtype=float)
     often = words.filter(F.col("count") * SHARE >= total).toPandas().sort_values("code")
     rare = words.filter(F.col("count") * SHARE < total).select(F.col("code").alias("word"), F.col("count").alias("c"))
     hashes, counts = (often[c].to_numpy(dtype=np.int64) for c in ("code", "count"))
@@ -346,11 +413,12 @@ def _score_batch(codes, values, hashes, counts):
         def run(texts):
             nonlocal seen
             out = []
-            for _, block in text_blocks(texts, 1_000_000):
+            for _, block in text_blocks(texts, PIECE):
                 if len(seen) > 200_000:
                     seen = {}
-                for text, score, grams, gram_times in zip(block, *scorer.scores(block)):
-                    found = Counter(tokens(text))
+                words = [Counter() for _ in block]
+                data = [coded(*pair) for pair in zip(block, words)]
+                for size, found, score, grams, gram_times in zip(map(len, data), words, *scorer.scores(data)):
                     found[END] = 1
                     known, base, other, times = 0, 0.0, [], []
                     for word, n in found.items():
@@ -364,8 +432,9 @@ def _score_batch(codes, values, hashes, counts):
                         elif entry[1] > 0:
                             known += n
                             base += n * np.log10(entry[1] + 1)
-                    out.append((sum(found.values()), known, base, score, other, times, grams, gram_times))
-            return pd.DataFrame(out, columns=["n_tokens", "known", "base", "score", "words", "times", "grams", "gram_times"])
+                    out.append((sum(found.values()), size, known, base, score, other, times, grams, gram_times))
+            columns = ["n_tokens", "size", "known", "base", "score", "words", "times", "grams", "gram_times"]
+            return pd.DataFrame(out, columns=columns)
 
         return run
 
@@ -376,21 +445,20 @@ def score_texts(df: DataFrame, model: LanguageModel, text: str = "text") -> Data
     """Replace the text by n_tokens, n_known, train_tokens, base_score, score and bits_per_byte.
 
     A null text is empty: one token, its end. The model scores the lower-cased tokens
-    joined by single spaces, then the end. Repeated rows stay; other columns pass
+    joined by single spaces, then the end; bits_per_byte is per byte coded so. Repeated rows stay; other columns pass
     through, and one named like a result is replaced. The text is left out because
     the rows are written once before the values of rare symbols and tokens are joined.
     """
     context = df.sparkSession.sparkContext
     results = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
-    made, row, mine, rare, size = (fresh(df, c) for c in ("made", "row", "mine", "rare", "size"))
+    made, row, mine, rare = (fresh(df, c) for c in ("made", "row", "mine", "rare"))
     keep = [field(c) for c in df.columns if c not in (*results, text)]
     # bounded by SHARE, whatever the corpus
     shared = [context.broadcast(x) for x in (model.codes, model.values, model.hashes, model.counts)]
-    schema = "n_tokens long, known long, base double, score double, words array<long>, times array<long>"
+    schema = "n_tokens long, size long, known long, base double, score double, words array<long>, times array<long>"
     schema += ", grams array<long>, gram_times array<long>"
     scored = df.withColumn(made, per_row(_score_batch(*shared), schema, field(text)))
-    scored = scored.withColumn(size, F.octet_length(F.coalesce(field(text), F.lit(""))) + 1)
-    scored = durable(scored.select(*keep, field(made), field(size), F.monotonically_increasing_id().alias(row)))
+    scored = durable(scored.select(*keep, field(made), F.monotonically_increasing_id().alias(row)))
 
     own, rest = field(made), field(mine)
     zipped = F.arrays_zip(own["words"].alias("word"), own["times"].alias("times"))
@@ -417,5 +485,5 @@ def score_texts(df: DataFrame, model: LanguageModel, text: str = "text") -> Data
         F.lit(model.total).cast("long").alias("train_tokens"),
         (own["base"] + F.coalesce(rest["base"], F.lit(0.0)) - own["n_tokens"] * per_token).alias("base_score"),
         score.alias("score"),
-        (-score / F.log10(F.lit(2.0)) / field(size)).alias("bits_per_byte"),
+        (-score / F.log10(F.lit(2.0)) / own["size"]).alias("bits_per_byte"),
     )

@@ -27,9 +27,12 @@ def slow_model(texts):
 
     stop, weighted = {}, {}
     for d in reversed(range(C.DEPTH + 1)):
+        deeper = {}
+        for ctx, node in counts[d + 1] if d < C.DEPTH else ():
+            deeper.setdefault((ctx[1:], node), []).append(weighted[ctx, node])
         for (ctx, node), (z, o) in counts[d].items():
             own = kt(z, o)
-            below = [weighted[k] for k in (counts[d + 1] if d < C.DEPTH else ()) if k[1] == node and k[0].endswith(ctx)]
+            below = deeper.get((ctx, node), [])
             if not below:
                 weighted[ctx, node], stop[ctx, node] = own, 1.0
             else:
@@ -107,6 +110,48 @@ def test_rare_symbols_by_join(spark, monkeypatch):
         assert sorted((str(r.doc_id), round(r.score, 6)) for r in got) == want
 
 
+def test_pieces_and_blocks(monkeypatch):
+    """Texts are split and coded alike in pieces of any size."""
+    texts = ["", "a", " Ab\tcd  e\r\n", "x" * 50, "the cat sat on the mat " * 9, "\x0b", "é \x1f\u00a0b"]
+    def made():
+        words = [Counter() for _ in texts]
+        data = [C.coded(*pair) for pair in zip(texts, words)]
+        codes, owner = (np.concatenate(x) for x in zip(*C.code_blocks(data)))
+        return data, words, codes.tolist(), owner.tolist()
+
+    want = made()
+    assert want[0][2] == b"ab cd e\n" and want[1][4]["the".encode()] == 18
+    padded = [C.END * C.DEPTH + x for x in want[0]]
+    assert want[2] == [int.from_bytes(x[i : i + C.DEPTH + 1], "big") for x in padded for i in range(len(x) - C.DEPTH)]
+    for size in (1, 3, 7, 40):
+        monkeypatch.setattr(C, "PIECE", size)
+        assert made() == want
+
+
+def test_long_text_in_bounded_memory():
+    """A text of 20 MB is split, counted and scored in blocks."""
+    import tracemalloc
+
+    text = "lorem ipsum dolor sit amet " * 750_000
+    tracemalloc.start()
+    words = Counter()
+    data = C.coded(text, words)
+    total, codes, times = C.TreeScorer(np.zeros(0, dtype=np.uint64), np.zeros(0), bits=8).scores([data])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(data) == len(text) and words[b"lorem"] == 750_000
+    assert total.tolist() == [0] and times[0].sum() == len(data)
+    assert peak < 10 * len(text)
+
+
+def test_log_kt_table():
+    """Counts on both sides of the table's end."""
+    z = np.array([0, 1, 5, C.TABLE - 1, C.TABLE, 3, 1e6])
+    o = np.array([0, 0, 2, 1, C.TABLE + 9, C.TABLE - 3, 7])
+    want = [math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi) for a, b in zip(z, o)]
+    assert np.allclose(C.log_kt(z, o), want, rtol=1e-9, atol=1e-7)
+
+
 def test_log_gamma():
     x = np.array([0.5, 1, 1.5, 3, 7.9, 8, 100.5, 1e7])
     assert np.allclose(C.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-9, atol=1e-8)
