@@ -258,6 +258,14 @@ class ContextTree:
         return mixed + ahead * estimate
 
 
+def fetched(rows: DataFrame) -> list[np.ndarray]:
+    """The columns of a small table, in the order of the first; they come as Arrow batches, never as row objects."""
+    table = rows.toArrow()
+    columns = [c.to_numpy() for c in table.columns]
+    order = np.argsort(columns[0])
+    return [c[order] for c in columns]
+
+
 def tree_top(grams: DataFrame) -> ContextTree:
     """Depths 0 to TOP - 1 of the tree of ``code, count``: at most 2**16 contexts of 255 nodes a depth."""
 
@@ -267,8 +275,8 @@ def tree_top(grams: DataFrame) -> ContextTree:
             yield pd.DataFrame(dict(zip(("node", "weight", "zero", "one"), sums)))
 
     sums = by_part(grams).mapInPandas(run, "node long, weight double, zero double, one double")
-    sums = sums.groupBy("node").agg(*(F.sum(c).alias(c) for c in ("weight", "zero", "one"))).toPandas().sort_values("node")
-    tree, left = ContextTree([], [], []), tuple(sums[c].to_numpy() for c in ("node", "weight", "zero", "one"))
+    sums = sums.groupBy("node").agg(*(F.sum(c).alias(c) for c in ("weight", "zero", "one")))
+    tree, left = ContextTree([], [], []), tuple(fetched(sums))
     for d in reversed(range(TOP)):
         left = tree.cover(left, d)
     return tree
@@ -393,11 +401,10 @@ def fit(documents: DataFrame, usable: Column, text: str = "text") -> LanguageMod
 
     grams = grams.select("code", "count")
     top = documents.sparkSession.sparkContext.broadcast(tree_top(grams))
-    frequent = symbol_scores(grams, grams.filter(F.col("count") * SHARE >= size), top).toPandas().sort_values("code")
-    codes, values = frequent["code"].to_numpy(dtype=np.uint64), frequent["value"].to_numpy(dtype=float)
-    often = words.filter(F.col("count") * SHARE >= total).toPandas().sort_values("code")
+    codes, values = fetched(symbol_scores(grams, grams.filter(F.col("count") * SHARE >= size), top))
+    codes = codes.astype(np.uint64)
+    hashes, counts = fetched(words.filter(F.col("count") * SHARE >= total).select("code", "count"))
     rare = words.filter(F.col("count") * SHARE < total).select(F.col("code").alias("word"), F.col("count").alias("c"))
-    hashes, counts = (often[c].to_numpy(dtype=np.int64) for c in ("code", "count"))
     end_hash = np.int64(word_hash(END))
     at = np.searchsorted(hashes, end_hash)
     hashes, counts = np.insert(hashes, at, end_hash), np.insert(counts, at, ends)
