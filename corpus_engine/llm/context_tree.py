@@ -82,13 +82,15 @@ def code_blocks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for k in range(DEPTH + 1):
             codes <<= np.uint64(8)
             codes |= data[lo + k : hi + k]
+        inside = np.searchsorted(begins, lo, side="right") - 1
         first, last = np.searchsorted(begins, [lo - DEPTH + 1, hi])
         for offset in range(DEPTH):
             at = begins[first:last][lengths[first:last] > offset] + offset - lo
             at = at[(at >= 0) & (at < hi - lo)]
             own = (1 << (8 * (offset + 1))) - 1
             codes[at] = (codes[at] & np.uint64(own)) | np.uint64(ends & ~own)
-        yield codes, np.searchsorted(begins, np.arange(lo, hi), side="right") - 1
+        own = np.minimum(begins[inside:last] + lengths[inside:last], hi) - np.maximum(begins[inside:last], lo)
+        yield codes, np.repeat(np.arange(inside, last), own)
 
 
 def word_hash(word: bytes) -> int:
@@ -106,25 +108,31 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
         def grams_out(parts):
             code = np.concatenate([c for c, _ in parts])
             count = np.concatenate([n for _, n in parts])
-            code, inverse = np.unique(code, return_inverse=True)
-            return code, np.bincount(inverse, weights=count).astype(np.int64)
+            order = np.argsort(code)
+            code, count = code[order], count[order]
+            new = run_starts(code)
+            return code[new], np.add.reduceat(count, new)
 
         def frame(kind, code, count):
             return pd.DataFrame({"kind": kind, "code": np.asarray(code, dtype=np.int64), "count": count})
 
-        words, grams, documents = Counter(), [], 0
+        words, codes, grams, documents = Counter(), [], [], 0
         for batch in batches:
             for _, block in text_blocks(batch["t"].tolist(), PIECE):
                 documents += len(block)
-                for codes, _ in code_blocks([coded(t, words) for t in block]):
-                    grams.append(np.unique(codes, return_counts=True))
-                    if len(grams) >= 8:
-                        grams = [grams_out(grams)]
-                        if len(grams[0][0]) > 2_000_000:
-                            yield frame(0, *grams.pop())
+                for own, _ in code_blocks([coded(t, words) for t in block]):
+                    codes.append(own)
+                    if sum(map(len, codes)) >= 6 * PIECE:
+                        grams.append(np.unique(np.concatenate(codes), return_counts=True))
+                        codes = []
+                    if sum(len(c) for c, _ in grams) > 3_000_000:
+                        yield frame(0, *grams_out(grams))
+                        grams = []
                 if len(words) > 400_000:
                     yield frame(1, [word_hash(w) for w in words], list(words.values()))
                     words = Counter()
+        if codes:
+            grams.append(np.unique(np.concatenate(codes), return_counts=True))
         if grams:
             yield frame(0, *grams_out(grams))
         if words:
@@ -132,7 +140,8 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
         yield frame(2, [0], [documents])
 
     bound_batches(texts.sparkSession)
-    counted = texts.mapInPandas(run, "kind int, code long, count long")
+    # tasks hand on what they have combined: to combine again before the shuffle gains nothing
+    counted = texts.mapInPandas(run, "kind int, code long, count long").repartition("kind", "code")
     return counted.groupBy("kind", "code").agg(F.sum("count").alias("count"))
 
 
@@ -326,17 +335,18 @@ class TreeScorer:
 
     def __init__(self, codes: np.ndarray, values: np.ndarray, bits: int = 21):
         self.known, self.found, self.shift = codes, values, np.uint64(64 - bits)
-        self.codes = np.full(1 << bits, 2**64 - 1, dtype=np.uint64)  # no code: codes have fewer bits
-        self.values = np.full(1 << bits, np.nan)
+        # a code stands beside its value; no code is this large
+        self.seen = np.empty((1 << bits, 2))
+        self.seen[:, 0].view(np.uint64)[:] = 2**64 - 1
 
     def _slot(self, codes: np.ndarray) -> np.ndarray:
         return (codes * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
 
     def values_of(self, codes: np.ndarray) -> np.ndarray:
         """Values of the codes, NaN where the table has none."""
-        slot = self._slot(codes)
-        value = self.values[slot]
-        missing = self.codes[slot] != codes
+        seen = self.seen.take(self._slot(codes), axis=0)
+        value = seen[:, 1].copy()
+        missing = seen[:, 0].view(np.uint64) != codes
         if missing.any():
             new, inverse = np.unique(codes[missing], return_inverse=True)
             at = np.minimum(np.searchsorted(self.known, new), max(len(self.known) - 1, 0))
@@ -345,7 +355,7 @@ class TreeScorer:
                 fresh_values = np.where(self.known[at] == new, self.found[at], np.nan)
             value[missing] = fresh_values[inverse]
             slot = self._slot(new)
-            self.codes[slot], self.values[slot] = new, fresh_values
+            self.seen[slot] = np.stack([new.view(float), fresh_values], axis=1)
         return value
 
     def scores(self, texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
