@@ -12,6 +12,7 @@ built, and asked for the symbols to score, in one task.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -425,7 +426,7 @@ def _score_batch(codes, values, hashes, counts):
     def make():
         scorer = TreeScorer(codes.value, values.value)
         frequent = dict(zip(hashes.value.tolist(), counts.value.tolist()))
-        seen: dict[bytes, tuple[int, int]] = {}
+        seen: dict[bytes, tuple[int, int, float]] = {}
 
         def run(texts):
             nonlocal seen
@@ -442,13 +443,14 @@ def _score_batch(codes, values, hashes, counts):
                         entry = seen.get(word)
                         if entry is None:
                             h = word_hash(word)
-                            entry = seen[word] = (h, frequent.get(h, -1))
+                            c = frequent.get(h, -1)
+                            entry = seen[word] = (h, c, math.log10(c + 1) if c > 0 else 0.0)
                         if entry[1] < 0:
                             other.append(entry[0])
                             times.append(n)
                         elif entry[1] > 0:
                             known += n
-                            base += n * np.log10(entry[1] + 1)
+                            base += n * entry[2]
                     out.append((sum(found.values()), size, known, base, score, other, times, grams, gram_times))
             columns = ["n_tokens", "size", "known", "base", "score", "words", "times", "grams", "gram_times"]
             return pd.DataFrame(out, columns=columns)
