@@ -15,12 +15,15 @@ from pyspark.sql import functions as F
 
 from corpus_engine.functions.text import normalized_hash, shingles, words
 from corpus_engine.functions.urls import normalize_url
-from corpus_engine.runtime import durable
+from corpus_engine.runtime import durable, top_per_group
 
 # Pages that make a text boilerplate, and the near-copy threshold.
 MIN_PAGES = 3
 THRESHOLD = 0.85
 
+#: Boilerplate sets of a prefix shingle that a text is compared with before all others.
+FIRST_SETS = 8
+
 
 def text_key(content: str) -> Column:
     """Normalised hash as a join key.
@@ -60,8 +63,8 @@ def near_boilerplate(
     Three passes over the texts, none of which writes them: count copies (saved by
     ``common_hashes``), take the boilerplate texts, and find each rarer text's shingles
     that boilerplate knows. From there on shingles are numbers, copies of a text are one
-    row, boilerplate texts of equal shingles are one set, and a text is done at its
-    first match. (``explode_outer``, because a plain ``explode`` makes the optimizer
+    row, boilerplate texts of equal shingles are one set, and a text that matches one of
+    the first sets is done. (``explode_outer``, because a plain ``explode`` makes the optimizer
     test the array's size first and so compute the shingles twice.)
     """
     hashed = df.select(text_key(content).alias("hash"), F.col(content).alias("text"))
@@ -93,28 +96,38 @@ def near_boilerplate(
 
     # |x n y| >= t|x|, so a match has that many known shingles at least
     near_rare = durable(known(rare).filter(F.size("known") >= F.col("n") * threshold))
-    folded = durable(
+    folded = (
         known(common).groupBy(F.array_sort("known").alias("all")).agg(F.first("known").alias("known"), F.first("n").alias("m"))
     )
+    folded = durable(folded.withColumn("set", F.monotonically_increasing_id()))
 
-    # unknown shingles come first in the order, so they use up the prefix
+    # unknown shingles come first in the order, so they use up the prefix; a prefix row
+    # holds numbers only, as with its whole set a long text would count by its square
     take = _prefix_length(F.col("n"), threshold) - (F.col("n") - F.size("known"))
-    rare_prefix = near_rare.select("hash", "n", "known", F.explode(F.slice("known", F.lit(1), take.cast("int"))).alias("id"))
+    rare_prefix = near_rare.select("hash", "n", F.explode(F.slice("known", F.lit(1), take.cast("int"))).alias("id"))
     head = F.slice("known", F.lit(1), _prefix_length(F.col("m"), threshold).cast("int"))
-    common_prefix = folded.select("m", "all", F.explode(head).alias("id"))
-    both = F.size(F.array_intersect("known", "all"))
-    near = (
-        rare_prefix.join(
-            common_prefix.withColumnRenamed("id", "of"),
-            (F.col("id") == F.col("of"))
-            & (F.col("m") >= F.col("n") * threshold)
-            & (F.col("n") >= F.col("m") * threshold)
-            & (both / (F.col("n") + F.col("m") - both) >= threshold),
-            "left_semi",
+    common_prefix = folded.select("set", "m", F.explode(head).alias("id"))
+
+    def matched(rare_side: DataFrame, common_side: DataFrame) -> DataFrame:
+        """Rare texts that one of the sets sharing a prefix shingle nearly equals."""
+        both = F.size(F.array_intersect("known", "all"))
+        pairs = (
+            rare_side.hint("merge").join(common_side, "id")
+            .filter((F.col("m") >= F.col("n") * threshold) & (F.col("n") >= F.col("m") * threshold))
+            .select("hash", "set")
+            .distinct()
         )
-        .select("hash")
-        .distinct()
-    )
+        return (
+            pairs.hint("merge").join(folded.select("set", "m", "all").hint("merge"), "set")
+            .join(near_rare.hint("merge"), "hash")
+            .filter(both / (F.col("n") + F.col("m") - both) >= threshold)
+            .select("hash")
+            .distinct()
+        )
+
+    # texts near many sets mostly match one of the first, so only the others see them all
+    first = durable(matched(rare_prefix, top_per_group(common_prefix, ["id"], [F.col("set")], FIRST_SETS).drop("rn")))
+    near = first.unionByName(matched(rare_prefix.join(first, "hash", "left_anti"), common_prefix))
     # texts too short for a shingle all count as equal
     if common.filter("n = 0").isEmpty():
         return near

@@ -43,3 +43,27 @@ def test_near_boilerplate_equals_brute_force(spark):
     assert hashes == {hashlib.md5(t.encode()).hexdigest() for t in want} and want
     kept = D.remove_boilerplate(df, D.boilerplate_hashes(df)).collect()
     assert {norm(r.content) for r in kept} == set(pages) - set(common) - want
+
+
+def test_near_boilerplate_of_long_texts_sends_no_sets_around(spark):
+    """A prefix row that held its whole set would make the sent table count a text's length by its square."""
+    long = [f"w{i}" for i in range(12_000)]
+    rows = [(" ".join(long), f"p{p}") for p in range(3)]
+    rows += [(" ".join([*long[:at], "x", *long[at + 1 :]]), "q") for at in (9, 3_000)] + [(" ".join(long[:6_000]), "q")]
+    df = spark.createDataFrame(rows, "content string, page_url string")
+    limit = "spark.sql.maxBroadcastTableSize"
+    spark.conf.set(limit, str(100 << 20))
+    try:
+        assert D.near_boilerplate(df).count() == 2
+    finally:
+        spark.conf.unset(limit)
+
+
+def test_near_boilerplate_looks_beyond_the_first_sets(spark):
+    """A text near the last of many sets that share its rarest shingles is found."""
+    shared = [f"s{i}" for i in range(12)]
+    sets = [shared + [f"t{k}x{i}" for i in range(28)] for k in range(2 * D.FIRST_SETS)]
+    rows = [(" ".join(words), f"p{p}") for words in sets for p in range(3)]
+    rows += [(" ".join([*words[:-1], "other"]), "q") for words in sets]
+    df = spark.createDataFrame(rows, "content string, page_url string")
+    assert D.near_boilerplate(df).count() == len(sets)
