@@ -15,6 +15,9 @@ from corpus_engine.streaming import ingest, progress, runner, state
 
 _HOUR = W.HOUR_US
 
+#: Files of a folder that the driver lists at once.
+FILES_LISTED = 200_000
+
 
 @query(
     """SELECT event_id, n AS in_window, n <= 3 AS allowed FROM (
@@ -360,8 +363,16 @@ def pdf_text(spark, d):
     """Each document is written as a file of PDF text operators and read back by the file source."""
     docs = load_table(spark, d, "documents", ["doc_id", "text"], spread=True)
     body = F.concat(F.lit("BT ("), F.regexp_replace("text", r"([()\\])", r"\\$1"), F.lit(") Tj ET"))
-    folder = scratch_path(spark, "pdf")
-    docs.select("doc_id", body.alias("value")).write.partitionBy("doc_id").text(folder)
-    texts = pdf.pdf_text(spark, folder).filter("skipped is null")
-    doc_id = F.regexp_extract("path", r"doc_id=(\d+)/", 1).cast("long")
-    return texts.select(doc_id.alias("doc_id"), F.md5("text").alias("digest"))
+    rows = docs.select("doc_id", F.concat(F.coalesce(body, F.lit("")), F.lit("\n")).cast("binary").alias("content"))
+    path = scratch_path(spark, "pdf")
+    n = docs.count()
+    folders = [f"{path}/{i}" for i in range(n // FILES_LISTED + 1)]
+    if sinks.write_files(rows, "doc_id", "content", folders) != n:
+        raise RuntimeError(f"not every document has its file below {path}")
+    # the driver lists one folder at a time, so its memory does not grow with the files
+    out = scratch_path(spark, "texts")
+    for folder in folders:
+        texts = pdf.pdf_text(spark, folder).filter("skipped is null")
+        doc_id = F.regexp_extract("path", r"doc_id=(-?\d*)\.[^/]*$", 1).try_cast("long")
+        texts.select(doc_id.alias("doc_id"), F.md5("text").alias("digest")).write.mode("append").parquet(out)
+    return spark.read.schema("doc_id long, digest string").parquet(out)

@@ -1,6 +1,9 @@
+import hashlib
+
 from pyspark.sql import functions as F
 
 from corpus_engine.functions.text import parse_structured_answer
+from corpus_engine.registry import stream_queries
 from corpus_engine.sources import pdf, robots, sinks, sitemaps, transcripts
 
 
@@ -49,6 +52,22 @@ def test_pdf(spark, tmp_path):
     assert cut["a.pdf"] == (None, "too large") and cut["b.pdf"] == (pdf.PLACEHOLDER, None)
 
 
+def test_pdf_query_reads_a_file_of_each_row(spark, tmp_path, monkeypatch):
+    """Equal, negative and null ids, null texts; files spread over several folders, none for a single file."""
+    monkeypatch.setattr(stream_queries, "FILES_LISTED", 20)
+    rows = [(i, f"text {i} with (some) signs of its own") for i in range(60)] + [(3, "other text of id three, some signs")] * 3
+    rows += [(None, "a text without an id of any kind"), (-4, None), (5, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    folders = []
+    monkeypatch.setattr(stream_queries, "scratch_path", lambda spark, name: folders.append(f"{tmp_path}/{name}") or folders[-1])
+    got = [tuple(r) for r in stream_queries.pdf_text(spark, str(tmp_path)).collect()]
+    assert len(got) == len(rows) and sum(i is None for i, _ in got) == 1
+    empty = hashlib.md5(pdf.PLACEHOLDER.encode()).hexdigest()
+    assert dict(got)[-4] == empty and len({d for _, d in got}) == 63
+    files = [p for p in (tmp_path / "pdf").rglob("*") if p.is_file()]
+    assert len(files) == len(rows) and len({p.parent for p in files}) < 20 and len(list((tmp_path / "pdf").iterdir())) > 1
+
+
 def test_sse(spark):
     bodies = [
         ("a", 'data: {"type":"text","content":"x"}\n\ndata: {bad\ndata: {"type":"text","content":"y"}\n'
