@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpus_engine.runtime import bound_batches
+
 
 def ascii_lower(column: Column) -> Column:
     """Lower-case A-Z only; every other character stays."""
@@ -77,8 +79,3 @@ def text_blocks(texts: list[str | None], limit: int = 2_000_000) -> Iterator[tup
         size += len(text)
     if block:
         yield start, block
-
-
-def bound_batches(spark: SparkSession, size: str = "8m") -> None:
-    """Hand texts to Python in batches of about this size, however long the texts are."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

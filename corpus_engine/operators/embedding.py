@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpus_engine.functions.vectors import normalize_vector, valid_embedding
-from corpus_engine.runtime import durable
+from corpus_engine.runtime import bound_batches, durable
 
 Embedder = Callable[[list[str]], list]
 
@@ -129,6 +129,7 @@ def embed_pages(
             for i in range(len(rows)):
                 yield rows.iloc[i : i + 1]
 
+    bound_batches(df.sparkSession)
     blocks = df.withColumn("_block", F.floor(F.col(index) / batch)).repartition(page, "_block")
     first = durable(blocks.sortWithinPartitions(page, "_block", index).mapInPandas(run(by_block), schema))
     lost = F.avg(F.col("error").isNotNull().cast("int"))

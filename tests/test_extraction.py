@@ -1,5 +1,6 @@
 import json
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from corpus_engine.functions import markup as M
@@ -108,3 +109,16 @@ def test_typed_parts():
     assert parts["images"] == ["[Image: A nice long picture]"]
     assert parts["links"] == ["/x"] and len(parts["scripts"]) == 3
     assert E.page_parts("")["links"] == [] and E.page_parts(None)["walked"] == ""
+
+
+def test_parsed_parts_come_a_few_pages_at_a_time(spark):
+    """However many pages a batch has, the parts of about a million characters are held; nulls and order stay."""
+    html = [None, "", *(f"<p>{i} {'x' * 99_990}</p>" for i in range(40)), "<p>last</p>"]
+    frames = list(E.parse_frame(pd.DataFrame({"page_id": range(len(html)), "html": pd.Series(html, dtype=object)})))
+    assert 4 <= len(frames) <= 6 and max(map(len, frames)) <= 13
+    whole = pd.concat(frames)
+    assert list(whole["page_id"]) == list(range(len(html)))
+    assert list(whole["walked"]) == [E.page_parts(h)["walked"] for h in html]
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    E.parse_pages(spark.createDataFrame([(1, "<p>a</p>")], "page_id int, html string"))
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "8m"
