@@ -68,7 +68,7 @@ class Words:
 
     def _add(self, words) -> None:
         for word in words:
-            self.ids[word] = len(self.rows)
+            self.ids[word] = len(self.ids)
             self.rows.append(self.features(word))
 
 
@@ -196,11 +196,11 @@ class Scorer:
 
     def _block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         net = self.net
-        if len(self.words.rows) > self.remember:
+        if len(self.words.ids) > self.remember:
             self._forget()
         docs = [self.words.of(t) for t in texts]
-        if len(self.words.rows) > len(self.table):
-            rows = np.array(self.words.rows[len(self.table) :])
+        if self.words.rows:
+            rows, self.words.rows = np.array(self.words.rows), []  # as lists they take several times the table
             self.table = np.concatenate([self.table, net.vectors(rows)])
             self.profile = np.concatenate([self.profile, net.profile[rows[:, 0] % net.settings.language_slots]])
         ids, lengths = np.concatenate(docs), np.array([len(d) for d in docs])

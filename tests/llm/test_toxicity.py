@@ -58,6 +58,18 @@ def test_learns_and_matches_slow_version(tables):
     assert np.allclose(forgetful, [r.score for r in rows], atol=1e-5)
 
 
+def test_scorer_keeps_no_lists_of_features():
+    """Words of later blocks join the table; the lists they came from are let go."""
+    net = T.Network.fresh(TINY)
+    net.languages, net.profile = ["en"], np.zeros((TINY.language_slots, 1), np.float32)
+    texts = [f"w{i} w{i + 1} vile{i}" for i in range(50)]
+    scorer = T.Scorer(net)
+    parts = [scorer.logits(texts[at : at + 10])[0] for at in range(0, 50, 10)]
+    assert scorer.words.rows == [] and len(scorer.table) == len(scorer.words.ids) == 102
+    assert np.allclose(np.concatenate(parts), T.Scorer(net).logits(texts)[0])
+    assert np.allclose(parts[4], [slow_logit(net, t) for t in texts[40:]], atol=1e-4)
+
+
 def test_one_class_or_no_rows(spark, tables):
     docs, labels = tables
     assert T.fit(docs, labels.filter("toxic = 0"), F.lit(True), settings=TINY) is None
