@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -232,3 +234,18 @@ def test_vector_index_without_vectors(spark):
     empty = spark.createDataFrame([("a", 0, None)], "chunk_id string, agent_id int, embedding array<float>")
     with pytest.raises(ValueError):
         V.fit_codebook(empty)
+
+
+def test_postings_combine_within_rows(spark):
+    """Equal, null and repeated ids; nothing is moved where each row has its own id."""
+    rows = [(1, "b a B, c a"), (2, "a"), (2, "x a a"), (None, "n"), (None, "m n"), (3, None), (4, ""), (5, " - "), (6, "é É")]
+    schema = "chunk_id long, content string"
+    want = {}
+    for i, text in rows:
+        for pos, word in enumerate(re.findall(r"\w+", (text or "").lower()), 1):
+            want.setdefault((i, word), []).append(pos)
+    got = K.postings(spark.createDataFrame(rows, schema), stop_words=False).collect()
+    assert {(r.chunk_id, r.term): r.positions for r in got} == {k: sorted(v) for k, v in want.items()} and len(got) == len(want)
+    single = K.postings(spark.createDataFrame([rows[0], rows[1]], schema), stop_words=False)
+    assert single.count() == 4
+    assert "Exchange" not in single._jdf.queryExecution().executedPlan().toString()
