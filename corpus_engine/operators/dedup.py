@@ -60,9 +60,9 @@ def near_boilerplate(
 ) -> DataFrame:
     """Hashes of rarer texts that nearly equal a boilerplate text.
 
-    Three passes over the texts, none of which writes them: count copies (saved by
-    ``common_hashes``), take the boilerplate texts, and find each rarer text's shingles
-    that boilerplate knows. From there on shingles are numbers, copies of a text are one
+    Four passes over the texts, none of which writes them: count copies (saved by
+    ``common_hashes``), take the boilerplate texts, count each rarer text's shingles that
+    boilerplate knows, and take those shingles of texts with enough of them. From there on shingles are numbers, copies of a text are one
     row, boilerplate texts of equal shingles are one set, and a text that matches one of
     the first sets is done. (``explode_outer``, because a plain ``explode`` makes the optimizer
     test the array's size first and so compute the shingles twice.)
@@ -77,7 +77,7 @@ def near_boilerplate(
     common = durable(
         sets(hashed.join(common_hashes, "hash", "left_semi").groupBy("hash").agg(F.min("text").alias("text")))
     )
-    rare = sets(hashed.join(common_hashes, "hash", "left_anti"))
+    rare = hashed.join(common_hashes, "hash", "left_anti")
 
     # how many boilerplate texts hold each shingle, and its number; nothing else can
     # match. As a written table its size is known, so Spark broadcasts it only when small.
@@ -94,7 +94,14 @@ def near_boilerplate(
             .withColumn("known", F.transform("known", lambda k: k["id"]))
         )
 
-    # |x n y| >= t|x|, so a match has that many known shingles at least
+    # |x n y| >= t|x|, so a match has that many known shingles at least. All texts are
+    # first counted by 64-bit hashes, of which equal ones can only make a count too high.
+    numbers = durable(frequency.select(F.xxhash64("shingle").alias("h")).distinct())
+    key = F.xxhash64("hash").alias("key")
+    hits = sets(rare).select(key, "n", F.explode_outer(F.transform("s", lambda g: F.xxhash64(g))).alias("h"))
+    hits = hits.join(numbers, "h", "left_semi").groupBy("key", "n").count()
+    likely = durable(hits.filter(F.col("count") >= F.col("n") * threshold).select("key").distinct())
+    rare = sets(rare.withColumn("key", key).join(likely, "key", "left_semi"))
     near_rare = durable(known(rare).filter(F.size("known") >= F.col("n") * threshold))
     folded = (
         known(common).groupBy(F.array_sort("known").alias("all")).agg(F.first("known").alias("known"), F.first("n").alias("m"))
