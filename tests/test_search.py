@@ -249,3 +249,42 @@ def test_postings_combine_within_rows(spark):
     single = K.postings(spark.createDataFrame([rows[0], rows[1]], schema), stop_words=False)
     assert single.count() == 4
     assert "Exchange" not in single._jdf.queryExecution().executedPlan().toString()
+
+
+def test_index_takes_texts_apart_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    docs = texts(spark).mapInPandas(counted, texts(spark).schema)
+    built = K.write_index(K.build_index(docs, stop_words=False), scratch_path(spark, "index"))
+    assert seen.value == 2 * 4  # equal ids are looked for first, and nothing is sampled
+    assert built.blocks.agg(F.sum("chunks")).first()[0] == built.postings.count()
+
+
+def test_matches_are_not_moved(spark):
+    built = K.write_index(K.build_index(many_texts(spark), stop_words=False), scratch_path(spark, "index"))
+    rows = [(f"{s}{i}", s, text) for s in "ab" for i, text in enumerate(ASKED)]
+    q = spark.createDataFrame(rows, "query_id string, agent_id string, query_text string")
+    for found in (K.keyword_match(q, built, stop_words=False), K.keyword_rank(q, built, stop_words=False)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(chunk_id" in plan and "hashpartitioning(query_id" not in plan
+
+
+def test_keyword_forms_equal_brute_force(spark):
+    rows = [(r.chunk_id, r.agent_id, r.content.split()) for r in many_texts(spark).collect()]
+    has = {
+        "w3 w4": lambda t: {"w3", "w4"} <= set(t),
+        '"w3 w4" w5': lambda t: "w5" in t and ("w3", "w4") in zip(t, t[1:]),
+        "w3 OR w3 w9": lambda t: "w3" in t,
+        "w7 OR w8 w9": lambda t: "w7" in t or {"w8", "w9"} <= set(t),
+        'w2 -"w3 w4"': lambda t: "w2" in t and ("w3", "w4") not in zip(t, t[1:]),
+        "w1 -w2 OR w20": lambda t: "w1" in t and "w2" not in t or "w20" in t,
+    }
+    built = K.write_index(K.build_index(many_texts(spark), stop_words=False), scratch_path(spark, "index"))
+    q = spark.createDataFrame([(x, "a", x) for x in has] * 2, "query_id string, agent_id string, query_text string")
+    got = sorted((r.query_id, r.chunk_id) for r in K.keyword_match(q, built, stop_words=False).collect())
+    assert got == sorted((x, i) for x, test in has.items() for i, site, t in rows if site == "a" and test(t))
