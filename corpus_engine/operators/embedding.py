@@ -91,6 +91,20 @@ def _call(fn: Embedder, texts: list[str]) -> tuple[list, list]:
         return [None] * len(texts), [f"{type(e).__name__}: {e}"] * len(texts)
 
 
+def _calls(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, list[int]]]:
+    """Frames of whole calls, and where each call starts; rows of equal ``keys`` follow each other."""
+    held = None
+    for rows in batches:
+        rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
+        values = rows[keys]
+        starts = (values != values.shift()).any(axis=1).to_numpy().nonzero()[0].tolist()
+        if len(starts) > 1:
+            yield rows.iloc[: starts[-1]], starts[:-1]
+        held = rows.iloc[starts[-1] :] if starts else None
+    if held is not None and len(held):
+        yield held, [0]
+
+
 def embed_pages(
     df: DataFrame, text_col: str, fn: Embedder, page: str = "page_id", index: str = "chunk_index", batch: int = BATCH
 ) -> DataFrame:
@@ -106,32 +120,27 @@ def embed_pages(
 
     def run(calls):
         def embedded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for rows in calls(batches):
-                vectors, errors = _call(fn, rows[text_col].fillna("").tolist())
+            # a frame holds many calls, for a small frame costs more than its texts
+            for rows, starts in calls(batches):
+                texts, vectors, errors = rows[text_col].fillna("").tolist(), [], []
+                for begin, end in zip(starts, [*starts[1:], len(texts)]):
+                    found = _call(fn, texts[begin:end])
+                    if len(found[0]) != end - begin:
+                        raise ValueError(f"{len(found[0])} vectors for {end - begin} texts")
+                    vectors += found[0]
+                    errors += found[1]
                 yield rows.assign(_raw=pd.Series(vectors, index=rows.index, dtype=object), error=pd.Series(errors, index=rows.index, dtype=object))
 
         return embedded
 
-    def by_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for rows in batches:
-            rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
-            keys = rows[[page, "_block"]]
-            starts = (keys != keys.shift()).any(axis=1).to_numpy().nonzero()[0]
-            for begin, end in zip(starts[:-1], starts[1:]):
-                yield rows.iloc[begin:end]
-            held = rows.iloc[starts[-1] :] if len(starts) else None
-        if held is not None and len(held):
-            yield held
-
-    def one_by_one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def one_by_one(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[int]]]:
         for rows in batches:
-            for i in range(len(rows)):
-                yield rows.iloc[i : i + 1]
+            if len(rows):
+                yield rows, list(range(len(rows)))
 
     bound_batches(df.sparkSession)
     blocks = df.withColumn("_block", F.floor(F.col(index) / batch)).repartition(page, "_block")
-    first = durable(blocks.sortWithinPartitions(page, "_block", index).mapInPandas(run(by_block), schema))
+    first = durable(blocks.sortWithinPartitions(page, "_block", index).mapInPandas(run(lambda batches: _calls(batches, [page, "_block"])), schema))
     lost = F.avg(F.col("error").isNotNull().cast("int"))
     retried = first.groupBy(page).agg(lost.alias("_lost")).filter((F.col("_lost") > 0) & (F.col("_lost") < RETRY_BELOW)).select(page)
     failed = F.col("error").isNotNull()

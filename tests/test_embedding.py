@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from corpus_engine.functions.vectors import norm
@@ -39,6 +40,21 @@ def test_errors_are_told(spark):
     assert B.require_embedded(good, ["id"]).first().error is None
 
 
+def test_calls_share_a_frame():
+    pages = [page for page in range(300) for _ in range(page % 3 + 1)]
+    rows = pd.DataFrame({"page_id": pages, "_block": 0})
+    frames = list(B._calls(iter([rows.iloc[:250], rows.iloc[250:251], rows.iloc[251:]]), ["page_id", "_block"]))
+    assert len(frames) <= 4
+    calls = [list(f["page_id"][b:e]) for f, starts in frames for b, e in zip(starts, [*starts[1:], len(f)])]
+    assert calls == [[page] * (page % 3 + 1) for page in range(300)]
+
+
+def test_vectors_must_fit_their_call(spark):
+    df = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "c")], "page_id int, chunk_index int, content string")
+    with pytest.raises(Exception, match="1 vectors for 2 texts"):
+        B.embed_pages(df, "content", lambda texts: [[1.0]]).collect()
+
+
 def test_calls_follow_pages(spark):
     calls = spark.sparkContext.accumulator(0)
 
