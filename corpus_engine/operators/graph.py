@@ -47,6 +47,9 @@ def crawl_order(
     # written first, so that the filter does not normalise the URLs again
     links = durable(links.groupBy("src", "url").agg(F.min("pos").alias("pos"))).filter("src <> url")
 
+    if blocked is not None:
+        blocked = durable(blocked.select("url").distinct())  # every level asks for it
+
     start = admissible(
         seeds.withColumn("url", normalize_url(F.col("url"))).withColumn("root_url", normalize_url(F.col("root_url")))
     )
@@ -63,7 +66,7 @@ def crawl_order(
             .join(reached.select("site", "url"), ["site", "url"], "left_anti")
         )
         if blocked is not None:
-            found = found.join(blocked.select("url"), "url", "left_anti")
+            found = found.join(blocked, "url", "left_anti")
         found = admissible(found.join(sites, "site")).select("site", "url", "way")
         ranked = found.withColumn("depth", F.lit(depth))
         if max_pages is not None:

@@ -92,3 +92,20 @@ def test_line_diff_and_chunk_diff(spark):
     crawled = spark.createDataFrame([(1,), (2,)], "page_id int")
     got = sorted((r.change, r.chunk_id or "", r.chunk_index) for r in I.diff_chunks(new, old, crawled).collect())
     assert got == [("added", "", 6), ("removed", "o1", 0), ("removed", "o3", 2), ("removed", "o4", 0), ("unchanged", "o2", 1)]
+
+
+def test_blocked_urls_are_found_once(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            asked.add(len(batch))
+            yield batch
+
+    url = "https://a.org/{}".format
+    edges = spark.createDataFrame([(url(i), 0, url(i + 1)) for i in range(1, 6)], "src_url string, pos int, dst_url string")
+    seeds = spark.createDataFrame([("a.org", url(""), url(1), 0)], "site string, root_url string, url string, pos int")
+    blocked = spark.createDataFrame([(url(4),), (url(4),), (None,)], "url string").mapInPandas(counted, "url string")
+    found = G.crawl_order(edges, seeds, blocked=blocked).collect()
+    assert sorted(r.url for r in found) == [url(1), url(2), url(3)]
+    assert asked.value == 3
