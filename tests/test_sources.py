@@ -95,3 +95,16 @@ def test_events_sink(spark, tmp_path):
         sinks.append_events(df, str(tmp_path / "e"))
     rows = sinks.read_events(spark, str(tmp_path / "e")).collect()
     assert [(r.event_id, r.payload) for r in rows] == [(1, "{}"), (1, "{}")]
+
+
+def test_words_and_shingles_of_odd_white_space(spark):
+    from corpus_engine.functions import text as T
+
+    rows = ["", " \t", "a", " A\n\tb  C ", "\x0bx\fy\r", " a b　", None, "\x1ca b\x85c d"]
+    df = spark.createDataFrame([(t,) for t in rows], "t string")
+    a, b = T.shingles(F.col("t"), 2), T.shingles(F.upper("t"), 2)
+    got = df.select(T.words(F.col("t")).alias("w"), a.alias("s"), T.jaccard(a, b).alias("j")).collect()
+    assert [r.w for r in got[:5]] == [[], [], ["a"], ["a", "b", "c"], ["x", "y"]]
+    assert got[5].w == ["a", "b"] and got[6].w is None and got[6].j is None
+    assert [r.s for r in got[:5]] == [[], [], [], ["a b", "b c"], ["x y"]]
+    assert [r.j for r in got if r.w is not None] == [1.0] * 7
