@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -99,25 +100,25 @@ def merge_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     Every live symbol is an interval of ``word`` in a doubly linked list; a heap
     holds the pairs, and entries made stale by a merge are skipped.
     """
-    n = len(word)
+    n, rank = len(word), ranks.get
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    alive = [True] * n
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(word[i : i + 2])) is not None]
     heapq.heapify(heap)
+    pop, push = heapq.heappop, heapq.heappush
     while heap:
-        _, i, end = heapq.heappop(heap)
-        j = after[i] if alive[i] else n
-        if j >= n or after[j] != end:
+        _, i, end = pop(heap)
+        j = after[i]
+        if not 0 < j < n or after[j] != end:
             continue
-        alive[j] = False
+        after[j] = 0  # no longer the start of a symbol
         after[i] = end
         if end < n:
             before[end] = i
-            if (r := ranks.get(word[i : after[end]])) is not None:
-                heapq.heappush(heap, (r, i, after[end]))
-        if (h := before[i]) >= 0 and (r := ranks.get(word[h:end])) is not None:
-            heapq.heappush(heap, (r, h, end))
-    return [ranks[word[i : after[i]]] for i in range(n) if alive[i]]
+            if (r := rank(word[i : after[end]])) is not None:
+                push(heap, (r, i, after[end]))
+        if (h := before[i]) >= 0 and (r := rank(word[h:end])) is not None:
+            push(heap, (r, h, end))
+    return [ranks[word[i:j]] for i, j in enumerate(after) if j]
 
 
 class ByteBpe:
@@ -126,7 +127,9 @@ class ByteBpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str, whole: PerfectHash, remember: int = 200_000):
         self.ranks, self.find, self.whole = ranks, regex.compile(pattern), whole
         self.remember, self.known = remember, {}
-        self.bytes_of = {i: b for b, i in ranks.items()}
+        self.bytes_of = np.full(max(ranks.values(), default=-1) + 1, None, dtype=object)
+        for word, i in ranks.items():
+            self.bytes_of[i] = word
 
     def pieces(self, text: str, block: int = 1_000_000) -> Iterator[list[str]]:
         """The pattern's matches, a bounded number of characters at a time.
@@ -152,7 +155,7 @@ class ByteBpe:
         raw = [w.encode() for w in names]
         for name, word, found in zip(names, raw, self.whole.lookup(raw).tolist()):
             ids = [found] if found >= 0 else merge_bytes(word, self.ranks)
-            self.known[name] = np.array(ids, dtype="<u4").tobytes()
+            self.known[name] = struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -167,7 +170,7 @@ class ByteBpe:
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+        return b"".join(self.bytes_of[np.frombuffer(ids, dtype="<u4")].tolist())
 
 
 def unpack_ids(packed: Column) -> Column:

@@ -84,3 +84,15 @@ def test_perfect_hash_is_minimal():
     assert sorted(table.keys) == sorted(ranks)
     assert table.lookup(list(ranks)).tolist() == list(ranks.values())
     assert table.lookup([b"no such word in there", b""]).tolist() == [-1, -1]
+
+
+def test_every_entry_decodes_to_its_bytes():
+    ranks = byte_bpe.read_ranks(BYTE_RANKS)
+    bpe = byte_bpe.ByteBpe(ranks, P.PATTERN, byte_bpe.PerfectHash([], []))
+    words = [*ranks, b"\0", b"\0\0"]  # bytes that end in zeros must keep them
+    for word in words:
+        ids = byte_bpe.merge_bytes(word, ranks)
+        assert bpe.decode(np.array(ids, "<u4").tobytes()) == word
+    assert bpe.decode(b"") == b""
+    with pytest.raises((KeyError, IndexError, TypeError)):
+        bpe.decode(np.array([len(ranks) + 5], "<u4").tobytes())
