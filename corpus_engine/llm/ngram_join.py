@@ -54,7 +54,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Grams:
     """Sorted distinct 64-bit hashes of a text's word n-grams."""
 
-    def __init__(self, n: int, remember: int = 300_000):
+    def __init__(self, n: int, remember: int = 100_000):
         self.n, self.remember, self.known = n, remember, {}
         self.weights = _mix(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
 

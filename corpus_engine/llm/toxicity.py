@@ -185,7 +185,7 @@ def _pool(net: Network, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class Scorer:
     """Scores batches of whole texts; remembers a bounded number of words."""
 
-    def __init__(self, net: Network, remember: int = 250_000):
+    def __init__(self, net: Network, remember: int = 100_000):
         self.net, self.remember = net, remember
         self._forget()
 
