@@ -2,22 +2,28 @@
 
 Each word is a sum of hashed embeddings (the word and its prefixes). Filters of
 several widths slide over the words, the maximum of each filter over the text feeds
-a logistic output. The network is trained in numpy on a bounded sample; a threshold
-per language, guessed from the text alone, makes 0.5 the decision border.
+a logistic output. The network starts from a fit on a bounded, balanced sample and then
+learns from every labelled row: learners go through a part of the rows each, and what
+they changed is averaged. A threshold per language, guessed from the text alone, makes
+0.5 the decision border; profiles and thresholds are counted over all rows too.
 """
 
 from __future__ import annotations
 
+import copy
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field as dataclass_field
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpus_engine.llm.common import field, fresh, per_row, text_blocks
+from corpus_engine.llm.common import bound_batches, field, fresh, per_row, text_blocks
+from corpus_engine.runtime import durable
 
 EDGES = re.compile(r"^\W+|\W+$")
 #: Texts of each class that a language's own threshold needs.
@@ -26,7 +32,7 @@ CALIBRATED = 20
 
 @dataclass(frozen=True)
 class Settings:
-    """Sizes of the network and bounds of its training sample."""
+    """Sizes of the network, bounds of the sample it starts from, and rows of a learner."""
 
     slots: int = 1 << 17
     dims: int = 16
@@ -40,6 +46,8 @@ class Settings:
     rate: float = 0.15
     language_slots: int = 1 << 14
     seed: int = 7
+    learner_rows: int = 4_000
+    learners: int = 64
 
 
 class Words:
@@ -86,6 +94,7 @@ class Network:
     profile: np.ndarray | None = None  # (language_slots, languages), log probabilities
     thresholds: dict[str, float] = dataclass_field(default_factory=dict)
     threshold: float = 0.5
+    seen: list[np.ndarray] | None = None  # squared gradients so far, while it is trained
 
     @classmethod
     def fresh(cls, s: Settings) -> Network:
@@ -116,60 +125,73 @@ class Network:
         return np.maximum(pooled + self.shift, 0) @ self.out + self.bias
 
 
-def fit_network(docs: list[np.ndarray], rows: np.ndarray, labels: np.ndarray, s: Settings) -> Network:
+class Trainer:
     """Adagrad on log loss; only the words at each filter's maximum get a gradient."""
-    net, rng = Network.fresh(s), np.random.default_rng(s.seed)
-    pad = max(s.widths) - 1
-    scale = [np.full(a.shape, 1e-3, np.float32) for a in (net.embed, *net.kernels, net.shift, net.out)]
-    bias_scale = 1e-3
 
-    def step(weights, seen, gradient):
+    def __init__(self, net: Network):
+        self.net = net
+        if net.seen is None:
+            net.seen = [np.full(a.shape, 1e-3, np.float32) for a in (net.embed, *net.kernels, net.shift, net.out)]
+            net.seen.append(np.full(1, 1e-3))
+
+    def _move(self, weights: np.ndarray, seen: np.ndarray, gradient: np.ndarray) -> None:
         seen += gradient * gradient
-        weights -= s.rate * gradient / np.sqrt(seen)
+        weights -= self.net.settings.rate * gradient / np.sqrt(seen)
+
+    def step(self, docs: list[np.ndarray], rows: np.ndarray, labels: np.ndarray, weight=1.0) -> None:
+        """One batch of texts as word ids; ``rows`` are the features of each id."""
+        net, s = self.net, self.net.settings
+        pad = max(s.widths) - 1
+        ids = np.concatenate(docs)
+        lengths = np.array([len(d) for d in docs])
+        starts = np.cumsum(lengths) - lengths
+        x = net.vectors(rows[ids])
+        y = net.convolve(x)
+        best = np.stack([a + y[a : a + n - pad].argmax(0) for a, n in zip(starts, lengths)])
+        pooled = np.take_along_axis(y, best, 0)
+        hidden = np.maximum(pooled + net.shift, 0)
+        p = 1 / (1 + np.exp(-(hidden @ net.out + net.bias)))
+        error = ((p - labels) * weight / len(docs)).astype(np.float32)
+        back = error[:, None] * net.out * (hidden > 0)
+        grad_out, grad_shift, grad_bias = error @ hidden, back.sum(0), float(error.sum())
+        words, pulls = [], []
+        for k, kernel in enumerate(net.kernels):
+            own = slice(k * s.filters, (k + 1) * s.filters)
+            b, pull = best[:, own], back[:, own]
+            grad = np.empty_like(kernel)
+            for j in range(len(kernel)):
+                near = b + j
+                grad[j] = np.einsum("bfd,bf->df", x[near], pull)
+                words.append(ids[near].ravel())
+                pulls.append((pull[:, :, None] * kernel[j].T).reshape(-1, s.dims))
+            self._move(kernel, net.seen[1 + k], grad)
+        self._move(net.out, net.seen[-2], grad_out)
+        self._move(net.shift, net.seen[-3], grad_shift)
+        net.seen[-1] += grad_bias**2
+        net.bias -= s.rate * grad_bias / float(net.seen[-1][0]) ** 0.5
+        pull, slots = np.concatenate(pulls), rows[np.concatenate(words)]
+        live = np.abs(pull).sum(1) > 0
+        pull, slots = pull[live], slots[live]
+        touched, inverse = np.unique(slots, return_inverse=True)
+        grad = np.zeros((len(touched), s.dims), np.float32)
+        inverse = inverse.reshape(slots.shape)
+        for column in inverse.T:
+            np.add.at(grad, column, pull)
+        grad[touched == s.slots] = 0
+        seen = net.seen[0][touched] + grad * grad
+        net.seen[0][touched] = seen
+        net.embed[touched] -= s.rate * grad / np.sqrt(seen)
 
+
+def fit_network(docs: list[np.ndarray], rows: np.ndarray, labels: np.ndarray, s: Settings) -> Network:
+    """Several epochs over texts that fit in memory."""
+    net, rng = Network.fresh(s), np.random.default_rng(s.seed)
+    trainer = Trainer(net)
     for _ in range(s.epochs):
         order = rng.permutation(len(docs))
         for at in range(0, len(order), s.batch):
             chosen = order[at : at + s.batch]
-            ids = np.concatenate([docs[i] for i in chosen])
-            lengths = np.array([len(docs[i]) for i in chosen])
-            starts = np.cumsum(lengths) - lengths
-            x = net.vectors(rows[ids])
-            y = net.convolve(x)
-            best = np.stack([a + y[a : a + n - pad].argmax(0) for a, n in zip(starts, lengths)])
-            pooled = np.take_along_axis(y, best, 0)
-            hidden = np.maximum(pooled + net.shift, 0)
-            p = 1 / (1 + np.exp(-(hidden @ net.out + net.bias)))
-            error = ((p - labels[chosen]) / len(chosen)).astype(np.float32)
-            back = error[:, None] * net.out * (hidden > 0)
-            grad_out, grad_shift, grad_bias = error @ hidden, back.sum(0), float(error.sum())
-            words, pulls = [], []
-            for k, kernel in enumerate(net.kernels):
-                own = slice(k * s.filters, (k + 1) * s.filters)
-                b, pull = best[:, own], back[:, own]
-                grad = np.empty_like(kernel)
-                for j in range(len(kernel)):
-                    near = b + j
-                    grad[j] = np.einsum("bfd,bf->df", x[near], pull)
-                    words.append(ids[near].ravel())
-                    pulls.append((pull[:, :, None] * kernel[j].T).reshape(-1, s.dims))
-                step(kernel, scale[1 + k], grad)
-            step(net.out, scale[-1], grad_out)
-            step(net.shift, scale[-2], grad_shift)
-            bias_scale += grad_bias**2
-            net.bias -= s.rate * grad_bias / bias_scale**0.5
-            pull, slots = np.concatenate(pulls), rows[np.concatenate(words)]
-            live = np.abs(pull).sum(1) > 0
-            pull, slots = pull[live], slots[live]
-            touched, inverse = np.unique(slots, return_inverse=True)
-            grad = np.zeros((len(touched), s.dims), np.float32)
-            inverse = inverse.reshape(slots.shape)
-            for column in inverse.T:
-                np.add.at(grad, column, pull)
-            grad[touched == s.slots] = 0
-            seen = scale[0][touched] + grad * grad
-            scale[0][touched] = seen
-            net.embed[touched] -= s.rate * grad / np.sqrt(seen)
+            trainer.step([docs[i] for i in chosen], rows, labels[chosen])
     return net
 
 
@@ -313,6 +335,177 @@ def sample(
     return frame, counts.get(1, 0) / total if total else 0.0
 
 
+def labelled(
+    documents: DataFrame, labels: DataFrame, usable: Column, doc_id: str, text: str, lang: str, label: str
+) -> DataFrame:
+    """``(id, y, lang, t, held)`` of every usable row that has a label and a text; a fifth of the ids is held."""
+    marked = labels.filter(field(label).isin(0, 1) & field(doc_id).isNotNull()).select(
+        field(doc_id).alias("id"), field(label).cast("int").alias("y")
+    )
+    # written first, so that Spark knows the size of the labels before it moves a text
+    marked = durable(marked.groupBy("id").agg(F.max("y").alias("y")))
+    docs = documents.filter(usable & field(text).isNotNull()).select(
+        field(doc_id).alias("id"), field(lang).cast("string").alias("lang"), field(text).alias("t")
+    )
+    return docs.join(marked, "id").withColumn("held", _held(F.col("id")))
+
+
+def _held(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(5)) == 4
+
+
+#: Slots of an embedding block that travels as one row.
+SLOT_BLOCK = 1 << 13
+_PARTS = "kind string, name string, block int, learner int, value binary, touched binary"
+
+
+def _rest(net: Network) -> np.ndarray:
+    """All weights but the embedding in one array."""
+    return np.concatenate([*(k.ravel() for k in net.kernels), net.shift, net.out, [net.bias]]).astype(np.float64)
+
+
+def _learn(shared, often: list[str], weight: list[float], remember: int = 100_000):
+    """The function of one learner: rows of ``(t, y, lang, held)`` to what it changed and counted."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        start: Network = shared.value
+        s = start.settings
+        net = copy.deepcopy(start)
+        trainer, names = Trainer(net), set(often)
+        counts: dict[str | None, np.ndarray] = {}
+        words, rows, steps = Words(s), np.zeros((0, 1 + len(s.prefixes)), np.int64), 0
+
+        def flush(batch: list) -> None:
+            nonlocal words, rows, steps
+            if words.rows:
+                rows, words.rows = np.concatenate([rows, np.array(words.rows)]), []
+            for doc, _, lang, _ in batch:
+                if isinstance(lang, str):
+                    own = counts.setdefault(lang if lang in names else None, np.zeros(s.language_slots, np.int64))
+                    np.add.at(own, rows[doc, 0] % s.language_slots, 1)
+            fit = [(doc, y) for doc, y, _, held in batch if not held]
+            if fit:
+                y = np.array([y for _, y in fit], dtype=np.float32)
+                trainer.step([doc for doc, _ in fit], rows, y, np.array(weight, np.float32)[y.astype(int)])
+                steps += 1
+            if len(words.ids) > remember:
+                words, rows = Words(s), rows[:0]
+
+        for frame in batches:
+            batch, fits, size = [], 0, 0
+            for text, y, lang, held in zip(frame["t"], frame["y"], frame["lang"], frame["held"]):
+                doc = words.of(text)
+                batch.append((doc, y, lang, held))
+                fits, size = fits + (not held), size + len(doc)
+                if fits == s.batch or size > 100_000:
+                    flush(batch)
+                    batch, fits, size = [], 0, 0
+            flush(batch)
+        me = TaskContext.get().partitionId()
+        for name, own in counts.items():
+            yield _part("profile", name, 0, me, own)
+        if steps:
+            yield _part("rest", None, 0, me, _rest(net) - _rest(start))
+            moved, touched = net.embed - start.embed, (net.seen[0] > start.seen[0]).any(1)
+            for at in range(0, len(moved), SLOT_BLOCK):
+                mine = slice(at, at + SLOT_BLOCK)
+                if touched[mine].any():
+                    yield _part("embed", None, at, me, moved[mine], touched[mine].astype(np.int32))
+
+    return run
+
+
+def _part(kind, name, block, learner, value: np.ndarray, touched: np.ndarray | None = None) -> pd.DataFrame:
+    row = (kind, name, block, learner, value.tobytes(), b"" if touched is None else touched.tobytes())
+    return pd.DataFrame([row], columns=["kind", "name", "block", "learner", "value", "touched"])
+
+
+def _add_parts(parts: pd.DataFrame) -> pd.DataFrame:
+    """Sums of the learners' counts and means of what they changed, always in the same order."""
+    parts = parts.sort_values("learner")
+    kind, name, block = parts["kind"].iloc[0], parts["name"].iloc[0], parts["block"].iloc[0]
+    stored = {"profile": np.int64, "rest": np.float64, "embed": np.float32}[kind]
+    value = sum(np.frombuffer(v, stored).astype(np.int64 if kind == "profile" else np.float64) for v in parts["value"])
+    if kind == "rest":
+        value = value / len(parts)
+    if kind == "embed":
+        # of a slot only the learners count that met it
+        times = np.maximum(sum(np.frombuffer(v, np.int32) for v in parts["touched"]), 1)
+        value = (value.reshape(len(times), -1) / times[:, None]).astype(np.float32)
+    return _part(kind, name if isinstance(name, str) else None, block, 0, value)
+
+
+def learn_all(net: Network, rows: DataFrame) -> Network:
+    """One pass over every row of :func:`labelled` from the weights of ``net``; profiles from all of them.
+
+    A weight becomes the mean of the learners that changed it. Learners, their rows and
+    the order of these depend on the rows alone, so the result does not depend on the
+    cluster. What reaches the driver is one network and the profiles.
+    """
+    spark, s = rows.sparkSession, net.settings
+    sizes = {(r.held, r.y): r["count"] for r in rows.groupBy("held", "y").count().collect()}
+    fit = [sizes.get((False, y), 0) for y in (0, 1)]
+    known = rows.filter("lang is not null").groupBy("lang").count()
+    often = sorted(r.lang for r in known.filter(F.col("count") >= 2 * CALIBRATED).select("lang").collect())
+    Trainer(net)
+    # classes weigh the same, as in the sample
+    weight = [sum(fit) / (2 * n) if n else 0.0 for n in fit]
+    learners = min(max(-(-sum(fit) // s.learner_rows), 1), s.learners)
+    dealt = rows.select("t", "y", "lang", "held", F.xxhash64("id").alias("order"), F.xxhash64("t").alias("same"))
+    dealt = dealt.repartition(learners, "order").sortWithinPartitions("order", "same").select("t", "y", "lang", "held")
+    bound_batches(spark)
+    shared = spark.sparkContext.broadcast(net)  # fixed size
+    parts = dealt.mapInPandas(_learn(shared, often, weight), _PARTS)
+    found = parts.groupBy("kind", "name", "block").applyInPandas(_add_parts, _PARTS).collect()
+
+    counts = {r.name: np.frombuffer(r.value, np.int64) for r in found if r.kind == "profile"}
+    net.languages = often + [None] * (None in counts)
+    profile = np.full((s.language_slots, len(net.languages)), 0.1)
+    for i, name in enumerate(net.languages):
+        profile[:, i] += counts.get(name, 0)
+    net.profile = np.log(profile / profile.sum(0)).astype(np.float32) if net.languages else profile.astype(np.float32)
+    for r in found:
+        if r.kind == "rest":
+            flat, at = _rest(net) + np.frombuffer(r.value, np.float64), 0
+            for weights in (*net.kernels, net.shift, net.out):
+                weights[...] = flat[at : at + weights.size].reshape(weights.shape)
+                at += weights.size
+            net.bias = float(flat[-1])
+        if r.kind == "embed":
+            moved = np.frombuffer(r.value, np.float32).reshape(-1, s.dims)
+            net.embed[r.block : r.block + len(moved)] += moved
+    net.seen = None
+    return net
+
+
+def calibrate(net: Network, held: DataFrame) -> Network:
+    """Thresholds from the scores of all held rows, counted in steps of a ten-thousandth."""
+    shared = held.sparkSession.sparkContext.broadcast(net)  # fixed size
+
+    def make():
+        scorer = Scorer(shared.value)
+
+        def run(texts):
+            logits, guesses = scorer.logits(texts)
+            p = 1 / (1 + np.exp(-np.clip(logits, -60, 60)))
+            return pd.DataFrame({"p": np.round(p, 4), "guess": pd.Series(guesses, dtype=object)})
+
+        return run
+
+    scored = held.select("y", per_row(make, "p double, guess string", F.col("t")).alias("s"))
+    rows = scored.groupBy("s.guess", "s.p", "y").count().orderBy("guess", "p", "y").collect()  # steps, not texts
+    p, y, n = (np.array([r[c] for r in rows], dtype=float) for c in ("p", "y", "count"))
+    guesses = np.array([r.guess for r in rows], dtype=object)
+    net.threshold, net.thresholds = 0.5, {}
+    if 0 < (y * n).sum() < n.sum():
+        net.threshold = best_threshold(p, y, n)
+    for lang in net.languages:
+        own = guesses == lang
+        if lang is not None and min((y * n)[own].sum(), ((1 - y) * n)[own].sum()) >= CALIBRATED:
+            net.thresholds[lang] = best_threshold(p[own], y[own], n[own])
+    return net
+
+
 def fit(
     documents: DataFrame,
     labels: DataFrame,
@@ -323,17 +516,22 @@ def fit(
     label: str = "toxic",
     settings: Settings = Settings(),
 ) -> Network | None:
-    """Train on labelled rows for which ``usable`` holds; None without both classes.
+    """Train on all labelled rows for which ``usable`` holds; None without both classes.
 
-    Labels other than 0 and 1 and null ids are passed over; an id labelled twice is
-    toxic if any label says so. Null texts are never sampled.
+    Four fifths of the ids train the network, a sample of them gives the weights it
+    starts from, and the held fifth sets the thresholds. Labels other than 0 and 1 and
+    null ids are passed over; an id labelled twice is toxic if any label says so. Null
+    texts teach nothing.
     """
-    rows, prior = sample(documents, labels, usable, doc_id, text, lang, label, settings)
-    y = rows["y"].to_numpy(dtype=np.float32)
-    if len(set(y.tolist())) < 2:
+    # written once, as several passes read them
+    rows = durable(labelled(documents, labels, usable, doc_id, text, lang, label))
+    if len(rows.select("y").distinct().collect()) < 2:
         return None
-    langs = [x if isinstance(x, str) else None for x in rows["lang"]]
-    return train(rows["t"].tolist(), y, langs, prior, settings)
+    first, prior = sample(documents, labels, usable & ~_held(field(doc_id)), doc_id, text, lang, label, settings)
+    y = first["y"].to_numpy(dtype=np.float32)
+    langs = [x if isinstance(x, str) else None for x in first["lang"]]
+    start = train(first["t"].tolist(), y, langs, prior, settings) if len(set(y.tolist())) > 1 else Network.fresh(settings)
+    return calibrate(learn_all(start, rows), rows.filter("held"))
 
 
 def score_texts(

@@ -118,3 +118,27 @@ def test_held_out_accuracy(spark):
     assert all(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in rows)
     hit = sum(r.predicted and r.toxic for r in rows)
     assert hit / sum(r.toxic for r in rows) > 0.8 and hit / sum(r.predicted for r in rows) > 0.8
+
+
+def test_learns_from_rows_beyond_the_sample(spark):
+    """Words that no sampled row has are learned, in texts of any length, however the rows are dealt."""
+    rng, rows, labels = np.random.default_rng(4), [], []
+    foul = ["vile", "rotten", "wicked", "ghastly", "putrid", "sordid", "odious", "loathsome"]
+    for i in range(1200):
+        words = [f"w{k}" for k in rng.integers(0, 40, 5_000 if i % 300 == 1 else 12)]
+        words.insert(3, foul[i // 2 % 8] if i % 2 else f"kind{i // 2 % 8}")
+        rows.append((i, " ".join(words), ["en", "fr"][i // 20 % 2]))
+        if i < 1000:
+            labels.append((i, i % 2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    few = T.Settings(slots=2048, dims=4, filters=4, rows_per_class=4, epochs=2, language_slots=64, learner_rows=300)
+    nets = [T.fit(docs.repartition(parts), marks, F.lit(True), settings=few) for parts in (2, 7)]
+    got = T.score_texts(docs.filter("doc_id >= 1000"), nets[0]).collect()
+    assert np.mean([r.predicted == r.doc_id % 2 for r in got]) > 0.95
+    assert np.array_equal(nets[0].embed, nets[1].embed) and nets[0].thresholds == nets[1].thresholds
+    # every word of every labelled text is counted
+    sums = np.exp(nets[0].profile.astype(float))
+    want = sum(len(t.split()) + 2 for i, t, lang in rows if i < 1000 and lang == "en")
+    assert nets[0].languages == ["en", "fr"]
+    assert np.isclose(0.1 / sums[:, 0].min(), want + 0.1 * 64, rtol=0.001)
