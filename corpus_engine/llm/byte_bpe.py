@@ -122,11 +122,15 @@ def merge_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class ByteBpe:
-    """Encoder and decoder of one vocabulary; remembers a bounded number of words."""
+    """Encoder and decoder of one vocabulary; remembers a bounded number of words.
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, whole: PerfectHash, remember: int = 200_000):
+    Half of them are words that came again. New words wait in two sets, of which the
+    older is dropped when the younger is full, so words that come once push out no others.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, whole: PerfectHash, remember: int = 300_000):
         self.ranks, self.find, self.whole = ranks, regex.compile(pattern), whole
-        self.remember, self.known = remember, {}
+        self.remember, self.known, self.young, self.old = remember, {}, {}, {}
         self.bytes_of = np.full(max(ranks.values(), default=-1) + 1, None, dtype=object)
         for word, i in ranks.items():
             self.bytes_of[i] = word
@@ -148,14 +152,21 @@ class ByteBpe:
             yield self.find.findall(text[at:end])
             at = end
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > self.remember:
-            self.known = {}
-        names = list(words)
-        raw = [w.encode() for w in names]
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words that are not known yet; those that wait become known."""
+        again = {w: waiting.pop(w) for waiting in (self.young, self.old) for w in words & waiting.keys()}
+        names = list(words - again.keys())
+        raw, new = [w.encode() for w in names], {}
         for name, word, found in zip(names, raw, self.whole.lookup(raw).tolist()):
             ids = [found] if found >= 0 else merge_bytes(word, self.ranks)
-            self.known[name] = struct.pack(f"<{len(ids)}I", *ids)
+            new[name] = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self.known) + len(again) > self.remember // 2:
+            self.known = {}
+        if len(self.young) + len(new) > self.remember // 4:
+            self.young, self.old = {}, self.young
+        self.known |= again
+        self.young |= new
+        return again | new
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -163,9 +174,8 @@ class ByteBpe:
         for pieces in self.pieces(text):
             ids = list(map(self.known.get, pieces))
             if None in ids:
-                self._learn({p for p, i in zip(pieces, ids) if i is None})
-                known = self.known
-                ids = [known[p] if i is None else i for p, i in zip(pieces, ids)]
+                learned = self._learn({p for p, i in zip(pieces, ids) if i is None})
+                ids = [learned[p] if i is None else i for p, i in zip(pieces, ids)]
             out.append(b"".join(ids))
         return b"".join(out)
 

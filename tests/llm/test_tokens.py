@@ -78,6 +78,20 @@ def test_blocks_do_not_matter():
         assert [p for part in bpe.pieces(text, 5) for p in part] == whole
 
 
+def test_common_words_stay_known(monkeypatch):
+    """Words that come once push out none that come again."""
+    ranks, merged, merge = byte_bpe.read_ranks(BYTE_RANKS), [], byte_bpe.merge_bytes
+    monkeypatch.setattr(byte_bpe, "merge_bytes", lambda word, ranks: merged.append(word) or merge(word, ranks))
+    bpe = byte_bpe.ByteBpe(ranks, P.PATTERN, byte_bpe.PerfectHash([], []), remember=40)
+    names = [f"{a}{b}" for a in "bcdfghklmn" for b in "aeiou"]
+    for name in names:
+        text = f"often q{name} z{name} k{name}ka"
+        want = b"".join(np.array(merge(p.encode(), ranks), "<u4").tobytes() for p in bpe.find.findall(text))
+        assert bpe.encode(text) == want
+    assert merged.count(b"often") == 1
+    assert len(bpe.known) + len(bpe.young) + len(bpe.old) <= 40
+
+
 def test_perfect_hash_is_minimal():
     ranks = byte_bpe.read_ranks(BYTE_RANKS)
     table = byte_bpe.PerfectHash(list(ranks), list(ranks.values()))
