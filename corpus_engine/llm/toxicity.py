@@ -55,12 +55,19 @@ class Words:
 
     def __init__(self, settings: Settings):
         self.s, self.ids, self.rows = settings, {}, []
+        # a prefix of n characters is hashed as "n:prefix"; a checksum goes on from that of "n:"
+        self.begun = [(n, zlib.crc32(f"{n}:".encode())) for n in settings.prefixes]
 
     def features(self, word: str) -> list[int]:
-        word = EDGES.sub("", word.lower())
-        keys = [word, *(f"{n}:{word[:n]}" for n in self.s.prefixes if len(word) >= n)]
-        slots = [zlib.crc32(k.encode()) % self.s.slots for k in keys]
-        return slots + [self.s.slots] * (1 + len(self.s.prefixes) - len(slots))
+        word, slots, crc = word.lower(), self.s.slots, zlib.crc32
+        if not (word[:1].isalnum() and word[-1:].isalnum()):
+            word = EDGES.sub("", word)
+        raw, size = word.encode(), len(word)
+        row = [crc(raw) % slots]
+        for n, begun in self.begun:
+            if n <= size:
+                row.append(crc(raw[:n] if len(raw) == size else word[:n].encode(), begun) % slots)
+        return row + [slots] * (1 + len(self.begun) - len(row))
 
     def of(self, text: str) -> np.ndarray:
         """Word ids of a whole text; id 0 is the empty word, which pads short texts."""
@@ -79,6 +86,17 @@ class Words:
             self.ids[word] = len(self.ids)
             self.rows.append(self.features(word))
 
+    def thin(self, met: np.ndarray, most: int) -> np.ndarray:
+        """Keep the empty word and at most ``most`` words that were met again, the commonest first.
+
+        ``met`` counts the occurrences of each id. Gives the old ids in the order of the new.
+        """
+        again = np.flatnonzero(met > 1)
+        again = again[np.argsort(-met[again], kind="stable")[:most]]
+        stay, names = np.union1d([0], again), list(self.ids)
+        self.ids = {names[i]: k for k, i in enumerate(stay.tolist())}
+        return stay
+
 
 @dataclass
 class Network:
@@ -209,12 +227,14 @@ class Scorer:
 
     def __init__(self, net: Network, remember: int = 100_000):
         self.net, self.remember = net, remember
-        self._forget()
+        self.words = Words(net.settings)
+        self.table = np.zeros((0, net.settings.dims), np.float32)
+        self.profile = np.zeros((0, len(net.languages)), np.float32)
+        self.met = np.zeros(0, np.int64)
 
     def _forget(self) -> None:
-        self.words = Words(self.net.settings)
-        self.table = np.zeros((0, self.net.settings.dims), np.float32)
-        self.profile = np.zeros((0, len(self.net.languages)), np.float32)
+        stay = self.words.thin(self.met, self.remember // 2)
+        self.table, self.profile, self.met = self.table[stay], self.profile[stay], self.met[stay] // 2
 
     def _block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         net = self.net
@@ -226,6 +246,9 @@ class Scorer:
             self.table = np.concatenate([self.table, net.vectors(rows)])
             self.profile = np.concatenate([self.profile, net.profile[rows[:, 0] % net.settings.language_slots]])
         ids, lengths = np.concatenate(docs), np.array([len(d) for d in docs])
+        met = np.bincount(ids, minlength=len(self.table))
+        met[: len(self.met)] += self.met
+        self.met = met
         logits = net.logit(_pool(net, self.table[ids], lengths))
         starts = np.cumsum(lengths) - lengths
         return logits, np.add.reduceat(self.profile[ids], starts, axis=0)
@@ -375,11 +398,15 @@ def _learn(shared, often: list[str], weight: list[float], remember: int = 100_00
         trainer, names = Trainer(net), set(often)
         counts: dict[str | None, np.ndarray] = {}
         words, rows, steps = Words(s), np.zeros((0, 1 + len(s.prefixes)), np.int64), 0
+        met = np.zeros(0, np.int64)
 
         def flush(batch: list) -> None:
-            nonlocal words, rows, steps
+            nonlocal rows, steps, met
             if words.rows:
                 rows, words.rows = np.concatenate([rows, np.array(words.rows)]), []
+                met = np.append(met, np.zeros(len(rows) - len(met), np.int64))
+            if batch:
+                met += np.bincount(np.concatenate([doc for doc, *_ in batch]), minlength=len(met))
             for doc, _, lang, _ in batch:
                 if isinstance(lang, str):
                     own = counts.setdefault(lang if lang in names else None, np.zeros(s.language_slots, np.int64))
@@ -390,7 +417,8 @@ def _learn(shared, often: list[str], weight: list[float], remember: int = 100_00
                 trainer.step([doc for doc, _ in fit], rows, y, np.array(weight, np.float32)[y.astype(int)])
                 steps += 1
             if len(words.ids) > remember:
-                words, rows = Words(s), rows[:0]
+                stay = words.thin(met, remember // 2)
+                rows, met = rows[stay], met[stay] // 2
 
         for frame in batches:
             batch, fits, size = [], 0, 0

@@ -26,6 +26,32 @@ def slow_logit(net, text):
     return out
 
 
+def plain_features(s, word):
+    word = T.EDGES.sub("", word.lower())
+    keys = [word, *(f"{n}:{word[:n]}" for n in s.prefixes if len(word) >= n)]
+    slots = [zlib.crc32(k.encode()) % s.slots for k in keys]
+    return slots + [s.slots] * (1 + len(s.prefixes) - len(slots))
+
+
+def test_features():
+    words = ["", "a", "Vile!", "__x_y_", "«élève»", "ÉCOLES", "straße-", "(12,345)", "x²", "中文字符很多个", "İstanbul", "…", "a\u0301b", "\u0301bcdefgh"]
+    for s in (TINY, T.Settings(prefixes=(3, 1))):
+        assert [T.Words(s).features(w) for w in words] == [plain_features(s, w) for w in words]
+
+
+def test_common_words_stay(monkeypatch):
+    """A full memory lets go of words that came once, not of common ones."""
+    asked, features = [], T.Words.features
+    monkeypatch.setattr(T.Words, "features", lambda self, word: asked.append(word) or features(self, word))
+    net = T.Network.fresh(TINY)
+    net.languages, net.profile = ["en"], np.zeros((TINY.language_slots, 1), np.float32)
+    texts = [f"often w{i} vile{i} rare{i}" for i in range(60)]
+    scorer = T.Scorer(net, remember=40)
+    parts = [scorer.logits([t])[0] for t in texts]
+    assert asked.count("often") == 1 and len(scorer.words.ids) == len(scorer.table) < 50
+    assert np.allclose(np.concatenate(parts), T.Scorer(net).logits(texts)[0])
+
+
 @pytest.fixture(scope="module")
 def tables(spark):
     rng = np.random.default_rng(3)
