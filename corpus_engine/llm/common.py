@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import string
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,27 @@ def field(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def give_back() -> None:
+    """Return what this process has freed to the system, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator[pd.DataFrame]]) -> Callable[[Iterator], Iterator[pd.DataFrame]]:
+    """``run``, and then the memory that it has freed is given back.
+
+    Python workers outlive their tasks; idle ones count to their executor's memory.
+    """
+
+    def whole(batches: Iterator) -> Iterator[pd.DataFrame]:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 def per_row(
     make: Callable[[], Callable[[list], pd.DataFrame]],
     schema: str,
@@ -47,17 +70,19 @@ def per_row(
     that the optimizer neither moves nor repeats it.
     """
 
-    @F.pandas_udf(schema)
-    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+    @tidy
+    def rows(batches):
         fn = make()
         for batch in batches:
             yield fn(*(list(column) for column in batch))
 
+    @F.pandas_udf(schema)
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        yield from rows(batches)
+
     @F.pandas_udf(schema)
     def run_one(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        fn = make()
-        for batch in batches:
-            yield fn(list(batch))
+        yield from rows((batch,) for batch in batches)
 
     bound_batches(SparkSession.active())
     udf = run_one if len(inputs) == 1 else run

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpus_engine.llm.common import bound_batches, field, per_row
+from corpus_engine.llm.common import bound_batches, field, per_row, tidy
 from corpus_engine.llm.components import components
 from corpus_engine.runtime import durable
 
@@ -122,7 +122,7 @@ def gram_sets(documents: DataFrame, text: str, wanted: DataFrame, n: int) -> Dat
             yield frame.drop_duplicates("node")
 
     bound_batches(documents.sparkSession)
-    found = texts.mapInPandas(run, "node binary, grams array<long>")
+    found = texts.mapInPandas(tidy(run), "node binary, grams array<long>")
     # copies of a text are equal, so any one will do
     return found.groupBy("node").agg(F.min("grams").alias("grams"))
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpus_engine.llm.common import bound_batches, field, fresh, per_row
+from corpus_engine.llm.common import bound_batches, field, fresh, per_row, tidy
 from corpus_engine.llm.suffix_array import repeated_windows
 from corpus_engine.runtime import durable
 
@@ -306,18 +306,18 @@ def repeated_spans(documents: DataFrame, doc_id: str, text: str, tie: str, lengt
     texts = documents.filter(field(text).isNotNull()).select(
         F.coalesce(field(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), field(tie).alias("tie"), field(text).alias("t")
     )
-    coarse = durable(settle(texts.mapInPandas(coarse_runs(length, COARSE), _SCHEMA)).drop("key", "size"))
+    coarse = durable(settle(texts.mapInPandas(tidy(coarse_runs(length, COARSE)), _SCHEMA)).drop("key", "size"))
     done = coarse.filter("state = 'done'").select(*PLACE, "n")
 
     places = coarse.filter("state = 'open'").groupBy("doc", "tie").agg(F.collect_set(F.struct("start", "n")).alias("at"))
     fine = places.join(texts, ["doc", "tie"]).select("doc", "tie", "t", "at").dropDuplicates(["doc", "tie"])
-    fine = settle(fine.mapInPandas(fine_runs(length, FINE), f"{_SCHEMA}, raw binary"), "raw")
+    fine = settle(fine.mapInPandas(tidy(fine_runs(length, FINE)), f"{_SCHEMA}, raw binary"), "raw")
     fine = durable(fine)
 
     left = fine.filter("state = 'open'")
     shards = left.filter(F.col("size") <= GROUP).select(*PLACE, "n", "key", "raw")
     shards = shards.repartition("key").sortWithinPartitions("key")
-    found = shards.mapInPandas(shard_repeats(length), "doc long, tie long, start long, n long")
+    found = shards.mapInPandas(tidy(shard_repeats(length)), "doc long, tie long, start long, n long")
 
     windows = left.filter(F.col("size") > GROUP).select(
         "doc", "tie", "start", "raw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i")

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpus_engine.llm.common import bound_batches, field, fresh, per_row, text_blocks
+from corpus_engine.llm.common import bound_batches, field, fresh, per_row, text_blocks, tidy
 from corpus_engine.runtime import durable
 
 EDGES = re.compile(r"^\W+|\W+$")
@@ -484,7 +484,7 @@ def learn_all(net: Network, rows: DataFrame) -> Network:
     dealt = dealt.repartition(learners, "order").sortWithinPartitions("order", "same").select("t", "y", "lang", "held")
     bound_batches(spark)
     shared = spark.sparkContext.broadcast(net)  # fixed size
-    parts = dealt.mapInPandas(_learn(shared, often, weight), _PARTS)
+    parts = dealt.mapInPandas(tidy(_learn(shared, often, weight)), _PARTS)
     found = parts.groupBy("kind", "name", "block").applyInPandas(_add_parts, _PARTS).collect()
 
     counts = {r.name: np.frombuffer(r.value, np.int64) for r in found if r.kind == "profile"}
