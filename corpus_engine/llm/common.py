@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +46,32 @@ def give_back() -> None:
         trim(0)
 
 
+def give_back_driver(spark: SparkSession) -> None:
+    """Let the driver, its Python and its JVM, return what it has freed to the system.
+
+    The JVM is asked through its management interface for what ``jcmd`` calls
+    ``System.trim_native_heap``; one that cannot do it stays as it is.
+    """
+    give_back()
+    jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+    kind, management = jvm.java.lang.Class.forName, jvm.javax.management
+    types = ["javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;"]
+    signature, values = array(jvm.java.lang.Class, 4), array(jvm.java.lang.Object, 4)
+    given = [
+        management.ObjectName("com.sun.management:type=DiagnosticCommand"),
+        "systemTrimNativeHeap",
+        array(jvm.java.lang.Object, 0),
+        array(jvm.java.lang.String, 0),
+    ]
+    for i in range(4):
+        signature[i], values[i] = kind(types[i]), given[i]
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    try:
+        kind("javax.management.MBeanServer").getMethod("invoke", signature).invoke(server, values)
+    except Py4JJavaError:
+        pass
+
+
 def tidy(run: Callable[[Iterator], Iterator[pd.DataFrame]]) -> Callable[[Iterator], Iterator[pd.DataFrame]]:
     """``run``, and then the memory that it has freed is given back.
 

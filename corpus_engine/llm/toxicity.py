@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpus_engine.llm.common import bound_batches, field, fresh, per_row, text_blocks, tidy
+from corpus_engine.llm.common import bound_batches, field, fresh, give_back_driver, per_row, text_blocks, tidy
 from corpus_engine.runtime import durable
 
 EDGES = re.compile(r"^\W+|\W+$")
@@ -270,7 +270,7 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(logits - np.log(border / (1 - border)), -60, 60)))
 
 
-def _profiles(net: Network, words: Words, docs, langs) -> None:
+def _profiles(net: Network, rows: np.ndarray, docs, langs) -> None:
     """Smoothed word frequencies per language, for guessing a language from the text.
 
     A language with too few sampled texts for a threshold shares a profile with all
@@ -282,7 +282,7 @@ def _profiles(net: Network, words: Words, docs, langs) -> None:
     net.languages = sorted(often) + [None] * (len(often) < len(known))
     column = {x: net.languages.index(x if x in often else None) for x in known.index}
     counts = np.full((net.settings.language_slots, len(net.languages)), 0.1)
-    first = np.array([r[0] for r in words.rows]) % net.settings.language_slots
+    first = rows[:, 0] % net.settings.language_slots
     for doc, lang in zip(docs, langs):
         if lang is not None:
             np.add.at(counts[:, column[lang]], first[doc], 1)
@@ -302,19 +302,30 @@ def best_threshold(p: np.ndarray, label: np.ndarray, weight: np.ndarray) -> floa
     return float(np.clip((edges[k] + edges[k + 1]) / 2, 1e-4, 1 - 1e-4))
 
 
+def _word_ids(texts: list[str], s: Settings, most: int = 10_000) -> tuple[list[np.ndarray], np.ndarray]:
+    """Word ids of each text and the features of each id; only about ``most`` words at a time are kept as lists."""
+    words, docs, parts = Words(s), [], []
+    for text in texts:
+        docs.append(words.of(text))
+        if len(words.rows) >= most:
+            parts.append(np.array(words.rows, np.int32))
+            words.rows = []
+    if words.rows:
+        parts.append(np.array(words.rows, np.int32))
+    return docs, np.concatenate(parts)
+
+
 def train(texts: list[str], labels: np.ndarray, langs: list, prior: float, settings: Settings) -> Network:
     """Fit on four fifths of the sample, calibrate the thresholds on the rest.
 
     ``prior`` is the share of label 1 among all usable labelled rows, which the balanced
     sample no longer shows.
     """
-    words = Words(settings)
-    docs = [words.of(t) for t in texts]
-    rows = np.array(words.rows)
+    docs, rows = _word_ids(texts, settings)
     held = np.arange(len(docs)) % 5 == 4
     fit = np.flatnonzero(~held)
     net = fit_network([docs[i] for i in fit], rows, labels[fit], settings)
-    _profiles(net, words, docs, langs)
+    _profiles(net, rows, docs, langs)
     scorer = Scorer(net)
     logits, guesses = scorer.logits([texts[i] for i in np.flatnonzero(held)])
     p, y = 1 / (1 + np.exp(-np.clip(logits, -60, 60))), labels[held]
@@ -486,6 +497,7 @@ def learn_all(net: Network, rows: DataFrame) -> Network:
     shared = spark.sparkContext.broadcast(net)  # fixed size
     parts = dealt.mapInPandas(tidy(_learn(shared, often, weight)), _PARTS)
     found = parts.groupBy("kind", "name", "block").applyInPandas(_add_parts, _PARTS).collect()
+    shared.destroy()
 
     counts = {r.name: np.frombuffer(r.value, np.int64) for r in found if r.kind == "profile"}
     net.languages = often + [None] * (None in counts)
@@ -523,6 +535,7 @@ def calibrate(net: Network, held: DataFrame) -> Network:
 
     scored = held.select("y", per_row(make, "p double, guess string", F.col("t")).alias("s"))
     rows = scored.groupBy("s.guess", "s.p", "y").count().orderBy("guess", "p", "y").collect()  # steps, not texts
+    shared.destroy()
     p, y, n = (np.array([r[c] for r in rows], dtype=float) for c in ("p", "y", "count"))
     guesses = np.array([r.guess for r in rows], dtype=object)
     net.threshold, net.thresholds = 0.5, {}
@@ -556,13 +569,19 @@ def fit(
     rows = durable(labelled(documents, labels, usable, doc_id, text, lang, label))
     if len(rows.select("y").distinct().collect()) < 2:
         return None
-    first, prior = sample(documents, labels, usable & ~_held(field(doc_id)), doc_id, text, lang, label, settings)
-    y = first["y"].to_numpy(dtype=np.float32)
-    langs = [x if isinstance(x, str) else None for x in first["lang"]]
-    start = train(first["t"].tolist(), y, langs, prior, settings) if len(set(y.tolist())) > 1 else Network.fresh(settings)
+    start = _start(*sample(documents, labels, usable & ~_held(field(doc_id)), doc_id, text, lang, label, settings), settings)
+    give_back_driver(documents.sparkSession)
     return calibrate(learn_all(start, rows), rows.filter("held"))
 
 
+def _start(first: pd.DataFrame, prior: float, settings: Settings) -> Network:
+    """The network that the sample gives; a fresh one where the sample lacks a class."""
+    y = first["y"].to_numpy(dtype=np.float32)
+    if len(set(y.tolist())) < 2:
+        return Network.fresh(settings)
+    return train(first["t"].tolist(), y, [x if isinstance(x, str) else None for x in first["lang"]], prior, settings)
+
+
 def score_texts(
     df: DataFrame, network: Network | None, text: str = "text", score: str = "score", predicted: str = "predicted"
 ) -> DataFrame:

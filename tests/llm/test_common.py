@@ -5,7 +5,7 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 
-from corpus_engine.llm.common import tidy
+from corpus_engine.llm.common import give_back_driver, tidy
 
 
 class Held:
@@ -15,8 +15,8 @@ class Held:
         self.parts = [np.ones(12_500) for _ in range(1_000)]
 
 
-def own_mb() -> float:
-    return int(re.search(r"Pss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+def own_mb(pid="self") -> float:
+    return int(re.search(r"Pss_Anon:\s+(\d+)", Path(f"/proc/{pid}/smaps_rollup").read_text())[1]) / 1024
 
 
 def test_a_worker_gives_its_memory_back():
@@ -39,3 +39,17 @@ def test_a_worker_gives_its_memory_back():
     above.clear()
     list(run(iter(frames)))  # as it would be otherwise
     assert own_mb() - before > 60
+
+
+def test_the_driver_gives_its_memory_back(spark):
+    """What the driver's JVM has freed outside its heap does not stay with it, though something lies above it."""
+    jvm = spark._jvm
+    pid = jvm.java.lang.ProcessHandle.current().pid()
+    give_back_driver(spark)
+    held = [jvm.java.util.zip.Deflater() for _ in range(400)]
+    for one in held[:-1]:
+        one.end()
+    before = own_mb(pid)
+    give_back_driver(spark)
+    assert before - own_mb(pid) > 15
+    held[-1].end()

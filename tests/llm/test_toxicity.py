@@ -96,6 +96,20 @@ def test_scorer_keeps_no_lists_of_features():
     assert np.allclose(parts[4], [slow_logit(net, t) for t in texts[40:]], atol=1e-4)
 
 
+def test_training_keeps_few_lists_of_features(monkeypatch):
+    """The features of a sample's words become arrays on the way, and are the same as all at once."""
+    texts = [" ".join(f"w{i * 7 + k}" for k in range(20)) for i in range(3_000)] + [""]
+    held, of = [], T.Words.of
+    monkeypatch.setattr(T.Words, "of", lambda self, text: [of(self, text), held.append(len(self.rows))][0])
+    labels = np.arange(len(texts), dtype=np.float32) % 2
+    T.train(texts, labels, ["en"] * len(texts), 0.5, T.Settings(slots=512, dims=4, filters=3, epochs=1, language_slots=64))
+    assert max(held[: len(texts)]) < 11_000 < 21_000 < len({w for t in texts for w in t.split()})
+    words = T.Words(TINY)
+    want = [of(words, t) for t in texts]
+    docs, rows = T._word_ids(texts, TINY, 50)
+    assert all(map(np.array_equal, docs, want)) and np.array_equal(rows, np.array(words.rows))
+
+
 def test_one_class_or_no_rows(spark, tables):
     docs, labels = tables
     assert T.fit(docs, labels.filter("toxic = 0"), F.lit(True), settings=TINY) is None
