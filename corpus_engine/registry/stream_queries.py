@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import functions as F
 
 from corpus_engine.functions import urls as U
 from corpus_engine.operators import timeline as W
 from corpus_engine.registry import query, sql
 from corpus_engine.registry.job_queries import outcomes
-from corpus_engine.runtime import scratch_path
+from corpus_engine.runtime import many_files, scratch_path
 from corpus_engine.sources import pdf, robots, sinks, sitemaps, transcripts
 from corpus_engine.sources.tables import load_table
 from corpus_engine.streaming import ingest, progress, runner, state
 
 _HOUR = W.HOUR_US
 
-#: Files of a folder that the driver lists at once.
-FILES_LISTED = 200_000
+#: Files of a folder that the driver lists at once, and of them those that a task reads.
+FILES_LISTED, FILES_READ = 50_000, 500
 
 
 @query(
@@ -369,10 +371,14 @@ def pdf_text(spark, d):
     folders = [f"{path}/{i}" for i in range(n // FILES_LISTED + 1)]
     if sinks.write_files(rows, "doc_id", "content", folders) != n:
         raise RuntimeError(f"not every document has its file below {path}")
-    # the driver lists one folder at a time, so its memory does not grow with the files
+    # the driver lists one folder at a time and forgets it, so its memory does not grow with the files
     out = scratch_path(spark, "texts")
-    for folder in folders:
-        texts = pdf.pdf_text(spark, folder).filter("skipped is null")
-        doc_id = F.regexp_extract("path", r"doc_id=(-?\d*)\.[^/]*$", 1).try_cast("long")
-        texts.select(doc_id.alias("doc_id"), F.md5("text").alias("digest")).write.mode("append").parquet(out)
-    return spark.read.schema("doc_id long, digest string").parquet(out)
+    parts = [f"{out}/{i}" for i in range(len(folders))]
+    with many_files(spark, max(spark.sparkContext.defaultParallelism, FILES_LISTED // FILES_READ)):
+        for folder, part in zip(folders, parts):
+            texts = pdf.pdf_text(spark, folder).filter("skipped is null")
+            doc_id = F.regexp_extract("path", r"doc_id=(-?\d*)\.[^/]*$", 1).try_cast("long")
+            texts.select(doc_id.alias("doc_id"), F.md5("text").alias("digest")).write.parquet(part)
+            del texts
+            gc.collect()  # a frame lies in a cycle of Python objects and holds its folder's list
+    return spark.read.schema("doc_id long, digest string").parquet(*parts)

@@ -1,4 +1,7 @@
+import gc
 import hashlib
+import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -68,6 +71,50 @@ def test_pdf_query_reads_a_file_of_each_row(spark, tmp_path, monkeypatch):
     assert len(files) == len(rows) and len({p.parent for p in files}) < 20 and len(list((tmp_path / "pdf").iterdir())) > 1
 
 
+def _listed_files(spark) -> int:
+    """File entries that the driver's JVM holds."""
+    gc.collect()
+    jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+    kind = jvm.java.lang.Class.forName
+    types = ["javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;"]
+    signature, values, names, given = (
+        array(jvm.java.lang.Class, 4), array(jvm.java.lang.Object, 4), array(jvm.java.lang.String, 1), array(jvm.java.lang.Object, 1),
+    )
+    names[0], given[0] = "[Ljava.lang.String;", array(jvm.java.lang.String, 0)
+    command = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    for i, value in enumerate([command, "gcClassHistogram", given, names]):
+        signature[i], values[i] = kind(types[i]), value
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    said = kind("javax.management.MBeanServer").getMethod("invoke", signature).invoke(server, values)
+    found = re.search(r"(\d+) +\d+ +org\.apache\.hadoop\.fs\.LocatedFileStatus\b", said)
+    return int(found[1]) if found else 0
+
+
+def test_pdf_query_leaves_no_list_and_few_tasks_with_the_driver(spark, tmp_path, monkeypatch):
+    """The driver's memory does not grow with the files: it forgets each folder, and a task reads many files."""
+    monkeypatch.setattr(stream_queries, "FILES_LISTED", 400)
+    monkeypatch.setattr(stream_queries, "scratch_path", lambda spark, name: f"{tmp_path}/{name}")
+    rows = [(i, f"text {i} with (some) signs of its own") for i in range(700)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    names = ["spark.sql.files.maxPartitionNum", "spark.sql.hive.filesourcePartitionFileCacheSize"]
+    settings = [spark.conf.get(name, None) for name in names]
+    before = _listed_files(spark)
+    got = stream_queries.pdf_text(spark, str(tmp_path))
+    until = time.time() + 20  # the JVM hears a little later of what Python has dropped
+    while (held := _listed_files(spark) - before) >= 100 and time.time() < until:
+        time.sleep(0.5)
+    assert held < 100
+    assert len(list((tmp_path / "texts").rglob("part-*.parquet"))) <= 2 * 5
+    assert sorted(r.doc_id for r in got.collect()) == list(range(700))
+    assert [spark.conf.get(name, None) for name in names] == settings
+
+
+def test_pdf_query_of_no_documents(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stream_queries, "scratch_path", lambda spark, name: f"{tmp_path}/{name}")
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert stream_queries.pdf_text(spark, str(tmp_path)).collect() == []
+
+
 def test_sse(spark):
     bodies = [
         ("a", 'data: {"type":"text","content":"x"}\n\ndata: {bad\ndata: {"type":"text","content":"y"}\n'
